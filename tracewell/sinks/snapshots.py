@@ -1,0 +1,127 @@
+"""Keyed upserts on plain Parquet.
+
+Parquet has no MERGE, so a table is a directory of immutable snapshots plus a
+commit log. A write computes the next snapshot from the current one, writes it to
+its own directory and then commits it by appending one row. Readers follow the
+newest commit, so a path is never overwritten while it is read, and a lost
+executor or a failed job leaves the table as it was. Writing the same version
+again replaces the same directory, which makes a retried batch idempotent.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracewell.operators.ordering import newest_per_key
+from tracewell.sources.tables import empty
+
+_COMMITS = "version long, path string, source string"
+
+
+class SnapshotTable:
+    """A versioned Parquet table under ``root``."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
+        self.spark, self.root, self.schema = spark, root, schema
+
+    def _commits(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(_COMMITS).json(f"{self.root}/commits")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], _COMMITS)
+
+    def head(self) -> tuple[int, str | None, str | None]:
+        """Newest committed (version, path, source); version 0 means an empty table."""
+        row = self._commits().orderBy(F.col("version").desc()).limit(1).collect()
+        return (row[0].version, row[0].path, row[0].source) if row else (0, None, None)
+
+    def read(self) -> DataFrame:
+        _, path, _ = self.head()
+        return self.spark.read.schema(self.schema).parquet(path) if path else empty(self.spark, self.schema)
+
+    def read_before(self, source: str) -> DataFrame:
+        """The content before input batch ``source`` was applied (or the current one)."""
+        rows = self._commits().filter(~F.col("source").eqNullSafe(source)).orderBy(F.col("version").desc()).limit(1)
+        row = rows.collect()
+        return self.spark.read.schema(self.schema).parquet(row[0].path) if row else empty(self.spark, self.schema)
+
+    def update(self, change: Callable[[DataFrame], DataFrame], source: str | None = None) -> int:
+        """Replace the content by ``change(current)`` and commit it.
+
+        ``source`` names the input batch. If the newest commit already carries
+        that name the call does nothing, so a replayed batch is applied once.
+        """
+        version, _, last = self.head()
+        if source is not None and source == last:
+            return version
+        new, path = version + 1, f"{self.root}/data/v{version + 1:08d}"
+        names = [f.name for f in self.schema.fields]
+        out = change(self.read()).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+        out.select(*names).write.mode("overwrite").parquet(path)
+        self.spark.createDataFrame([(new, path, source)], _COMMITS).coalesce(1).write.mode("append").json(
+            f"{self.root}/commits")
+        return new
+
+
+def upsert_replace(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Full-row replace: a new row wins over the stored row of its key, and columns
+    it does not carry become NULL. ``order`` picks among several new rows of a key."""
+    cols = [F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns]
+    extra = [c for c in order if c not in old.columns]
+    versions = F.struct(*order) if order else F.lit(0)
+    incoming = new.select(*[c.alias(n) for c, n in zip(cols, old.columns)], *extra, versions.alias("_v"))
+    last = newest_per_key(incoming, keys, ["_v"]).select(*old.columns)
+    return last.unionByName(old.join(last.select(*keys), list(keys), "left_anti"))
+
+
+def upsert_add(old: DataFrame, delta: DataFrame, keys: Sequence[str], add: Sequence[str],
+               latest: Sequence[str] = ()) -> DataFrame:
+    """Additive upsert: counters grow by the deltas, ``latest`` columns keep the maximum."""
+    cols = [*keys, *add, *latest]
+    return old.select(*cols).unionByName(delta.select(*cols)).groupBy(*keys).agg(
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in add], *[F.max(c).alias(c) for c in latest])
+
+
+def upsert_max(old: DataFrame, new: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Max-merge upsert."""
+    cols = [*keys, *measures]
+    return old.select(*cols).unionByName(new.select(*cols)).groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in measures])
+
+
+def rate_latest(decisions: DataFrame, feedback: DataFrame, *, key: str = "query_hash", ts: str = "timestamp",
+                tie: str = "id", rated: str = "success") -> DataFrame:
+    """Apply one feedback per key to the newest decision of that key not rated yet.
+
+    ``feedback`` is (key, verdict). The newest unrated row is found by a ``max``
+    aggregate per key, which a hot key survives, and joined back by its identity.
+    """
+    pending = decisions.filter(F.col(rated).isNull())
+    target = pending.groupBy(key).agg(F.max(F.struct(ts, tie)).alias("_m")).join(
+        feedback.select(key, F.col("verdict").alias("_verdict")), key)
+    hit = target.select(F.col(key).alias("_k"), F.col(f"_m.{ts}").alias("_ts"), F.col(f"_m.{tie}").alias("_id"),
+                        "_verdict")
+    joined = decisions.join(hit, (F.col(key) == F.col("_k")) & (F.col(ts) == F.col("_ts"))
+                            & (F.col(tie) == F.col("_id")) & F.col(rated).isNull(), "left")
+    return joined.withColumn(rated, F.coalesce(rated, "_verdict")).drop("_k", "_ts", "_id", "_verdict")
+
+
+def tool_usage_delta(events: DataFrame) -> DataFrame:
+    """Counter deltas of a batch of tool calls (tool, calls, success, ts)."""
+    ok = F.col("success") == 1
+    calls = F.coalesce("calls", F.lit(1)) if "calls" in events.columns else F.lit(1)
+    return events.groupBy("tool_name").agg(
+        F.sum(calls).alias("total_calls"), F.sum(F.when(ok, calls).otherwise(F.lit(0))).alias("success_count"),
+        F.sum(F.when(ok, F.lit(0)).otherwise(calls)).alias("failure_count"), F.max("timestamp").alias("last_used"))
+
+
+def hourly_delta(events: DataFrame, day: Column, hour: Column, sessions: Column, messages: Column) -> DataFrame:
+    return events.groupBy(day.alias("date"), hour.alias("hour")).agg(
+        sessions.alias("session_count"), messages.alias("message_count"))
