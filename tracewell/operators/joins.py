@@ -105,7 +105,8 @@ def interval_join(points: DataFrame, intervals: DataFrame, *, at: str, start: st
     if max_matches is None:
         return out
     w = Window.partitionBy(at).orderBy(*order)
-    return out.withColumn("match_rank", F.row_number().over(w)).filter(F.col("match_rank") <= max_matches)
+    return out.withColumn("match_rank", F.row_number().over(w).cast("bigint")).filter(
+        F.col("match_rank") <= max_matches)
 
 
 def calendar_fill(daily: DataFrame, day: str, measures: Sequence[str], *, start: str | None = None,
@@ -118,7 +119,8 @@ def calendar_fill(daily: DataFrame, day: str, measures: Sequence[str], *, start:
     lo = F.lit(start).cast("date") if start else F.min(F.col(day).cast("date"))
     hi = F.lit(end).cast("date") if end else F.max(F.col(day).cast("date"))
     spine = daily.agg(lo.alias("_a"), hi.alias("_b")).filter(F.col("_a") <= F.col("_b")).select(
-        F.explode(F.sequence("_a", "_b", F.expr("interval 1 day"))).cast("string").alias(day))
+        F.explode(F.sequence("_a", "_b", F.expr("interval 1 day"))).alias("_d")).select(
+        F.col("_d").cast("string").alias(day))
     return spine.join(daily.select(day, *measures), day, "left").select(
         day, *[F.coalesce(m, F.lit(0)).alias(m) for m in measures])
 

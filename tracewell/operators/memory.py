@@ -140,6 +140,6 @@ def similar_vectors(vectors: DataFrame, query: Sequence[float] | Column, *, id_c
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
                            lambda s, x: s + x)
 
-    v = F.col(vec)
-    cos = F.try_divide(dot(v, q), F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)))
-    return top(vectors.select(id_col, cos.alias("similarity")), min(limit, MAX_HITS), "-similarity", id_col)
+    v, probe = F.col(vec), F.col("_q")
+    cos = F.try_divide(dot(v, probe), F.sqrt(dot(v, v)) * F.sqrt(dot(probe, probe)))
+    return top(vectors.withColumn("_q", q).select(id_col, cos.alias("similarity")), min(limit, MAX_HITS), "-similarity", id_col)

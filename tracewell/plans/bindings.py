@@ -50,7 +50,7 @@ VIEWS: dict[str, View] = {
         id: event_id
         timestamp: timestamp
         tool_name: {_choice("event_type", click="Read", view="Bash", purchase="Edit", signup="Write", error="Grep")}
-        success: CASE WHEN k >= 10 THEN 1 ELSE 0 END
+        success: CAST(CASE WHEN k >= 10 THEN 1 ELSE 0 END AS BIGINT)
         duration_ms: value
         error_message: CASE WHEN k < 10 THEN 'E' || CAST(k % 5 AS STRING) END
         context: '/p/' || CAST(user_id % 10 AS STRING)
@@ -119,7 +119,7 @@ VIEWS: dict[str, View] = {
         dq_validity: CASE WHEN l_linenumber > 1 THEN 10 * l_tax END
         dq_specificity: 1 - 10 * l_discount
         dq_correctness: l_quantity / 100
-        success: CASE WHEN l_returnflag = 'R' THEN NULL WHEN l_linestatus = 'F' THEN 1 ELSE 0 END"""),
+        success: CAST(CASE WHEN l_returnflag = 'R' THEN NULL WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS BIGINT)"""),
     "routing_events": View("routing_decisions", """
         id: id
         timestamp: timestamp
@@ -159,7 +159,7 @@ VIEWS: dict[str, View] = {
         timestamp: timestamp
         error_pattern: event_type
         fix_applied: CASE WHEN k % 4 > 0 THEN 'fix' || CAST(k % 4 AS STRING) END
-        success: CASE WHEN k % 3 > 0 THEN 1 ELSE 0 END
+        success: CAST(CASE WHEN k % 3 > 0 THEN 1 ELSE 0 END AS BIGINT)
         execution_time_ms: value
         severity: CASE WHEN k >= 80 THEN 'high' ELSE 'low' END
         error_message: props"""),
@@ -168,14 +168,14 @@ VIEWS: dict[str, View] = {
         timestamp: EPOCH(o_orderdate)
         error_type: LOWER(SUBSTR(o_orderpriority, 3))
         recovery_strategy: CASE WHEN o_custkey % 5 > 0 THEN 'strategy' || CAST(o_custkey % 5 AS STRING) END
-        success: CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END
+        success: CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS BIGINT)
         attempts: 1 + o_custkey % 3
         recovery_method: CASE WHEN o_orderstatus = 'P' THEN NULL ELSE 'method' || o_orderstatus END"""),
     "recovery_log": View("events_k", """
         action: event_type
         pattern: CASE WHEN k % 4 > 0 THEN 'pat' || CAST(k % 4 AS STRING) ELSE '' END
         category: 'cat' || CAST(k % 6 AS STRING)
-        success: CASE WHEN k >= 45 THEN 1 ELSE 0 END
+        success: CAST(CASE WHEN k >= 45 THEN 1 ELSE 0 END AS BIGINT)
         ts: timestamp"""),
     "heal_runs": View("events_k", """
         id: event_id
@@ -189,7 +189,7 @@ VIEWS: dict[str, View] = {
         timestamp: timestamp
         command: {_choice("event_type", click="co", view="CC", purchase="haiku", signup="git", error="")}
         args: props
-        success: CASE WHEN k >= 10 THEN 1 ELSE 0 END
+        success: CAST(CASE WHEN k >= 10 THEN 1 ELSE 0 END AS BIGINT)
         execution_time_ms: value"""),
     "coordinator_events": View("events_k", f"""
         id: event_id
@@ -239,7 +239,7 @@ VIEWS: dict[str, View] = {
         ts: timestamp
         tool: {_choice("event_type", click="Read", view="Bash", purchase="Edit", signup="Write")}
         model: CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN 'opus' WHEN k % 4 = 2 THEN 'sonnet' ELSE 'haiku' END
-        success: CASE WHEN k >= 20 THEN 1 ELSE 0 END"""),
+        success: CAST(CASE WHEN k >= 20 THEN 1 ELSE 0 END AS BIGINT)"""),
     "command_log": View("events_k", f"""
         cmd: CASE WHEN k % 2 = 0 THEN event_type END
         command: CASE WHEN k % 5 > 0 THEN event_type || ' run' END

@@ -278,7 +278,7 @@ query("e86_healing_kpis", lambda b: rc.healing_kpis(healing(b), as_of=NOW - 3600
            {r('CAST(count(*) AS DOUBLE) / count(DISTINCT substr(ts, 1, 10))', 1)} AS avg_per_day,
            {cif("action = 'reload'")} AS reload_ok, 1e2 AS reload_success FROM k""")
 query("h02_healing_events", lambda b: rc.healing_events(parse_log(b.log_lines, WATCHDOG_PATTERNS), b.heal_runs), f"""
-    WITH {PARSED} SELECT ts AS timestamp, subject AS service, action, CASE WHEN action = 'detected' THEN 0 ELSE 1 END
+    WITH {PARSED} SELECT ts AS timestamp, subject AS service, action, CASE WHEN action = 'detected' THEN CAST(0 AS BIGINT) ELSE 1 END
     AS success, message FROM pl UNION ALL SELECT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d %H:%M:%S'),
     'self-heal', 'deep-heal', 1, 'Deep heal fixed ' || fixed || ' issue(s)' FROM heal_runs WHERE fixed > 0""")
 query("e89_risky_hours", lambda b: rc.risky_hours(b.heal_runs), f"""
@@ -311,9 +311,9 @@ query("e88_check_report", lambda b: h.check_report(b.self_heal_events.select(
                                         ('ok', 'warn', 'error'))} FROM a GROUP BY 1)
       SELECT *, ok + warn + error AS total, CASE WHEN error = 0 AND warn = 0 THEN 'HEALTHY' WHEN error = 0
              THEN 'DEGRADED' ELSE 'UNHEALTHY' END AS verdict FROM c""")
-query("l13_anomalies", lambda b: h.anomalies(b.heal_runs, baseline=0.4 * 100 / 3), f"""
-    SELECT {day('ts')} AS date, {isum('fixed')} AS value, {0.4 * 100 / 3!r}e0 AS baseline, 'warning' AS severity
-    FROM heal_runs GROUP BY 1 HAVING sum(fixed) > {0.4 * 100 / 3!r}e0 * 3""")
+query("l13_anomalies", lambda b: h.anomalies(b.heal_runs, baseline=5.0), f"""
+    SELECT {day('ts')} AS date, {isum('fixed')} AS value, 5e0 AS baseline, 'warning' AS severity
+    FROM heal_runs GROUP BY 1 HAVING sum(fixed) > 15""")
 query("l14_threshold_advice", lambda b: h.threshold_advice(b.heal_runs), f"""
     WITH t AS (SELECT * FROM heal_runs ORDER BY ts DESC, id DESC LIMIT 100),
     s AS (SELECT count(*) AS runs, {cif('fixed > 0')} AS fixing FROM t)

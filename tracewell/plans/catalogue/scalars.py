@@ -20,8 +20,8 @@ query("i01_i06_calendar", lambda b: b.tool_events.select(
 query("i05_session_minutes", lambda b: b.sessions.select("id", e.minutes_between("started_at", "ended_at").alias("minutes")),
       f"SELECT id, {r('(ended_at - started_at) / 60e0', 1)} AS minutes FROM sessions")
 query("i07_duration_text", lambda b: b.sessions.select("id", e.duration_text(
-    F.coalesce(F.col("ended_at") - F.col("started_at"), F.lit(0)) + F.col("message_count") * 61).alias("duration")), """
-    WITH x AS (SELECT id, coalesce(ended_at - started_at, 0) + message_count * 61 AS s FROM sessions)
+    F.greatest(F.coalesce(F.col("ended_at") - F.col("started_at"), F.lit(0)), F.lit(0)) + F.col("message_count") * 61).alias("duration")), """
+    WITH x AS (SELECT id, greatest(coalesce(ended_at - started_at, 0), 0) + message_count * 61 AS s FROM sessions)
     SELECT id, CASE WHEN s // 86400 = 1 THEN '1 day, ' WHEN s // 86400 > 1 THEN (s // 86400) || ' days, ' ELSE '' END
            || (s // 3600 % 24) || ':' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':' ||
            lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS duration FROM x""")
@@ -35,7 +35,7 @@ query("i10_i14_numbers", lambda b: b.tool_events.select(
     e.ratio(F.col("duration_ms"), F.col("success")).alias("guarded"),
     e.nonblank("error_message", default="none").alias("message")), f"""
     SELECT id, {r('duration_ms', 1)} AS rounded, CAST(trunc(duration_ms) AS BIGINT) AS whole,
-           least(50e0, greatest(1e0, duration_ms)) AS clamped, CASE WHEN success = 0 THEN -1 ELSE success END AS truthy,
+           least(50e0, greatest(1e0, duration_ms)) AS clamped, CAST(CASE WHEN success = 0 THEN -1 ELSE success END AS BIGINT) AS truthy,
            duration_ms / nullif(success, 0) AS guarded, coalesce(nullif(error_message, ''), 'none') AS message
     FROM tool_events""")
 query("i15_i17_model_names", lambda b: b.turns.select(

@@ -151,8 +151,8 @@ query("l09_success_probability", lambda b: s.success_probability(
     SELECT *, CASE WHEN success_probability < 0.5 THEN 'Consider waiting for a better hour or using a different model'
            WHEN success_probability < 0.7 THEN 'Proceed with caution, break into smaller tasks'
            ELSE 'Good conditions for this task' END AS advice FROM p""")
-query("c13_sessions_since", lambda b: fl.sessions_since(b.sessions, 200, as_of=LINES_NOW, project="/p/c7"), f"""
-    SELECT * FROM sessions WHERE started_at >= {LINES_NOW - 200 * 86400} AND project_path = '/p/c7'""")
+query("c13_sessions_since", lambda b: fl.sessions_since(b.sessions, 2000, as_of=LINES_NOW, project="/p/c7"), f"""
+    SELECT * FROM sessions WHERE started_at >= {LINES_NOW - 2000 * 86400} AND project_path = '/p/c7'""")
 query("c05_open_or_recent", lambda b: fl.open_or_recent(b.sessions, "ended_at", 5, as_of=LINES_NOW).agg(
     F.count(F.lit(1)).alias("active")), f"""
     SELECT count(*) AS active FROM sessions WHERE ended_at IS NULL OR ended_at > {LINES_NOW - 300}""")
