@@ -96,11 +96,14 @@ def anomalies(runs: DataFrame, *, baseline: float, k: float = 3.0, tz: str = "UT
 
 def compare_snapshots(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Health score (ok / total) before and after a change: keep it or roll back."""
-    def score(df: DataFrame, name: str) -> DataFrame:
-        s = F.coalesce(F.try_divide(F.sum("ok").cast("double"), F.sum("total").cast("double")), F.lit(0.0))
-        return df.groupBy(key).agg(s.alias(name))
-    joined = score(before, "baseline").join(score(after, "after"), key, "full").select(
-        key, F.coalesce("baseline", F.lit(0.0)).alias("baseline"), F.coalesce("after", F.lit(0.0)).alias("after"))
+    both = before.select(key, "ok", "total", F.lit(0).alias("_side")).unionByName(
+        after.select(key, "ok", "total", F.lit(1).alias("_side")))
+
+    def score(side: int) -> Column:
+        part = [F.sum(F.when(F.col("_side") == side, F.col(c))).cast("double") for c in ("ok", "total")]
+        return F.coalesce(F.try_divide(*part), F.lit(0.0))
+
+    joined = both.groupBy(key).agg(score(0).alias("baseline"), score(1).alias("after"))
     gain = F.col("after") - F.col("baseline")
     return joined.select("*", gain.alias("improvement"),
                          F.when(gain >= 0, F.lit("applied")).otherwise(F.lit("rolled_back")).alias("status"))

@@ -121,18 +121,22 @@ def _levels() -> list[Column]:
             rnd(mean("query_complexity"), 2).alias("avg_complexity")]
 
 
-def expertise_domains(events: DataFrame) -> DataFrame:
-    """Per domain: count, means and the most frequent model (ties by name).
-
-    One pass counts (domain, model) pairs with partial sums; domains are then
-    folded from those few rows.
-    """
-    pairs = events.groupBy("domain", "chosen_model").agg(
+def _domain_models(events: DataFrame) -> DataFrame:
+    """Counts and sums per (domain, model): a few rows, built by a hash aggregate."""
+    return events.groupBy("domain", "chosen_model").agg(
         _n().alias("n"), F.sum("expertise_level").alias("e"), F.count("expertise_level").alias("en"),
         F.sum("query_complexity").alias("c"), F.count("query_complexity").alias("cn"))
-    return pairs.groupBy("domain").agg(
-        F.sum("n").alias("n"), rnd(F.try_divide(rnd(F.sum("e"), 2), F.sum("en")), 3).alias("avg_expertise"),
-        rnd(F.try_divide(rnd(F.sum("c"), 2), F.sum("cn")), 3).alias("avg_complexity"),
+
+
+def _folded_levels(digits: int) -> list[Column]:
+    return [rnd(F.try_divide(rnd(F.sum("e"), 2), F.sum("en")), digits).alias("avg_expertise"),
+            rnd(F.try_divide(rnd(F.sum("c"), 2), F.sum("cn")), digits).alias("avg_complexity")]
+
+
+def expertise_domains(events: DataFrame) -> DataFrame:
+    """Per domain: count, means and the most frequent model (ties by name)."""
+    return _domain_models(events).groupBy("domain").agg(
+        F.sum("n").alias("n"), *_folded_levels(3),
         F.min_by("chosen_model", F.struct(-F.col("n"), "chosen_model")).alias("primary_model"))
 
 
@@ -143,8 +147,8 @@ def expertise_heatmap(events: DataFrame, *, as_of: int, days: int = 30) -> DataF
 
 def expertise_summary(events: DataFrame, *, as_of: int, days: int = 30) -> DataFrame:
     """Per domain: queries, means and the sorted list of models used."""
-    return within_days(events, "timestamp", days, as_of=as_of).groupBy("domain").agg(
-        _n().alias("total_queries"), *_levels(),
+    return _domain_models(within_days(events, "timestamp", days, as_of=as_of)).groupBy("domain").agg(
+        F.sum("n").alias("total_queries"), *_folded_levels(2),
         F.array_join(F.sort_array(F.collect_set("chosen_model")), ",").alias("models_used"))
 
 

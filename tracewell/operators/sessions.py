@@ -192,19 +192,19 @@ def optimal_hours(hourly: DataFrame, *, min_samples: int = 3, n: int = 5) -> Dat
 def success_probability(cases: DataFrame, patterns: DataFrame, hour: int) -> DataFrame:
     """0.3 hour + 0.4 model + 0.3 complexity rate; a dimension never seen counts 1/2.
 
-    ``patterns`` is the output of :func:`success_by`, at most 24 + models + 2 rows.
+    ``patterns`` is the output of :func:`success_by`: at most 24 + models + 2 rows,
+    which become one small map computed once.
     """
-    rate = patterns.select("dimension", "value", (F.col("success") / F.greatest("total", F.lit(1))).alias("rate"))
+    rate = F.col("success") / F.greatest("total", F.lit(1))
+    entry = F.struct(F.concat_ws("=", "dimension", "value").alias("k"), rate.alias("v"))
+    rates = patterns.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+    keyed = cases.withColumn("_m", rates)
 
-    def side(dim: str, name: str) -> DataFrame:
-        return rate.filter(F.col("dimension") == dim).select(F.col("value").alias(f"_{name}"),
-                                                             F.col("rate").alias(f"{name}_factor"))
+    def factor(dim: str, value: Column) -> Column:
+        return F.coalesce(F.col("_m")[F.concat(F.lit(f"{dim}="), value)], F.lit(0.5))
 
-    keyed = cases.withColumns({"_h": F.lit(str(hour)), "_b": scoring.complexity_band("complexity")})
-    out = (keyed.join(side("hour", "hour"), F.col("_h") == F.col("_hour"), "left")
-           .join(side("model", "model"), F.col("model") == F.col("_model"), "left")
-           .join(side("complexity", "complexity"), F.col("_b") == F.col("_complexity"), "left"))
-    f = {n: F.coalesce(f"{n}_factor", F.lit(0.5)) for n in ("hour", "model", "complexity")}
+    f = {"hour": factor("hour", F.lit(str(hour))), "model": factor("model", F.coalesce("model", F.lit("unknown"))),
+         "complexity": factor("complexity", scoring.complexity_band("complexity"))}
     p = rnd(f["hour"] * 0.3 + f["model"] * 0.4 + f["complexity"] * 0.3, 6)
-    return out.select(*cases.columns, *[c.alias(f"{n}_factor") for n, c in f.items()],
+    return keyed.select(*cases.columns, *[c.alias(f"{n}_factor") for n, c in f.items()],
                       p.alias("success_probability"), scoring.success_advice(p).alias("advice"))

@@ -13,7 +13,7 @@ through one task:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,106 +34,113 @@ def _seconds(df: DataFrame, ts: str, keys: Sequence[str]) -> DataFrame:
     return df.filter(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).alias("_ts")).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _islands(seconds: DataFrame, gap_s: int, keys: Sequence[str], bucket_seconds: int) -> DataFrame:
-    """Each second with its bucket and the number of its island in the bucket."""
-    b = seconds.withColumn("_bucket", F.floor(F.col("_ts") / F.lit(bucket_seconds)))
+def label_seconds(df: DataFrame, ts: str, *, gap_s: int = GAP_SECONDS, keys: Sequence[str] = (),
+                  bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """Every distinct second with events, its event count and the streak it lies in.
+
+    Columns: keys, ``_ts``, ``_n``, ``start_ts``, ``end_ts``. A streak that spans
+    several buckets has the same bounds in all of them.
+    """
+    if gap_s >= bucket_seconds:
+        raise ValueError("gap_s must be smaller than bucket_seconds")
+    seconds = _seconds(df, ts, keys).withColumn("_bucket", F.floor(F.col("_ts") / F.lit(bucket_seconds)))
     w = Window.partitionBy(*keys, "_bucket").orderBy("_ts")
     opens = F.coalesce((F.col("_ts") - F.lag("_ts").over(w)) > gap_s, F.lit(True))
-    return b.withColumn("_open", opens.cast("int")).withColumn("_island", F.sum("_open").over(
-        w.rowsBetween(Window.unboundedPreceding, 0))).drop("_open")
-
-
-def _stitched(marked: DataFrame, gap_s: int, keys: Sequence[str]) -> DataFrame:
-    """Islands with the bounds and size of the streak they belong to."""
-    islands = marked.groupBy(*keys, "_bucket", "_island").agg(
-        F.min("_ts").alias("_s"), F.max("_ts").alias("_e"), F.sum("_n").alias("_c"))
-    last = F.max("_island").over(Window.partitionBy(*keys, "_bucket"))
-    islands = islands.withColumn("_edge", (F.col("_island") == 1) | (F.col("_island") == last))
-    inner = islands.filter(~F.col("_edge")).select(
-        *keys, "_bucket", "_island", F.col("_s").alias("start_ts"), F.col("_e").alias("end_ts"),
-        F.col("_c").alias("event_count"))
+    numbered = seconds.withColumn("_open", opens.cast("int")).withColumn(
+        "_island", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole, island = Window.partitionBy(*keys, "_bucket"), Window.partitionBy(*keys, "_bucket", "_island")
+    bounded = numbered.select(
+        *keys, "_ts", "_n", "_bucket", "_island", F.min("_ts").over(island).alias("_s"),
+        F.max("_ts").over(island).alias("_e"), F.max("_island").over(whole).alias("_last"))
+
+    # The first and the last island of each bucket: two rows per key and bucket.
+    edge = (F.col("_island") == 1) | (F.col("_island") == F.col("_last"))
+    edges = bounded.filter(edge & (F.col("_ts") == F.col("_s"))).select(*keys, "_bucket", "_island", "_s", "_e")
     chain = Window.partitionBy(*keys).orderBy("_s")
-    opens = F.coalesce((F.col("_s") - F.lag("_e").over(chain)) > gap_s, F.lit(True))
-    grouped = islands.filter("_edge").withColumn("_o", opens.cast("int")).withColumn(
+    joins = F.coalesce((F.col("_s") - F.lag("_e").over(chain)) > gap_s, F.lit(True))
+    grouped = edges.withColumn("_o", joins.cast("int")).withColumn(
         "_g", F.sum("_o").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy(*keys, "_g")
-    edges = grouped.select(*keys, "_bucket", "_island", F.min("_s").over(whole).alias("start_ts"),
-                           F.max("_e").over(whole).alias("end_ts"), F.sum("_c").over(whole).alias("event_count"))
-    return inner.unionByName(edges)
+    streak = Window.partitionBy(*keys, "_g")
+    stitched = grouped.select(*keys, "_bucket", "_island", F.min("_s").over(streak).alias("_ss"),
+                              F.max("_e").over(streak).alias("_ee"))
+    return bounded.join(stitched, [*keys, "_bucket", "_island"], "left").select(
+        *keys, "_ts", "_n", F.coalesce("_ss", "_s").alias("start_ts"), F.coalesce("_ee", "_e").alias("end_ts"))
 
 
-def _shape(df: DataFrame, min_s: int, keys: Sequence[str]) -> DataFrame:
+def streaks_of(labelled: DataFrame, *, min_s: int = MIN_SECONDS, keys: Sequence[str] = ()) -> DataFrame:
+    """Streak rows from labelled seconds, the short ones dropped."""
     duration = F.col("end_ts") - F.col("start_ts")
-    return df.filter(duration >= min_s).select(
-        *keys, "start_ts", "end_ts", duration.alias("duration_seconds"), F.col("event_count").alias("tool_count"),
-        rnd(duration / F.greatest(F.col("event_count") - 1, F.lit(1)), 2).alias("avg_gap_seconds"))
+    sums = labelled.filter(duration >= min_s).groupBy(*keys, "start_ts", "end_ts").agg(F.sum("_n").alias("tool_count"))
+    return sums.select(
+        *keys, "start_ts", "end_ts", duration.alias("duration_seconds"), "tool_count",
+        rnd(duration / F.greatest(F.col("tool_count") - 1, F.lit(1)), 2).alias("avg_gap_seconds"))
 
 
 def sessionize(df: DataFrame, ts: str, *, gap_s: int = GAP_SECONDS, min_s: int = MIN_SECONDS,
                keys: Sequence[str] = (), bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Streaks of events at most ``gap_s`` apart (inclusive) lasting ``min_s`` or more."""
-    if gap_s >= bucket_seconds:
-        raise ValueError("gap_s must be smaller than bucket_seconds")
-    marked = _islands(_seconds(df, ts, keys), gap_s, keys, bucket_seconds)
-    streaks = _stitched(marked, gap_s, keys)
-    # A streak over several buckets appears once per bucket; one of them speaks for it.
-    single = streaks.groupBy(*keys, "start_ts").agg(F.max("end_ts").alias("end_ts"),
-                                                    F.max("event_count").alias("event_count"))
-    return _shape(single, min_s, keys)
+    labelled = label_seconds(df, ts, gap_s=gap_s, keys=keys, bucket_seconds=bucket_seconds)
+    return streaks_of(labelled, min_s=min_s, keys=keys)
 
 
-def streak_frequencies(df: DataFrame, ts: str, value: str, *, gap_s: int = GAP_SECONDS, min_s: int = MIN_SECONDS,
-                       keys: Sequence[str] = (), top_n: int = 10, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """The ``top_n`` values of every kept streak with their counts, ranked.
+def frequencies_of(df: DataFrame, ts: str, values: Sequence[str], labelled: DataFrame, *,
+                   min_s: int = MIN_SECONDS, keys: Sequence[str] = (), top_n: int = 10) -> DataFrame:
+    """The ``top_n`` values of each column in ``values`` per streak: (field, value, n, rank).
 
     Values are counted per second before they meet the streaks, so the join
-    carries a row per (second, value) and is spread over the seconds.
+    carries a row per (second, value) and is spread over the seconds. All columns
+    share one scan, one shuffle and one join.
     """
-    marked = _islands(_seconds(df, ts, keys), gap_s, keys, bucket_seconds)
-    streaks = _stitched(marked, gap_s, keys).filter(F.col("end_ts") - F.col("start_ts") >= min_s)
-    labelled = marked.select(*keys, "_ts", "_bucket", "_island").join(
-        streaks.select(*keys, "_bucket", "_island", "start_ts"), [*keys, "_bucket", "_island"])
-    cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(ts).alias("_ts"), value).agg(
-        F.count(F.lit(1)).alias("_n"))
-    counts = cells.join(labelled.select(*keys, "_ts", "start_ts"), [*keys, "_ts"]).groupBy(
-        *keys, "start_ts", value).agg(F.sum("_n").alias("n"))
-    w = Window.partitionBy(*keys, "start_ts").orderBy(F.col("n").desc(), value)
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("field"), F.col(v).alias("value")) for v in values]))
+    cells = df.select(*keys, F.col(ts).alias("_ts"), pairs.alias("_p")).select(*keys, "_ts", "_p.*").filter(
+        F.col("value").isNotNull()).groupBy(*keys, "_ts", "field", "value").agg(F.count(F.lit(1)).alias("_c"))
+    kept = labelled.filter(F.col("end_ts") - F.col("start_ts") >= min_s).select(*keys, "_ts", "start_ts")
+    counts = cells.join(kept, [*keys, "_ts"]).groupBy(*keys, "start_ts", "field", "value").agg(F.sum("_c").alias("n"))
+    w = Window.partitionBy(*keys, "start_ts", "field").orderBy(F.col("n").desc(), "value")
     return counts.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= top_n)
 
 
-def _ranked_list(freq: DataFrame, keys: Sequence[str], value: str, alias: str, as_map: bool) -> DataFrame:
-    """At most ``top_n`` ranked values per streak folded into an array or map."""
-    items = F.sort_array(F.collect_list(F.struct("rank", value, "n")))
-    entries = F.transform(items, lambda x: F.struct(x[value].alias("key"), x["n"].alias("value")))
-    col = F.map_from_entries(entries) if as_map else F.transform(items, lambda x: x[value])
-    return freq.groupBy(*keys, "start_ts").agg(col.alias(alias))
+def streak_frequencies(df: DataFrame, ts: str, value: str, *, gap_s: int = GAP_SECONDS, min_s: int = MIN_SECONDS,
+                       keys: Sequence[str] = (), top_n: int = 10) -> DataFrame:
+    """The ``top_n`` values of one column per streak."""
+    labelled = label_seconds(df, ts, gap_s=gap_s, keys=keys)
+    freq = frequencies_of(df, ts, [value], labelled, min_s=min_s, keys=keys, top_n=top_n)
+    return freq.select(*keys, "start_ts", F.col("value").alias(value), "n", "rank")
 
 
 def autonomy_streaks(events: DataFrame, sessions: DataFrame | None = None, *, ts: str = "timestamp",
-                     gap_s: int = GAP_SECONDS, min_s: int = MIN_SECONDS, enrich: int = 50) -> DataFrame:
+                     gap_s: int = GAP_SECONDS, min_s: int = MIN_SECONDS, enrich: int = 50,
+                     materialize: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The derived streak table: bounds, top projects, top tools, and, for the
-    ``enrich`` longest streaks, up to five sessions open at the start."""
-    base = sessionize(events, ts, gap_s=gap_s, min_s=min_s)
-    tools = streak_frequencies(events, ts, "tool_name", gap_s=gap_s, min_s=min_s)
-    ctx = streak_contexts(events, ts, gap_s=gap_s, min_s=min_s)
-    out = base.join(_ranked_list(ctx, (), "context", "projects", False), "start_ts", "left").join(
-        _ranked_list(tools, (), "tool_name", "top_tools", True), "start_ts", "left")
+    ``enrich`` longest streaks, up to five sessions open at the start.
+
+    Several outputs read the labelled seconds. ``materialize`` (for example
+    ``lambda d: d.checkpoint()``) computes them once in a long run.
+    """
+    labelled = label_seconds(events, ts, gap_s=gap_s)
+    if materialize is not None:
+        labelled = materialize(labelled)
+    base = streaks_of(labelled, min_s=min_s)
+    rows = events.select(ts, "tool_name", F.nullif(F.col("context"), F.lit("")).alias("context"))
+    freq = frequencies_of(rows, ts, ["tool_name", "context"], labelled, min_s=min_s)
+
+    # At most ten ranked values per streak and field.
+    def ranked(field: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("field") == field, F.struct("rank", "value", "n"))))
+
+    lists = freq.groupBy("start_ts").agg(
+        F.transform(ranked("context"), lambda x: x["value"]).alias("projects"),
+        F.map_from_entries(F.transform(ranked("tool_name"), lambda x: F.struct(x["value"], x["n"]))).alias("top_tools"))
+    out = base.join(lists, "start_ts", "left")
     if sessions is None:
         return out.withColumn("session_ids", F.array().cast("array<string>"))
-    hits = open_sessions(base, sessions, enrich)
-    ids = hits.groupBy("start_ts").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("match_rank", "session_id"))), lambda x: x["session_id"]).alias("session_ids"))
+    ids = open_sessions(base, sessions, enrich).groupBy("start_ts").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("match_rank", "session_id"))), lambda x: x["session_id"])
+        .alias("session_ids"))
     return out.join(ids, "start_ts", "left").withColumn(
         "session_ids", F.coalesce("session_ids", F.array().cast("array<string>")))
 
 
-def streak_contexts(events: DataFrame, ts: str = "timestamp", *, gap_s: int = GAP_SECONDS,
-                    min_s: int = MIN_SECONDS) -> DataFrame:
-    """Top contexts per streak. Streaks come from all events, counts from those with a context."""
-    rows = events.select(ts, F.when(F.col("context") != "", F.col("context")).alias("context"))
-    return streak_frequencies(rows, ts, "context", gap_s=gap_s, min_s=min_s)
-
-
 def open_sessions(streaks: DataFrame, sessions: DataFrame, n: int = 50) -> DataFrame:
     """Up to five sessions open at the start of each of the ``n`` longest streaks."""
     longest = top(streaks, n, "-duration_seconds", "start_ts").select("start_ts")

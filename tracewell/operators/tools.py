@@ -82,8 +82,10 @@ def overview(events: DataFrame) -> DataFrame:
 def failure_patterns(events: DataFrame, *, as_of: int, days: int = 30, n: int = 20) -> DataFrame:
     """Failures per tool and day with one sample message (the smallest)."""
     failed = within_days(events, "timestamp", days, as_of=as_of).filter(F.col("success") == 0)
-    agg = failed.groupBy("tool_name", day_of("timestamp").alias("date")).agg(
-        _n().alias("failures"), F.coalesce(F.min("error_message"), F.lit("Unknown error")).alias("error"))
+    # A text minimum cannot be kept in a hash aggregate, so equal messages are counted first.
+    cells = failed.groupBy("tool_name", day_of("timestamp").alias("date"), "error_message").agg(_n().alias("_n"))
+    agg = cells.groupBy("tool_name", "date").agg(
+        F.sum("_n").alias("failures"), F.coalesce(F.min("error_message"), F.lit("Unknown error")).alias("error"))
     return top(agg, n, "-failures", "-date", "tool_name")
 
 

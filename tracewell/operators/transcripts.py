@@ -18,26 +18,29 @@ TOKENS_SAVED_PER_MESSAGE = 1500
 def fold_sessions(turns: DataFrame) -> DataFrame:
     """One row per session from its turns.
 
-    A single hash aggregate: every output has a bounded partial state (counts, a
-    set of at most 24 hours, one earliest text), so even a session that holds a
-    large part of all turns is combined on the map side.
+    A single aggregate in which every output has a bounded partial state (counts,
+    a 24-bit mask of hours, one text of 100 characters), so even a session that
+    holds a large part of all turns is combined on the map side. Texts are cut to
+    the title length before the aggregate, which keeps its rows narrow.
     """
     assistant, user = F.col("type") == "assistant", F.col("type") == "user"
     tier = tier_of("model", default=None)
-    long_enough = user & (F.length("text") > 3)
-    first_text = F.min_by(F.when(long_enough, F.substring("text", 1, 100)),
-                          F.when(long_enough, F.struct("turn")))
+    head = F.when(user & (F.length("text") > 3), F.substring("text", 1, 100))
+    rows = turns.select("session_id", "turn", "timestamp", "type", "model", "tools", "stop_reason", head.alias("_head"))
+    first_text = F.min_by("_head", F.when(F.col("_head").isNotNull(), F.struct("turn")))
     dated = F.col("timestamp").isNotNull()
-    folded = turns.groupBy("session_id").agg(
+    hour_bit = F.call_function("shiftleft", F.lit(1), hour_of("timestamp").cast("int"))
+    folded = rows.groupBy("session_id").agg(
         F.min_by(F.when(dated, day_of("timestamp")), F.when(dated, F.col("turn"))).alias("date"),
         F.count_if(user | assistant).alias("messages"),
         F.coalesce(F.sum(F.when(assistant, F.col("tools"))), F.lit(0)).alias("tools"),
-        F.sort_array(F.collect_set(hour_of("timestamp"))).alias("hours"),
+        F.coalesce(F.bit_or(hour_bit), F.lit(0)).alias("_mask"),
         *[F.count_if(assistant & (tier == m)).alias(m) for m in MODEL_TIERS],
         first_text.alias("_first"), F.coalesce(F.bool_or(assistant & (F.col("stop_reason") == "error")), F.lit(False))
         .alias("has_error"))
+    hours = F.filter(F.sequence(F.lit(0), F.lit(23)), lambda h: F.getbit("_mask", h) == 1).cast("array<bigint>")
     return folded.filter(F.col("date").isNotNull()).select(
-        "session_id", "date", "messages", "tools", "hours", *MODEL_TIERS,
+        "session_id", "date", "messages", "tools", hours.alias("hours"), *MODEL_TIERS,
         F.substring("_first", 1, 50).alias("title"), F.substring("_first", 1, 80).alias("intent"), "has_error")
 
 

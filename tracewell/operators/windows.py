@@ -79,55 +79,30 @@ def arg_max(df: DataFrame, by: str, take: Sequence[str], ties: Sequence[str], gr
     return best.select(*group, *[F.col(f"_b._v{i}").alias(c) for i, c in enumerate(take)])
 
 
-def _slices(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, seconds: int) -> DataFrame:
-    return df.select(*keys, F.floor(F.col(ts) / F.lit(seconds)).alias("_slice"), F.col(ts).alias("_ts"),
-                     F.col(tie).alias("_id"), F.col(value).alias("_v"))
-
-
 def consecutive_pairs(df: DataFrame, value: str, ts: str, tie: str, *, keys: Sequence[str] = (),
                       slice_seconds: int = SLICE_SECONDS, gap: bool = False) -> DataFrame:
     """(previous, next) of neighbouring events within a key, in time order.
 
-    Each key is cut into time slices. ``lag`` runs inside a slice; the pairs
-    that cross slices come from the first and last event of every slice, found
-    by a map-side combined aggregate. A key that owns a third of all events, or
-    no key at all (``keys=()``), therefore spreads over all tasks.
+    Each key is cut into time slices and ``lag`` runs inside a slice, so a key
+    that owns a third of all events, or no key at all (``keys=()``), spreads over
+    all tasks. The first and the last event of every slice, two rows per slice
+    however many events it holds, then give the pairs that cross slices. Both
+    parts read the same shuffle.
     """
-    rows = _slices(df, keys, ts, tie, value, slice_seconds)
-    inside = Window.partitionBy(*keys, "_slice").orderBy("_ts", "_id")
-    cols = [F.lag("_v").over(inside).alias("previous"), F.col("_v").alias("next"),
-            F.lag("_ts").over(inside).alias("_pts"), "_ts"]
-    within = rows.select(*keys, *cols).filter(F.col("_pts").isNotNull())
-
-    edge = F.struct("_ts", "_id", "_v")
-    edges = rows.groupBy(*keys, "_slice").agg(F.min(edge).alias("_first"), F.max(edge).alias("_last"))
-    if keys:
-        chain = Window.partitionBy(*keys).orderBy("_slice")
-        prev = F.lag("_last").over(chain)
-        across = edges.select(*keys, prev.alias("_p"), "_first")
-    else:
-        across = _unkeyed_lag(edges)
-    across = across.filter(F.col("_p").isNotNull()).select(
-        *keys, F.col("_p._v").alias("previous"), F.col("_first._v").alias("next"),
-        F.col("_p._ts").alias("_pts"), F.col("_first._ts").alias("_ts"))
+    rows = df.select(*keys, F.floor(F.col(ts) / F.lit(slice_seconds)).alias("_slice"), F.col(ts).alias("_ts"),
+                     F.col(tie).alias("_id"), F.col(value).alias("_v"))
+    w = Window.partitionBy(*keys, "_slice").orderBy("_ts", "_id")
+    seen = rows.withColumns({"_pv": F.lag("_v").over(w), "_pts": F.lag("_ts").over(w),
+                             "_nts": F.lead("_ts").over(w)})
+    within = seen.filter(F.col("_pts").isNotNull()).select(*keys, "_pv", "_v", "_pts", "_ts")
+    ends = seen.filter(F.col("_pts").isNull() | F.col("_nts").isNull()).select(*keys, "_slice", "_ts", "_id", "_v")
+    chain = Window.partitionBy(*keys).orderBy("_ts", "_id")
+    linked = ends.withColumns({"_pv": F.lag("_v").over(chain), "_pts": F.lag("_ts").over(chain),
+                               "_ps": F.lag("_slice").over(chain)})
+    across = linked.filter(F.col("_ps") != F.col("_slice")).select(*keys, "_pv", "_v", "_pts", "_ts")
     pairs = within.unionByName(across)
-    if gap:
-        pairs = pairs.withColumn("gap", F.col("_ts") - F.col("_pts"))
-    return pairs.drop("_pts", "_ts")
-
-
-def _unkeyed_lag(edges: DataFrame, group: int = 4096) -> DataFrame:
-    """Previous slice's last event for an unkeyed chain of slices.
-
-    The slices are chained in groups of ``group`` slices, and the groups among
-    themselves, so the last, single-task step sees a row per group only.
-    """
-    g = edges.withColumn("_group", F.floor(F.col("_slice") / F.lit(group)))
-    w = Window.partitionBy("_group").orderBy("_slice")
-    inner = g.select(F.lag("_last").over(w).alias("_p"), "_first")
-    ends = g.groupBy("_group").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
-    outer = ends.select(F.lag("_last").over(Window.orderBy("_group")).alias("_p"), "_first")
-    return inner.unionByName(outer)
+    out = [*keys, F.col("_pv").alias("previous"), F.col("_v").alias("next")]
+    return pairs.select(*out, *([(F.col("_ts") - F.col("_pts")).alias("gap")] if gap else []))
 
 
 def transitions(df: DataFrame, value: str, ts: str, tie: str, *, keys: Sequence[str] = (), top: int = 5,
@@ -175,31 +150,58 @@ def lag_latency(df: DataFrame, ts_ms: str, tie: str, *, keys: Sequence[str] = ()
     return pairs.filter((F.col("gap") > lo) & (F.col("gap") < hi)).select(*keys, F.col("gap").alias("latency_ms"))
 
 
-def rank_percentile(df: DataFrame, col: str, q: float) -> DataFrame:
-    """Exact element at index ``floor(q * n)`` of the sorted values.
+#: Distinct values that may be ordered in one task.
+MAX_ORDERED_VALUES = 1_000_000
+_BINS = 4096
+
 
-    Values are first counted per distinct value, with map-side combine. The
-    distinct values are then located through coarse bins: a running total over
-    at most 4096 bins finds the bin holding the rank, and only that bin's
-    distinct values are ordered.
+def rank_percentile(df: DataFrame, col: str, q: float, *, bounded: bool = False) -> DataFrame:
+    """Exact element at index ``floor(q * n)`` of the sorted values (no row when empty).
+
+    ``bounded`` says that the column has few distinct values (say, whole
+    milliseconds below a limit). They are counted with map-side combine and the
+    short frequency table is ordered.
+
+    Otherwise the rank is located by refining a histogram: each round is one
+    aggregate over at most 4096 bins, whose result narrows a literal range that
+    reaches the scan as a filter, until few enough values are left to order. Bins
+    with many equal values collapse in the count, so skew does not matter. The
+    rounds run when the operator is called.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    def one(agg: Column) -> Column:
-        return counts.agg(agg.alias("v")).scalar()
-
-    lo, hi, total = one(F.min("_v")), one(F.max("_v")), one(F.sum("_n"))
-    width = (hi - lo).cast("double") / 4096
-    binned = counts.withColumn("_bin", F.when(width > 0, F.floor((F.col("_v") - lo) / width)).otherwise(F.lit(0)))
-    target = F.least(F.floor(total * F.lit(q)), total - 1)
-    upto = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = binned.groupBy("_bin").agg(F.sum("_n").alias("_bn")).withColumn("_end", F.sum("_bn").over(upto))
-    hit = bins.filter((F.col("_end") > target) & (F.col("_end") - F.col("_bn") <= target)).select(
-        "_bin", (F.col("_end") - F.col("_bn")).alias("_before"))  # one row
-    inside = binned.join(F.broadcast(hit), "_bin")
-    upto_v = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.col("_before") + F.sum("_n").over(upto_v)
-    return inside.withColumn("_end", end).filter(
-        (F.col("_end") > target) & (F.col("_end") - F.col("_n") <= target)).select(F.col("_v").alias("value"))
+    values = df.filter(F.col(col).isNotNull()).select(F.col(col).alias("_v"))
+    before, rank = 0, None
+    if not bounded:
+        n, lo, hi = values.agg(F.count(F.lit(1)), F.min("_v"), F.max("_v")).first()
+        if not n:
+            return values.select(F.col("_v").alias("value"))
+        rank = min(int(n * q), n - 1)
+        size = n
+        while size > MAX_ORDERED_VALUES and lo < hi:
+            width = (float(hi) - float(lo)) / _BINS
+            bin_ = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(width)), F.lit(_BINS - 1))
+            inside = values.filter(F.col("_v").between(lo, hi))
+            # One row per non-empty bin, at most _BINS of them.
+            bins = inside.groupBy(bin_.alias("_b")).agg(
+                F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).orderBy("_b").collect()
+            for b in bins:
+                if before + b.n > rank:
+                    break
+                before += b.n
+            if b.n == size:
+                break
+            size, lo, hi = b.n, b.lo, b.hi
+        values = values.filter(F.col("_v").between(lo, hi))
+    counts = values.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy()
+    upto = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    if rank is None:
+        total = F.sum("_n").over(whole)
+        target = F.least(F.floor(total * F.lit(q)), total - 1)
+    else:
+        target = F.lit(rank - before)
+    located = counts.withColumns({"_end": F.sum("_n").over(upto), "_target": target})
+    return located.filter((F.col("_end") > F.col("_target")) & (F.col("_end") - F.col("_n") <= F.col("_target"))).select(
+        F.col("_v").alias("value"))
 
 
 def section_lines(lines: DataFrame, order: str, text: str, marker: str, today: str, fallback: int = 200) -> DataFrame:

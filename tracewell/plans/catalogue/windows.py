@@ -46,7 +46,8 @@ def freq(v):
 query("e97_streak_tools", lambda b: st.streak_frequencies(
     b.tool_events, "timestamp", "tool_name", gap_s=GAP, min_s=MIN),
       f"WITH {ISL}, {freq('tool_name')} SELECT * FROM fq WHERE rank <= 10")
-query("e97_streak_contexts", lambda b: st.streak_contexts(b.tool_events, gap_s=GAP, min_s=MIN),
+query("e97_streak_contexts", lambda b: st.streak_frequencies(
+    b.tool_events, "timestamp", "context", gap_s=GAP, min_s=MIN),
       f"WITH {ISL}, {freq('context')} SELECT * FROM fq WHERE rank <= 10")
 
 
@@ -135,9 +136,9 @@ query("f05_latency_first_100", lambda b: w.lag_latency(millis(b), "ms", "event_i
 query("f05_latency_all", lambda b: w.lag_latency(millis(b), "ms", "event_id", hi=5000), f"""
     WITH {LAT.format(cut='')} SELECT latency_ms FROM lt WHERE latency_ms > 0 AND latency_ms < 5000""")
 query("f06_p95_latency", lambda b: w.rank_percentile(
-    w.lag_latency(millis(b), "ms", "event_id", hi=10**9), "latency_ms", 0.95), f"""
+    w.lag_latency(millis(b), "ms", "event_id", hi=300_000), "latency_ms", 0.95, bounded=True), f"""
     WITH {LAT.format(cut='')}, k AS (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) - 1 AS rn,
-    count(*) OVER () AS n FROM lt WHERE latency_ms > 0 AND latency_ms < 1000000000)
+    count(*) OVER () AS n FROM lt WHERE latency_ms > 0 AND latency_ms < 300000)
     SELECT latency_ms AS value FROM k WHERE rn = least(CAST(floor(n * 0.95e0) AS BIGINT), n - 1)""")
 query("f06_p95_price", lambda b: w.rank_percentile(b.lineitem, "l_extendedprice", 0.95), """
     WITH k AS (SELECT l_extendedprice, row_number() OVER (ORDER BY l_extendedprice) - 1 AS rn, count(*) OVER () AS n
