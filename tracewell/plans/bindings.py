@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -368,13 +370,36 @@ def _columns(view: View) -> list[tuple[str, str]]:
 
 
 
+#: Event-time column of the base tables that have one.
+TIME_COLUMNS = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
+def read_base(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A base table; its schema is read from a file footer once per process."""
+    path = f"{root}/{name}.parquet"
+    schema = _SCHEMAS.get((root, name))
+    df = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+    _SCHEMAS[root, name] = df.schema
+    return df
+
+
 class Bindings:
-    """Lazy DataFrames for every base and canonical table under ``root``."""
+    """Lazy DataFrames for every base and canonical table under ``root``.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    ``after`` (epoch seconds) keeps only base rows at or after that instant. It is
+    a plain comparison on the stored time column, so it reaches the Parquet scan
+    and prunes row groups, which a filter on the derived epoch cannot do.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, after: int | None = None):
+        self.spark, self.root, self._after = spark, root, after
         self._cache: dict[str, DataFrame] = {}
 
+    def since(self, after: int) -> Bindings:
+        """The same tables, their time columns bounded below."""
+        return Bindings(self.spark, self.root, after)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in VIEWS and name not in BASE_TABLES):
             raise AttributeError(name)
@@ -382,21 +407,27 @@ class Bindings:
             self._cache[name] = self._build(name)
         return self._cache[name]
 
+    def _base(self, name: str) -> DataFrame:
+        df = read_base(self.spark, self.root, name)
+        if self._after is None or name not in TIME_COLUMNS:
+            return df
+        bound = datetime.fromtimestamp(self._after, timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        return df.filter(F.col(TIME_COLUMNS[name]) >= F.expr(f"TIMESTAMP_NTZ '{bound}'"))
+
     def _build(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+            return self._base(name)
         view = VIEWS[name]
         df = getattr(self, view.source)
         if view.join:
             other, cond, how = view.join
             left, right = cond.split(" = ")
             df = df.join(getattr(self, other), F.col(left) == F.col(right), how)
-        cols = [F.expr(_spark(e)).alias(n) for n, e in _columns(view)]
         if not view.group:
-            return df.select(*cols)
+            return df.selectExpr(*[f"{_spark(e)} AS {n}" for n, e in _columns(view)])
         keys = [F.expr(_spark(g)).alias(f"_g{i}") for i, g in enumerate(view.group)]
         grouped = {g: f"_g{i}" for i, g in enumerate(view.group)}
-        aggs = [c for c, (n, e) in zip(cols, _columns(view)) if e not in grouped]
+        aggs = [F.expr(_spark(e)).alias(n) for n, e in _columns(view) if e not in grouped]
         out = df.groupBy(*keys).agg(*aggs)
         return out.select(*[F.col(grouped[e]).alias(n) if e in grouped else F.col(n) for n, e in _columns(view)])
 

@@ -63,7 +63,7 @@ query("e63_t13_git_stats", lambda b: co.git_stats(b.git_events, as_of=GIT_NOW),
 query("e63_git_stats_all", lambda b: co.git_stats(b.git_events, as_of=GIT_NOW, last_n=None), f"{GITQ} git_events")
 query("e63_git_by_repo", lambda b: co.git_by_repo(b.git_events),
       f"WITH {G100} SELECT repo, count(*) AS n FROM g GROUP BY 1")
-query("e64_git_daily", lambda b: co.git_daily(b.git_events, as_of=GIT_NOW), f"""
+query("e64_git_daily", lambda b: co.git_daily(b.since(GIT_NOW - 30 * 86400).git_events, as_of=GIT_NOW), f"""
     SELECT {day('timestamp')} AS date, count(*) AS commits FROM git_events WHERE timestamp > {GIT_NOW - 30 * 86400}
     GROUP BY 1 ORDER BY 1 DESC LIMIT 30""")
 query("e64_top_authors", lambda b: co.top_authors(b.git_events), """
@@ -231,13 +231,13 @@ query("e81_error_total", lambda b: rc.error_total(b.error_log), "SELECT count(*)
 query("e81_first_errors", lambda b: rc.first_errors(b.error_log), """
     SELECT coalesce(nullif(type, ''), nullif(category, ''), 'unknown') AS type, substr(message, 1, 100) AS message, ts,
            coalesce(severity, 'unknown') AS severity FROM error_log ORDER BY ts, id LIMIT 10""")
-query("e82_activity_by_type", lambda b: rc.activity_by_type(b.activity_events, as_of=NOW), f"""
+query("e82_activity_by_type", lambda b: rc.activity_by_type(b.since(NOW - 7 * 86400).activity_events, as_of=NOW), f"""
     SELECT event_type, count(*) AS n FROM activity_events WHERE timestamp > {NOW - 7 * 86400} GROUP BY 1""")
 query("e82_activity_top_types", lambda b: rc.activity_top_types(b.activity_events), """
     SELECT event_type, count(*) AS n FROM activity_events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 query("e82_activity_last_days", lambda b: rc.activity_last_days(b.activity_events), f"""
     SELECT {day('timestamp')} AS date, count(*) AS n FROM activity_events GROUP BY 1 ORDER BY 1 DESC LIMIT 30""")
-query("e83_activity_hourly", lambda b: rc.activity_hourly(b.activity_events, as_of=NOW), f"""
+query("e83_activity_hourly", lambda b: rc.activity_hourly(b.since(NOW - 7 * 86400).activity_events, as_of=NOW), f"""
     SELECT strftime(make_timestamp(timestamp * 1000000), '%Y-%m-%d %H:00:00') AS hour, count(*) AS event_count
     FROM activity_events WHERE timestamp > {NOW - 7 * 86400} GROUP BY 1""")
 query("e84_watchdog_daily", lambda b: rc.log_daily(b.log_lines), f"""

@@ -85,10 +85,10 @@ query("c15_flagged_notes", lambda b: fl.flagged_notes(b.learnings, "src3", ("the
 query("a09_tail_scan", lambda b: o.latest(b.events_k.select("event_id", "timestamp", "k"), "timestamp", 1000, "event_id"),
       "SELECT event_id, timestamp, k FROM events_k ORDER BY timestamp DESC, event_id DESC LIMIT 1000")
 query("g01_activity_timeline", lambda b: o.latest(fl.within_days(
-    b.activity_events, "timestamp", 7, as_of=NOW), "timestamp", 100), f"""
+    b.since(NOW - 7 * 86400).activity_events, "timestamp", 7, as_of=NOW), "timestamp", 100), f"""
     SELECT * FROM activity_events WHERE timestamp > {NOW - 7 * 86400} ORDER BY timestamp DESC, id DESC LIMIT 100""")
 query("g01_session_outcomes", lambda b: o.top(fl.within_days(
-    b.session_outcome_events, "timestamp", 60, as_of=LINES_NOW), 50, "-timestamp", "-id", "-quality_score"), f"""
+    b.since(LINES_NOW - 60 * 86400).session_outcome_events, "timestamp", 60, as_of=LINES_NOW), 50, "-timestamp", "-id", "-quality_score"), f"""
     SELECT * FROM session_outcome_events WHERE timestamp > {LINES_NOW - 60 * 86400}
     ORDER BY timestamp DESC, id DESC, quality_score DESC LIMIT 50""")
 query("g02_top_sessions", lambda b: o.top(b.sessions.select("id", "message_count", "tool_count"), 20,

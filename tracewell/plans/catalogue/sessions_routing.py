@@ -53,10 +53,10 @@ query("e34_outcome_daily_dedupe", lambda b: s.outcome_daily(b.sessions, b.sessio
     FROM sessions LEFT JOIN o ON session_id = id GROUP BY 1""")
 query("e35_daily_success_rate", lambda b: s.daily_success_rate(s.outcome_daily(b.sessions, b.session_outcome_events)),
       f"SELECT date, {pct('success', 'sessions')} AS success_pct FROM ({DAILY})")
-query("e36_session_count", lambda b: s.session_count(b.session_outcome_events, as_of=LINES_NOW, days=60),
+query("e36_session_count", lambda b: s.session_count(b.since(L60).session_outcome_events, as_of=LINES_NOW, days=60),
       f"SELECT count(DISTINCT session_id) AS sessions FROM session_outcome_events WHERE timestamp > {L60}")
 query("e37_window_averages", lambda b: s.averages(
-    b.session_outcome_events, b.routing_events, as_of=LINES_NOW, days=60), f"""
+    b.since(L60).session_outcome_events, b.since(L60).routing_events, as_of=LINES_NOW, days=60), f"""
     SELECT 'quality_score' AS metric, {avg('quality_score', 1)} AS value FROM session_outcome_events
     WHERE timestamp > {L60}
     UNION ALL SELECT 'dq_score', {avg('dq_score')} FROM routing_events WHERE timestamp > {L60}
@@ -80,7 +80,8 @@ query("f14_longest_session", lambda b: s.longest(b.sessions), f"""
     SELECT substr(id, 1, 20) AS session_id, {day('started_at')} AS date, message_count FROM sessions
     ORDER BY message_count DESC, id LIMIT 1""")
 query("e13_dashboard_summary", lambda b: s.dashboard_summary(
-    b.tool_events, b.activity_events, b.routing_events, b.session_outcome_events, tools_as_of=EVENTS_NOW,
+    b.since(EVENTS_NOW - 7 * 86400).tool_events, b.since(EVENTS_NOW - 7 * 86400).activity_events,
+    b.since(L60).routing_events, b.since(L60).session_outcome_events, tools_as_of=EVENTS_NOW,
     lines_as_of=LINES_NOW, days=7, line_days=60), f"""
     WITH t AS (SELECT * FROM tool_events WHERE timestamp > {EVENTS_NOW - 7 * 86400}),
     a AS (SELECT * FROM activity_events WHERE timestamp > {EVENTS_NOW - 7 * 86400}),
@@ -163,7 +164,7 @@ query("c06_today_lookup", lambda b: fl.on_day(b.daily_stats, "date", "2001-10-01
     FROM daily_stats WHERE date = '2001-10-01'""")
 
 # ---- routing ---------------------------------------------------------------
-query("e40_routing_stats", lambda b: rt.stats(b.routing_decisions, as_of=LINES_NOW, days=60), f"""
+query("e40_routing_stats", lambda b: rt.stats(b.since(L60).routing_decisions, as_of=LINES_NOW, days=60), f"""
     SELECT count(*) AS total, {avg('dq_score')} AS avg_dq,
            {', '.join(f"{cif(f'selected_model = {chr(39)}{m}{chr(39)}')} AS {m}_count" for m in T)}
     FROM routing_decisions WHERE timestamp >= {L60}""")
@@ -226,17 +227,17 @@ query("e54_quality_by_model", lambda b: rt.mean_quality_by_model(b.session_outco
     (SELECT * FROM session_outcome_events ORDER BY timestamp DESC, id DESC, quality_score DESC LIMIT 500) GROUP BY 1""")
 EXP = f"FROM expertise_routing_events WHERE timestamp > {L365}"
 LEV = f"{r(avg('expertise_level'), 2)} AS avg_expertise, {r(avg('query_complexity'), 2)} AS avg_complexity"
-query("e49_expertise_heatmap", lambda b: rt.expertise_heatmap(b.expertise_routing_events, as_of=LINES_NOW, days=365),
+query("e49_expertise_heatmap", lambda b: rt.expertise_heatmap(b.since(L365).expertise_routing_events, as_of=LINES_NOW, days=365),
       f"SELECT domain, chosen_model AS model, count(*) AS n, {LEV} {EXP} GROUP BY 1, 2")
 query("e50_i16_expertise_summary", lambda b: rt.expertise_summary(
-    b.expertise_routing_events, as_of=LINES_NOW, days=365), f"""
+    b.since(L365).expertise_routing_events, as_of=LINES_NOW, days=365), f"""
     SELECT domain, count(*) AS total_queries, {LEV},
            string_agg(DISTINCT chosen_model, ',' ORDER BY chosen_model) AS models_used {EXP} GROUP BY 1""")
-query("e51_complexity_levels", lambda b: rt.complexity_levels(b.expertise_routing_events, as_of=LINES_NOW, days=365),
+query("e51_complexity_levels", lambda b: rt.complexity_levels(b.since(L365).expertise_routing_events, as_of=LINES_NOW, days=365),
       f"""SELECT CASE WHEN query_complexity < 0.3 THEN 'low' WHEN query_complexity < 0.6 THEN 'medium'
           WHEN query_complexity < 0.8 THEN 'high' ELSE 'extreme' END AS level, chosen_model AS model, count(*) AS n
           {EXP} GROUP BY 1, 2""")
-query("e52_expertise_totals", lambda b: rt.expertise_totals(b.expertise_routing_events, as_of=LINES_NOW, days=365),
+query("e52_expertise_totals", lambda b: rt.expertise_totals(b.since(L365).expertise_routing_events, as_of=LINES_NOW, days=365),
       f"SELECT count(*) AS total_events, count(DISTINCT domain) AS unique_domains, {LEV} {EXP}")
 query("e53_log_avg_dq", lambda b: rt.log_avg_dq(b.dq_log, as_of=EVENTS_NOW, days=30), f"""
     SELECT coalesce({avg('v')}, 0.75e0) AS avg_dq FROM
@@ -255,5 +256,5 @@ query("e102_collapse_other", lambda b: rt.collapse_other(b.sessions, "model", T)
     SELECT CASE WHEN model IN ('opus', 'sonnet', 'haiku') THEN model ELSE 'Other' END AS value, count(*) AS n
     FROM sessions WHERE model IS NOT NULL GROUP BY 1""")
 query("g01_recent_routing", lambda b: latest(
-    fl.within_days(b.routing_events, "timestamp", 60, as_of=LINES_NOW), "timestamp", 100), f"""
+    fl.within_days(b.since(L60).routing_events, "timestamp", 60, as_of=LINES_NOW), "timestamp", 100), f"""
     SELECT * FROM routing_events WHERE timestamp > {L60} ORDER BY timestamp DESC, id DESC, dq_score DESC LIMIT 100""")

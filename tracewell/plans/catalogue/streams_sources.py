@@ -32,7 +32,7 @@ query("a07_second_store", lambda b: b.crm_interactions.join(
     SELECT type, {isum('coalesce(n, 0)')} AS sessions FROM crm_interactions LEFT JOIN (SELECT
     CAST(substr(project_path, 5) AS BIGINT) AS cid, count(*) AS n FROM sessions GROUP BY 1) ON cid = contact_id
     GROUP BY 1""")
-query("a10_since", lambda b: inc.since(b.activity_events, "timestamp", HALF).groupBy("event_type").agg(
+query("a10_since", lambda b: inc.since(b.since(HALF).activity_events, "timestamp", HALF).groupBy("event_type").agg(
     F.count(F.lit(1)).alias("n")),
       f"SELECT event_type, count(*) AS n FROM activity_events WHERE timestamp > {HALF} GROUP BY 1")
 query("a11_new_rows", lambda b: inc.new_rows(

@@ -14,16 +14,16 @@ OK, BAD = cif("success = 1"), cif("success = 0")
 KINDS = ", ".join(f"{cif(f'tool_name = {chr(39)}{v}{chr(39)}')} AS {k}" for k, v in t.KINDS.items())
 SINCE = 1704067200 - 1   # the first plausible event is on 2024-01-01
 
-query("e14_tool_usage_summary", lambda b: t.usage_summary(b.tool_events, as_of=NOW, days=7), f"""
+query("e14_tool_usage_summary", lambda b: t.usage_summary(b.since(NOW - 7 * 86400).tool_events, as_of=NOW, days=7), f"""
     SELECT tool_name, count(*) AS total_calls, {OK} AS success_count, {BAD} AS failure_count,
            {avg('duration_ms')} AS avg_duration_ms, max(timestamp) AS last_used, {pct(OK, 'count(*)')} AS success_rate
     FROM tool_events WHERE {W7} GROUP BY tool_name""")
-query("e15_tool_success_rate", lambda b: t.success_rate(b.tool_events, as_of=NOW, days=7), f"""
+query("e15_tool_success_rate", lambda b: t.success_rate(b.since(NOW - 7 * 86400).tool_events, as_of=NOW, days=7), f"""
     SELECT tool_name, count(*) AS total, {pct(OK, 'count(*)')} AS success_rate FROM tool_events WHERE {W7}
     GROUP BY tool_name HAVING count(*) > 5 ORDER BY success_rate, tool_name LIMIT 10""")
-query("e16_tool_hourly", lambda b: t.hourly_calls(b.tool_events, as_of=NOW, days=7), f"""
+query("e16_tool_hourly", lambda b: t.hourly_calls(b.since(NOW - 7 * 86400).tool_events, as_of=NOW, days=7), f"""
     SELECT {hour('timestamp')} AS hour, count(*) AS calls FROM tool_events WHERE {W7} GROUP BY 1""")
-query("e17_tool_totals", lambda b: t.totals(b.tool_events, as_of=NOW, days=7), f"""
+query("e17_tool_totals", lambda b: t.totals(b.since(NOW - 7 * 86400).tool_events, as_of=NOW, days=7), f"""
     SELECT count(*) AS total_events, count(DISTINCT tool_name) AS unique_tools,
            {pct(OK, 'count(*)')} AS overall_success_rate, {r(avg('duration_ms'), 1)} AS avg_duration
     FROM tool_events WHERE {W7}""")
@@ -43,7 +43,7 @@ query("e20_tool_top", lambda b: t.calls_by_tool(b.tool_events, 20),
 query("e20_tool_overview", lambda b: t.overview(b.tool_events), f"""
     SELECT count(*) AS total, {BAD} AS failures, coalesce({pct(OK, 'count(*)')}, 1e2) AS success_rate
     FROM tool_events""")
-query("e21_failure_patterns", lambda b: t.failure_patterns(b.tool_events, as_of=NOW, days=30), f"""
+query("e21_failure_patterns", lambda b: t.failure_patterns(b.since(NOW - 30 * 86400).tool_events, as_of=NOW, days=30), f"""
     SELECT tool_name, {day('timestamp')} AS date, count(*) AS failures,
            coalesce(min(error_message), 'Unknown error') AS error
     FROM tool_events WHERE success = 0 AND {W30} GROUP BY 1, 2 ORDER BY failures DESC, date DESC, tool_name
@@ -93,7 +93,7 @@ query("l21_daily_productivity", lambda b: t.daily_productivity(t.daily_kinds(b.t
     SELECT {day('timestamp')} AS date, CAST({cif("tool_name IN ('Edit', 'Write')")} AS DOUBLE) /
            nullif({cif("tool_name IN ('Edit', 'Write', 'Read')")}, 0) AS score FROM tool_events GROUP BY 1""")
 query("c01_c03_tool_events_window", lambda b: latest(
-    where_equal(within_days(b.tool_events, "timestamp", 7, as_of=NOW), tool_name="Edit"), "timestamp", 100), f"""
+    where_equal(within_days(b.since(NOW - 7 * 86400).tool_events, "timestamp", 7, as_of=NOW), tool_name="Edit"), "timestamp", 100), f"""
     SELECT * FROM tool_events WHERE {W7} AND tool_name = 'Edit' ORDER BY timestamp DESC, id DESC LIMIT 100""")
 query("t14_weighted_success", lambda b: t.weighted_success(
     b.tool_events.groupBy("tool_name").agg(F.count_if(F.col("success") == 1).alias("success_count"),

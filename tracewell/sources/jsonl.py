@@ -52,7 +52,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, *, ke
 def read_document(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Whole-file JSON documents; no row when the file is missing or not JSON."""
     try:
-        docs = spark.read.option("wholetext", "true").text(path)
+        docs = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
