@@ -52,7 +52,7 @@ def nodes(p):
 
 
 @pytest.mark.parametrize("name", [
-    "f01_streaks", "f02_f03_transitions", "t21_transitions_global", "f06_p95_price", "f05_latency_all",
+    "f01_streaks", "f02_f03_transitions", "t21_transitions_global", "f05_latency_all",
     "e97_streak_tools", "f14_longest_session", "f16_section_lines", "d06_calendar_fill", "f10_cumulative_roi"])
 def test_single_partition_inputs_are_small(spark, name):
     """What goes through one task is a rollup or slice edges, not the 10,000 events."""

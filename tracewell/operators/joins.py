@@ -16,15 +16,23 @@ MAX_BROADCAST_POINTS = 10_000
 def attach_outcomes(sessions: DataFrame, outcomes: DataFrame, *, dedupe: bool = False) -> DataFrame:
     """Left join of sessions to their outcome events.
 
-    A session repeats once per event, as the panels expect. ``dedupe=True``
-    averages the events of a session first, so each session stays one row and
-    the shuffle carries one row per session instead of one per event.
+    A session repeats once per event, as the panels expect. The join is written
+    as an inner join plus the sessions without events: Spark can split a hot
+    session on either side of an inner join (adaptive skew join) and may broadcast
+    a small session side, neither of which a left join allows here.
+    ``dedupe=True`` averages the events of a session first, so each session stays
+    one row and the shuffle carries one row per session instead of one per event.
+    ``quality`` and ``complexity`` come from the events.
     """
+    sessions = sessions.drop("quality", "complexity")
     o = outcomes.select(
         F.col("session_id").alias("_sid"), F.col("quality_score").alias("quality"), "complexity")
     if dedupe:
         o = o.groupBy("_sid").agg(mean("quality").alias("quality"), mean("complexity").alias("complexity"))
-    return sessions.join(o, sessions["id"] == o["_sid"], "left").drop("_sid")
+        return sessions.join(o, F.col("id") == F.col("_sid"), "left").drop("_sid")
+    matched = sessions.join(o, F.col("id") == F.col("_sid")).drop("_sid")
+    bare = sessions.join(o.select("_sid").distinct(), F.col("id") == F.col("_sid"), "left_anti")
+    return matched.unionByName(bare, allowMissingColumns=True)
 
 
 def child_counts(parent: DataFrame, key: str, children: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:

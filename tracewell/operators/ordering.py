@@ -74,10 +74,11 @@ def head_of_each(parts: Sequence[DataFrame], ts: str, n: int, tie: str = "id") -
 
 
 def distinct_values(df: DataFrame, **cols: str | Column) -> DataFrame:
-    """Distinct values of several columns, one row per (field, value)."""
-    parts = [df.select(F.lit(name).alias("field"), (F.col(c) if isinstance(c, str) else c).cast("string").alias("value"))
-             for name, c in cols.items()]
-    return reduce(DataFrame.unionByName, [p.distinct() for p in parts])
+    """Distinct values of several columns in one scan, one row per (field, value)."""
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("field"), (F.col(c) if isinstance(c, str) else c).cast("string").alias("value"))
+        for name, c in cols.items()]))
+    return df.select(cells.alias("c")).select("c.*").filter(F.col("value").isNotNull()).distinct()
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:

@@ -63,8 +63,18 @@ def label_seconds(df: DataFrame, ts: str, *, gap_s: int = GAP_SECONDS, keys: Seq
     streak = Window.partitionBy(*keys, "_g")
     stitched = grouped.select(*keys, "_bucket", "_island", F.min("_s").over(streak).alias("_ss"),
                               F.max("_e").over(streak).alias("_ee"))
-    return bounded.join(stitched, [*keys, "_bucket", "_island"], "left").select(
-        *keys, "_ts", "_n", F.coalesce("_ss", "_s").alias("start_ts"), F.coalesce("_ee", "_e").alias("end_ts"))
+    # One row per key and bucket: the join then uses the partitioning the seconds already have.
+    first = F.col("_island") == 1
+    ends = stitched.groupBy(*keys, "_bucket").agg(
+        F.max(F.when(first, F.col("_ss"))).alias("_fs"), F.max(F.when(first, F.col("_ee"))).alias("_fe"),
+        F.max(F.when(~first, F.col("_ss"))).alias("_ls"), F.max(F.when(~first, F.col("_ee"))).alias("_le"))
+    at_end = F.col("_island") == F.col("_last")
+
+    def bound(head: str, tail: str, own: str) -> Column:
+        return F.when(first, F.col(head)).when(at_end, F.col(tail)).otherwise(F.col(own))
+
+    return bounded.join(ends, [*keys, "_bucket"]).select(
+        *keys, "_ts", "_n", bound("_fs", "_ls", "_s").alias("start_ts"), bound("_fe", "_le", "_e").alias("end_ts"))
 
 
 def streaks_of(labelled: DataFrame, *, min_s: int = MIN_SECONDS, keys: Sequence[str] = ()) -> DataFrame:

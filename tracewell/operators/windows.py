@@ -151,7 +151,7 @@ def lag_latency(df: DataFrame, ts_ms: str, tie: str, *, keys: Sequence[str] = ()
 
 
 #: Distinct values that may be ordered in one task.
-MAX_ORDERED_VALUES = 1_000_000
+MAX_ORDERED_VALUES = 100_000
 _BINS = 4096
 
 
@@ -240,8 +240,9 @@ def spread(daily: DataFrame, day: str, total: str, hours: DataFrame, hour: str,
 def first_value(df: DataFrame, key: str, text: str, order: Sequence[str], *, min_length: int = 4,
                 cuts: Mapping[str, int]) -> DataFrame:
     """First text longer than ``min_length - 1`` per key, cut to several lengths."""
-    usable = df.filter(F.length(text) >= min_length)
-    firsts = usable.groupBy(key).agg(F.min_by(text, F.struct(*order)).alias("_t"))
+    longest = max(cuts.values())   # no output is longer, so the aggregate carries no more
+    usable = df.filter(F.length(text) >= min_length).select(key, *order, F.substring(text, 1, longest).alias("_h"))
+    firsts = usable.groupBy(key).agg(F.min_by("_h", F.struct(*order)).alias("_t"))
     return firsts.select(key, *[F.substring("_t", 1, n).alias(a) for a, n in cuts.items()])
 
 

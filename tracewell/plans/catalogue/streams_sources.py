@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.exprs import day_of, hour_of
 from tracewell.operators.ordering import newest_per_key
-from tracewell.plans.registry import cif, day, hour, isum, query
+from tracewell.plans.registry import cif, day, hour, isum, query, r
 from tracewell.sinks import panels as pn
 from tracewell.sinks import snapshots as sn
 from tracewell.sources import incremental as inc
 from tracewell.sources.jsonl import parse_lines, split_bad
 from tracewell.sources.tables import parse_json_col
 from tracewell.streaming import export as ex
+from tracewell.store import live_snapshot
 from tracewell.streaming import live
 
 HALF = 1705276800   # 2024-01-15, splits the event log into stored and new rows
@@ -162,3 +163,21 @@ query("j08_active_sessions", lambda b: live.active_sessions(live.last_seen(b.too
                                                             24 * 60, as_of=1706659200), """
     SELECT count(*) AS active FROM (SELECT session_id, max(timestamp) AS l FROM tool_events GROUP BY 1)
     WHERE l > 1706659200 - 86400""")
+LIVE_AT = 1001894400   # 2001-10-01 00:00:00
+query("j01_live_snapshot", lambda b: live_snapshot(
+    b.daily_stats, b.sessions, b.activity_events, as_of=LIVE_AT, day="2001-10-01"), f"""
+    WITH t AS (SELECT {isum('opus_messages + sonnet_messages + haiku_messages')} AS m, {isum('session_count')} AS s,
+               {isum('tool_calls')} AS c, {r('sum(cost_estimate)', 2)} AS v FROM daily_stats),
+    d AS (SELECT coalesce(sum(opus_messages + sonnet_messages + haiku_messages), 0) AS m,
+          coalesce(sum(session_count), 0) AS s, coalesce(sum(tool_calls), 0) AS c FROM daily_stats
+          WHERE date = '2001-10-01'),
+    l AS (SELECT id, message_count, tool_count FROM sessions ORDER BY started_at DESC, id LIMIT 1),
+    a AS (SELECT {r(f'({LIVE_AT} - max(timestamp)) / 60e0', 1)} AS age FROM activity_events)
+    SELECT 'totals' AS section, '' AS key, 'total_messages' AS metric, CAST(m AS DOUBLE) AS value FROM t
+    UNION ALL SELECT 'totals', '', 'total_sessions', s FROM t UNION ALL SELECT 'totals', '', 'total_tools', c FROM t
+    UNION ALL SELECT 'totals', '', 'total_cost', v FROM t UNION ALL SELECT 'today', '', 'messages', m FROM d
+    UNION ALL SELECT 'today', '', 'sessions', s FROM d UNION ALL SELECT 'today', '', 'tools', c FROM d
+    UNION ALL SELECT 'sessions', '', 'active', count(*) FROM sessions WHERE ended_at IS NULL OR ended_at > {LIVE_AT - 300}
+    UNION ALL SELECT 'latest_session', id, 'message_count', message_count FROM l
+    UNION ALL SELECT 'latest_session', id, 'tool_count', tool_count FROM l
+    UNION ALL SELECT 'data_age', 'offline', 'age_minutes', age FROM a""")
