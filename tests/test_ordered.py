@@ -109,16 +109,15 @@ def test_percentile_of_nothing(spark):
 
 
 @pytest.mark.parametrize("limit", [None, 50])
-@pytest.mark.parametrize("bucket", [10, 86400])
-def test_interval_join(spark, limit, bucket):
-    rnd = random.Random(3)
+@pytest.mark.parametrize("seed", [3, 4])
+def test_interval_join(spark, limit, seed):
+    rnd = random.Random(seed)
     points = sorted({rnd.randrange(0, 500) for _ in range(30)})
     spans = [(i, a, None if i % 5 == 0 else a + rnd.randrange(0, 200)) for i, a in
              enumerate(rnd.randrange(0, 500) for _ in range(60))]
     p = spark.createDataFrame([(x,) for x in points], "at long")
     s = spark.createDataFrame(spans, "id long, s long, e long")
-    got = joins.interval_join(p, s, at="at", start="s", end="e", order=[F.col("id")], point_limit=limit,
-                              bucket_seconds=bucket)
+    got = joins.interval_join(p, s, at="at", start="s", end="e", order=[F.col("id")], point_limit=limit)
     want = sorted((t, i) for t in points for i in sorted(
         i for i, a, b in spans if a <= t and (b is None or b >= t))[:5])
     assert sorted((r["at"], r["id"]) for r in got.collect()) == want

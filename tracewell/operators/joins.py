@@ -84,37 +84,51 @@ def due_soon(interactions: DataFrame, contacts: DataFrame, days: int = 7, *, as_
         "name", "company", "follow_up", "follow_up_date", "type")
 
 
+def _first_k(df: DataFrame, per: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    """First ``k`` rows per group. Spark cuts to ``k`` in every task before the shuffle too."""
+    w = Window.partitionBy(*per).orderBy(*order)
+    ranked = df.withColumn("match_rank", F.row_number().over(w).cast("bigint"))
+    return ranked.filter(F.col("match_rank") <= k)
+
+
+#: Bounds and points lie below this; an open interval ends here.
+FAR_END = 1 << 40
+_TOP_LEVEL = 40
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, *, at: str, start: str, end: str,
-                  order: Sequence[Column], max_matches: int | None = 5, point_limit: int | None = None,
-                  bucket_seconds: int = 86400) -> DataFrame:
-    """Intervals ``[start, end]`` (open when ``end`` is NULL) that contain a point.
+                  order: Sequence[Column], max_matches: int = 5, point_limit: int | None = None) -> DataFrame:
+    """The first ``max_matches`` intervals ``[start, end]`` by ``order`` that contain each point.
+
+    Bounds are whole numbers and an ``end`` of NULL is open.
 
     ``point_limit`` states that ``points`` holds at most that many rows (it comes
     from a ``limit``). Up to :data:`MAX_BROADCAST_POINTS` the points are then
     broadcast and the intervals are streamed past them once, without a shuffle.
-    Otherwise both sides are cut into time buckets and joined on bucket
-    equality, then the exact bounds are checked. ``max_matches`` keeps the first
-    matches per point by ``order``; Spark applies that limit before the shuffle
-    too, so a hot point never gathers all its matches in one task.
+
+    Otherwise each interval is cut into aligned blocks of size 1, 2, 4, ..: at
+    most two per size, whatever its length. A block is a join key, and a point
+    lies in exactly one block of every interval that contains it. Only the first
+    ``max_matches`` intervals of a block can win at any of its points, so the rest
+    are cut before the join: the pairs of a crowded stretch are never formed.
     """
-    covers = (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(end) >= F.col(at)))
     if point_limit is not None and point_limit <= MAX_BROADCAST_POINTS:
-        out = intervals.join(F.broadcast(points), covers)
-    else:
-        # Intervals are clipped to the range of the points, which closes open ends.
-        lo = points.agg(F.min(at).alias("v")).scalar()
-        hi = points.agg(F.max(at).alias("v")).scalar()
-        slot = lambda c: F.floor(c / F.lit(bucket_seconds))
-        clipped = intervals.withColumns({"_lo": F.greatest(F.col(start), lo),
-                                         "_hi": F.least(F.coalesce(F.col(end), hi), hi)})
-        spread = clipped.filter(F.col("_lo") <= F.col("_hi")).withColumn(
-            "_slot", F.explode(F.sequence(slot(F.col("_lo")), slot(F.col("_hi"))))).drop("_lo", "_hi")
-        out = spread.join(points.withColumn("_slot", slot(F.col(at))), "_slot").filter(covers).drop("_slot")
-    if max_matches is None:
-        return out
-    w = Window.partitionBy(at).orderBy(*order)
-    return out.withColumn("match_rank", F.row_number().over(w).cast("bigint")).filter(
-        F.col("match_rank") <= max_matches)
+        covers = (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(end) >= F.col(at)))
+        return _first_k(intervals.join(F.broadcast(points), covers), [at], order, max_matches)
+    last = F.coalesce(F.col(end), F.lit(FAR_END))
+    cut = intervals.withColumns({"_a": F.col(start), "_b": last + 1}).filter(F.col("_a") < F.col("_b"))
+    # Block sizes that fit the length, and one more since log2 is inexact.
+    fitting = F.sequence(F.lit(0), F.floor(F.log2((F.col("_b") - F.col("_a")).cast("double"))).cast("int") + 1)
+    sized = cut.withColumn("_level", F.explode(fitting))
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_level"))
+    sized = sized.withColumns({"_l": F.ceil(F.col("_a") / size), "_r": F.floor(F.col("_b") / size)})
+    fits, odd = F.col("_l") < F.col("_r"), lambda c: F.pmod(F.col(c), F.lit(2)) == 1
+    ends = F.array_compact(F.array(F.when(fits & odd("_l"), F.col("_l")), F.when(fits & odd("_r"), F.col("_r") - 1)))
+    blocks = sized.withColumn("_block", F.explode(ends)).drop("_a", "_b", "_l", "_r")
+    blocks = _first_k(blocks, ["_level", "_block"], order, max_matches).drop("match_rank")
+    spots = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(_TOP_LEVEL)))).withColumn(
+        "_block", F.floor(F.col(at) / size))
+    return _first_k(spots.join(blocks, ["_level", "_block"]).drop("_level", "_block"), [at], order, max_matches)
 
 
 def calendar_fill(daily: DataFrame, day: str, measures: Sequence[str], *, start: str | None = None,

@@ -21,12 +21,12 @@ query("d01_attach_outcomes_dedupe", lambda b: j.attach_outcomes(
     SELECT s.id, s.outcome, q AS quality, c AS complexity FROM sessions s LEFT JOIN (SELECT session_id,
     {r('sum(quality_score)', 2)} / count(*) AS q, {r('sum(complexity)', 2)} / count(*) AS c
     FROM session_outcome_events GROUP BY 1) o ON o.session_id = s.id""")
-query("d05_interval_join_bucketed", lambda b: j.interval_join(
-    b.git_events.filter("repo = 'repo7'").select(F.col("timestamp").alias("at_ts")).distinct(),
+query("d05_interval_join", lambda b: j.interval_join(
+    b.git_events.select(F.col("timestamp").alias("at_ts")).distinct(),
     b.sessions.select("id", "started_at", "ended_at"), at="at_ts", start="started_at", end="ended_at",
     order=[F.col("started_at").desc(), F.col("id")]).select("at_ts", "id", "match_rank"), """
     SELECT at_ts, id, match_rank FROM (SELECT at_ts, id, row_number() OVER (PARTITION BY at_ts ORDER BY started_at DESC, id)
-    AS match_rank FROM (SELECT DISTINCT timestamp AS at_ts FROM git_events WHERE repo = 'repo7') JOIN sessions
+    AS match_rank FROM (SELECT DISTINCT timestamp AS at_ts FROM git_events) JOIN sessions
     ON started_at <= at_ts AND (ended_at IS NULL OR ended_at >= at_ts)) WHERE match_rank <= 5""")
 query("d06_calendar_fill", lambda b: j.calendar_fill(
     b.daily_stats.select("date", "session_count", "tool_calls"), "date", ["session_count", "tool_calls"],
