@@ -124,8 +124,8 @@ def autonomy_streaks(events: DataFrame, sessions: DataFrame | None = None, *, ts
     """The derived streak table: bounds, top projects, top tools, and, for the
     ``enrich`` longest streaks, up to five sessions open at the start.
 
-    Several outputs read the labelled seconds. ``materialize`` (for example
-    ``lambda d: d.checkpoint()``) computes them once in a long run.
+    Several outputs read the labelled seconds. ``materialize`` (see
+    :func:`tracewell.session.checkpointed`) computes them once.
     """
     labelled = label_seconds(events, ts, gap_s=gap_s)
     if materialize is not None:

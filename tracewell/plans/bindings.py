@@ -95,7 +95,7 @@ VIEWS: dict[str, View] = {
         cost: l_extendedprice
         message_count: CAST(l_quantity AS BIGINT)"""),
     "daily_stats": View("lineitem", f"""
-        date: SUBSTR(CAST(l_shipdate AS STRING), 1, 10)
+        date: CAST(CAST(l_shipdate AS DATE) AS STRING)
         {_tier_sums("messages", "1")}
         {_tier_sums("tokens_in", "l_quantity * 100")}
         {_tier_sums("tokens_out", "l_extendedprice")}
@@ -103,13 +103,13 @@ VIEWS: dict[str, View] = {
         session_count: CAST(SUM(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) AS BIGINT)
         tool_calls: CAST(SUM(l_linenumber) AS BIGINT)
         cost_estimate: FLOOR(SUM(l_extendedprice / 1e3) * 1e5 + 5e-1) / 1e5""",
-        group=("SUBSTR(CAST(l_shipdate AS STRING), 1, 10)",)),
+        group=("CAST(CAST(l_shipdate AS DATE) AS STRING)",)),
     "hourly_activity": View("events_k", """
-        date: SUBSTR(CAST(ts AS STRING), 1, 10)
-        hour: CAST(SUBSTR(CAST(ts AS STRING), 12, 2) AS BIGINT)
+        date: CAST(CAST(ts AS DATE) AS STRING)
+        hour: CAST(HOUR(ts) AS BIGINT)
         session_count: COUNT(DISTINCT user_id)
         message_count: COUNT(*)""",
-        group=("SUBSTR(CAST(ts AS STRING), 1, 10)", "CAST(SUBSTR(CAST(ts AS STRING), 12, 2) AS BIGINT)")),
+        group=("CAST(CAST(ts AS DATE) AS STRING)", "CAST(HOUR(ts) AS BIGINT)")),
     "routing_decisions": View("lineitem", f"""
         id: l_orderkey * 1000000 + l_partkey * 10 + l_linenumber
         timestamp: EPOCH(l_shipdate)
@@ -298,7 +298,7 @@ VIEWS: dict[str, View] = {
         lock_type: CASE WHEN o_orderstatus = 'F' THEN 'write' ELSE 'read' END"""),
     "packs": View("part", "id: p_partkey\ntype: LOWER(p_type)\nsize: p_size"),
     "pattern_log": View("events_k", f"""
-        date: SUBSTR(CAST(ts AS STRING), 1, 10)
+        date: CAST(CAST(ts AS DATE) AS STRING)
         pattern: {_choice("event_type", click="implementation", view="research", purchase="testing",
                           signup="review", error="debugging")}"""),
     "turns": View("conversations", """

@@ -8,6 +8,7 @@ from tracewell.operators import tools as t
 from tracewell.operators import windows as w
 from tracewell.plans.registry import EVENTS_NOW as NOW
 from tracewell.plans.registry import avg, cif, day, hour, isum, query, r
+from tracewell.session import checkpointed
 
 # Gaps in the event log are minutes, so queries join events up to 10 minutes apart.
 GAP, MIN = 600, 600
@@ -55,7 +56,7 @@ def table(b):
     """The derived streak table with its collections as text."""
     ends = b.sessions.withColumns({"started_at": F.col("started_at") + 757382400,
                                    "ended_at": F.col("ended_at") + 757382400})
-    s = st.autonomy_streaks(b.tool_events, ends, gap_s=GAP, min_s=MIN)
+    s = st.autonomy_streaks(b.tool_events, ends, gap_s=GAP, min_s=MIN, materialize=checkpointed)
     tools = F.transform(F.map_entries("top_tools"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
     return s.withColumns({"projects": F.array_join("projects", ","), "top_tools": F.array_join(tools, ","),
                           "session_ids": F.array_join("session_ids", ",")})
@@ -98,7 +99,8 @@ query("e98_autonomy_rate", lambda b: st.autonomy_rate(b.tool_events, streaks(b))
     SELECT *, {r('CAST(busy_seconds AS DOUBLE) / span_seconds * 100', 1)} AS autonomy_rate FROM x""")
 query("f12_i07_top_streaks", lambda b: st.top_streaks(streaks(b)), f"""
     WITH {ISL} SELECT row_number() OVER (ORDER BY duration_seconds DESC, start_ts) AS rank,
-    duration_seconds AS duration, (duration_seconds // 3600) || ':' || lpad(CAST(duration_seconds // 60 % 60 AS
+    duration_seconds AS duration, CASE WHEN duration_seconds // 86400 = 1 THEN '1 day, ' WHEN duration_seconds // 86400 > 1
+    THEN (duration_seconds // 86400) || ' days, ' ELSE '' END || (duration_seconds // 3600 % 24) || ':' || lpad(CAST(duration_seconds // 60 % 60 AS
     VARCHAR), 2, '0') || ':' || lpad(CAST(duration_seconds % 60 AS VARCHAR), 2, '0') AS duration_text,
     {day('start_ts')} AS date, strftime(make_timestamp(start_ts * 1000000), '%H:%M') AS time, tool_count,
     avg_gap_seconds AS avg_gap FROM sk ORDER BY duration_seconds DESC, start_ts LIMIT 10""")

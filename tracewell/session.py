@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution does the sizing: it merges small shuffle partitions, splits
 #: skewed ones and turns a join into a broadcast once the real size is known.
@@ -19,6 +19,16 @@ SETTINGS: dict[str, str] = {
 }
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once, when the session names a shared checkpoint folder.
+
+    The result is a file in that folder, so later readers neither recompute it
+    nor depend on the executors that made it. Without the setting ``df`` is
+    returned as it is.
+    """
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+
+
 def build_session(app: str, *, master: str | None = None, shuffle_partitions: int | None = None,
                   extra: Mapping[str, str] | None = None) -> SparkSession:
     """A session with :data:`SETTINGS`.

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import daily, filters, recovery, routing, sessions, streaks
 from tracewell.operators.ordering import top
 from tracewell.schemas import SCHEMAS
+from tracewell.session import checkpointed
 from tracewell.sinks import snapshots
 from tracewell.sinks.panels import append_rows
 from tracewell.sinks.snapshots import SnapshotTable
@@ -75,7 +76,8 @@ class TelemetryStore:
 
     def rebuild_streaks(self, *, gap_s: int = streaks.GAP_SECONDS, min_s: int = streaks.MIN_SECONDS) -> int:
         """Replace the whole derived streak table."""
-        new = streaks.autonomy_streaks(self.table("tool_events"), self.table("sessions"), gap_s=gap_s, min_s=min_s)
+        new = streaks.autonomy_streaks(self.table("tool_events"), self.table("sessions"), gap_s=gap_s, min_s=min_s,
+                                       materialize=checkpointed)
         return self._keyed["autonomy_streaks"].update(lambda _old: new)
 
     # ---- reads -----------------------------------------------------------
