@@ -78,10 +78,11 @@ def test_streak_table_lists(spark):
 
 
 @pytest.mark.parametrize("keys", [[], ["session_id"]])
-@pytest.mark.parametrize("width", [1, 700, 10**7])
-def test_pairs(spark, keys, width):
+@pytest.mark.parametrize("width,block", [(1, None), (700, None), (10**7, 50), (700, 7), (3600, 100_000)])
+def test_pairs(spark, keys, width, block):
     rows, df = skewed_events(spark, 900)
-    got = windows.consecutive_pairs(df, "tool_name", "timestamp", "id", keys=keys, slice_seconds=width)
+    got = windows.consecutive_pairs(df, "tool_name", "timestamp", "id", keys=keys, slice_seconds=width,
+                                    id_block=block)
     counts = {(r.previous, r.next): r["count"] for r in got.groupBy("previous", "next").count().collect()}
     want = {}
     for s in ({r[2] for r in rows} if keys else {None}):

@@ -8,6 +8,7 @@ key or an unkeyed stream never has to pass through one task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,28 +80,41 @@ def arg_max(df: DataFrame, by: str, take: Sequence[str], ties: Sequence[str], gr
     return best.select(*group, *[F.col(f"_b._v{i}").alias(c) for i, c in enumerate(take)])
 
 
+#: Most events of one key and instant that are ordered together.
+ID_BLOCK = 100_000
+
+
 def consecutive_pairs(df: DataFrame, value: str, ts: str, tie: str, *, keys: Sequence[str] = (),
-                      slice_seconds: int = SLICE_SECONDS, gap: bool = False) -> DataFrame:
+                      slice_seconds: int = SLICE_SECONDS, id_block: int | None = ID_BLOCK,
+                      gap: bool = False) -> DataFrame:
     """(previous, next) of neighbouring events within a key, in time order.
 
-    Each key is cut into time slices and ``lag`` runs inside a slice, so a key
-    that owns a third of all events, or no key at all (``keys=()``), spreads over
-    all tasks. The first and the last event of every slice, two rows per slice
-    however many events it holds, then give the pairs that cross slices. Both
-    parts read the same shuffle.
+    Each key is cut into slices and ``lag`` runs inside a slice; the first and
+    the last event of every slice, two rows however many events it holds, go on
+    to the next, coarser level. The levels are (instant, block of ids), then
+    ``slice_seconds``, then the key. No task orders more than ``id_block`` events
+    of one instant at the first level, so a key, an hour or a single instant that
+    owns a third of all events, or no key at all (``keys=()``), spreads out.
+    ``tie`` must be a whole number for that; ``id_block=None`` skips the first
+    level and saves a shuffle where hours are known to be moderate.
     """
-    rows = df.select(*keys, F.floor(F.col(ts) / F.lit(slice_seconds)).alias("_slice"), F.col(ts).alias("_ts"),
-                     F.col(tie).alias("_id"), F.col(value).alias("_v"))
-    w = Window.partitionBy(*keys, "_slice").orderBy("_ts", "_id")
-    seen = rows.withColumns({"_pv": F.lag("_v").over(w), "_pts": F.lag("_ts").over(w),
-                             "_nts": F.lead("_ts").over(w)})
-    within = seen.filter(F.col("_pts").isNotNull()).select(*keys, "_pv", "_v", "_pts", "_ts")
-    ends = seen.filter(F.col("_pts").isNull() | F.col("_nts").isNull()).select(*keys, "_slice", "_ts", "_id", "_v")
-    chain = Window.partitionBy(*keys).orderBy("_ts", "_id")
-    linked = ends.withColumns({"_pv": F.lag("_v").over(chain), "_pts": F.lag("_ts").over(chain),
-                               "_ps": F.lag("_slice").over(chain)})
-    across = linked.filter(F.col("_ps") != F.col("_slice")).select(*keys, "_pv", "_v", "_pts", "_ts")
-    pairs = within.unionByName(across)
+    rows = df.select(*keys, F.col(ts).alias("_ts"), F.col(tie).alias("_id"), F.col(value).alias("_v"),
+                     F.lit(True).alias("_head"))
+    hour = F.floor(F.col("_ts") / F.lit(slice_seconds))
+    levels = [[hour], []]
+    if id_block is not None:
+        levels.insert(0, [F.col("_ts"), F.floor(F.col("_id") / F.lit(id_block))])
+    parts = []
+    for level in levels:
+        w = Window.partitionBy(*keys, *level).orderBy("_ts", "_id")
+        seen = rows.withColumns({"_pv": F.lag("_v").over(w), "_pts": F.lag("_ts").over(w),
+                                 "_nts": F.lead("_ts").over(w)})
+        # A row that heads its slice still lacks its predecessor; any other row has met it.
+        found = seen.filter(F.col("_head") & F.col("_pts").isNotNull())
+        parts.append(found.select(*keys, "_pv", "_v", "_pts", "_ts"))
+        rows = seen.filter(F.col("_pts").isNull() | F.col("_nts").isNull()).select(
+            *keys, "_ts", "_id", "_v", (F.col("_head") & F.col("_pts").isNull()).alias("_head"))
+    pairs = reduce(DataFrame.unionByName, parts)
     out = [*keys, F.col("_pv").alias("previous"), F.col("_v").alias("next")]
     return pairs.select(*out, *([(F.col("_ts") - F.col("_pts")).alias("gap")] if gap else []))
 
