@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tracewell.functions import scoring
 from tracewell.functions.exprs import MODEL_TIERS, day_of, mean, minutes_between, pct, preview, rnd
 from tracewell.operators.filters import within_days
-from tracewell.operators.joins import attach_outcomes
 from tracewell.operators.ordering import top
 from tracewell.operators.windows import arg_max
 
@@ -120,10 +119,14 @@ def recent_with_outcomes(sessions: DataFrame, outcomes: DataFrame, n: int = 50)
     """The newest ``n`` joined rows, with fallback quality and complexity.
 
     The cut is on joined rows, so only the newest ``n`` sessions can appear. They
-    are cut first; the join then touches ``n`` sessions instead of all of them.
+    are cut first and, being at most ``n`` rows, broadcast to the events.
     """
-    newest = top(sessions.filter(F.col("started_at").isNotNull()), n, "-started_at", "id")
-    joined = attach_outcomes(newest, outcomes.select("session_id", "quality_score", "complexity"))
+    newest = top(sessions.filter(F.col("started_at").isNotNull()).drop("quality", "complexity"), n,
+                 "-started_at", "id")
+    events = outcomes.select(F.col("session_id").alias("_sid"), F.col("quality_score").alias("quality"), "complexity")
+    matched = events.join(F.broadcast(newest), F.col("_sid") == F.col("id")).drop("_sid")
+    bare = newest.join(matched.select("id").distinct(), "id", "left_anti")
+    joined = matched.unionByName(bare, allowMissingColumns=True)
     row = top(joined, n, "-started_at", "id", "quality", "complexity")
     return row.select(
         F.col("id").alias("session_id"), day_of("started_at").alias("date"),
