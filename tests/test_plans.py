@@ -4,12 +4,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401
+from tracewell.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.01"
 # Joins of the 50 longest streaks (a limit) against the sessions streamed past them.
 NESTED_LOOP_OK = {"b09_autonomy_streaks_table", "d05_open_sessions_at_streaks"}
-QUERIES = entry.queries()
 
 
 def plan(spark, name):
