@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontaminate, pii, quality_rules
+from tracewell.llm import bpe, decontaminate, pii, quality_rules, simhash
 from tracewell.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -34,6 +34,11 @@ def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            "base_failed", "kept", "covered", "dup_line_chars")])
 
 
+def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op7_benchmark_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = F.aggregate("leak.spans", F.lit(0).cast("bigint"), lambda n, s: n + s.last_word - s.first_word + 1)
@@ -50,7 +55,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_pii_transducers, op4_repetition_rules, op7_benchmark_automaton, op8_byte_bpe)}
+    op2_pii_transducers, op4_repetition_rules, op6_simhash_pivots, op7_benchmark_automaton, op8_byte_bpe)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
