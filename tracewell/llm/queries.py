@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontaminate, pii, quality_rules, simhash
+from tracewell.llm import bpe, decontaminate, exact_dedup, pii, quality_rules, simhash
 from tracewell.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -28,6 +28,11 @@ def op2_pii_transducers(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join(named(F.col("pii.spans")), ",").alias("spans"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
         "doc_id", *[f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -55,7 +60,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_pii_transducers, op4_repetition_rules, op6_simhash_pivots, op7_benchmark_automaton, op8_byte_bpe)}
+    op2_pii_transducers, op3_suffix_array_dedup, op4_repetition_rules, op6_simhash_pivots, op7_benchmark_automaton, op8_byte_bpe)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
