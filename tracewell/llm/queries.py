@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontaminate, exact_dedup, pii, quality_rules, simhash
+from tracewell.llm import bpe, classifier, decontaminate, exact_dedup, pii, quality_rules, simhash
 from tracewell.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -18,6 +18,10 @@ def hex_digest(parts: Column, sep: str) -> Column:
     return F.sha2(F.array_join(parts, sep), 256)
 
 
+def op1_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_pii_transducers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
     named = lambda spans: F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end))
@@ -60,7 +64,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_pii_transducers, op3_suffix_array_dedup, op4_repetition_rules, op6_simhash_pivots, op7_benchmark_automaton, op8_byte_bpe)}
+    op1_quality_trees, op2_pii_transducers, op3_suffix_array_dedup, op4_repetition_rules, op6_simhash_pivots, op7_benchmark_automaton, op8_byte_bpe)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
