@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, classifier, decontaminate, exact_dedup, pii, quality_rules, simhash
+from tracewell.llm import (bpe, chat, classifier, decontaminate, exact_dedup, licenses, pii, quality_rules, reputation,
+                           simhash)
 from tracewell.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -43,6 +44,11 @@ def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            "base_failed", "kept", "covered", "dup_line_chars")])
 
 
+def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.rotate(table(spark, sf_dir, "conversations"))
+    return rows.withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m.start, m.end)), ","))
+
+
 def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -63,8 +69,19 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("bpe.decoded", 256).alias("decoded_sha256"))
 
 
+def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files: a folder for each source, in it one for each language."""
+    files = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return licenses.scan(files, keep=("doc_id",))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_trees, op2_pii_transducers, op3_suffix_array_dedup, op4_repetition_rules, op6_simhash_pivots, op7_benchmark_automaton, op8_byte_bpe)}
+    op1_quality_trees, op2_pii_transducers, op3_suffix_array_dedup, op4_repetition_rules, op5_perspective_rotation,
+    op6_simhash_pivots, op7_benchmark_automaton, op8_byte_bpe, op9_host_reputation, op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_perspective_rotation": chat.SQL, "op9_host_reputation": reputation.SQL}
