@@ -54,8 +54,8 @@ def _correlation(children: DataFrame, n: str, k: str, up_n: str, up_k: str) -> f
 
     Terms are summed as decimals, so the sum does not depend on the partitioning.
     """
-    q = F.col(up_k) / F.col(up_n)
-    extra = F.pow(F.col(k) - F.col(n) * q, 2) / F.col(n) - q * (1 - q)
+    q = F.try_divide(F.col(up_k), F.col(up_n))
+    extra = F.try_divide(F.pow(F.col(k) - F.col(n) * q, F.lit(2)), F.col(n)) - q * (1 - q)
     room = (F.col(n) - 1) * q * (1 - q)
     over, under = (F.sum(c.cast("decimal(38,12)")).cast("double") for c in (extra, room))
     a, b = children.filter(F.col(n) > 0).agg(over, under).first()
