@@ -29,25 +29,33 @@ def rnd(c: Column | str, digits: int = 0) -> Column:
     """Round half up with plain double arithmetic.
 
     ``round`` works on the decimal text of a double, so its ties depend on the
-    engine; ``floor(x * 10^n + 0.5) / 10^n`` gives the same bits everywhere.
+    engine; ``floor(x * 10^n + 0.5) / 10^n`` gives the same bits everywhere. From
+    2^52 units on a double has no digits left to round, so it stays as it is.
     """
-    scale = F.lit(float(10**digits))
-    return F.floor(_c(c).cast("double") * scale + F.lit(0.5)) / scale
+    scale, x = F.lit(float(10**digits)), _c(c).cast("double")
+    return F.when(F.abs(x * scale) < F.lit(float(2**52)), F.floor(x * scale + F.lit(0.5)) / scale).otherwise(x)
 
 
-def mean(c: Column | str, digits: int = 2) -> Column:
-    """Average whose sum is first rounded to the data's own precision.
+#: Sums are exact down to twelve decimals; a value or sum of 10^26 or more is an error.
+EXACT = "decimal(38,12)"
 
-    A sum of doubles depends on the order of addition in its last bits, hence on
-    partitioning and retries. Rounding it to the grid of its inputs
-    (``digits`` decimals) makes the mean reproducible.
+
+def exact(c: Column | str) -> Column:
+    """The value as a decimal, for sums of sums."""
+    return _c(c).cast(EXACT)
+
+
+def exact_sum(c: Column | str) -> Column:
+    """Sum that does not depend on the order of addition, hence on partitioning and retries.
+
+    Doubles are added as decimals, which is exact, and turned back once at the end.
     """
-    c = _c(c)
-    return F.try_divide(rnd(F.sum(c), digits), F.count(c))
+    return F.sum(exact(c)).cast("double")
 
 
-def money_sum(c: Column | str, digits: int = 2) -> Column:
-    return rnd(F.sum(_c(c)), digits)
+def mean(c: Column | str) -> Column:
+    """Average over an exact sum; NULL without values. Nothing is rounded before the division."""
+    return F.try_divide(exact_sum(c), F.count(_c(c)))
 
 
 def pct(part: Column, total: Column, digits: int = 1) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.exprs import alias_of, datetime_of, day_of, mean, money_sum, nonblank, pct, preview, rnd
+from tracewell.functions.exprs import alias_of, datetime_of, day_of, exact_sum, mean, nonblank, pct, preview, rnd
 from tracewell.operators.filters import within_days
 from tracewell.operators.ordering import counter, tail, top
 
@@ -105,7 +105,7 @@ def agent_registry(agents: DataFrame) -> DataFrame:
 def agent_totals(agents: DataFrame) -> DataFrame:
     active = F.coalesce(F.col("state").isin("pending", "running"), F.lit(False))
     return agents.agg(_n().alias("total_agents"), F.count_if(active).alias("active"),
-                      F.coalesce(money_sum("cost_estimate"), F.lit(0.0)).alias("total_cost"))
+                      F.coalesce(exact_sum("cost_estimate"), F.lit(0.0)).alias("total_cost"))
 
 
 def lock_totals(locks: DataFrame) -> DataFrame:

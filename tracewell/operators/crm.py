@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.exprs import money_sum
+from tracewell.functions.exprs import exact_sum
 from tracewell.operators.joins import child_counts, lookup
 from tracewell.operators.ordering import DEAL_STAGES, counter, ordinal_top, top
 
@@ -20,7 +20,7 @@ def stats(contacts: DataFrame, deals: DataFrame, interactions: DataFrame, *, as_
     horizon = F.date_add(F.lit(as_of).cast("date"), days).cast("string")
     open_deal = ~F.col("stage").isin("won", "lost")
     d = deals.agg(F.count_if(open_deal).alias("active_deals"),
-                  F.coalesce(money_sum(F.when(open_deal, F.col("value"))), F.lit(0.0)).alias("pipeline_value"),
+                  F.coalesce(exact_sum(F.when(open_deal, F.col("value"))), F.lit(0.0)).alias("pipeline_value"),
                   F.count_if(F.col("stage") == "won").alias("won_deals"))
     i = interactions.agg(_n().alias("total_interactions"), F.count_if(
         F.col("follow_up").isNotNull() & (F.col("follow_up_date") <= horizon)).alias("follow_ups_due"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.exprs import MODEL_TIERS, money_sum, pct, rnd
+from tracewell.functions.exprs import MODEL_TIERS, exact_sum, pct, rnd
 from tracewell.functions.scoring import MONTHLY_RATE, PRICES, VIEW_PRICES, token_cost
 from tracewell.operators.windows import last_rows_sum
 
@@ -36,7 +36,7 @@ def totals(daily: DataFrame) -> DataFrame:
         z(_messages()).alias("total_messages"), z("session_count").alias("total_sessions"),
         z("tool_calls").alias("total_tools"),
         *[z(f"{m}_messages").alias(f"{m}_messages") for m in MODEL_TIERS],
-        F.coalesce(money_sum("cost_estimate"), F.lit(0.0)).alias("total_cost"))
+        F.coalesce(exact_sum("cost_estimate"), F.lit(0.0)).alias("total_cost"))
 
 
 def by_model_tokens(daily_long: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def view_token_totals(daily: DataFrame) -> DataFrame:
 
 def view_subscription(daily: DataFrame, *, as_of: str, rate: float = MONTHLY_RATE) -> DataFrame:
     t = daily.agg(F.sum(_messages()).alias("total_messages"), F.sum("session_count").alias("total_sessions"),
-                  money_sum("cost_estimate").alias("total_value"), F.min("date").alias("_first"))
+                  exact_sum("cost_estimate").alias("total_value"), F.min("date").alias("_first"))
     months = F.datediff(F.lit(as_of).cast("date"), F.col("_first").cast("date")) / F.lit(30.0)
     roi = F.col("total_value") / (F.greatest(F.lit(1.0), months) * rate)
     return t.select("total_messages", "total_sessions", "total_value", rnd(roi, 1).alias("roi_multiplier"))

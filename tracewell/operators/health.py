@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.exprs import age_label, count_if, day_of, fixed, mean, pct, rnd
+from tracewell.functions.exprs import age_label, count_if, day_of, exact_sum, fixed, mean, pct, rnd
 from tracewell.functions.scoring import freshness
 
 # Share of bad lines that raises a warning, and the smallest link table.
@@ -129,11 +129,10 @@ def issue_predictions(risky: DataFrame, growth: DataFrame, hour: int) -> DataFra
 
 def spend_baseline(costs: DataFrame, *, as_of: int, tz: str = "UTC", default: float = 200.0) -> DataFrame:
     """Mean daily spend (a default without data) and the spend of the day of ``as_of``."""
-    from tracewell.functions.exprs import money_sum
     today = day_of(F.lit(as_of), tz)
-    daily = costs.groupBy(day_of("ts", tz).alias("_d")).agg(money_sum("cost_usd").alias("_c"))
+    daily = costs.groupBy(day_of("ts", tz).alias("_d")).agg(exact_sum("cost_usd").alias("_c"))
     return daily.agg(F.coalesce(mean("_c"), F.lit(default)).alias("baseline"),
-                     F.coalesce(rnd(F.sum(F.when(F.col("_d") == today, F.col("_c"))), 2), F.lit(0.0)).alias("today"))
+                     F.coalesce(exact_sum(F.when(F.col("_d") == today, F.col("_c"))), F.lit(0.0)).alias("today"))
 
 
 def forecast_day(spend: DataFrame, *, hours_elapsed: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.exprs import (
-    MILLIS_CUTOFF, MODEL_TIERS, day_of, falsy, mean, pct, rnd)
+    MILLIS_CUTOFF, MODEL_TIERS, day_of, exact, falsy, mean, pct, rnd)
 from tracewell.functions.scoring import RELATIVE_COST, complexity_level
 from tracewell.operators.filters import within_days
 from tracewell.operators.joins import most_frequent
@@ -111,7 +111,7 @@ def accuracy_view(decisions: DataFrame) -> DataFrame:
 def mean_quality_by_model(outcomes: DataFrame, last_n: int | None = 500) -> DataFrame:
     from tracewell.operators.ordering import tail
     return tail(outcomes, "timestamp", last_n).groupBy(F.coalesce("model_used", F.lit("unknown")).alias("model")).agg(
-        mean(F.coalesce("quality_score", F.lit(3.0)), 1).alias("quality"))
+        mean(F.coalesce("quality_score", F.lit(3.0))).alias("quality"))
 
 
 # ---- expertise -------------------------------------------------------------
@@ -124,13 +124,13 @@ def _levels() -> list[Column]:
 def _domain_models(events: DataFrame) -> DataFrame:
     """Counts and sums per (domain, model): a few rows, built by a hash aggregate."""
     return events.groupBy("domain", "chosen_model").agg(
-        _n().alias("n"), F.sum("expertise_level").alias("e"), F.count("expertise_level").alias("en"),
-        F.sum("query_complexity").alias("c"), F.count("query_complexity").alias("cn"))
+        _n().alias("n"), F.sum(exact("expertise_level")).alias("e"), F.count("expertise_level").alias("en"),
+        F.sum(exact("query_complexity")).alias("c"), F.count("query_complexity").alias("cn"))
 
 
 def _folded_levels(digits: int) -> list[Column]:
-    return [rnd(F.try_divide(rnd(F.sum("e"), 2), F.sum("en")), digits).alias("avg_expertise"),
-            rnd(F.try_divide(rnd(F.sum("c"), 2), F.sum("cn")), digits).alias("avg_complexity")]
+    return [rnd(F.try_divide(F.sum("e").cast("double"), F.sum("en")), digits).alias("avg_expertise"),
+            rnd(F.try_divide(F.sum("c").cast("double"), F.sum("cn")), digits).alias("avg_complexity")]
 
 
 def expertise_domains(events: DataFrame) -> DataFrame:

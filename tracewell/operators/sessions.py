@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import scoring
-from tracewell.functions.exprs import MODEL_TIERS, day_of, mean, minutes_between, pct, preview, rnd
+from tracewell.functions.exprs import MODEL_TIERS, day_of, exact, exact_sum, mean, minutes_between, pct, preview, rnd
 from tracewell.operators.filters import within_days
 from tracewell.operators.ordering import top
 from tracewell.operators.windows import arg_max
@@ -38,7 +38,7 @@ def outcome_totals(sessions: DataFrame) -> DataFrame:
     return sessions.filter(F.col("started_at").isNotNull()).agg(
         _n().alias("total"), *[_is(o).alias(o) for o in OUTCOMES],
         F.count_if(~F.col("outcome").isin(*OUTCOMES)).alias("other"),
-        F.coalesce(rnd(mean("message_count", 0), 1), F.lit(0.0)).alias("avg_messages"),
+        F.coalesce(rnd(mean("message_count"), 1), F.lit(0.0)).alias("avg_messages"),
         z("message_count").alias("total_messages"), z("tool_count").alias("total_tools"),
         F.count_if(F.col("message_count") == 0).alias("empty"),
         F.count_if(F.col("message_count") > 100).alias("marathon"))
@@ -71,7 +71,7 @@ def outcome_daily(sessions: DataFrame, outcomes: DataFrame, *, dedupe: bool = Fa
     which equals the joined rows without ever forming them.
     """
     per = outcomes.groupBy(F.col("session_id").alias("_sid")).agg(
-        _n().alias("_k"), F.sum("quality_score").alias("_q"), F.count("quality_score").alias("_qn"))
+        _n().alias("_k"), F.sum(exact("quality_score")).alias("_q"), F.count("quality_score").alias("_qn"))
     s = sessions.filter(F.col("started_at").isNotNull())
     joined = s.join(per, s["id"] == per["_sid"], "left")
     weight = F.lit(1) if dedupe else F.coalesce("_k", F.lit(1))
@@ -83,7 +83,7 @@ def outcome_daily(sessions: DataFrame, outcomes: DataFrame, *, dedupe: bool = Fa
         F.sum(weight).alias("sessions"), tally(F.col("outcome") == "success").alias("success"),
         tally(F.col("outcome") == "abandoned").alias("abandoned"),
         F.coalesce(F.sum(F.col("message_count") * weight), F.lit(0)).alias("messages"),
-        F.coalesce(F.try_divide(rnd(F.sum("_q"), 1), F.sum("_qn")), F.lit(0.0)).alias("avg_quality"),
+        F.coalesce(F.try_divide(F.sum("_q").cast("double"), F.sum("_qn")), F.lit(0.0)).alias("avg_quality"),
         *[tally(F.col("model") == m).alias(m) for m in MODEL_TIERS]).orderBy("date")
 
 
@@ -99,9 +99,9 @@ def session_count(outcomes: DataFrame, *, as_of: int, days: int = 7) -> DataFram
 
 def averages(outcomes: DataFrame, routing: DataFrame, *, as_of: int, days: int = 7) -> DataFrame:
     """Mean quality, DQ and complexity in the window, as (metric, value); NULL when empty."""
-    o = within_days(outcomes, "timestamp", days, as_of=as_of).agg(mean("quality_score", 1).alias("value"))
+    o = within_days(outcomes, "timestamp", days, as_of=as_of).agg(mean("quality_score").alias("value"))
     r = within_days(routing, "timestamp", days, as_of=as_of).agg(
-        mean("dq_score", 2).alias("d"), mean("complexity", 2).alias("c"))
+        mean("dq_score").alias("d"), mean("complexity").alias("c"))
     cells = F.explode(F.array(F.struct(F.lit("dq_score").alias("metric"), F.col("d").alias("value")),
                               F.struct(F.lit("complexity").alias("metric"), F.col("c").alias("value"))))
     return o.select(F.lit("quality_score").alias("metric"), "value").unionByName(
@@ -151,8 +151,8 @@ def dashboard_summary(tools: DataFrame, activity: DataFrame, routing: DataFrame,
         _n().alias("total_decisions"), mean("dq_score").alias("avg_dq_score"),
         mean("complexity").alias("avg_complexity"))
     s = within_days(outcomes, "timestamp", ld, as_of=lines_as_of).agg(
-        F.count_distinct("session_id").alias("total_sessions"), mean("quality_score", 1).alias("avg_quality"),
-        mean("message_count", 0).alias("avg_messages"))
+        F.count_distinct("session_id").alias("total_sessions"), mean("quality_score").alias("avg_quality"),
+        mean("message_count").alias("avg_messages"))
     return metric_rows({"tool_stats": t, "activity_stats": a, "routing_stats": r, "session_stats": s}, {})
 
 
@@ -178,7 +178,7 @@ def hourly_success(outcomes: DataFrame, hour: Column) -> DataFrame:
     """Runs, successes and quality sum per hour (a missing quality counts 3)."""
     return outcomes.groupBy(hour.alias("hour")).agg(
         _n().alias("total"), _is("success").alias("success"),
-        rnd(F.sum(F.coalesce("quality_score", F.lit(3.0))), 1).alias("quality_sum"))
+        exact_sum(F.coalesce("quality_score", F.lit(3.0))).alias("quality_sum"))
 
 
 def optimal_hours(hourly: DataFrame, *, min_samples: int = 3, n: int = 5) -> DataFrame:

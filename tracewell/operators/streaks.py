@@ -172,7 +172,7 @@ def streak_stats(streaks: DataFrame) -> DataFrame:
     return streaks.agg(
         F.count(F.lit(1)).alias("total_streaks"), z("duration_seconds").alias("total_seconds"),
         z("tool_count").alias("total_tool_calls"),
-        F.coalesce(rnd(mean("duration_seconds", 0), 0), F.lit(0.0)).alias("avg_duration"),
+        F.coalesce(rnd(mean("duration_seconds"), 0), F.lit(0.0)).alias("avg_duration"),
         F.coalesce(rnd(mean("avg_gap_seconds"), 2), F.lit(0.0)).alias("avg_gap"))
 
 

@@ -123,7 +123,7 @@ def category_mix(events: DataFrame) -> DataFrame:
 def unweighted_success(events: DataFrame) -> DataFrame:
     """Mean of the per-tool rates, each tool counting once; 100 without tools."""
     rates = events.groupBy("tool_name").agg(pct(_ok(), _n()).alias("r"))
-    return rates.agg(F.coalesce(mean("r", 1), F.lit(100.0)).alias("success_rate"))
+    return rates.agg(F.coalesce(mean("r"), F.lit(100.0)).alias("success_rate"))
 
 
 def per_active_day(daily: DataFrame, col: str) -> DataFrame:

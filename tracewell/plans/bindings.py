@@ -89,7 +89,7 @@ VIEWS: dict[str, View] = {
         timestamp: EPOCH(l_shipdate)
         session_id: CAST(l_orderkey AS STRING)
         outcome: CASE WHEN l_linestatus = 'F' THEN 'success' WHEN l_returnflag = 'R' THEN 'error' ELSE 'partial' END
-        quality_score: 1 + 40 * l_discount
+        quality_score: 1 + 40 * l_discount + l_linenumber / 1e4
         complexity: l_quantity / 50
         model_used: {_MODEL}
         cost: l_extendedprice
@@ -117,7 +117,7 @@ VIEWS: dict[str, View] = {
         query_preview: 'part ' || CAST(l_partkey AS STRING)
         complexity: l_quantity / 50
         selected_model: {_MODEL}
-        dq_score: 10 * l_discount
+        dq_score: CASE WHEN l_discount = 0 THEN 0e0 ELSE 10 * l_discount - l_linenumber / 1e4 END
         dq_validity: CASE WHEN l_linenumber > 1 THEN 10 * l_tax END
         dq_specificity: 1 - 10 * l_discount
         dq_correctness: l_quantity / 100

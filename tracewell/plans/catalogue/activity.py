@@ -10,7 +10,7 @@ from tracewell.operators import recovery as rc
 from tracewell.operators.joins import due_soon
 from tracewell.plans.registry import EVENTS_DAY as TODAY
 from tracewell.plans.registry import EVENTS_NOW as NOW
-from tracewell.plans.registry import LINES_NOW, avg, cif, day, fixed, hour, isum, pct, query, r
+from tracewell.plans.registry import LINES_NOW, avg, cif, day, dsum, fixed, hour, isum, pct, query, r
 from tracewell.sources.logs import WATCHDOG_PATTERNS, parse_log
 
 CMD = """CASE WHEN lower(command) IN ('co', 'opus') THEN 'opus' WHEN lower(command) IN ('cc', 'sonnet') THEN 'sonnet'
@@ -49,7 +49,7 @@ query("e61_agent_registry", lambda b: co.agent_registry(b.agents), """
     UNION ALL SELECT 'model', coalesce(model, 'unknown'), count(*) FROM agents GROUP BY 2""")
 query("e61_agent_totals", lambda b: co.agent_totals(b.agents), f"""
     SELECT count(*) AS total_agents, {cif("state IN ('pending', 'running')")} AS active,
-           {r('sum(cost_estimate)', 2)} AS total_cost FROM agents""")
+           {dsum('cost_estimate')} AS total_cost FROM agents""")
 query("e62_lock_totals", lambda b: co.lock_totals(b.locks), f"""
     SELECT count(*) AS total_locks, {cif("lock_type = 'read'")} AS read_locks,
            count(*) - {cif("lock_type = 'read'")} AS write_locks, count(DISTINCT path) AS files_locked,
@@ -78,7 +78,7 @@ query("e65_most_changed_files", lambda b: co.most_changed(b.file_changes), """
 query("e66_crm_stats", lambda b: crm.stats(b.crm_contacts, b.crm_deals, b.crm_interactions, as_of=TODAY), f"""
     SELECT 'total_contacts' AS metric, CAST(count(*) AS DOUBLE) AS value FROM crm_contacts
     UNION ALL SELECT 'active_deals', count(*) FROM crm_deals WHERE stage NOT IN ('won', 'lost')
-    UNION ALL SELECT 'pipeline_value', {r('sum(value)', 2)} FROM crm_deals WHERE stage NOT IN ('won', 'lost')
+    UNION ALL SELECT 'pipeline_value', {dsum('value')} FROM crm_deals WHERE stage NOT IN ('won', 'lost')
     UNION ALL SELECT 'won_deals', count(*) FROM crm_deals WHERE stage = 'won'
     UNION ALL SELECT 'total_interactions', count(*) FROM crm_interactions
     UNION ALL SELECT 'follow_ups_due', count(*) FROM crm_interactions

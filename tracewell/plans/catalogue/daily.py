@@ -6,7 +6,7 @@ from tracewell.functions.exprs import day_of
 from tracewell.operators import daily as d
 from tracewell.operators import health
 from tracewell.operators import transcripts as tr
-from tracewell.plans.registry import EVENTS_NOW, LINES_DAY, avg, day, isum, pct, query, r
+from tracewell.plans.registry import EVENTS_NOW, LINES_DAY, avg, day, dbl, dec, dsum, isum, pct, query, r
 
 T = ("opus", "sonnet", "haiku")
 X = ("messages", "tokens_in", "tokens_out", "cache_read")
@@ -31,7 +31,7 @@ SUMS = "sums AS (SELECT " + ", ".join(f"{isum(f'{m}_{x}')} AS {m}_{x}" for m in
 query("e01_totals", lambda b: d.totals(b.daily_stats), f"""
     SELECT {isum(MSGS)} AS total_messages, {isum('session_count')} AS total_sessions, {isum('tool_calls')} AS total_tools,
            {', '.join(f"{isum(f'{m}_messages')} AS {m}_messages" for m in T)},
-           {r('sum(cost_estimate)', 2)} AS total_cost FROM daily_stats""")
+           {dsum('cost_estimate')} AS total_cost FROM daily_stats""")
 LONG = " UNION ALL ".join(
     f"SELECT date, '{m}' AS model, " + ", ".join(f"{m}_{x} AS {x}" for x in X) + " FROM daily_stats" for m in T)
 query("e02_tokens_by_model", lambda b: d.by_model_tokens(b.daily_long), f"""
@@ -51,7 +51,7 @@ query("e07_stats_bundle", lambda b: d.metric_rows(
     {"model_usage": "model", "hour_counts": "hour", "longest_session": "session_id"}), f"""
     WITH t AS (SELECT {isum(MSGS)} AS total_messages, {isum('session_count')} AS total_sessions,
                {isum('tool_calls')} AS total_tools, {', '.join(f"{isum(f'{m}_messages')} AS {m}_messages" for m in T)},
-               {r('sum(cost_estimate)', 2)} AS total_cost FROM daily_stats),
+               {dsum('cost_estimate')} AS total_cost FROM daily_stats),
     m AS (SELECT model, {', '.join(f'{isum(x)} AS {x}' for x in X)} FROM ({LONG}) GROUP BY model),
     h AS (SELECT hour, {isum('session_count + message_count')} AS total FROM hourly_activity GROUP BY hour),
     l AS (SELECT substr(id, 1, 20) AS sid, message_count FROM sessions ORDER BY message_count DESC, id LIMIT 1)
@@ -126,7 +126,7 @@ query("e92_view_token_totals", lambda b: d.view_token_totals(b.daily_stats), f""
     SELECT c AS total_cache_read, i AS total_input, {pct('c', '(c + i + o)')} AS cache_efficiency FROM t""")
 query("e92_view_subscription", lambda b: d.view_subscription(b.daily_stats, as_of=LINES_DAY), f"""
     WITH t AS (SELECT {isum(MSGS)} AS total_messages, {isum('session_count')} AS total_sessions,
-               {r('sum(cost_estimate)', 2)} AS total_value, min(date) AS f FROM daily_stats)
+               {dsum('cost_estimate')} AS total_value, min(date) AS f FROM daily_stats)
     SELECT total_messages, total_sessions, total_value,
            {r("total_value / (greatest(1e0, date_diff('day', CAST(f AS DATE), DATE '2001-11-01') / 30e0) * 200e0)", 1)}
            AS roi_multiplier FROM t""")
@@ -250,5 +250,5 @@ query("d08_preserve_quality", lambda b: tr.keep_quality(
     FROM ss LEFT JOIN st USING (session_id)""")
 query("e93_spend_baseline", lambda b: health.spend_baseline(
     b.cost_tracking, as_of=EVENTS_NOW - 3600), f"""
-    WITH c AS (SELECT {day('ts')} AS d, {r('sum(cost_usd)', 2)} AS c FROM cost_tracking GROUP BY 1)
-    SELECT {avg('c')} AS baseline, coalesce({r("sum(c) FILTER (WHERE d = '2024-01-30')", 2)}, 0e0) AS today FROM c""")
+    WITH c AS (SELECT {day('ts')} AS d, {dsum('cost_usd')} AS c FROM cost_tracking GROUP BY 1)
+    SELECT {avg('c')} AS baseline, coalesce({dbl(f"sum({dec('c')}) FILTER (WHERE d = '2024-01-30')")}, 0e0) AS today FROM c""")

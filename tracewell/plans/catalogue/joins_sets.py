@@ -9,7 +9,7 @@ from tracewell.operators import joins as j
 from tracewell.operators import ordering as o
 from tracewell.operators import tools as t
 from tracewell.plans.registry import EVENTS_NOW as NOW
-from tracewell.plans.registry import LINES_NOW, cif, day, hour, isum, pct, query, r
+from tracewell.plans.registry import LINES_NOW, avg, cif, day, hour, isum, pct, query, r
 
 query("d01_attach_outcomes", lambda b: j.attach_outcomes(
     b.sessions.select("id", "outcome", "message_count"),
@@ -19,7 +19,7 @@ query("d01_attach_outcomes", lambda b: j.attach_outcomes(
 query("d01_attach_outcomes_dedupe", lambda b: j.attach_outcomes(
     b.sessions.select("id", "outcome"), b.session_outcome_events, dedupe=True), f"""
     SELECT s.id, s.outcome, q AS quality, c AS complexity FROM sessions s LEFT JOIN (SELECT session_id,
-    {r('sum(quality_score)', 2)} / count(*) AS q, {r('sum(complexity)', 2)} / count(*) AS c
+    {avg('quality_score')} AS q, {avg('complexity')} AS c
     FROM session_outcome_events GROUP BY 1) o ON o.session_id = s.id""")
 query("d05_interval_join", lambda b: j.interval_join(
     b.git_events.select(F.col("timestamp").alias("at_ts")).distinct(),

@@ -9,7 +9,7 @@ from tracewell.operators import sessions as s
 from tracewell.operators.windows import current_rank
 from tracewell.plans.catalogue.sessions_routing import OH, OUT_H, out, with_hours
 from tracewell.plans.registry import EVENTS_NOW as NOW
-from tracewell.plans.registry import avg, day, hour, query, r
+from tracewell.plans.registry import avg, day, dbl, dec, dsum, hour, query, r
 
 # The invented prose holds none of the signal words, so the probe column adds one by source.
 _PROBE = """CASE source WHEN 'src1' THEN 'Design it. ' WHEN 'src2' THEN 'quick FIX ' WHEN 'src3' THEN 'explain '
@@ -31,8 +31,8 @@ query("l08_complexity_tier", lambda b: b.documents.select(
     m AS (SELECT *, CASE WHEN complexity >= 0.7 THEN 'opus' WHEN complexity >= 0.4 THEN 'sonnet' ELSE 'haiku' END AS model,
           CASE WHEN complexity >= 0.7 THEN 0.85e0 WHEN complexity >= 0.4 THEN 0.8e0 ELSE 0.75e0 END AS cf FROM c)
     SELECT doc_id, complexity, model, {r('least(cf + 0.1e0, 0.95e0)', 2)} AS confidence, cf AS confidence_off_peak FROM m""")
-SPEND = f"""cd AS (SELECT {day('ts')} AS d, {r('sum(cost_usd)', 2)} AS c FROM cost_tracking GROUP BY 1),
-    sp AS (SELECT {avg('c')} AS baseline, coalesce({r("sum(c) FILTER (WHERE d = '2024-01-30')", 2)}, 0e0) AS today
+SPEND = f"""cd AS (SELECT {day('ts')} AS d, {dsum('cost_usd')} AS c FROM cost_tracking GROUP BY 1),
+    sp AS (SELECT {avg('c')} AS baseline, coalesce({dbl(f"sum({dec('c')}) FILTER (WHERE d = '2024-01-30')")}, 0e0) AS today
            FROM cd),
     pp AS (SELECT *, {r('today + today / 18e0 * 6e0', 2)} AS predicted FROM sp),
     fd AS (SELECT today, predicted, baseline, CASE WHEN predicted > baseline * 1.5e0 THEN 'warning' ELSE 'ok' END

@@ -8,7 +8,7 @@ from tracewell.operators import routing as rt
 from tracewell.operators import sessions as s
 from tracewell.operators.ordering import latest
 from tracewell.operators.windows import current_rank
-from tracewell.plans.registry import EVENTS_NOW, LINES_NOW, avg, cif, day, hour, isum, pct, query, r
+from tracewell.plans.registry import EVENTS_NOW, LINES_NOW, avg, cif, day, dbl, dec, dsum, hour, isum, pct, query, r
 
 L60 = LINES_NOW - 60 * 86400
 L365 = LINES_NOW - 365 * 86400
@@ -24,7 +24,7 @@ query("e29_outcome_counts", lambda b: s.outcome_counts(b.sessions),
 query("e30_outcome_totals", lambda b: s.outcome_totals(b.sessions), f"""
     SELECT count(*) AS total, {out('success')} AS success, {out('abandoned')} AS abandoned, {out('partial')} AS partial,
            {out('error')} AS error, {cif("outcome NOT IN ('success', 'abandoned', 'partial', 'error')")} AS other,
-           {r(avg('message_count', 0), 1)} AS avg_messages, {isum('message_count')} AS total_messages,
+           {r(avg('message_count'), 1)} AS avg_messages, {isum('message_count')} AS total_messages,
            {isum('tool_count')} AS total_tools, {cif('message_count = 0')} AS empty,
            {cif('message_count > 100')} AS marathon FROM sessions""")
 query("e31_quality_histogram", lambda b: s.quality_hist(b.session_outcome_events), """
@@ -41,14 +41,14 @@ query("e33_size_buckets", lambda b: s.size_buckets(b.sessions), """
 DAILY = f"""
     SELECT {day('started_at')} AS date, count(*) AS sessions, {out('success').replace('outcome', 's.outcome')} AS success,
            {out('abandoned').replace('outcome', 's.outcome')} AS abandoned, {isum('s.message_count')} AS messages,
-           coalesce({avg('o.quality_score', 1)}, 0e0) AS avg_quality, {', '.join(f"{cif(f'model = {chr(39)}{m}{chr(39)}')} AS {m}" for m in T)}
+           coalesce({avg('o.quality_score')}, 0e0) AS avg_quality, {', '.join(f"{cif(f'model = {chr(39)}{m}{chr(39)}')} AS {m}" for m in T)}
     FROM sessions s LEFT JOIN session_outcome_events o ON o.session_id = s.id GROUP BY 1"""
 query("e34_t01_outcome_daily", lambda b: s.outcome_daily(b.sessions, b.session_outcome_events), DAILY)
 query("e34_outcome_daily_dedupe", lambda b: s.outcome_daily(b.sessions, b.session_outcome_events, dedupe=True), f"""
-    WITH o AS (SELECT session_id, sum(quality_score) AS q, count(*) AS k FROM session_outcome_events GROUP BY 1)
+    WITH o AS (SELECT session_id, sum({dec('quality_score')}) AS q, count(*) AS k FROM session_outcome_events GROUP BY 1)
     SELECT {day('started_at')} AS date, count(*) AS sessions, {out('success')} AS success,
            {out('abandoned')} AS abandoned, {isum('message_count')} AS messages,
-           coalesce({r('sum(q)', 1)} / sum(k), 0e0) AS avg_quality,
+           coalesce({dbl('sum(q)')} / sum(k), 0e0) AS avg_quality,
            {', '.join(f"{cif(f'model = {chr(39)}{m}{chr(39)}')} AS {m}" for m in T)}
     FROM sessions LEFT JOIN o ON session_id = id GROUP BY 1""")
 query("e35_daily_success_rate", lambda b: s.daily_success_rate(s.outcome_daily(b.sessions, b.session_outcome_events)),
@@ -57,7 +57,7 @@ query("e36_session_count", lambda b: s.session_count(b.since(L60).session_outcom
       f"SELECT count(DISTINCT session_id) AS sessions FROM session_outcome_events WHERE timestamp > {L60}")
 query("e37_window_averages", lambda b: s.averages(
     b.since(L60).session_outcome_events, b.since(L60).routing_events, as_of=LINES_NOW, days=60), f"""
-    SELECT 'quality_score' AS metric, {avg('quality_score', 1)} AS value FROM session_outcome_events
+    SELECT 'quality_score' AS metric, {avg('quality_score')} AS value FROM session_outcome_events
     WHERE timestamp > {L60}
     UNION ALL SELECT 'dq_score', {avg('dq_score')} FROM routing_events WHERE timestamp > {L60}
     UNION ALL SELECT 'complexity', {avg('complexity')} FROM routing_events WHERE timestamp > {L60}""")
@@ -97,8 +97,8 @@ query("e13_dashboard_summary", lambda b: s.dashboard_summary(
     UNION ALL SELECT 'routing_stats', '', 'avg_dq_score', {avg('dq_score')} FROM ro
     UNION ALL SELECT 'routing_stats', '', 'avg_complexity', {avg('complexity')} FROM ro
     UNION ALL SELECT 'session_stats', '', 'total_sessions', count(DISTINCT session_id) FROM so
-    UNION ALL SELECT 'session_stats', '', 'avg_quality', {avg('quality_score', 1)} FROM so
-    UNION ALL SELECT 'session_stats', '', 'avg_messages', {avg('message_count', 0)} FROM so""")
+    UNION ALL SELECT 'session_stats', '', 'avg_quality', {avg('quality_score')} FROM so
+    UNION ALL SELECT 'session_stats', '', 'avg_messages', {avg('message_count')} FROM so""")
 query("e101_legacy_model_outcomes", lambda b: s.legacy_model_outcomes(b.sessions.select("outcome", F.create_map(
     F.col("model"), F.col("message_count"), F.concat(F.lit("aux-"), F.col("model")), F.col("tool_count"))
     .alias("models_used"))), f"""
@@ -120,7 +120,7 @@ query("e94_success_patterns", lambda b: s.success_by(with_hours(b), F.col("hr"))
     UNION ALL SELECT 'complexity', CASE WHEN coalesce(complexity, 0.5e0) > 0.6 THEN 'high' ELSE 'low' END,
     {out('success')}, count(*) FROM oh GROUP BY 2""")
 HS = f"""{OUT_H}, hs AS (SELECT hr AS hour, count(*) AS total, {out('success')} AS success,
-         {r('sum(coalesce(quality_score, 3e0))', 1)} AS quality_sum FROM oh GROUP BY 1)"""
+         {dsum('coalesce(quality_score, 3e0)')} AS quality_sum FROM oh GROUP BY 1)"""
 query("e95_hourly_success", lambda b: s.hourly_success(with_hours(b), F.col("hr")), f"WITH {HS} SELECT * FROM hs")
 OH = f"""{HS}, opt AS (SELECT hour, {r('CAST(success AS DOUBLE) / total * 0.6e0 + quality_sum / total / 5 * 0.4e0', 6)}
          AS score, CAST(success AS DOUBLE) / total AS success_rate, quality_sum / total AS avg_quality,
@@ -223,7 +223,7 @@ query("e48_routing_accuracy_view", lambda b: rt.accuracy_view(b.routing_decision
            {cif('success = 0')} AS failures, {r(avg('dq_score'), 3)} AS avg_dq_score,
            {pct(cif('success = 1'), 'count(success)')} AS accuracy_pct FROM routing_decisions GROUP BY 1""")
 query("e54_quality_by_model", lambda b: rt.mean_quality_by_model(b.session_outcome_events, 500), f"""
-    SELECT coalesce(model_used, 'unknown') AS model, {avg('quality_score', 1)} AS quality FROM
+    SELECT coalesce(model_used, 'unknown') AS model, {avg('quality_score')} AS quality FROM
     (SELECT * FROM session_outcome_events ORDER BY timestamp DESC, id DESC, quality_score DESC LIMIT 500) GROUP BY 1""")
 EXP = f"FROM expertise_routing_events WHERE timestamp > {L365}"
 LEV = f"{r(avg('expertise_level'), 2)} AS avg_expertise, {r(avg('query_complexity'), 2)} AS avg_complexity"

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.exprs import day_of, hour_of
 from tracewell.operators.ordering import newest_per_key
-from tracewell.plans.registry import cif, day, hour, isum, query, r
+from tracewell.plans.registry import cif, day, dsum, hour, isum, query, r
 from tracewell.sinks import panels as pn
 from tracewell.sinks import snapshots as sn
 from tracewell.sources import incremental as inc
@@ -167,7 +167,7 @@ LIVE_AT = 1001894400   # 2001-10-01 00:00:00
 query("j01_live_snapshot", lambda b: live_snapshot(
     b.daily_stats, b.sessions, b.activity_events, as_of=LIVE_AT, day="2001-10-01"), f"""
     WITH t AS (SELECT {isum('opus_messages + sonnet_messages + haiku_messages')} AS m, {isum('session_count')} AS s,
-               {isum('tool_calls')} AS c, {r('sum(cost_estimate)', 2)} AS v FROM daily_stats),
+               {isum('tool_calls')} AS c, {dsum('cost_estimate')} AS v FROM daily_stats),
     d AS (SELECT coalesce(sum(opus_messages + sonnet_messages + haiku_messages), 0) AS m,
           coalesce(sum(session_count), 0) AS s, coalesce(sum(tool_calls), 0) AS c FROM daily_stats
           WHERE date = '2001-10-01'),

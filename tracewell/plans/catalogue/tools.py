@@ -66,7 +66,7 @@ query("e24_tool_category_mix", lambda b: t.category_mix(b.tool_events), f"""
           FROM (VALUES ('core'), ('search'), ('advanced')) v(x))
     SELECT category, calls, {pct('calls', '(SELECT count(*) FROM c)')} AS pct FROM n""")
 query("e25_unweighted_success", lambda b: t.unweighted_success(b.tool_events), f"""
-    SELECT {avg('rt', 1)} AS success_rate FROM
+    SELECT {avg('rt')} AS success_rate FROM
     (SELECT {pct(OK, 'count(*)')} AS rt FROM tool_events GROUP BY tool_name)""")
 query("e26_calls_per_active_day", lambda b: t.per_active_day(
     t.daily_kinds(b.tool_events, since=SINCE, end="2024-02-02"), "total"), f"""

@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from tracewell.functions.exprs import day_of, rnd
+from tracewell.functions.exprs import day_of, exact_sum, rnd
 from tracewell.operators import streaks as st
 from tracewell.operators import tools as t
 from tracewell.operators import windows as w
 from tracewell.plans.registry import EVENTS_NOW as NOW
-from tracewell.plans.registry import avg, cif, day, hour, isum, query, r
+from tracewell.plans.registry import avg, cif, day, dsum, hour, isum, query, r
 from tracewell.session import checkpointed
 
 # Gaps in the event log are minutes, so queries join events up to 10 minutes apart.
@@ -82,7 +82,7 @@ query("d05_open_sessions_at_streaks", lambda b: st.open_sessions(streaks(b), b.s
       f"WITH {ISL}, {HITS} SELECT start_ts, session_id, match_rank FROM hs WHERE match_rank <= 5")
 query("e96_streak_stats", lambda b: st.streak_stats(streaks(b)), f"""
     WITH {ISL} SELECT count(*) AS total_streaks, {isum('duration_seconds')} AS total_seconds,
-    {isum('tool_count')} AS total_tool_calls, {r(avg('duration_seconds', 0))} AS avg_duration,
+    {isum('tool_count')} AS total_tool_calls, {r(avg('duration_seconds'))} AS avg_duration,
     {r(avg('avg_gap_seconds'), 2)} AS avg_gap FROM sk""")
 query("e96_streak_daily", lambda b: st.streak_daily(streaks(b), as_of=NOW), f"""
     WITH {ISL} SELECT {day('start_ts')} AS date, max(duration_seconds) AS longest, count(*) AS streaks,
@@ -172,9 +172,9 @@ query("f08_volume_strict_7", lambda b: w.trailing_mean(
     WITH {DAILY} SELECT date, CASE WHEN count(*) OVER f >= 7 THEN {r('CAST(sum(n) OVER f AS DOUBLE) / 7', 6)} END
     AS trailing FROM dl WINDOW f AS (ORDER BY date ROWS 6 PRECEDING)""")
 query("f08_flow_trailing_10", lambda b: w.trailing_mean(
-    b.flow_history.groupBy(day_of("timestamp").alias("date")).agg(rnd(F.sum("score"), 2).alias("score")), "date",
+    b.flow_history.groupBy(day_of("timestamp").alias("date")).agg(exact_sum("score").alias("score")), "date",
     "score", 10).select("date", rnd("trailing", 4).alias("trailing")), f"""
-    WITH d AS (SELECT {day('timestamp')} AS date, {r('sum(score)', 2)} AS score FROM flow_history GROUP BY 1)
+    WITH d AS (SELECT {day('timestamp')} AS date, {dsum('score')} AS score FROM flow_history GROUP BY 1)
     SELECT date, {r('sum(score) OVER f / count(score) OVER f', 4)} AS trailing FROM d
     WINDOW f AS (ORDER BY date ROWS 9 PRECEDING)""")
 query("f09_last_rows_calls", lambda b: w.last_rows_sum(daily_volume(b), "date", "total", (1, 7, 30)).select(

@@ -44,8 +44,22 @@ def r(expr: str, digits: int = 0) -> str:
     return f"(floor(CAST({expr} AS DOUBLE) * 1e{digits} + 5e-1) / 1e{digits})"
 
 
-def avg(expr: str, digits: int = 2) -> str:
-    return f"({r(f'sum({expr})', digits)} / nullif(count({expr}), 0))"
+def dec(expr: str) -> str:
+    """The shortest decimal text of a double, as an exact number."""
+    return f"CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,12))"
+
+
+def dbl(expr: str) -> str:
+    return f"CAST(CAST({expr} AS VARCHAR) AS DOUBLE)"
+
+
+def dsum(expr: str) -> str:
+    """Exact sum; nothing is rounded."""
+    return dbl(f"sum({dec(expr)})")
+
+
+def avg(expr: str) -> str:
+    return f"({dsum(expr)} / nullif(count({expr}), 0))"
 
 
 def pct(part: str, total: str, digits: int = 1) -> str:
