@@ -88,3 +88,13 @@ def test_window_advice(spark):
 def test_freshness_and_levels(spark):
     rows = [(-1.0,), (0.0,), (60.0,), (61.0,), (1441.0,)]
     assert values(spark, "x double", rows, sc.freshness("x")) == ["offline", "fresh", "fresh", "stale", "offline"]
+
+
+def test_exact_sums(spark):
+    df = spark.createDataFrame([(0.654,), (0.0041,), (None,), (1e17,), (-1e17,)], "v double")
+    assert df.agg(e.mean("v")).first()[0] == 0.6581 / 4
+    assert df.limit(2).agg(e.rnd(e.mean("v"), 3)).first()[0] == 0.329
+    assert spark.createDataFrame([(1e17,), (3e17,)], "v double").agg(e.rnd(e.mean("v"), 2)).first()[0] == 2e17
+    assert df.filter("v > 1e20").agg(e.mean("v"), e.exact_sum("v")).first() == (None, None)
+    with pytest.raises(Exception, match="(?i)numeric|overflow|cannot be represented"):
+        spark.createDataFrame([(1e30,)], "v double").agg(e.exact_sum("v")).first()

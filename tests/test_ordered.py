@@ -124,6 +124,29 @@ def test_interval_join(spark, limit, seed):
     assert sorted((r["at"], r["id"]) for r in got.collect()) == want
 
 
+def test_interval_join_is_the_same_both_ways(spark):
+    """Milliseconds, negative instants, open ends, far bounds, nulls, empty intervals."""
+    ms, far = 1_770_000_000_000, 1 << 62
+    points = [0, -1, -7, 5, ms, ms + 1, ms + 99, far, -far, 12345678901234567, None]
+    spans = [(1, ms, None), (2, -8, -1), (3, 0, ms + 1), (4, -far, far - 1), (5, ms + 50, ms + 40), (6, None, 9), (7, 5, 5),
+             (8, -far, None), (9, 12345678901234566, 12345678901234568), (10, far, far)]
+    p = spark.createDataFrame([(x,) for x in points], "at long")
+    s = spark.createDataFrame(spans, "id long, s long, e long")
+    run = lambda limit: sorted((r["at"], r["id"]) for r in joins.interval_join(
+        p, s, at="at", start="s", end="e", order=[F.col("id")], point_limit=limit).collect())
+    want = sorted((t, i) for t in points if t is not None for i in sorted(
+        i for i, a, b in spans if a is not None and a <= t and (b is None or b >= t))[:5])
+    inside = lambda rows: [x for x in rows if abs(x[0]) < far]
+    assert inside(run(None)) == inside(want) and inside(run(20)) == inside(want)
+    from pyspark.errors import PySparkException
+    for limit in (None, 20):
+        bad = s.union(spark.createDataFrame([(11, -far - 1, 0)], s.schema))
+        with pytest.raises(PySparkException):
+            joins.interval_join(p, bad, at="at", start="s", end="e", order=[F.col("id")], point_limit=limit).collect()
+    with pytest.raises(PySparkException):
+        run(3)
+
+
 def test_calendar_fill(spark):
     df = spark.createDataFrame([("2024-02-28", 3), ("2024-03-02", 4)], "d string, n long")
     got = [(r.d, r.n) for r in joins.calendar_fill(df, "d", ["n"]).orderBy("d").collect()]

@@ -178,3 +178,43 @@ def test_panels_and_changes(spark, store, tmp_path):
     panels.append_jsonl(store["hourly_activity"], f"{tmp_path}/log")
     panels.append_jsonl(store["hourly_activity"], f"{tmp_path}/log")
     assert spark.read.json(f"{tmp_path}/log").count() == 6
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
+    schema = "k string, n long"
+    from pyspark.sql.types import StructType
+    one, two = (snapshots.SnapshotTable(spark, f"{tmp_path}/t", StructType.fromDDL(schema)) for _ in range(2))
+    row = lambda k: spark.createDataFrame([(k, 1)], schema)
+    late = []
+
+    def slow(old):
+        if not late:        # the other writer commits first
+            late.append(two.update(lambda o: o.unionByName(row("b"))))
+        return old.unionByName(row("a"))
+
+    assert one.update(slow) == 2 and late == [1]
+    assert sorted(r.k for r in one.read().collect()) == ["a", "b"]
+
+
+def test_log_is_compacted_and_old_versions_go(spark, tmp_path, monkeypatch):
+    from pyspark.sql.types import StructType
+    monkeypatch.setattr(snapshots, "COMPACT", 3)
+    table = snapshots.SnapshotTable(spark, f"{tmp_path}/t", StructType.fromDDL("n long"))
+    add = lambda old: old.unionByName(spark.range(1).select(F.col("id").alias("n")))
+    for k in range(7):
+        table.update(add, f"b{k}")
+    assert table.update(add, "b0") == 7 and table.read().count() == 7 and table.read_before("b2").count() == 2
+    assert table.retire(keep=2) == 5 and table.read().count() == 7 and table.update(add, "b1") == 7
+
+
+def test_ambiguous_batches_are_refused(spark):
+    from pyspark.errors import PySparkException
+    old = spark.createDataFrame([(1, "a", 0)], "id long, v string, n long")
+    twice = spark.createDataFrame([(2, "x", 1), (2, "y", 2), (1, "z", 3), (1, "z", 3)], "id long, v string, seq long")
+    got = snapshots.upsert_replace(old, twice, ["id"], ["seq"]).collect()
+    assert sorted((r.id, r.v, r.n) for r in got) == [(1, "z", None), (2, "y", None)]
+    with pytest.raises(PySparkException):
+        snapshots.upsert_replace(old, twice, ["id"]).collect()
+    d = spark.createDataFrame([(1, 5, "h", None)], "id long, timestamp long, query_hash string, success long")
+    with pytest.raises(PySparkException):
+        snapshots.rate_latest(d, spark.createDataFrame([("h", 1), ("h", 0)], "query_hash string, verdict long")).collect()

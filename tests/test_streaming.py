@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import streaks, tools
 from tracewell.plans.bindings import Bindings
+from tracewell.schemas import SCHEMAS
 from tracewell.sinks.snapshots import SnapshotTable
 from tracewell.streaming import export, live
 
@@ -75,10 +76,8 @@ def test_duplicates_are_dropped(spark, lake, tmp_path):
 
 
 def test_counter_table_from_batches(spark, lake, tmp_path):
-    schema = "tool_name string, total_calls long, success_count long, failure_count long, last_used long"
-    from pyspark.sql.types import StructType
-    table = SnapshotTable(spark, f"{tmp_path}/t", StructType.fromDDL(schema))
-    run = live.apply_counters(table)
+    table = SnapshotTable(spark, f"{tmp_path}/t", SCHEMAS["tool_usage"])
+    run = live.apply_counters(table, "calls")
     w = live.live_panels(stream(spark, lake), run, f"{tmp_path}/cp", every=None)
     w.start().awaitTermination(180)
     version = table.head()[0]
@@ -88,11 +87,25 @@ def test_counter_table_from_batches(spark, lake, tmp_path):
     assert {r.tool_name: r.total_calls for r in table.read().collect()} == want and table.head()[0] == version
 
 
+def test_batches_are_known_by_query_and_number(spark, tmp_path):
+    table = SnapshotTable(spark, f"{tmp_path}/t", SCHEMAS["tool_usage"])
+    old = spark.createDataFrame([("Read", 7, 5, 2, 1, 45.5)], "tool_name string, total_calls long, success_count long, "
+                                "failure_count long, last_used long, avg_duration_ms double")
+    table.update(lambda _: old)
+    call = spark.createDataFrame([("Read", 1, 9)], "tool_name string, success int, timestamp long")
+    run = live.apply_counters(table, "a")
+    for batch in (0, 1, 0, 1, 0):       # older batches come again too
+        run(call, batch)
+    live.apply_counters(table, "b")(call, 0)        # another stream starts at 0
+    r = table.read().first()
+    assert (r.total_calls, r.last_used, r.avg_duration_ms) == (10, 9, 45.5) and table.head()[0] == 4
+
+
 def test_changed_panels_only(spark, lake, tmp_path):
     from pyspark.sql.types import StructType
     hashes = SnapshotTable(spark, f"{tmp_path}/h", StructType.fromDDL("tool_name string, row_hash string"))
     panel = lambda batch: tools.calls_by_tool(batch.sparkSession.read.parquet(lake[0]))
-    run = live.publish_changes({"tools": (panel, "tool_name")}, {"tools": hashes}, f"{tmp_path}/out")
+    run = live.publish_changes({"tools": (panel, "tool_name")}, {"tools": hashes}, f"{tmp_path}/out", "p")
     batch = spark.read.parquet(lake[0]).limit(3)
     read = lambda i: spark.read.schema("tool_name string, calls long").json(
         f"{tmp_path}/out/tools/batch={i}")
@@ -106,13 +119,34 @@ def test_changed_panels_only(spark, lake, tmp_path):
 
 def test_divided_cadence(spark, lake, tmp_path):
     from pyspark.sql.types import StructType
-    seen = []
-    panel = lambda batch: (seen.append(1), tools.calls_by_tool(batch))[1]
+    panel = lambda batch: batch.groupBy("tool_name").agg(F.count("*").alias("calls"))
     hashes = SnapshotTable(spark, f"{tmp_path}/h", StructType.fromDDL("tool_name string, row_hash string"))
-    run = live.publish_changes({"slow": (panel, "tool_name")}, {"slow": hashes}, f"{tmp_path}/out", {"slow": 5})
-    for i in range(6):
-        run(spark.read.parquet(lake[0]).limit(2), i)
-    assert len(seen) == 2
+    run = live.publish_changes({"slow": (panel, "tool_name")}, {"slow": hashes}, f"{tmp_path}/out", "p", {"slow": 5})
+    for i, tool in enumerate("ABCDEF"):
+        run(spark.createDataFrame([(tool,)], "tool_name string"), i)
+    read = lambda: sorted(r.tool_name for r in spark.read.json(f"{tmp_path}/out/slow").collect())
+    assert read() == list("ABCDEF")
+    run(spark.createDataFrame([("F",)], "tool_name string"), 5)        # replay
+    assert read() == list("ABCDEF")
+
+
+def test_a_panel_is_evaluated_once(spark, tmp_path):
+    """What is hashed is what was sent, also when the lake changes meanwhile."""
+    from pyspark.sql.types import StructType
+    lake, hashes = f"{tmp_path}/lake", SnapshotTable(spark, f"{tmp_path}/h", StructType.fromDDL("k string, row_hash string"))
+    spark.createDataFrame([("x", 1)], "k string, n long").write.parquet(lake)
+
+    class Racing(SnapshotTable):
+        def update(self, *args, **kwargs):
+            spark.createDataFrame([("x", 2)], "k string, n long").write.mode("overwrite").parquet(lake)
+            return hashes.update(*args, **kwargs)
+
+    racing = Racing(spark, hashes.root, hashes.schema)
+    panel = lambda batch: batch.sparkSession.read.parquet(lake)
+    batch = spark.createDataFrame([(1,)], "i int")
+    live.publish_changes({"p": (panel, "k")}, {"p": racing}, f"{tmp_path}/out", "q")(batch, 0)
+    live.publish_changes({"p": (panel, "k")}, {"p": hashes}, f"{tmp_path}/out", "q")(batch, 1)
+    assert sorted(r.n for r in spark.read.json(f"{tmp_path}/out/p").collect()) == [1, 2]
 
 
 def test_export_fan_out(spark, tmp_path):

@@ -121,7 +121,7 @@ def lock_totals(locks: DataFrame) -> DataFrame:
 
 # ---- repositories ----------------------------------------------------------
 
-def git_stats(git: DataFrame, *, as_of: int, last_n: int | None = 100) -> DataFrame:
+def git_stats(git: DataFrame, *, as_of: int, last_n: int | None = None) -> DataFrame:
     """Counts and line changes over the newest ``last_n`` events (the cut comes first)."""
     recent = tail(git, "timestamp", last_n)
     today = as_of - as_of % 86400
@@ -132,7 +132,7 @@ def git_stats(git: DataFrame, *, as_of: int, last_n: int | None = 100) -> DataFr
         z("additions").alias("insertions"), z("deletions").alias("deletions"))
 
 
-def git_by_repo(git: DataFrame, last_n: int | None = 100) -> DataFrame:
+def git_by_repo(git: DataFrame, last_n: int | None = None) -> DataFrame:
     return counter(tail(git, "timestamp", last_n), F.coalesce("repo", F.lit("unknown")), "repo")
 
 

@@ -77,10 +77,10 @@ def growth_alerts(daily_rows: DataFrame, *, max_per_day: float) -> DataFrame:
     return t.select("name", "size", "age_days", rate.alias("per_day")).filter(F.col("per_day") > max_per_day)
 
 
-def threshold_advice(runs: DataFrame, last_n: int = 100, min_runs: int = 10) -> DataFrame:
-    """Advice from the share of runs with fixes among the newest ``last_n``."""
+def threshold_advice(runs: DataFrame, last_n: int | None = None, min_runs: int = 10) -> DataFrame:
+    """Advice from the share of runs with fixes, among the newest ``last_n`` if given."""
     from tracewell.operators.ordering import latest
-    t = latest(runs, "ts", last_n).agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("fixed") > 0).alias("fixing"))
+    t = (runs if last_n is None else latest(runs, "ts", last_n)).agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("fixed") > 0).alias("fixing"))
     rate = F.try_divide(F.col("fixing").cast("double"), F.col("runs").cast("double"))
     advice = (F.when(F.col("runs") < min_runs, F.lit("none")).when(rate > 0.8, F.lit("tighten_thresholds"))
               .when(rate < 0.1, F.lit("loosen_thresholds")).otherwise(F.lit("none")))

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.exprs import mean, pct
 
-#: The interval join broadcasts its points only up to this many rows.
-MAX_BROADCAST_POINTS = 10_000
 
 
 def attach_outcomes(sessions: DataFrame, outcomes: DataFrame, *, dedupe: bool = False) -> DataFrame:
@@ -91,43 +89,61 @@ def _first_k(df: DataFrame, per: Sequence[str], order: Sequence[Column], k: int)
     return ranked.filter(F.col("match_rank") <= k)
 
 
-#: Bounds and points lie below this; an open interval ends here.
-FAR_END = 1 << 40
-_TOP_LEVEL = 40
+#: Bounds and points lie between -FAR and FAR; an open interval ends at FAR.
+FAR = 1 << 62
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, *, at: str, start: str, end: str,
                   order: Sequence[Column], max_matches: int = 5, point_limit: int | None = None) -> DataFrame:
     """The first ``max_matches`` intervals ``[start, end]`` by ``order`` that contain each point.
 
-    Bounds are whole numbers and an ``end`` of NULL is open.
+    Bounds are whole numbers within :data:`FAR`, others are an error; an ``end`` of
+    NULL is open, and an interval or point of NULL matches nothing.
 
-    ``point_limit`` states that ``points`` holds at most that many rows (it comes
-    from a ``limit``). Up to :data:`MAX_BROADCAST_POINTS` the points are then
-    broadcast and the intervals are streamed past them once, without a shuffle.
+    Each interval is cut into aligned blocks of size 1, 2, 4, ..: at most two per
+    size, whatever its length. A block is a join key, and a point lies in exactly one
+    block of every interval that contains it. Only the first ``max_matches``
+    intervals of a block can win at any of its points, so the rest are cut before the
+    join: the pairs of a crowded stretch are never formed. Points look only at the
+    block sizes that occur.
 
-    Otherwise each interval is cut into aligned blocks of size 1, 2, 4, ..: at
-    most two per size, whatever its length. A block is a join key, and a point
-    lies in exactly one block of every interval that contains it. Only the first
-    ``max_matches`` intervals of a block can win at any of its points, so the rest
-    are cut before the join: the pairs of a crowded stretch are never formed.
+    ``point_limit`` says that there are at most so many points; they are then sent to
+    every task and the intervals stream past them once, without a shuffle. More
+    points than that are an error, so both ways give the same rows.
     """
-    if point_limit is not None and point_limit <= MAX_BROADCAST_POINTS:
-        covers = (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(end) >= F.col(at)))
-        return _first_k(intervals.join(F.broadcast(points), covers), [at], order, max_matches)
-    last = F.coalesce(F.col(end), F.lit(FAR_END))
-    cut = intervals.withColumns({"_a": F.col(start), "_b": last + 1}).filter(F.col("_a") < F.col("_b"))
+    far = F.lit(FAR).cast("bigint")
+
+    def within(c: Column) -> Column:
+        ok = (c >= -far) & (c <= far)
+        return F.when(c.isNull() | ok, c).otherwise(F.raise_error(F.lit("a bound or point is out of range")).cast("bigint"))
+
+    if point_limit is not None:
+        few = points.limit(point_limit + 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+        few = few.withColumn(at, F.when(F.col("_n") <= point_limit, within(F.col(at))).otherwise(
+            F.raise_error(F.lit("more points than point_limit")).cast(points.schema[at].dataType))).drop("_n")
+        covers = (within(F.col(start)) <= F.col(at)) & (F.col(end).isNull() | (within(F.col(end)) >= F.col(at)))
+        return _first_k(intervals.join(F.broadcast(few), covers), [at], order, max_matches)
+
+    def bits(f: str, c: Column) -> Column:
+        return F.call_function(f, c, F.col("_level"))
+
+    cut = intervals.withColumns({"_a": within(F.col(start)), "_b": F.coalesce(within(F.col(end)), far - 1) + 1}).filter(
+        F.col("_a") < F.col("_b"))
     # Block sizes that fit the length, and one more since log2 is inexact.
-    fitting = F.sequence(F.lit(0), F.floor(F.log2((F.col("_b") - F.col("_a")).cast("double"))).cast("int") + 1)
+    length = F.col("_b").cast("double") - F.col("_a").cast("double")
+    fitting = F.sequence(F.lit(0), F.least(F.lit(61), F.floor(F.log2(length)).cast("int") + 1))
     sized = cut.withColumn("_level", F.explode(fitting))
-    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_level"))
-    sized = sized.withColumns({"_l": F.ceil(F.col("_a") / size), "_r": F.floor(F.col("_b") / size)})
+    size = bits("shiftleft", F.lit(1).cast("bigint"))
+    sized = sized.withColumns({"_l": bits("shiftright", F.col("_a") + (size - 1)), "_r": bits("shiftright", F.col("_b"))})
     fits, odd = F.col("_l") < F.col("_r"), lambda c: F.pmod(F.col(c), F.lit(2)) == 1
-    ends = F.array_compact(F.array(F.when(fits & odd("_l"), F.col("_l")), F.when(fits & odd("_r"), F.col("_r") - 1)))
+    # At the last size blocks are not paired any further: all that fit are listed, eight at most.
+    last = F.col("_level") == 61
+    ends = F.when(last & fits, F.sequence(F.col("_l"), F.col("_r") - 1)).otherwise(F.array_compact(
+        F.array(F.when(fits & odd("_l"), F.col("_l")), F.when(fits & odd("_r"), F.col("_r") - 1))))
     blocks = sized.withColumn("_block", F.explode(ends)).drop("_a", "_b", "_l", "_r")
     blocks = _first_k(blocks, ["_level", "_block"], order, max_matches).drop("match_rank")
-    spots = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(_TOP_LEVEL)))).withColumn(
-        "_block", F.floor(F.col(at) / size))
+    sizes = blocks.agg(F.collect_set("_level").alias("s")).scalar()
+    spots = points.withColumn("_level", F.explode(sizes)).withColumn("_block", bits("shiftright", within(F.col(at))))
     return _first_k(spots.join(blocks, ["_level", "_block"]).drop("_level", "_block"), [at], order, max_matches)
 
 

@@ -12,8 +12,6 @@ from tracewell.operators.filters import within_dates
 from tracewell.operators.ordering import counter, top
 
 KNOWLEDGE_TYPES = ("facts", "decisions", "patterns")
-#: Fixed value: a search never returns more hits than this.
-MAX_HITS = 50
 
 
 def _n() -> Column:
@@ -124,7 +122,7 @@ def search(docs: DataFrame, query: str, *, id_col: str, text: str, source: str =
     found = F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in words])))
     scored = hits.select(id_col, "source", "category", (found / F.lit(float(len(words)))).alias("similarity"))
     scored = scored.filter(F.col("similarity") > 0)
-    return top(scored, min(limit, MAX_HITS), "-similarity", id_col)
+    return top(scored, limit, "-similarity", id_col)
 
 
 def hits_by_source(hits: DataFrame) -> DataFrame:
@@ -133,7 +131,7 @@ def hits_by_source(hits: DataFrame) -> DataFrame:
 
 def similar_vectors(vectors: DataFrame, query: Sequence[float] | Column, *, id_col: str, vec: str,
                     limit: int = 10) -> DataFrame:
-    """Vectors by cosine similarity to ``query`` (``limit`` at most 50)."""
+    """The ``limit`` vectors most similar to ``query`` by cosine."""
     q = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
 
     def dot(a: Column, b: Column) -> Column:
@@ -142,4 +140,4 @@ def similar_vectors(vectors: DataFrame, query: Sequence[float] | Column, *, id_c
 
     v, probe = F.col(vec), F.col("_q")
     cos = F.try_divide(dot(v, probe), F.sqrt(dot(v, v)) * F.sqrt(dot(probe, probe)))
-    return top(vectors.withColumn("_q", q).select(id_col, cos.alias("similarity")), min(limit, MAX_HITS), "-similarity", id_col)
+    return top(vectors.withColumn("_q", q).select(id_col, cos.alias("similarity")), limit, "-similarity", id_col)

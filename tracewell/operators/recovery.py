@@ -32,7 +32,7 @@ def _both(heal: DataFrame, rec: DataFrame, last_n: int | None) -> DataFrame:
             "action": nonblank("recovery_strategy", "error_type", default="unknown")})])
 
 
-def stats(heal: DataFrame, rec: DataFrame, *, last_n: int | None = 100) -> DataFrame:
+def stats(heal: DataFrame, rec: DataFrame, *, last_n: int | None = None) -> DataFrame:
     """Events, automatic fixes and both rates over the newest events of each source."""
     auto = F.count_if((F.col("auto") == 1) & (F.col("success") == 1))
     return _both(heal, rec, last_n).agg(
@@ -40,7 +40,7 @@ def stats(heal: DataFrame, rec: DataFrame, *, last_n: int | None = 100) -> DataF
         F.coalesce(pct(_ok(), _n()), F.lit(0.0)).alias("success_rate"))
 
 
-def by_category(heal: DataFrame, rec: DataFrame, *, last_n: int | None = 100) -> DataFrame:
+def by_category(heal: DataFrame, rec: DataFrame, *, last_n: int | None = None) -> DataFrame:
     return _both(heal, rec, last_n).groupBy("category").agg(
         _n().alias("n"), _ok().alias("success"), pct(_ok(), _n()).alias("success_pct"))
 
@@ -50,7 +50,7 @@ def recent_actions(heal: DataFrame, rec: DataFrame, n: int = 10) -> DataFrame:
     return _both(heal, rec, n).select("action", "category", F.coalesce("ts", F.lit(0)).alias("ts"), "success", "auto")
 
 
-def timeline(heal: DataFrame, *, as_of: int, days: int = 7, last_n: int | None = 100) -> DataFrame:
+def timeline(heal: DataFrame, *, as_of: int, days: int = 7, last_n: int | None = None) -> DataFrame:
     """Automatic and suggested fixes per day. Whole days elapsed must not exceed ``days``.
 
     Days are kept as dates and labelled at the end, so a year end sorts right.

@@ -108,7 +108,7 @@ def accuracy_view(decisions: DataFrame) -> DataFrame:
         rnd(mean("dq_score"), 3).alias("avg_dq_score"), pct(ok, F.count("success")).alias("accuracy_pct"))
 
 
-def mean_quality_by_model(outcomes: DataFrame, last_n: int | None = 500) -> DataFrame:
+def mean_quality_by_model(outcomes: DataFrame, last_n: int | None = None) -> DataFrame:
     from tracewell.operators.ordering import tail
     return tail(outcomes, "timestamp", last_n).groupBy(F.coalesce("model_used", F.lit("unknown")).alias("model")).agg(
         mean(F.coalesce("quality_score", F.lit(3.0))).alias("quality"))

@@ -59,10 +59,11 @@ GIT_NOW = LINES_NOW - 92 * 86400 + 3600   # one hour into 2001-08-01, the last o
 GITQ = f"""SELECT count(*) AS total, {cif(f'timestamp >= {GIT_NOW - 3600}')} AS today,
            {cif(f'timestamp >= {GIT_NOW - 7 * 86400}')} AS week, {isum('additions')} AS insertions,
            {isum('deletions')} AS deletions FROM"""
-query("e63_t13_git_stats", lambda b: co.git_stats(b.git_events, as_of=GIT_NOW), f"WITH {G100} {GITQ} g")
+query("e63_t13_git_stats", lambda b: co.git_stats(b.git_events, as_of=GIT_NOW, last_n=100), f"WITH {G100} {GITQ} g")
 query("e63_git_stats_all", lambda b: co.git_stats(b.git_events, as_of=GIT_NOW, last_n=None), f"{GITQ} git_events")
-query("e63_git_by_repo", lambda b: co.git_by_repo(b.git_events),
+query("e63_git_by_repo", lambda b: co.git_by_repo(b.git_events, last_n=100),
       f"WITH {G100} SELECT repo, count(*) AS n FROM g GROUP BY 1")
+query("e63_git_by_repo_all", lambda b: co.git_by_repo(b.git_events), "SELECT repo, count(*) AS n FROM git_events GROUP BY 1")
 query("e64_git_daily", lambda b: co.git_daily(b.since(GIT_NOW - 30 * 86400).git_events, as_of=GIT_NOW), f"""
     SELECT {day('timestamp')} AS date, count(*) AS commits FROM git_events WHERE timestamp > {GIT_NOW - 30 * 86400}
     GROUP BY 1 ORDER BY 1 DESC LIMIT 30""")
@@ -194,7 +195,7 @@ def both(n):
 
 OK = cif("success = 1")
 AUTO = cif("auto = 1 AND success = 1")
-query("e76_recovery_stats", lambda b: rc.stats(b.self_heal_events, b.recovery_events), f"""
+query("e76_recovery_stats", lambda b: rc.stats(b.self_heal_events, b.recovery_events, last_n=100), f"""
     WITH {both(100)} SELECT count(*) AS total, {AUTO} AS auto_fix, {pct(AUTO, 'count(*)')} AS auto_fix_rate,
     {pct(OK, 'count(*)')} AS success_rate FROM bt""")
 query("e76_recovery_stats_all", lambda b: rc.stats(b.self_heal_events, b.recovery_events, last_n=None), f"""
@@ -314,12 +315,13 @@ query("e88_check_report", lambda b: h.check_report(b.self_heal_events.select(
 query("l13_anomalies", lambda b: h.anomalies(b.heal_runs, baseline=5.0), f"""
     SELECT {day('ts')} AS date, {isum('fixed')} AS value, 5e0 AS baseline, 'warning' AS severity
     FROM heal_runs GROUP BY 1 HAVING sum(fixed) > 15""")
-query("l14_threshold_advice", lambda b: h.threshold_advice(b.heal_runs), f"""
-    WITH t AS (SELECT * FROM heal_runs ORDER BY ts DESC, id DESC LIMIT 100),
-    s AS (SELECT count(*) AS runs, {cif('fixed > 0')} AS fixing FROM t)
+ADVICE = f"""s AS (SELECT count(*) AS runs, {cif('fixed > 0')} AS fixing FROM t)
     SELECT runs, fixing, CAST(fixing AS DOUBLE) / runs AS fix_rate, CASE WHEN runs < 10 THEN 'none'
            WHEN CAST(fixing AS DOUBLE) / runs > 0.8 THEN 'tighten_thresholds'
-           WHEN CAST(fixing AS DOUBLE) / runs < 0.1 THEN 'loosen_thresholds' ELSE 'none' END AS suggestion FROM s""")
+           WHEN CAST(fixing AS DOUBLE) / runs < 0.1 THEN 'loosen_thresholds' ELSE 'none' END AS suggestion FROM s"""
+query("l14_threshold_advice", lambda b: h.threshold_advice(b.heal_runs, 100),
+      f"WITH t AS (SELECT * FROM heal_runs ORDER BY ts DESC, id DESC LIMIT 100), {ADVICE}")
+query("l14_threshold_advice_all", lambda b: h.threshold_advice(b.heal_runs), f"WITH t AS (SELECT * FROM heal_runs), {ADVICE}")
 
 
 def growth(b):

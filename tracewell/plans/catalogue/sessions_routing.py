@@ -225,6 +225,9 @@ query("e48_routing_accuracy_view", lambda b: rt.accuracy_view(b.routing_decision
 query("e54_quality_by_model", lambda b: rt.mean_quality_by_model(b.session_outcome_events, 500), f"""
     SELECT coalesce(model_used, 'unknown') AS model, {avg('quality_score')} AS quality FROM
     (SELECT * FROM session_outcome_events ORDER BY timestamp DESC, id DESC, quality_score DESC LIMIT 500) GROUP BY 1""")
+query("e54_quality_by_model_all", lambda b: rt.mean_quality_by_model(b.session_outcome_events), f"""
+    SELECT coalesce(model_used, 'unknown') AS model, {avg('quality_score')} AS quality FROM session_outcome_events
+    GROUP BY 1""")
 EXP = f"FROM expertise_routing_events WHERE timestamp > {L365}"
 LEV = f"{r(avg('expertise_level'), 2)} AS avg_expertise, {r(avg('query_complexity'), 2)} AS avg_complexity"
 query("e49_expertise_heatmap", lambda b: rt.expertise_heatmap(b.since(L365).expertise_routing_events, as_of=LINES_NOW, days=365),

@@ -1,92 +1,171 @@
 """Keyed upserts on plain Parquet.
 
 Parquet has no MERGE, so a table is a directory of immutable snapshots plus a
-commit log. A write computes the next snapshot from the current one, writes it to
-its own directory and then commits it by appending one row. Readers follow the
-newest commit, so a path is never overwritten while it is read, and a lost
-executor or a failed job leaves the table as it was. Writing the same version
-again replaces the same directory, which makes a retried batch idempotent.
+commit log. A write computes the next snapshot from the current one and writes it
+to a directory of its own, then commits it by creating the log entry of the next
+version. Creation fails if another writer was faster; the change is then computed
+again from that writer's snapshot. Readers follow the newest entry, so a path is
+never overwritten while it is read, and a lost executor or a failed job leaves the
+table as it was. Every entry names its input batch, and a batch that is anywhere
+in the log is not applied again.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.operators.ordering import newest_per_key
 from tracewell.sources.tables import empty
 
-_COMMITS = "version long, path string, source string"
+#: A log entry whose version is a multiple of this repeats all entries before it.
+COMPACT = 50
 
 
 class SnapshotTable:
     """A versioned Parquet table under ``root``."""
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
-        self.spark, self.root, self.schema = spark, root, schema
-
-    def _commits(self) -> DataFrame:
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+
+    # ---- commit log --------------------------------------------------------
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+
+    def _files(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _log(self) -> list[dict]:
+        """All commits, oldest first: the newest compacted entry and those after it."""
+        fs, folder = self._files(), self._path("commits")
+        if not fs.exists(folder):
+            return []
+        versions = sorted(int(n[:-5]) for s in fs.listStatus(folder) if (n := s.getPath().getName()).endswith(".json") and n[0] != "_")
+        start = max([v for v in versions if v % COMPACT == 0], default=0)
+        out: list[dict] = []
+        for v in versions:
+            if v >= start:
+                stream = fs.open(self._path("commits", f"{v:012d}.json"))
+                try:
+                    out += json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                finally:
+                    stream.close()
+        return out
+
+    def _commit(self, entry: dict, log: list[dict]) -> bool:
+        """Create the log entry, or return False if its version exists already.
+
+        The entry is complete before it gets its name: a file system renames onto a
+        free name only, so of two writers one succeeds.
+        """
+        fs, version = self._files(), entry["version"]
+        name, temporary = self._path("commits", f"{version:012d}.json"), self._path("commits", f"_{uuid.uuid4().hex}")
+        rows = [*log, entry] if version % COMPACT == 0 else [entry]
+        if fs.exists(name):
+            return False
+        out = fs.create(temporary, False)
         try:
-            return self.spark.read.schema(_COMMITS).json(f"{self.root}/commits")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
+            out.write(bytearray(json.dumps(rows).encode()))
+        finally:
+            out.close()
+        try:
+            return bool(self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+                name.toUri(), self.spark._jsc.hadoopConfiguration()).rename(
+                    temporary, name, self.spark._sc._gateway.new_array(
+                        self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)) is None)
+        except Py4JJavaError:
+            fs.delete(temporary, False)
+            if not fs.exists(name):
                 raise
-            return self.spark.createDataFrame([], _COMMITS)
+            return False
 
     def head(self) -> tuple[int, str | None, str | None]:
         """Newest committed (version, path, source); version 0 means an empty table."""
-        row = self._commits().orderBy(F.col("version").desc()).limit(1).collect()
-        return (row[0].version, row[0].path, row[0].source) if row else (0, None, None)
+        log = self._log()
+        return (log[-1]["version"], log[-1]["path"], log[-1]["source"]) if log else (0, None, None)
+
+    # ---- content -----------------------------------------------------------
+    def _at(self, entry: dict | None) -> DataFrame:
+        if entry is None:
+            return empty(self.spark, self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{entry['path']}")
 
     def read(self) -> DataFrame:
-        _, path, _ = self.head()
-        return self.spark.read.schema(self.schema).parquet(path) if path else empty(self.spark, self.schema)
+        log = self._log()
+        return self._at(log[-1] if log else None)
 
     def read_before(self, source: str) -> DataFrame:
-        """The content before input batch ``source`` was applied (or the current one)."""
-        rows = self._commits().filter(~F.col("source").eqNullSafe(source)).orderBy(F.col("version").desc()).limit(1)
-        row = rows.collect()
-        return self.spark.read.schema(self.schema).parquet(row[0].path) if row else empty(self.spark, self.schema)
+        """The content before input batch ``source`` was applied, or the current one if it was not."""
+        log = self._log()
+        at = next((k for k, e in enumerate(log) if e["source"] == source), len(log))
+        return self._at(log[at - 1] if at else None)
 
-    def update(self, change: Callable[[DataFrame], DataFrame], source: str | None = None) -> int:
-        """Replace the content by ``change(current)`` and commit it.
+    def update(self, change: Callable[[DataFrame], DataFrame], source: str | None = None, tries: int = 10) -> int:
+        """Replace the content by ``change(current)`` and commit it; returns the newest version.
 
-        ``source`` names the input batch. If the newest commit already carries
-        that name the call does nothing, so a replayed batch is applied once.
+        ``source`` names the input batch, for a stream by query and batch number. If
+        any commit carries that name the call does nothing, so a replayed batch is
+        applied once. After losing a race the change is computed again.
         """
-        version, _, last = self.head()
-        if source is not None and source == last:
-            return version
-        new, path = version + 1, f"{self.root}/data/v{version + 1:08d}"
-        names = [f.name for f in self.schema.fields]
-        out = change(self.read()).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
-        out.select(*names).write.mode("overwrite").parquet(path)
-        self.spark.createDataFrame([(new, path, source)], _COMMITS).coalesce(1).write.mode("append").json(
-            f"{self.root}/commits")
-        return new
+        for _ in range(tries):
+            log = self._log()
+            version = log[-1]["version"] if log else 0
+            if source is not None and any(e["source"] == source for e in log):
+                return version
+            path = f"data/v{version + 1:012d}-{uuid.uuid4().hex}"
+            out = change(self._at(log[-1] if log else None))
+            out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]).write.parquet(f"{self.root}/{path}")
+            if self._commit({"version": version + 1, "path": path, "source": source}, log):
+                return version + 1
+        raise RuntimeError(f"no commit to {self.root} after {tries} tries")
+
+    def retire(self, keep: int = 10) -> int:
+        """Delete the data of all but the newest ``keep`` versions; returns how many were deleted.
+
+        Readers that still use an older version fail, so keep enough of them. The log
+        stays, and with it the names of all batches applied.
+        """
+        fs, gone = self._files(), 0
+        for e in self._log()[:-keep]:
+            gone += bool(fs.delete(self._path(e["path"]), True))
+        return gone
+
+
+def _single(n: Column, value: Column, what: str) -> Column:
+    """``value``, or an error where a key has ``n`` > 1 rows."""
+    return F.when(n <= 1, value).otherwise(F.raise_error(F.lit(what)))
 
 
 def upsert_replace(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Full-row replace: a new row wins over the stored row of its key, and columns
-    it does not carry become NULL. ``order`` picks among several new rows of a key."""
-    cols = [F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns]
-    extra = [c for c in order if c not in old.columns]
-    versions = F.struct(*order) if order else F.lit(0)
-    incoming = new.select(*[c.alias(n) for c, n in zip(cols, old.columns)], *extra, versions.alias("_v"))
-    last = newest_per_key(incoming, keys, ["_v"]).select(*old.columns)
-    return last.unionByName(old.join(last.select(*keys), list(keys), "left_anti"))
+    it does not carry become NULL. Of several different new rows of a key the last by
+    ``order`` wins; without an order, or if that is equal too, they are an error."""
+    cols = [F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType) for c in old.columns]
+    row = F.struct(*[c.alias(n) for c, n in zip(cols, old.columns)])
+    last = F.struct(*order) if order else F.struct(F.lit(0))
+    ranked = new.select(*keys, last.alias("_v"), row.alias("_r"), F.to_json(row, {"ignoreNullFields": "false"}).alias("_t"))
+    newest = ranked.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("_v").alias("_m"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_v") == F.col("_m")]
+    top = ranked.join(newest, same).groupBy(*keys).agg(F.count_distinct("_t").alias("_n"), F.any_value("_r").alias("_r"))
+    kept = top.select(_single(F.col("_n"), F.col("_r"), "several new rows for one key and no order between them").alias("_r"))
+    kept = kept.select("_r.*")
+    return kept.unionByName(old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*old.columns))
 
 
 def upsert_add(old: DataFrame, delta: DataFrame, keys: Sequence[str], add: Sequence[str],
                latest: Sequence[str] = ()) -> DataFrame:
-    """Additive upsert: counters grow by the deltas, ``latest`` columns keep the maximum."""
+    """Additive upsert: counters grow by the deltas, ``latest`` columns keep the maximum, others stay as stored."""
+    rest = [c for c in old.columns if c not in {*keys, *add, *latest}]
     cols = [*keys, *add, *latest]
-    return old.select(*cols).unionByName(delta.select(*cols)).groupBy(*keys).agg(
-        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in add], *[F.max(c).alias(c) for c in latest])
+    both = old.select(*cols, *rest).unionByName(delta.select(*cols), allowMissingColumns=True)
+    return both.groupBy(*keys).agg(
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in add], *[F.max(c).alias(c) for c in latest],
+        *[F.first(c, ignorenulls=True).alias(c) for c in rest]).select(*old.columns)
 
 
 def upsert_max(old: DataFrame, new: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -100,12 +179,15 @@ def rate_latest(decisions: DataFrame, feedback: DataFrame, *, key: str = "query_
                 tie: str = "id", rated: str = "success") -> DataFrame:
     """Apply one feedback per key to the newest decision of that key not rated yet.
 
-    ``feedback`` is (key, verdict). The newest unrated row is found by a ``max``
-    aggregate per key, which a hot key survives, and joined back by its identity.
+    ``feedback`` is (key, verdict), one row for a key: several are an error, as their
+    order is not known; give them one after the other. ``tie`` identifies a decision.
+    The newest unrated row is found by a ``max`` aggregate per key, which a hot key
+    survives, and joined back by its identity.
     """
     pending = decisions.filter(F.col(rated).isNull())
-    target = pending.groupBy(key).agg(F.max(F.struct(ts, tie)).alias("_m")).join(
-        feedback.select(key, F.col("verdict").alias("_verdict")), key)
+    single = feedback.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("verdict").alias("_v")).select(
+        key, _single(F.col("_n"), F.col("_v"), "several verdicts for one key in one batch").alias("_verdict"))
+    target = pending.groupBy(key).agg(F.max(F.struct(ts, tie)).alias("_m")).join(single, key)
     hit = target.select(F.col(key).alias("_k"), F.col(f"_m.{ts}").alias("_ts"), F.col(f"_m.{tie}").alias("_id"),
                         "_verdict")
     joined = decisions.join(hit, (F.col(key) == F.col("_k")) & (F.col(ts) == F.col("_ts"))

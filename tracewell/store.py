@@ -48,14 +48,15 @@ class TelemetryStore:
         return self._keyed[name].update(
             lambda old: snapshots.upsert_replace(old, rows, KEYED[name], order), source)
 
-    def log_sessions(self, rows: DataFrame, source: str | None = None) -> int:
-        return self._replace("sessions", rows, source)
+    def log_sessions(self, rows: DataFrame, source: str | None = None, order: tuple[str, ...] = ()) -> int:
+        """Replace sessions by id. A batch with several rows for an id needs ``order``, columns whose last value wins."""
+        return self._replace("sessions", rows, source, order)
 
-    def update_daily_stats(self, rows: DataFrame, source: str | None = None) -> int:
-        return self._replace("daily_stats", rows, source)
+    def update_daily_stats(self, rows: DataFrame, source: str | None = None, order: tuple[str, ...] = ()) -> int:
+        return self._replace("daily_stats", rows, source, order)
 
-    def log_routing_decisions(self, rows: DataFrame, source: str | None = None) -> int:
-        return self._replace("routing_decisions", rows, source)
+    def log_routing_decisions(self, rows: DataFrame, source: str | None = None, order: tuple[str, ...] = ()) -> int:
+        return self._replace("routing_decisions", rows, source, order)
 
     def record_routing_feedback(self, feedback: DataFrame, source: str | None = None) -> int:
         """Rate the newest unrated decision of each query hash; ``feedback`` is (query_hash, verdict)."""
@@ -64,10 +65,8 @@ class TelemetryStore:
     def update_tool_usage(self, calls: DataFrame, source: str | None = None) -> int:
         """Add tool calls (tool_name, success, timestamp, optional calls) to the counters."""
         delta = snapshots.tool_usage_delta(calls)
-        keep = self.table("tool_usage").select("tool_name", "avg_duration_ms")
         return self._keyed["tool_usage"].update(lambda old: snapshots.upsert_add(
-            old, delta, ["tool_name"], ["total_calls", "success_count", "failure_count"], ["last_used"]).join(
-            keep, "tool_name", "left"), source)
+            old, delta, ["tool_name"], ["total_calls", "success_count", "failure_count"], ["last_used"]), source)
 
     def update_hourly_activity(self, delta: DataFrame, source: str | None = None) -> int:
         """Add (date, hour, session_count, message_count) to the hourly counters."""
@@ -106,7 +105,7 @@ class TelemetryStore:
         return daily.stats_bundle(self.table("daily_stats"), self.table("hourly_activity"), self.table("sessions"))
 
     def panels(self, *, as_of: int, day: str) -> dict[str, DataFrame]:
-        """All panel frames, ready for :func:`tracewell.sinks.panels.export_panels`."""
+        """All panel frames, ready for :func:`tracewell.sinks.panels.export_panels`. They describe all stored events."""
         d, s, o = self.table("daily_stats"), self.table("sessions"), self.table("session_outcome_events")
         r, heal, rec = self.table("routing_decisions"), self.table("self_heal_events"), self.table("recovery_events")
         st = self.table("autonomy_streaks")

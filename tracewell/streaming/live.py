@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from tracewell.sinks.panels import changed_rows, fan_out, with_hash
+from tracewell.sinks.panels import changed_rows, fan_out
 from tracewell.sinks.snapshots import SnapshotTable, tool_usage_delta, upsert_add
 
 WATERMARK = "1 hour"
@@ -92,32 +92,44 @@ Panel = Callable[[DataFrame], DataFrame]
 
 
 def publish_changes(panels: Mapping[str, tuple[Panel, str]], published: Mapping[str, SnapshotTable],
-                    out: str, every: Mapping[str, int] | None = None) -> Callable[[DataFrame, int], None]:
+                    out: str, query: str, every: Mapping[str, int] | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that recomputes panels and writes changed rows.
 
-    ``panels`` maps a name to (panel function, key column), ``published`` holds
-    the hashes sent last per panel, and ``every`` lets a panel run on each n-th
-    batch only. A panel may use the batch it is given or read the lake itself.
-    Changed rows of a batch go to a directory named by the batch and are compared
-    with the hashes published before it, so a replay writes the same output.
+    ``panels`` maps a name to (panel function, key column), ``published`` holds the
+    hashes sent last per panel. ``query`` names the stream: batches are known by it and
+    their number, so a stream that starts over with a new checkpoint needs a new name.
+    ``every`` lets a panel run on each n-th batch only; the batches in between are kept
+    below ``out`` and given to it together, so a panel over its input misses none. What
+    is kept after the last of those stays for the next one.
+
+    A panel is evaluated once: its changed rows go to a staging directory of the batch,
+    and both the output and the stored hashes are read from there. They are compared
+    with the hashes published before the batch, so a replay writes the same output.
     """
     every = every or {}
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
+        spark, source = batch.sparkSession, f"{query}/{batch_id}"
         cached = batch.persist()
         try:
             for name, (panel, key) in panels.items():
-                if batch_id % every.get(name, 1):
-                    continue
-                rows = panel(cached)
-                table = published[name]
-                last = table.read_before(f"batch-{batch_id}")
-                changed_rows(rows, last, key).write.mode("overwrite").json(f"{out}/{name}/batch={batch_id}")
-                fresh = with_hash(rows, key).select(key, "row_hash")
-                table.update(lambda old, new=fresh, k=key: new.unionByName(
-                    old.join(new.select(k), k, "left_anti")), source=f"batch-{batch_id}")
+                n, given = every.get(name, 1), cached
+                if n > 1:
+                    kept = f"{out}/_kept/{query}/{name}"
+                    cached.write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
+                    if batch_id % n:
+                        continue
+                    ids = F.col("batch").between(batch_id - n + 1, batch_id)
+                    given = spark.read.schema(batch.schema).option("basePath", kept).parquet(kept).filter(ids).select(*batch.columns)
+                table, staged = published[name], f"{out}/_staged/{query}/{name}/batch={batch_id}"
+                changed_rows(panel(given), table.read_before(source), key).write.mode("overwrite").parquet(staged)
+                rows = spark.read.parquet(staged)
+                rows.drop("row_hash").write.mode("overwrite").json(f"{out}/{name}/batch={batch_id}")
+                sent = rows.select(key, "row_hash")
+                table.update(lambda old, new=sent, k=key: new.unionByName(
+                    old.join(new.select(k), k, "left_anti")), source=source)
         finally:
             cached.unpersist()
 
@@ -131,13 +143,15 @@ def live_panels(stream: DataFrame, run: Callable[[DataFrame, int], None], checkp
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
-def apply_counters(table: SnapshotTable) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that adds a batch of tool calls to the counter table."""
+def apply_counters(table: SnapshotTable, query: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that adds a batch of tool calls to the counter table.
+
+    A batch counts once for each ``query`` name and number, however often it is replayed."""
     def run(batch: DataFrame, batch_id: int) -> None:
         delta = tool_usage_delta(batch)
         table.update(lambda old: upsert_add(
             old, delta, ["tool_name"], ["total_calls", "success_count", "failure_count"], ["last_used"]),
-            source=f"batch-{batch_id}")
+            source=f"{query}/{batch_id}")
     return run
 
 
