@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,61 +102,82 @@ def complexity_level(c: Column | str) -> Column:
             .when(c < 0.8, F.lit("high")).otherwise(F.lit("extreme")))
 
 
+# Upper bounds of session sizes (inclusive) and of durations in seconds
+# (exclusive), lower bounds of levels, success bands and write shares.
+SIZES = ((0, "empty"), (5, "tiny"), (20, "small"), (50, "medium"), (100, "large"), (None, "marathon"))
+DURATIONS = ((120, "<2m"), (300, "2-5m"), (600, "5-10m"), (1200, "10-20m"), (2400, "20-40m"), (None, "40m+"))
+LEVELS = ((0.7, "surge"), (0.4, "active"), (0.2, "steady"), (None, "calm"))
+BANDS = ((80, "good"), (50, "fair"), (None, "poor"))
+WRITE_MODES = ((0.4, "High Output"), (0.25, "Balanced"), (0.1, "Research Heavy"), (None, "Exploration"))
+READ_MODES = ((100, "Read-heavy (exploration mode)"), (20, "Learning/researching"), (10, "Balanced productivity"),
+              (None, "High productivity mode"))
+NO_FILES = "No activity"
+ENERGY = ((0.7, "HIGH"), (0.5, "MED"), (None, "LOW"))
+FLOW = 0.75
+FRESH_MINUTES, STALE_MINUTES = 60, 1440
+
+
+def _stepped(table: Sequence[tuple], test: Callable[[float], Column]) -> Column:
+    """Text of the first step whose test holds; the last step has no bound and takes the rest, nulls too."""
+    out = F.lit(table[-1][1])
+    for bound, text in reversed(table[:-1]):
+        out = F.when(test(bound), F.lit(text)).otherwise(out)
+    return out
+
+
 def size_bucket(messages: Column | str) -> Column:
     """Session size; an unknown message count falls in the last bucket."""
     m = _c(messages)
-    return (F.when(m == 0, F.lit("empty")).when(m <= 5, F.lit("tiny")).when(m <= 20, F.lit("small"))
-            .when(m <= 50, F.lit("medium")).when(m <= 100, F.lit("large")).otherwise(F.lit("marathon")))
+    return _stepped(SIZES, lambda b: m == b if b == 0 else m <= b)
 
 
 def duration_bucket(seconds: Column | str) -> Column:
     s = _c(seconds)
-    return (F.when(s < 120, F.lit("<2m")).when(s < 300, F.lit("2-5m")).when(s < 600, F.lit("5-10m"))
-            .when(s < 1200, F.lit("10-20m")).when(s < 2400, F.lit("20-40m")).otherwise(F.lit("40m+")))
+    return _stepped(DURATIONS, lambda b: s < b)
 
 
 def level(composite: Column | str) -> Column:
     c = _c(composite)
-    return (F.when(c >= 0.7, F.lit("surge")).when(c >= 0.4, F.lit("active"))
-            .when(c >= 0.2, F.lit("steady")).otherwise(F.lit("calm")))
+    return _stepped(LEVELS, lambda b: c >= b)
 
 
 def in_flow(score: Column | str) -> Column:
-    return F.coalesce(_c(score), F.lit(0.0)) >= 0.75
+    return F.coalesce(_c(score), F.lit(0.0)) >= FLOW
 
 
 def freshness(age_minutes: Column | str) -> Column:
     a = _c(age_minutes)
-    return (F.when((a >= 0) & (a <= 60), F.lit("fresh")).when((a >= 0) & (a <= 1440), F.lit("stale"))
-            .otherwise(F.lit("offline")))
+    return (F.when((a >= 0) & (a <= FRESH_MINUTES), F.lit("fresh"))
+            .when((a >= 0) & (a <= STALE_MINUTES), F.lit("stale")).otherwise(F.lit("offline")))
 
 
 def effectiveness_band(rate: Column | str) -> Column:
     r = _c(rate)
-    return F.when(r >= 80, F.lit("good")).when(r >= 50, F.lit("fair")).otherwise(F.lit("poor"))
+    return _stepped(BANDS, lambda b: r >= b)
 
 
 def write_mode(share: Column | str) -> Column:
     """Mode by the share of writes in file operations."""
     s = _c(share)
-    return (F.when(s > 0.4, F.lit("High Output")).when(s > 0.25, F.lit("Balanced"))
-            .when(s > 0.1, F.lit("Research Heavy")).otherwise(F.lit("Exploration")))
+    return _stepped(WRITE_MODES, lambda b: s > b)
 
 
 def read_write_mode(reads: Column, writes: Column) -> Column:
     ratio = reads / F.greatest(writes, F.lit(1))
-    return (F.when((reads == 0) & (writes == 0), F.lit("No activity"))
-            .when(ratio > 100, F.lit("Read-heavy (exploration mode)"))
-            .when(ratio > 20, F.lit("Learning/researching"))
-            .when(ratio > 10, F.lit("Balanced productivity")).otherwise(F.lit("High productivity mode")))
+    return F.when((reads == 0) & (writes == 0), F.lit(NO_FILES)).otherwise(_stepped(READ_MODES, lambda b: ratio > b))
+
+
+# Parts of the day by their first and last hour (exclusive); the night is the rest.
+DAY_PARTS = ((5, 9, "morning"), (9, 12, "peak"), (12, 14, "dip"), (14, 18, "peak"), (18, 22, "evening"))
+NIGHT = "deep_night"
 
 
 def day_mode(hour: Column | str) -> Column:
     h = _c(hour)
-    return (F.when((h >= 5) & (h < 9), F.lit("morning"))
-            .when(((h >= 9) & (h < 12)) | ((h >= 14) & (h < 18)), F.lit("peak"))
-            .when((h >= 12) & (h < 14), F.lit("dip"))
-            .when((h >= 18) & (h < 22), F.lit("evening")).otherwise(F.lit("deep_night")))
+    out = F.lit(NIGHT)
+    for first, last, part in DAY_PARTS:
+        out = F.when((h >= first) & (h < last), F.lit(part)).otherwise(out)
+    return out
 
 
 # What suits each part of the day, and the tier recommended for it.
@@ -185,30 +206,38 @@ def mode_tasks(mode: Column) -> Column:
 
 def energy_label(energy: Column | str) -> Column:
     e = _c(energy)
-    return F.when(e >= 0.7, F.lit("HIGH")).when(e >= 0.5, F.lit("MED")).otherwise(F.lit("LOW"))
+    return _stepped(ENERGY, lambda b: e >= b)
+
+
+# Texts of warnings and recommendations with the bounds that call for them.
+LOW_ENERGY = (0.5, "Low energy day - consider lighter tasks")
+DIP_WARNING = ("dip", "Post-lunch dip - avoid complex architecture")
+TIER_ADVICE = (("CRITICAL", "Switch to Haiku for remaining tasks"), ("LOW", "Avoid Opus unless critical"))
+LATE = (80, "Late in window - prioritize completion")
+OVER_BUDGET = (85, "Budget pressure - consider model downgrade")
+CROWDED = (5, "Batch similar tasks for efficiency")
+HEALTHY = "Session healthy - proceed normally"
+SUCCESS_ADVICE = ((0.5, "Consider waiting for a better hour or using a different model"),
+                  (0.7, "Proceed with caution, break into smaller tasks"), (None, "Good conditions for this task"))
 
 
 def day_warnings(energy: Column | str, mode: Column) -> Column:
     """Array of warnings for a day and mode."""
     return F.array_compact(F.array(
-        F.when(_c(energy) < 0.5, F.lit("Low energy day - consider lighter tasks")),
-        F.when(mode == "dip", F.lit("Post-lunch dip - avoid complex architecture"))))
+        F.when(_c(energy) < LOW_ENERGY[0], F.lit(LOW_ENERGY[1])), F.when(mode == DIP_WARNING[0], F.lit(DIP_WARNING[1]))))
 
 
 def window_advice(tier: Column | str, position: Column | str, budget: Column | str, pending: Column | str) -> Column:
     """Recommendations for the current usage window, never empty."""
     t = _c(tier)
-    recs = F.array_compact(F.array(
-        F.when(t == "CRITICAL", F.lit("Switch to Haiku for remaining tasks"))
-        .when(t == "LOW", F.lit("Avoid Opus unless critical")),
-        F.when(_c(position) > 80, F.lit("Late in window - prioritize completion")),
-        F.when(_c(budget) > 85, F.lit("Budget pressure - consider model downgrade")),
-        F.when(_c(pending) > 5, F.lit("Batch similar tasks for efficiency"))))
-    return F.when(F.size(recs) == 0, F.array(F.lit("Session healthy - proceed normally"))).otherwise(recs)
+    by_tier = F.lit(None).cast("string")
+    for name, text in TIER_ADVICE:
+        by_tier = F.when(t == name, F.lit(text)).otherwise(by_tier)
+    recs = F.array_compact(F.array(by_tier, *[
+        F.when(_c(c) > bound, F.lit(text)) for c, (bound, text) in ((position, LATE), (budget, OVER_BUDGET), (pending, CROWDED))]))
+    return F.when(F.size(recs) == 0, F.array(F.lit(HEALTHY))).otherwise(recs)
 
 
 def success_advice(p: Column | str) -> Column:
     p = _c(p)
-    return (F.when(p < 0.5, F.lit("Consider waiting for a better hour or using a different model"))
-            .when(p < 0.7, F.lit("Proceed with caution, break into smaller tasks"))
-            .otherwise(F.lit("Good conditions for this task")))
+    return _stepped(SUCCESS_ADVICE, lambda b: p < b)

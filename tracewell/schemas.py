@@ -4,63 +4,105 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Table and column names and types. ``timestamp`` columns are epoch seconds, dates are text.
+DDL: dict[str, str] = {
+    "sessions":
+        "id string, project_path string, model string, started_at bigint, ended_at bigint, "
+        "message_count bigint, tool_count bigint, input_tokens bigint, output_tokens bigint, "
+        "cache_read_tokens bigint, outcome string, quality_score double, dq_score double, "
+        "complexity double, cost_estimate double, metadata string",
+    "daily_stats":
+        "date string, opus_messages bigint, opus_tokens_in bigint, opus_tokens_out bigint, "
+        "opus_cache_read bigint, sonnet_messages bigint, sonnet_tokens_in bigint, "
+        "sonnet_tokens_out bigint, sonnet_cache_read bigint, haiku_messages bigint, "
+        "haiku_tokens_in bigint, haiku_tokens_out bigint, haiku_cache_read bigint, session_count bigint, "
+        "tool_calls bigint, cost_estimate double",
+    "routing_decisions":
+        "id bigint, timestamp bigint, query_hash string, query_preview string, complexity double, "
+        "selected_model string, dq_score double, dq_validity double, dq_specificity double, "
+        "dq_correctness double, cost_estimate double, success bigint, feedback_at bigint",
+    "tool_usage":
+        "tool_name string, total_calls bigint, success_count bigint, failure_count bigint, "
+        "last_used bigint, avg_duration_ms double",
+    "hourly_activity":
+        "date string, hour bigint, session_count bigint, message_count bigint",
+    "projects":
+        "id string, name string, path string, last_active bigint, session_count bigint, "
+        "total_messages bigint, total_cost double, status string",
+    "subscription_periods":
+        "id bigint, start_date string, end_date string, rate double, total_value double, "
+        "total_messages bigint, roi double",
+    "metadata":
+        "key string, value string, updated_at bigint",
+    "tool_events":
+        "id bigint, timestamp bigint, tool_name string, success bigint, duration_ms double, "
+        "error_message string, context string, session_id string",
+    "activity_events":
+        "id bigint, timestamp bigint, event_type string, data string, session_id string",
+    "routing_events":
+        "id bigint, timestamp bigint, query_hash string, complexity double, dq_score double, "
+        "chosen_model string, reasoning string, feedback string",
+    "session_outcome_events":
+        "id bigint, timestamp bigint, session_id string, outcome string, quality_score double, "
+        "complexity double, model_used string, cost double, message_count bigint",
+    "command_events":
+        "id bigint, timestamp bigint, command string, args string, success bigint, "
+        "execution_time_ms double",
+    "routing_metrics_events":
+        "id bigint, timestamp bigint, query_id string, predicted_model string, actual_model string, "
+        "dq_score double, complexity double, accuracy bigint, cost_saved double, reasoning string, "
+        "query_text string",
+    "git_events":
+        "id bigint, timestamp bigint, event_type string, repo string, branch string, commit_hash string, "
+        "message string, files_changed bigint, additions bigint, deletions bigint, author string",
+    "self_heal_events":
+        "id bigint, timestamp bigint, error_pattern string, fix_applied string, success bigint, "
+        "execution_time_ms double, error_message string, context string, severity string",
+    "recovery_events":
+        "id bigint, timestamp bigint, error_type string, recovery_strategy string, success bigint, "
+        "attempts bigint, time_to_recover_ms double, error_details string, recovery_method string",
+    "coordinator_events":
+        "id bigint, timestamp bigint, agent_id string, action string, strategy string, file_path string, "
+        "result string, duration_ms double, exit_code bigint",
+    "expertise_routing_events":
+        "id bigint, timestamp bigint, domain string, expertise_level double, query_complexity double, "
+        "chosen_model string, reasoning string, query_hash string",
+    "autonomy_events":
+        "id bigint, timestamp bigint, event_type string, session_id string, tool_name string, "
+        "context string",
+    "autonomy_streaks":
+        "start_ts bigint, end_ts bigint, duration_seconds bigint, tool_count bigint, "
+        "avg_gap_seconds double, projects array<string>, top_tools map<string,bigint>, "
+        "session_ids array<string>",
+    "crm_contacts":
+        "id string, name string, company string, role string, email string, phone string, "
+        "x_handle string, linkedin string, category string, tags string, notes string, source string, "
+        "created_at bigint, updated_at bigint",
+    "crm_deals":
+        "id string, contact_id string, title string, stage string, value double, currency string, "
+        "product string, notes string, next_action string, next_action_date string, created_at bigint, "
+        "updated_at bigint",
+    "crm_interactions":
+        "id string, contact_id string, deal_id string, type string, summary string, sentiment string, "
+        "follow_up string, follow_up_date string, created_at bigint",
+    "memory_items":
+        "id bigint, project string, source string, created_at string",
+    "learnings":
+        "id string, content string, category string, project string, quality double, date string",
+    "error_patterns":
+        "category string, pattern string, count bigint, solution string",
+    "reviews":
+        "id string, content string, category string, next_review string",
+}
 
-def _struct(spec: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "l": T.LongType(), "d": T.DoubleType(), "i": T.IntegerType(),
-             "b": T.BooleanType(), "as": T.ArrayType(T.StringType()), "t": T.TimestampType(),
-             "msl": T.MapType(T.StringType(), T.LongType())}
-    fields = []
-    for part in spec.split():
-        kind, names = part.split("=")
-        fields += [T.StructField(n, kinds[kind]) for n in names.split(",")]
-    return T.StructType(fields)
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "array<string>": T.ArrayType(T.StringType()),
+          "map<string,bigint>": T.MapType(T.StringType(), T.LongType())}
 
 
-_TOKENS = ",".join(f"{m}_{x}" for m in ("opus", "sonnet", "haiku")
-                   for x in ("messages", "tokens_in", "tokens_out", "cache_read"))
+def _struct(ddl: str) -> T.StructType:
+    """``StructType.fromDDL`` needs a session, and schemas are wanted before there is one."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split(" ") for c in ddl.split(", "))])
 
-#: table name -> StructType. ``timestamp`` columns are epoch seconds, dates are text.
-SCHEMAS: dict[str, T.StructType] = {
-    "sessions": _struct("s=id,project_path,model l=started_at,ended_at,message_count,tool_count,input_tokens,"
-                        "output_tokens,cache_read_tokens s=outcome d=quality_score,dq_score,complexity,"
-                        "cost_estimate s=metadata"),
-    "daily_stats": _struct(f"s=date l={_TOKENS},session_count,tool_calls d=cost_estimate"),
-    "routing_decisions": _struct("l=id,timestamp s=query_hash,query_preview d=complexity s=selected_model d=dq_score,"
-                                 "dq_validity,dq_specificity,dq_correctness,cost_estimate l=success,feedback_at"),
-    "tool_usage": _struct("s=tool_name l=total_calls,success_count,failure_count,last_used d=avg_duration_ms"),
-    "hourly_activity": _struct("s=date l=hour,session_count,message_count"),
-    "projects": _struct("s=id,name,path l=last_active,session_count,total_messages d=total_cost s=status"),
-    "subscription_periods": _struct("l=id s=start_date,end_date d=rate,total_value l=total_messages d=roi"),
-    "metadata": _struct("s=key,value l=updated_at"),
-    "tool_events": _struct("l=id,timestamp s=tool_name l=success d=duration_ms s=error_message,context,session_id"),
-    "activity_events": _struct("l=id,timestamp s=event_type,data,session_id"),
-    "routing_events": _struct("l=id,timestamp s=query_hash d=complexity,dq_score s=chosen_model,reasoning,feedback"),
-    "session_outcome_events": _struct("l=id,timestamp s=session_id,outcome d=quality_score,complexity s=model_used "
-                                      "d=cost l=message_count"),
-    "command_events": _struct("l=id,timestamp s=command,args l=success d=execution_time_ms"),
-    "routing_metrics_events": _struct("l=id,timestamp s=query_id,predicted_model,actual_model d=dq_score,complexity "
-                                      "l=accuracy d=cost_saved s=reasoning,query_text"),
-    "git_events": _struct("l=id,timestamp s=event_type,repo,branch,commit_hash,message l=files_changed,additions,"
-                          "deletions s=author"),
-    "self_heal_events": _struct("l=id,timestamp s=error_pattern,fix_applied l=success d=execution_time_ms "
-                                "s=error_message,context,severity"),
-    "recovery_events": _struct("l=id,timestamp s=error_type,recovery_strategy l=success,attempts "
-                               "d=time_to_recover_ms s=error_details,recovery_method"),
-    "coordinator_events": _struct("l=id,timestamp s=agent_id,action,strategy,file_path,result d=duration_ms "
-                                  "l=exit_code"),
-    "expertise_routing_events": _struct("l=id,timestamp s=domain d=expertise_level,query_complexity s=chosen_model,"
-                                        "reasoning,query_hash"),
-    "autonomy_events": _struct("l=id,timestamp s=event_type,session_id,tool_name,context"),
-    "autonomy_streaks": _struct("l=start_ts,end_ts,duration_seconds,tool_count d=avg_gap_seconds as=projects "
-                                "msl=top_tools as=session_ids"),
-    "crm_contacts": _struct("s=id,name,company,role,email,phone,x_handle,linkedin,category,tags,notes,source "
-                            "l=created_at,updated_at"),
-    "crm_deals": _struct("s=id,contact_id,title,stage d=value s=currency,product,notes,next_action,next_action_date "
-                         "l=created_at,updated_at"),
-    "crm_interactions": _struct("s=id,contact_id,deal_id,type,summary,sentiment,follow_up,follow_up_date "
-                                "l=created_at"),
-    "memory_items": _struct("l=id s=project,source,created_at"),
-    "learnings": _struct("s=id,content,category,project d=quality s=date"),
-    "error_patterns": _struct("s=category,pattern l=count s=solution"),
-    "reviews": _struct("s=id,content,category,next_review"),
-}
+
+#: table name -> StructType
+SCHEMAS: dict[str, T.StructType] = {name: _struct(ddl) for name, ddl in DDL.items()}
