@@ -69,7 +69,8 @@ def test_table_default_and_bootstrap(spark, tmp_path):
 
 
 def test_views(spark, store):
-    tables.register_views({n: store[n] for n in ("daily_stats", "sessions", "routing_decisions")})
+    tables.register_views({n: store[n] for n in ("daily_stats", "sessions", "routing_decisions")}, as_of="2026-02-13")
+    assert spark.table("v_subscription_summary").first().total_messages == 361
     assert spark.sql("select opus_pct from v_model_distribution").first()[0] == 78.9
     assert spark.sql("select count(*) from v_recent_sessions").first()[0] == 3
 

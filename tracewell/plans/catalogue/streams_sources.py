@@ -146,15 +146,11 @@ query("b11_j04_export_commands", lambda b: ex.command_usage(ex.decode(b.sync_eve
 query("b11_j04_export_activity", lambda b: ex.activity(ex.decode(b.sync_events)), f"""
     WITH {META} SELECT ts, 'tool_use' AS type, tool, file_path, substr(command, 1, 200) AS command, success,
     session_pwd AS pwd FROM dc {NOT_S}""")
-query("j06_hourly_windows", lambda b: b.activity_events.groupBy(F.window(F.timestamp_seconds("timestamp"), "1 hour"),
-                                                                "event_type").agg(F.count(F.lit(1)).alias("n")).select(
-    F.unix_timestamp("window.start").alias("window_start"), "event_type", "n"), """
+query("j06_hourly_windows", lambda b: live.windowed_counts(b.activity_events, "timestamp", "1 hour", ["event_type"]), """
     SELECT timestamp // 3600 * 3600 AS window_start, event_type, count(*) AS n FROM activity_events GROUP BY 1, 2""")
-query("j07_session_windows", lambda b: b.tool_events.groupBy(
-    F.session_window(F.timestamp_seconds("timestamp"), "2 hours"), "session_id").agg(
-    F.count(F.lit(1)).alias("event_count"), F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"))
-    .drop("session_window"), """
-    WITH o AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER w <= 7200 THEN 0 ELSE 1 END AS nw FROM tool_events
+query("j07_session_windows", lambda b: live.stream_sessions(b.tool_events, "timestamp", "2 hours", ["session_id"]).drop(
+    "duration_seconds"), """
+    WITH o AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER w < 7200 THEN 0 ELSE 1 END AS nw FROM tool_events
                WINDOW w AS (PARTITION BY session_id ORDER BY timestamp, id)),
     i AS (SELECT *, sum(nw) OVER (PARTITION BY session_id ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS g FROM o)
     SELECT session_id, count(*) AS event_count, min(timestamp) AS start_ts, max(timestamp) AS end_ts FROM i

@@ -62,8 +62,8 @@ def bootstrap(spark: SparkSession, root: str) -> list[str]:
     return made
 
 
-def register_views(tables: Mapping[str, DataFrame]) -> None:
-    """Expose tables and the stored views to SQL."""
+def register_views(tables: Mapping[str, DataFrame], as_of: str | None = None) -> None:
+    """Expose tables and the stored views to SQL; the subscription summary needs the day ``as_of``."""
     from tracewell.operators import daily, routing, sessions
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
@@ -72,6 +72,8 @@ def register_views(tables: Mapping[str, DataFrame]) -> None:
         daily.view_daily_costs(d).createOrReplaceTempView("v_daily_costs")
         daily.view_model_distribution(d).createOrReplaceTempView("v_model_distribution")
         daily.view_token_totals(d).createOrReplaceTempView("v_token_totals")
+        if as_of:
+            daily.view_subscription(d, as_of=as_of).createOrReplaceTempView("v_subscription_summary")
     if "sessions" in tables:
         sessions.recent_sessions(tables["sessions"]).createOrReplaceTempView("v_recent_sessions")
     if "routing_decisions" in tables:

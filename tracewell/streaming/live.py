@@ -56,12 +56,19 @@ def windowed_counts(stream: DataFrame, ts: str, width: str, keys: Sequence[str]
 
 def stream_sessions(stream: DataFrame, ts: str, gap: str, keys: Sequence[str], *, min_s: int = 0,
                     watermark: str = WATERMARK) -> DataFrame:
-    """Gap sessions per key. Spark needs a key here; the window merges on write,
-    so its state is one row per open session."""
+    """Gap sessions per key; Spark needs a key here.
+
+    The state of a stream is one row per open session, but the rows of a key in one
+    batch are sorted in one task. A batch frame is counted per key and second first,
+    so a key is at most 86,400 rows a day there.
+    """
     if not keys:
         raise ValueError("streaming sessions need at least one key")
-    s = event_time(stream, ts, watermark=watermark).groupBy(F.session_window("event_time", gap), *keys).agg(
-        F.count(F.lit(1)).alias("event_count"), F.min("event_time").alias("_s"), F.max("event_time").alias("_e"))
+    timed = event_time(stream, ts, watermark=watermark).withColumn("_n", F.lit(1).cast("bigint"))
+    if not stream.isStreaming:
+        timed = timed.groupBy(F.date_trunc("second", "event_time").alias("event_time"), *keys).agg(F.count(F.lit(1)).alias("_n"))
+    s = timed.groupBy(F.session_window("event_time", gap), *keys).agg(
+        F.sum("_n").alias("event_count"), F.min("event_time").alias("_s"), F.max("event_time").alias("_e"))
     start, end = F.unix_timestamp("_s"), F.unix_timestamp("_e")
     return s.select(*keys, start.alias("start_ts"), end.alias("end_ts"), (end - start).alias("duration_seconds"),
                     "event_count").filter(F.col("duration_seconds") >= min_s)
