@@ -78,11 +78,11 @@ def test_streak_table_lists(spark):
 
 
 @pytest.mark.parametrize("keys", [[], ["session_id"]])
-@pytest.mark.parametrize("width,block", [(1, None), (700, None), (10**7, 50), (700, 7), (3600, 100_000)])
-def test_pairs(spark, keys, width, block):
+@pytest.mark.parametrize("width,blocks", [(1, ()), (700, ()), (10**7, (50,)), (700, (3, 12)), (3600, windows.ID_BLOCKS)])
+def test_pairs(spark, keys, width, blocks):
     rows, df = skewed_events(spark, 900)
     got = windows.consecutive_pairs(df, "tool_name", "timestamp", "id", keys=keys, slice_seconds=width,
-                                    id_block=block)
+                                    id_blocks=blocks)
     counts = {(r.previous, r.next): r["count"] for r in got.groupBy("previous", "next").count().collect()}
     want = {}
     for s in ({r[2] for r in rows} if keys else {None}):
@@ -98,7 +98,7 @@ def test_percentile(spark, monkeypatch, n, q):
     values = [7.5 if i % 3 == 0 else rnd.uniform(-50, 1000) for i in range(n)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     want = sorted(values)[min(int(n * q), n - 1)]
-    assert windows.rank_percentile(df, "v", q, bounded=True).first()[0] == want
+    assert windows.rank_percentile(df, "v", q).first()[0] == want
     monkeypatch.setattr(windows, "MAX_ORDERED_VALUES", 5)   # forces several rounds
     assert windows.rank_percentile(df, "v", q).first()[0] == want
 
@@ -106,7 +106,7 @@ def test_percentile(spark, monkeypatch, n, q):
 def test_percentile_of_nothing(spark):
     df = spark.createDataFrame([], "v double")
     assert windows.rank_percentile(df, "v", 0.95).count() == 0
-    assert windows.rank_percentile(df, "v", 0.95, bounded=True).count() == 0
+    assert windows.rank_percentile(df, "v", 0.95).count() == 0
 
 
 @pytest.mark.parametrize("limit", [None, 50])

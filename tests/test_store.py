@@ -72,3 +72,15 @@ def test_streaks_and_panels(spark, lake, tmp_path):
     assert spark.read.json(f"{tmp_path}/autonomy_stats").first().total_streaks == 1
     live = {(r.section, r.metric): r.value for r in lake.live_snapshot(as_of=NOW, day="2026-02-12").collect()}
     assert live["totals", "total_messages"] == 361 and live["today", "messages"] == 143
+
+
+def test_events_lie_in_days(spark, tmp_path):
+    lake = TelemetryStore(spark, str(tmp_path))
+    day = 86400
+    rows = spark.createDataFrame([(i, NOW - i * day) for i in range(5)] + [(9, None)], "id long, timestamp long")
+    lake.append("tool_events", rows)
+    recent = lake.table("tool_events", since=NOW - day)
+    assert sorted(r.id for r in recent.filter(f"timestamp >= {NOW - day}").collect()) == [0, 1]
+    assert lake.table("tool_events").count() == 6 and "event_date" not in lake.table("tool_events").columns
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.exprs import month_of
@@ -68,8 +68,8 @@ def tag_counts(items: DataFrame, tags: Column, n: int = 12) -> DataFrame:
     """Top tags overall and by knowledge type, with the number of distinct tags."""
     t = items.select("type", F.explode(tags).alias("tag"))
     counts = t.groupBy("tag").agg(_n().alias("n"), *[F.count_if(F.col("type") == k).alias(k) for k in KNOWLEDGE_TYPES])
-    distinct = F.count(F.lit(1)).over(Window.partitionBy())  # a row per tag
-    return top(counts.withColumn("unique_tags", distinct), n, "-n", "tag")
+    unique = counts.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return top(counts, n, "-n", "tag").withColumn("unique_tags", unique)
 
 
 def monthly_growth(items: DataFrame) -> DataFrame:

@@ -118,13 +118,13 @@ def recent_sessions(sessions: DataFrame, n: int = 100) -> DataFrame:
 def recent_with_outcomes(sessions: DataFrame, outcomes: DataFrame, n: int = 50) -> DataFrame:
     """The newest ``n`` joined rows, with fallback quality and complexity.
 
-    The cut is on joined rows, so only the newest ``n`` sessions can appear. They
-    are cut first and, being at most ``n`` rows, broadcast to the events.
+    The cut is on joined rows, so only the newest ``n`` sessions can appear, and they
+    are cut first. Whether ``n`` rows are few enough to be broadcast is Spark's choice.
     """
     newest = top(sessions.filter(F.col("started_at").isNotNull()).drop("quality", "complexity"), n,
                  "-started_at", "id")
     events = outcomes.select(F.col("session_id").alias("_sid"), F.col("quality_score").alias("quality"), "complexity")
-    matched = events.join(F.broadcast(newest), F.col("_sid") == F.col("id")).drop("_sid")
+    matched = events.join(newest, F.col("_sid") == F.col("id")).drop("_sid")
     bare = newest.join(matched.select("id").distinct(), "id", "left_anti")
     joined = matched.unionByName(bare, allowMissingColumns=True)
     row = top(joined, n, "-started_at", "id", "quality", "complexity")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.exprs import day_of, hour_of, mean, pct, rnd, zero_if_null
@@ -143,9 +143,9 @@ def command_weights(log: DataFrame, n: int = 15) -> DataFrame:
 def tool_summary(events: DataFrame, n: int = 20) -> DataFrame:
     """Top tools with the total and the number of distinct tools beside them."""
     counts = events.groupBy("tool_name").agg(_n().alias("calls"))
-    every = Window.partitionBy()  # a row per distinct tool
-    return top(counts.withColumns({"total_calls": F.sum("calls").over(every),
-                                   "unique_tools": F.count(F.lit(1)).over(every)}), n, "-calls", "tool_name")
+    whole = lambda c: counts.agg(c.alias("v")).scalar()
+    return top(counts, n, "-calls", "tool_name").withColumns({
+        "total_calls": whole(F.sum("calls")), "unique_tools": whole(F.count(F.lit(1)))})
 
 
 def productivity(events: DataFrame) -> DataFrame:

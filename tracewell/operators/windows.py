@@ -70,8 +70,9 @@ def rank_top(df: DataFrame, by: str, n: int, ties: Sequence[str], alias: str = "
 def arg_max(df: DataFrame, by: str, take: Sequence[str], ties: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """The row with the largest ``by`` (per group); ties go to the smallest ``ties``.
 
-    A hash aggregate over one struct per group: partial maxima are combined on
-    the map side, nothing is sorted.
+    One struct per group, combined on the map side before the shuffle. Where text is
+    taken along the aggregate sorts its input within each task; the shuffle carries a
+    row per group and task all the same.
     """
     row = F.struct((-F.col(by)).alias("_o"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(ties)],
                    *[F.col(c).alias(f"_v{i}") for i, c in enumerate(take)])
@@ -80,30 +81,29 @@ def arg_max(df: DataFrame, by: str, take: Sequence[str], ties: Sequence[str], gr
     return best.select(*group, *[F.col(f"_b._v{i}").alias(c) for i, c in enumerate(take)])
 
 
-#: Most events of one key and instant that are ordered together.
-ID_BLOCK = 100_000
+#: Widths of the blocks of ids of one key and instant. Each is 2^17 times the one before,
+#: so however ids are spread, dense or hashed, a block holds at most 2^18 rows.
+ID_BLOCKS = (1 << 17, 1 << 34, 1 << 51)
 
 
 def consecutive_pairs(df: DataFrame, value: str, ts: str, tie: str, *, keys: Sequence[str] = (),
-                      slice_seconds: int = SLICE_SECONDS, id_block: int | None = ID_BLOCK,
+                      slice_seconds: int = SLICE_SECONDS, id_blocks: Sequence[int] = ID_BLOCKS,
                       gap: bool = False) -> DataFrame:
     """(previous, next) of neighbouring events within a key, in time order.
 
     Each key is cut into slices and ``lag`` runs inside a slice; the first and
     the last event of every slice, two rows however many events it holds, go on
-    to the next, coarser level. The levels are (instant, block of ids), then
-    ``slice_seconds``, then the key. No task orders more than ``id_block`` events
-    of one instant at the first level, so a key, an hour or a single instant that
-    owns a third of all events, or no key at all (``keys=()``), spreads out.
-    ``tie`` must be a whole number for that; ``id_block=None`` skips the first
-    level and saves a shuffle where hours are known to be moderate.
+    to the next, coarser level. The levels are (instant, block of ids) by growing
+    width, then ``slice_seconds``, then the key. So a key, an hour or a single instant
+    that owns a third of all events, or no key at all (``keys=()``), spreads out.
+    ``tie`` must be a whole number for that; ``id_blocks=()`` skips the first levels
+    and saves their shuffles where hours are known to be moderate.
     """
     rows = df.select(*keys, F.col(ts).alias("_ts"), F.col(tie).alias("_id"), F.col(value).alias("_v"),
                      F.lit(True).alias("_head"))
     hour = F.floor(F.col("_ts") / F.lit(slice_seconds))
     levels = [[hour], []]
-    if id_block is not None:
-        levels.insert(0, [F.col("_ts"), F.floor(F.col("_id") / F.lit(id_block))])
+    levels = [[F.col("_ts"), F.floor(F.col("_id") / F.lit(width))] for width in id_blocks] + levels
     parts = []
     for level in levels:
         w = Window.partitionBy(*keys, *level).orderBy("_ts", "_id")
@@ -169,50 +169,40 @@ MAX_ORDERED_VALUES = 100_000
 _BINS = 4096
 
 
-def rank_percentile(df: DataFrame, col: str, q: float, *, bounded: bool = False) -> DataFrame:
+def rank_percentile(df: DataFrame, col: str, q: float) -> DataFrame:
     """Exact element at index ``floor(q * n)`` of the sorted values (no row when empty).
 
-    ``bounded`` says that the column has few distinct values (say, whole
-    milliseconds below a limit). They are counted with map-side combine and the
-    short frequency table is ordered.
-
-    Otherwise the rank is located by refining a histogram: each round is one
+    The rank is located by refining a histogram: each round is one
     aggregate over at most 4096 bins, whose result narrows a literal range that
     reaches the scan as a filter, until few enough values are left to order. Bins
     with many equal values collapse in the count, so skew does not matter. The
     rounds run when the operator is called.
     """
     values = df.filter(F.col(col).isNotNull()).select(F.col(col).alias("_v"))
-    before, rank = 0, None
-    if not bounded:
-        n, lo, hi = values.agg(F.count(F.lit(1)), F.min("_v"), F.max("_v")).first()
-        if not n:
-            return values.select(F.col("_v").alias("value"))
-        rank = min(int(n * q), n - 1)
-        size = n
-        while size > MAX_ORDERED_VALUES and lo < hi:
-            width = (float(hi) - float(lo)) / _BINS
-            bin_ = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(width)), F.lit(_BINS - 1))
-            inside = values.filter(F.col("_v").between(lo, hi))
-            # One row per non-empty bin, at most _BINS of them.
-            bins = inside.groupBy(bin_.alias("_b")).agg(
-                F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).orderBy("_b").collect()
-            for b in bins:
-                if before + b.n > rank:
-                    break
-                before += b.n
-            if b.n == size:
+    before = 0
+    n, lo, hi = values.agg(F.count(F.lit(1)), F.min("_v"), F.max("_v")).first()
+    if not n:
+        return values.select(F.col("_v").alias("value"))
+    rank = min(int(n * q), n - 1)
+    size = n
+    while size > MAX_ORDERED_VALUES and lo < hi:
+        width = (float(hi) - float(lo)) / _BINS
+        bin_ = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(width)), F.lit(_BINS - 1))
+        inside = values.filter(F.col("_v").between(lo, hi))
+        # One row per non-empty bin, at most _BINS of them.
+        bins = inside.groupBy(bin_.alias("_b")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).orderBy("_b").collect()
+        for b in bins:
+            if before + b.n > rank:
                 break
-            size, lo, hi = b.n, b.lo, b.hi
-        values = values.filter(F.col("_v").between(lo, hi))
+            before += b.n
+        if b.n == size:
+            break
+        size, lo, hi = b.n, b.lo, b.hi
+    values = values.filter(F.col("_v").between(lo, hi))
     counts = values.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy()
     upto = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    if rank is None:
-        total = F.sum("_n").over(whole)
-        target = F.least(F.floor(total * F.lit(q)), total - 1)
-    else:
-        target = F.lit(rank - before)
+    target = F.lit(rank - before)
     located = counts.withColumns({"_end": F.sum("_n").over(upto), "_target": target})
     return located.filter((F.col("_end") > F.col("_target")) & (F.col("_end") - F.col("_n") <= F.col("_target"))).select(
         F.col("_v").alias("value"))
@@ -247,7 +237,7 @@ def spread(daily: DataFrame, day: str, total: str, hours: DataFrame, hour: str,
     """Day total spread over the hours by weight, each part truncated."""
     share = hours.select(hour, F.col(weight).alias("_w"), F.sum(weight).over(Window.partitionBy()).alias("_sum"))
     grid = daily.select(day, F.col(total).alias("_t"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("_h"))
-    return grid.join(F.broadcast(share), F.col("_h") == F.col(hour)).select(
+    return grid.join(share, F.col("_h") == F.col(hour)).select(
         day, F.col(hour), F.floor(F.col("_t") * F.col("_w") / F.greatest("_sum", F.lit(1))).alias("part"))
 
 

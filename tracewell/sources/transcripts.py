@@ -42,8 +42,8 @@ def parse_turns(lines: DataFrame) -> DataFrame:
     """Canonical turns from raw transcript lines (``_raw``, ``_file``).
 
     The session id is the stem of the file name. ``turn`` orders the entries of
-    a session by time and, within the same instant, by their text, because the
-    position of a line in its file is not kept by a distributed read.
+    a session by their instant, whatever form it is written in, and within it by the
+    text, because the position of a line in its file is not kept by a distributed read.
     """
     v = lines.withColumn("_v", F.try_parse_json(RAW)).filter(F.col("_v").isNotNull())
     top, msg = F.col("_v"), F.try_variant_get("_v", "$.message", "variant")
@@ -54,12 +54,13 @@ def parse_turns(lines: DataFrame) -> DataFrame:
     content = F.try_variant_get("_m", "$.content", "variant")
     text = F.when(_is_string(F.col("_m")), _get(F.col("_m"), "$", "string")).otherwise(content_text(content))
     names = F.when(F.col("type") == "assistant", tool_names(content)).otherwise(F.array().cast("array<string>"))
+    at = event_ts("_ts")
     return shaped.select(
-        "session_id", F.unix_timestamp(event_ts("_ts")).alias("timestamp"), "type", text.alias("text"),
+        "session_id", F.unix_timestamp(at).alias("timestamp"), "type", text.alias("text"),
         _get(F.col("_m"), "$.model", "string").alias("model"), names.alias("tool_names"),
         F.size(names).cast("bigint").alias("tools"), _get(F.col("_m"), "$.stopReason", "string").alias("stop_reason"),
         *[_get(F.col("_m"), f"$.usage.{src}", "bigint").alias(n) for n, src in _USAGE.items()],
-        F.struct(F.col("_ts"), F.xxhash64(RAW)).alias("turn"))
+        F.struct(at.alias("at"), F.col("_ts"), F.xxhash64(RAW)).alias("turn"))
 
 
 def read_transcripts(spark: SparkSession, directory: str) -> DataFrame:

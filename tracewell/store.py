@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tracewell.functions.exprs import day_of
 from tracewell.operators import daily, filters, recovery, routing, sessions, streaks
 from tracewell.operators.ordering import top
 from tracewell.schemas import SCHEMAS
@@ -22,6 +24,9 @@ from tracewell.sources.tables import read_table
 #: Tables changed by key; all others only grow.
 KEYED = {"sessions": ["id"], "daily_stats": ["date"], "routing_decisions": ["id"], "tool_usage": ["tool_name"],
          "hourly_activity": ["date", "hour"], "autonomy_streaks": ["start_ts"]}
+#: Partition column of event tables, and its value for rows without a time: later than any day,
+#: so a bound on the day leaves those rows to the filter on the time itself.
+DAY, NO_DAY = "event_date", "unknown"
 
 
 class TelemetryStore:
@@ -31,18 +36,25 @@ class TelemetryStore:
         self.spark, self.root = spark, root
         self._keyed = {n: SnapshotTable(spark, f"{root}/{n}", SCHEMAS[n]) for n in KEYED}
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, since: int | None = None) -> DataFrame:
+        """A table by name. Event tables lie in folders by day (UTC): ``since``, in epoch seconds, leaves out the days before."""
         if name in self._keyed:
             return self._keyed[name].read()
-        return read_table(self.spark, f"{self.root}/{name}", SCHEMAS[name])
+        days = T.StructType([*SCHEMAS[name].fields, T.StructField(DAY, T.StringType())])
+        rows = read_table(self.spark, f"{self.root}/{name}", days)
+        if since is not None:
+            rows = rows.filter(F.col(DAY) >= day_of(F.lit(since)))
+        return rows.select(*SCHEMAS[name].names)
 
     # ---- writes ----------------------------------------------------------
     def append(self, name: str, rows: DataFrame) -> None:
-        """Append events; columns the batch lacks become NULL."""
+        """Append events to the folders of their days; columns the batch lacks become NULL."""
         schema = SCHEMAS[name]
         cols = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                 for f in schema.fields]
-        append_rows(rows.select(*cols), f"{self.root}/{name}")
+        out = rows.select(*cols)
+        day = day_of("timestamp") if "timestamp" in schema.names else F.lit(None).cast("string")
+        append_rows(out.withColumn(DAY, F.coalesce(day, F.lit(NO_DAY))), f"{self.root}/{name}", partition_by=DAY)
 
     def _replace(self, name: str, rows: DataFrame, source: str | None, order: tuple[str, ...] = ()) -> int:
         return self._keyed[name].update(
