@@ -13,6 +13,7 @@ NESTED_LOOP_OK = {"b09_autonomy_streaks_table", "d05_open_sessions_at_streaks"}
 
 
 def plan(spark, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")     # whole schemas
     return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
