@@ -9,6 +9,7 @@ calendar arithmetic does not depend on the session time zone.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,21 +37,24 @@ def rnd(c: Column | str, digits: int = 0) -> Column:
     return F.when(F.abs(x * scale) < F.lit(float(2**52)), F.floor(x * scale + F.lit(0.5)) / scale).otherwise(x)
 
 
-#: Sums are exact down to twelve decimals; a value or sum of 10^26 or more is an error.
-EXACT = "decimal(38,12)"
+def exact_total(c: Column | str) -> Column:
+    """Sum as a decimal that does not depend on the order of addition, hence on partitioning and retries.
 
-
-def exact(c: Column | str) -> Column:
-    """The value as a decimal, for sums of sums."""
-    return _c(c).cast(EXACT)
+    Values are taken to the grid of nine decimals and added as whole numbers: units,
+    ten-thousandths and the rest of the grid apart, so the last two cannot overflow below
+    9 * 10^13 rows. A value or sum beyond 64 bits is an error. NULL without values.
+    """
+    x = _c(c).cast("double")
+    whole = x.cast("bigint")
+    grid = F.rint((x - whole) * F.lit(1e9)).cast("bigint")
+    low = grid % F.lit(100_000)
+    units = F.sum(((grid - low) / F.lit(100_000)).cast("bigint")).cast("decimal(20,0)") * F.lit(100_000) + F.sum(low)
+    return F.sum(whole).cast("decimal(28,9)") + (units.cast("decimal(24,0)") * F.lit(Decimal("0.000000001"))).cast("decimal(28,9)")
 
 
 def exact_sum(c: Column | str) -> Column:
-    """Sum that does not depend on the order of addition, hence on partitioning and retries.
-
-    Doubles are added as decimals, which is exact, and turned back once at the end.
-    """
-    return F.sum(exact(c)).cast("double")
+    """:func:`exact_total`, turned into a double once at the end."""
+    return exact_total(c).cast("double")
 
 
 def mean(c: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.exprs import (
-    MILLIS_CUTOFF, MODEL_TIERS, day_of, exact, falsy, mean, pct, rnd)
+    MILLIS_CUTOFF, MODEL_TIERS, day_of, exact_total, falsy, mean, pct, rnd)
 from tracewell.functions.scoring import RELATIVE_COST, complexity_level
 from tracewell.operators.filters import within_days
 from tracewell.operators.joins import most_frequent
@@ -124,8 +124,8 @@ def _levels() -> list[Column]:
 def _domain_models(events: DataFrame) -> DataFrame:
     """Counts and sums per (domain, model): a few rows, built by a hash aggregate."""
     return events.groupBy("domain", "chosen_model").agg(
-        _n().alias("n"), F.sum(exact("expertise_level")).alias("e"), F.count("expertise_level").alias("en"),
-        F.sum(exact("query_complexity")).alias("c"), F.count("query_complexity").alias("cn"))
+        _n().alias("n"), exact_total("expertise_level").alias("e"), F.count("expertise_level").alias("en"),
+        exact_total("query_complexity").alias("c"), F.count("query_complexity").alias("cn"))
 
 
 def _folded_levels(digits: int) -> list[Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import scoring
-from tracewell.functions.exprs import MODEL_TIERS, day_of, exact, exact_sum, mean, minutes_between, pct, preview, rnd
+from tracewell.functions.exprs import MODEL_TIERS, day_of, exact_sum, exact_total, mean, minutes_between, pct, preview, rnd
 from tracewell.operators.filters import within_days
 from tracewell.operators.ordering import top
 from tracewell.operators.windows import arg_max
@@ -71,7 +71,7 @@ def outcome_daily(sessions: DataFrame, outcomes: DataFrame, *, dedupe: bool = Fa
     which equals the joined rows without ever forming them.
     """
     per = outcomes.groupBy(F.col("session_id").alias("_sid")).agg(
-        _n().alias("_k"), F.sum(exact("quality_score")).alias("_q"), F.count("quality_score").alias("_qn"))
+        _n().alias("_k"), exact_total("quality_score").alias("_q"), F.count("quality_score").alias("_qn"))
     s = sessions.filter(F.col("started_at").isNotNull())
     joined = s.join(per, s["id"] == per["_sid"], "left")
     weight = F.lit(1) if dedupe else F.coalesce("_k", F.lit(1))

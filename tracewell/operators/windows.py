@@ -81,9 +81,10 @@ def arg_max(df: DataFrame, by: str, take: Sequence[str], ties: Sequence[str], gr
     return best.select(*group, *[F.col(f"_b._v{i}").alias(c) for i, c in enumerate(take)])
 
 
-#: Widths of the blocks of ids of one key and instant. Each is 2^17 times the one before,
-#: so however ids are spread, dense or hashed, a block holds at most 2^18 rows.
-ID_BLOCKS = (1 << 17, 1 << 34, 1 << 51)
+#: Widths of the blocks of ids of one key and instant. However ids are spread, dense or
+#: hashed, a block of the first holds at most 2^20 rows and one of the second the ends of
+#: 2^22 blocks; an instant holds the ends of 2^21.
+ID_BLOCKS = (1 << 20, 1 << 42)
 
 
 def consecutive_pairs(df: DataFrame, value: str, ts: str, tie: str, *, keys: Sequence[str] = (),

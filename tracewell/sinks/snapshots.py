@@ -148,11 +148,13 @@ def upsert_replace(old: DataFrame, new: DataFrame, keys: Sequence[str], order: S
     cols = [F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType) for c in old.columns]
     row = F.struct(*[c.alias(n) for c, n in zip(cols, old.columns)])
     last = F.struct(*order) if order else F.struct(F.lit(0))
-    ranked = new.select(*keys, last.alias("_v"), row.alias("_r"), F.to_json(row, {"ignoreNullFields": "false"}).alias("_t"))
-    newest = ranked.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("_v").alias("_m"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_v") == F.col("_m")]
-    top = ranked.join(newest, same).groupBy(*keys).agg(F.count_distinct("_t").alias("_n"), F.any_value("_r").alias("_r"))
-    kept = top.select(_single(F.col("_n"), F.col("_r"), "several new rows for one key and no order between them").alias("_r"))
+    mark = F.xxhash64(F.to_json(row, {"ignoreNullFields": "false"}))
+    # The largest and the smallest hash among the last rows of a key: different if these are.
+    both = new.select(*keys, row.alias("_r"), F.struct(last.alias("v"), mark.alias("h")).alias("_a"),
+                      F.struct(last.alias("v"), F.bitwise_not(mark).alias("h")).alias("_b"))
+    top = both.groupBy(*keys).agg(F.max_by("_r", "_a").alias("_r"), F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    differ = F.when(F.col("_a.h") == F.bitwise_not(F.col("_b.h")), F.lit(1)).otherwise(F.lit(2))
+    kept = top.select(_single(differ, F.col("_r"), "several new rows for one key and no order between them").alias("_r"))
     kept = kept.select("_r.*")
     return kept.unionByName(old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*old.columns))
 
