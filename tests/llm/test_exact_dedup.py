@@ -75,6 +75,16 @@ def test_long_text_in_stretches(spark, monkeypatch):
     assert result(X.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_runs_of_one_byte(spark, monkeypatch):
+    """Their blocks do not shrink around longer grams."""
+    r = random.Random(7)
+    rows = [(1, "0" * 600_000), (2, "x" * 400), (3, "".join(r.choice("abcdefgh") for _ in range(900)))]
+    assert result(X.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    monkeypatch.setattr(X, "ARRAY_BYTES", 3000)
+    rows = [(n, rows[2][1][n:n + 20] + "-" * n + "end") for n in range(401, 431)] + rows[1:]
+    assert result(X.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 def test_odd_rows(odd, none):
     out = X.remove_repeats(odd)
     assert by_row(out, "doc_id") == by_row(odd, "doc_id") and X.remove_repeats(none).count() == 0

@@ -8,7 +8,8 @@ numbers move at first. An anchor met in one block only, once, cannot hold a repe
 Blocks equal throughout repeat as a whole. What is left, different blocks around one
 anchor, is settled by suffix arrays over one copy of each block, small anchors packed
 together into one array. An anchor with too many different blocks for one task is cut
-again around longer grams, in the end as long as the window itself.
+again around longer grams, in the end as long as the window itself: all windows of such
+an anchor are one string, so they are settled by their number.
 """
 
 from __future__ import annotations
@@ -138,13 +139,17 @@ def _settle(pieces: DataFrame, level: int) -> DataFrame:
     inner = _cut(pieces.join(large, "h", "left_semi").withColumnsRenamed({"h": "ph", "c": "pc"}), "data", level + 1,
                  ["ph", "pc", "weight", "data"], whole)
     inner = checkpointed(_shared(inner, "weight"))
+    # Around grams as long as the window, different blocks are runs of one string and differ in length only.
+    last = GRAMS[level + 1] == LENGTH
+    alike = (inner if last else inner.filter("NOT mixed")).select(
+        F.col("ph").alias("h"), F.col("pc").alias("c"), F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
+    if last:
+        return out.union(alike)
     mixed = inner.filter("mixed")
     first = mixed.groupBy("h", "c").agg(F.sum("weight").alias("weight"), F.min(F.struct("ph", "pc", "start")).alias("of"))
     data = mixed.join(first.select("h", "c", F.col("weight").alias("all"), "of.*"), ["h", "c", "ph", "pc", "start"]).select(
         "h", "c", F.col("all").alias("weight"), F.expr(f"substring(data, int(start + 1), int(n + {LENGTH - 1}))").alias("data"))
     deeper = _settle(data, level + 1)
-    alike = inner.filter("NOT mixed").select(F.col("ph").alias("h"), F.col("pc").alias("c"), F.col("start").alias("a"),
-                                             (F.col("start") + F.col("n")).alias("b"))
     apart = mixed.select("h", "c", "ph", "pc", "start").join(deeper, ["h", "c"]).select(
         F.col("ph").alias("h"), F.col("pc").alias("c"), F.expr("start + a").alias("a"), F.expr("start + b").alias("b"))
     return out.union(alike).union(apart)
