@@ -49,6 +49,19 @@ def test_base_spans():
     ("ip one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one"),
     ("\uff11\uff19\uff12.168.1.1 up", "ip", "\uff11\uff19\uff12.168.1.1"),
     ("4111\u200b1111 1111\u00ad1111", "card", "4111\u200b1111 1111\u00ad1111"),
+    ("call plus one four one five five five five two six seven one, 24 hours a day", "phone",
+     "plus one four one five five five five two six seven one"),
+    ("+1 415 five five five two six seven one, 9am to 5pm", "phone", "+1 415 five five five two six seven one"),
+    ("+1 four one five five five five 2671", "phone", "+1 four one five five five five 2671"),
+    ("four one one one one one one one one one one one one one one one - 12/29", "card",
+     "four one one one one one one one one one one one one one one one"),
+    ("four one one one one one one one one one one one one one one one 12/29", "card",
+     "four one one one one one one one one one one one one one one one"),
+    ("20 four one one one one one one one one one one one one one one one", "card",
+     "four one one one one one one one one one one one one one one one"),
+    ("four one one one one one one one one one one one one one one one. 20 more", "card",
+     "four one one one one one one one one one one one one one one one"),
+    ("ip one nine two dot 168 dot zero dot one", "ip", "one nine two dot 168 dot zero dot one"),
 ])
 def test_disguises(text, kind, what):
     found = [s for s in pii.find(text) if not s[3]]

@@ -129,7 +129,7 @@ _OPEN, _SHUT = r"[ \t]{0,3}[\[({<][ \t]{0,3}", r"[ \t]{0,3}[\])}>][ \t]{0,3}"
 _AT, _DOT = r"(?:at|@)", r"(?:dot|punkt|point|punto|\.)"
 _NAME, _HOST = r"[a-z0-9_%+-]{1,64}", r"[a-z0-9-]{1,63}"
 _DIGIT_WORD = "(?:" + "|".join(NUMERALS) + ")"
-_UNIT = rf"(?:{_DIGIT_WORD}|[0-9])"
+_UNIT = rf"(?:{_DIGIT_WORD}|[0-9]++)(?![a-z0-9])"
 BRACKETED = [(re.compile(_OPEN + _AT + _SHUT, re.I), "@"), (re.compile(_OPEN + _DOT + _SHUT, re.I), ".")]
 # "name at host dot com": both words must be there, between parts of an address.
 _SEP = r"(?:\.|[ \t]{1,3}dot[ \t]{1,3})"
@@ -137,8 +137,8 @@ SPOKEN = re.compile(rf"(?<![a-z0-9_%+-]){_NAME}(?:{_SEP}{_NAME}){{0,4}}(?:[ \t]{
                     rf"[ \t]{{1,3}}dot[ \t]{{1,3}}{_HOST}(?:{_SEP}{_HOST}){{0,4}}", re.I)
 SPOKEN_PART = re.compile(r"[ \t]{1,3}(at|dot)[ \t]{1,3}", re.I)
 SPELLED = re.compile(rf"(?<![a-z0-9])(?:plus[ \t-]{{1,3}}|\+[ \t]?)?{_UNIT}(?:(?:[ \t,-]{{1,3}}(?:dot|point)[ \t,-]{{1,3}}|[ \t,.-]{{1,3}})"
-                     rf"{_UNIT})++(?![a-z0-9])", re.I)
-SPELLED_PART = re.compile(rf"{_DIGIT_WORD}|plus|dot|point|[0-9+.]", re.I)
+                     rf"{_UNIT})++", re.I)
+SPELLED_PART = re.compile(rf"{_DIGIT_WORD}|plus|dot|point|[0-9]+|[+.]", re.I)
 # What a lower-cased text must hold for the rules above to find anything.
 _BRACKET_CUE = re.compile(rf"[\[({{<][ \t]{{0,3}}(?:{_AT}|{_DOT})[ \t]{{0,3}}[\])}}>]")
 _SPOKEN_CUE = re.compile(r"[ \t]dot[ \t]")
@@ -151,6 +151,7 @@ class Traced:
     def __init__(self, text: str):
         self.text, self.start, self.end = text, range(len(text)), range(1, len(text) + 1)
         self.changed: list[tuple[int, int]] = []      # source ranges
+        self.mixed = False      # whether a spelled run holds numerals of two or more digits
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace disjoint, ascending ranges; what comes in for a range stands for all of it."""
@@ -167,7 +168,32 @@ class Traced:
         self.start, self.end = start + [*self.start[at:]], end + [*self.end[at:]]
 
 
-def normalise(text: str) -> Traced:
+def spelled_edits(text: str, m: re.Match, apart: bool) -> tuple[list[tuple[int, int, str]], bool]:
+    """What makes a spelled run ``m`` a number, and whether numerals of two or more digits stand in it.
+
+    Such a numeral may belong to the number or only follow it. It keeps the separators
+    around it, or with ``apart`` is parted from the rest by a character of no identifier.
+    """
+    edits, at, before, some = [], m.start(), "", False
+    for p in SPELLED_PART.finditer(text, *m.span()):
+        word = p[0].lower()
+        new = NUMERALS.get(word, {"plus": "+", "dot": ".", "point": "."}.get(word, word))
+        numeral = word.isdigit() and len(word) > 1
+        some |= numeral
+        if before not in ("", "plus", "+", "dot", "point") and new.isdigit() and (numeral or before.isdigit() and len(before) > 1):
+            if apart and at < p.start():
+                edits.append((at, p.start(), "\n"))
+                at = p.start()
+            elif before != ".":
+                at = p.start()
+        if text[at:p.end()] != new:
+            edits.append((at, p.end(), new))
+        at, before = p.end(), word
+    return edits, some
+
+
+def normalise(text: str, apart: bool = False) -> Traced:
+    """``apart``: numerals within spelled runs are parted from them; see :func:`spelled_edits`."""
     out, table = Traced(text), homoglyphs()
     if not text.isascii():
         out.rewrite([(*m.span(), table[m[0]]) for m in _ODD.finditer(text) if m[0] in table])
@@ -181,27 +207,24 @@ def normalise(text: str) -> Traced:
     if sum(map(low.count, NUMERALS)) >= MIN_SPELLED and _SPELLED_CUE.search(low):
         edits = []
         for m in SPELLED.finditer(out.text):
-            parts = list(SPELLED_PART.finditer(out.text, *m.span()))
-            if sum(p[0].lower() in NUMERALS for p in parts) >= MIN_SPELLED:
-                at = m.start()
-                for p in parts:
-                    word = p[0].lower()
-                    edits.append((at, p.end(), NUMERALS.get(word, {"plus": "+", "dot": ".", "point": "."}.get(word, word))))
-                    at = p.end()
+            if sum(p[0].lower() in NUMERALS for p in SPELLED_PART.finditer(out.text, *m.span())) >= MIN_SPELLED:
+                own, some = spelled_edits(out.text, m, apart)
+                edits += own
+                out.mixed |= some
         out.rewrite(edits)
     return out
 
 
 def find(text: str) -> list[tuple[str, int, int, bool]]:
-    """(kind, start, end, base) by kind, then start; a disguised span never overlaps a base one of its kind."""
-    base = detect(text)
-    out, traced = [(*s, True) for s in base], normalise(text)
-    if traced.changed:
-        for kind, a, b in detect(traced.text):
-            start, end = min(traced.start[a:b]), max(traced.end[a:b])
-            if any(x < end and start < y for x, y in traced.changed) \
+    """(kind, start, end, base) by kind, then start; a disguised span never overlaps another of its kind."""
+    out, traced = [(*s, True) for s in detect(text)], normalise(text)
+    for reading in [traced, normalise(text, True)] if traced.mixed else [traced]:
+        for kind, a, b in detect(reading.text) if reading.changed else ():
+            start, end = min(reading.start[a:b]), max(reading.end[a:b])
+            if any(x < end and start < y for x, y in reading.changed) \
                     and not any(k == kind and x < end and start < y for k, x, y, _ in out):
                 out.append((kind, start, end, False))
+    if traced.changed:
         out.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
     return out
 
