@@ -69,6 +69,15 @@ def test_disguises(text, kind, what):
     assert pii.redact(text, found) == text.replace(what, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize("text, base", [
+    ("\u0430lice@example.com", "lice@example.com"), ("john.d\u043ee@example.com", "e@example.com"),
+    ("john [dot] smith@example.com", "smith@example.com"), ("alice@example.c\u043em", "alice@example.c")])
+def test_disguise_around_a_base_match(text, base):
+    found = pii.find(f"to {text}, now")
+    assert sorted((f"to {text}, now"[a:b], plain) for _, a, b, plain in found) == sorted([(text, False), (base, True)])
+    assert pii.redact(f"to {text}, now", found) == "to [EMAIL], now"
+
+
 @pytest.mark.parametrize("text", [
     "we met at the house and it was one of those days", "one two three", "look at dot com prices", "le 5º jour à 3 h",
     "[1] see (2) and {3}", "Она пришла в 5 часов"])

@@ -216,13 +216,17 @@ def normalise(text: str, apart: bool = False) -> Traced:
 
 
 def find(text: str) -> list[tuple[str, int, int, bool]]:
-    """(kind, start, end, base) by kind, then start; a disguised span never overlaps another of its kind."""
+    """(kind, start, end, base) by kind, then start.
+
+    A disguised span may overlap others of its kind, as the plain part of an identifier
+    in disguise can match by itself; one that lies within another is left out.
+    """
     out, traced = [(*s, True) for s in detect(text)], normalise(text)
     for reading in [traced, normalise(text, True)] if traced.mixed else [traced]:
         for kind, a, b in detect(reading.text) if reading.changed else ():
             start, end = min(reading.start[a:b]), max(reading.end[a:b])
             if any(x < end and start < y for x, y in reading.changed) \
-                    and not any(k == kind and x < end and start < y for k, x, y, _ in out):
+                    and not any(k == kind and x <= start and end <= y for k, x, y, _ in out):
                 out.append((kind, start, end, False))
     if traced.changed:
         out.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
@@ -235,7 +239,7 @@ def spans(docs: DataFrame, text: str = "text", *, name: str = "pii", keep: list[
     Null and empty texts have none. Rows stand alone: repeated rows get the same
     spans, an empty table stays empty, other columns of any name pass through. Base
     matches are leftmost and do not overlap within a kind; kinds may overlap each
-    other. The detectors take time linear in the text, also on long runs of digits.
+    other, and disguised spans reach over base ones. The detectors take time linear in the text, also on long runs of digits.
     """
     return annotate(docs, [text], FIELDS, lambda: lambda col: [(
         [dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in find(t)],) for t in texts(col)], name, keep)
