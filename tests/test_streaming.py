@@ -130,6 +130,16 @@ def test_divided_cadence(spark, lake, tmp_path):
     assert read() == list("ABCDEF")
 
 
+def test_divided_cadence_with_an_empty_due_batch(spark, tmp_path):
+    from pyspark.sql.types import StructType
+    panel = lambda batch: batch.groupBy("tool_name").agg(F.count("*").alias("calls"))
+    hashes = SnapshotTable(spark, f"{tmp_path}/h", StructType.fromDDL("tool_name string, row_hash string"))
+    run = live.publish_changes({"slow": (panel, "tool_name")}, {"slow": hashes}, f"{tmp_path}/out", "p", {"slow": 3})
+    for i, tools_ in enumerate(["", "A", "B", "", "", "", ""]):        # due: 0, 3 and 6
+        run(spark.createDataFrame([(t,) for t in tools_], "tool_name string"), i)
+    assert sorted((r.tool_name, r.batch) for r in spark.read.json(f"{tmp_path}/out/slow").collect()) == [("A", 3), ("B", 3)]
+
+
 def test_a_panel_is_evaluated_once(spark, tmp_path):
     """What is hashed is what was sent, also when the lake changes meanwhile."""
     from pyspark.sql.types import StructType

@@ -106,8 +106,9 @@ def publish_changes(panels: Mapping[str, tuple[Panel, str]], published: Mapping[
     hashes sent last per panel. ``query`` names the stream: batches are known by it and
     their number, so a stream that starts over with a new checkpoint needs a new name.
     ``every`` lets a panel run on each n-th batch only; the batches in between are kept
-    below ``out`` and given to it together, so a panel over its input misses none. What
-    is kept after the last of those stays for the next one.
+    below ``out`` and given to it together, so a panel over its input misses none, also
+    if the n-th itself is empty. What is kept after the last of those stays for the next
+    one. A panel that would be given no rows does not run.
 
     A panel is evaluated once: its changed rows go to a staging directory of the batch,
     and both the output and the stored hashes are read from there. They are compared
@@ -116,8 +117,6 @@ def publish_changes(panels: Mapping[str, tuple[Panel, str]], published: Mapping[
     every = every or {}
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         spark, source = batch.sparkSession, f"{query}/{batch_id}"
         cached = batch.persist()
         try:
@@ -125,11 +124,14 @@ def publish_changes(panels: Mapping[str, tuple[Panel, str]], published: Mapping[
                 n, given = every.get(name, 1), cached
                 if n > 1:
                     kept = f"{out}/_kept/{query}/{name}"
+                    # Empty batches too: a due one may be the first, and a replay overwrites its own.
                     cached.write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
                     if batch_id % n:
                         continue
                     ids = F.col("batch").between(batch_id - n + 1, batch_id)
                     given = spark.read.schema(batch.schema).option("basePath", kept).parquet(kept).filter(ids).select(*batch.columns)
+                if given.isEmpty():
+                    continue
                 table, staged = published[name], f"{out}/_staged/{query}/{name}/batch={batch_id}"
                 changed_rows(panel(given), table.read_before(source), key).write.mode("overwrite").parquet(staged)
                 rows = spark.read.parquet(staged)
