@@ -1,4 +1,5 @@
 import math
+import textwrap
 from collections import Counter
 
 from conftest import ODD
@@ -46,6 +47,28 @@ def test_cosine_and_bound():
         assert m.scan(t.encode())[1] == (round(every, 6) if every >= L.CLOSE else 0.0)
 
 
+def test_wrapped_notices():
+    """Hard-wrapped files, comment headers and titles, with all words rare and with common words frequent."""
+    common = dict.fromkeys("the of to and in or is this any for with a without that are".split(), 450)
+    wrap = lambda text, mark="": "\n".join(mark + line for line in textwrap.wrap(text, 72))
+    grant = L.FULL["MIT"][0].split("(c) ")[1]
+    bsd = {k: L.FULL[k][0].split("(c) ")[1] for k in ("BSD-2-Clause", "BSD-3-Clause")}
+    apache = L.TEMPLATES["Apache-2.0"][2]
+    gpl = L.TEMPLATES["GPL-3.0"][2]
+    for df in ({}, common):
+        m = L.Matcher(L.TEMPLATES, df, 500)
+        for want, text in (
+                ("MIT", "MIT License\n\nCopyright (c) 2021 Some Body\n\n" + wrap(grant)),
+                ("MIT", "/*\n" + wrap(grant.split("conditions:")[0] + "conditions:", " * ") + "\n */\nint main() { return run(); }\n" * 9),
+                *((k, f"Copyright (c) 2020, Some Body\nAll rights reserved.\n\n{wrap(t)}\n") for k, t in bsd.items()),
+                ("Apache-2.0", wrap(apache, "# ") + "\n#\n# more about other things\nx = compute(1)\n"),
+                ("GPL-3.0", wrap(gpl, "// ") + "\n\ncode();\n"),
+                ("GPL-3.0", "      GNU GENERAL PUBLIC LICENSE\n      Version 3, 29 June 2007\n\nsomething else\n"),
+                ("GPL-2.0", "      GNU GENERAL PUBLIC LICENSE\n      Version 2, June 1991\n\nsomething else\n")):
+            assert m.scan(text.encode())[0] == want, (want, text)
+        assert m.scan(b"an ordinary text\nover two lines of the kind\n\nwith a second paragraph")[0] is None
+
+
 def test_rows(odd, none):
     with_path = odd.selectExpr("*", "concat('d/', doc_id) AS path")
     assert L.scan(with_path).count() == len(ODD)

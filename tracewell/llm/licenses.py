@@ -1,7 +1,9 @@
 """License scan: TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-Each sentence or line of a text is a sparse vector of its words, weighted by how rare
-they are in the corpus. A template that is close to one marks the file. A file that
+Each line, paragraph and sentence of a text is a sparse vector of its words, weighted by
+how rare they are in the corpus; sentences run on over the lines of a paragraph. A
+template that is close to one marks the file, and a whole text that is close to a full
+licence has that one. A file that
 consists of such text for the most part, or is named like a licence file, also marks
 its directory, and every file without a licence of its own takes that of the nearest
 directory above it.
@@ -46,6 +48,43 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
                      "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("Released under CC0 1.0 into the public domain.", "SPDX-License-Identifier: CC0-1.0"),
 }
+_GRANT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+          "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, "
+          "copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom "
+          "the Software is furnished to do so, subject to the following conditions:")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and "
+        "the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.")
+_NAMES = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+          "derived from this software without specific prior written permission.")
+_AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, "
+          "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+          "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+          "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+          "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+          "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+# Full licence texts by SPDX id, for whole files.
+FULL: dict[str, tuple[str, ...]] = {
+    "MIT": (f"MIT License Copyright (c) {_GRANT} The above copyright notice and this permission notice shall be included in all copies or "
+            "substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+            "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+            "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+            "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE "
+            "SOFTWARE.",),
+    "BSD-2-Clause": (f"BSD 2-Clause License Copyright (c) {_BSD} {_AS_IS}",),
+    "BSD-3-Clause": (f"BSD 3-Clause License Copyright (c) {_BSD} {_NAMES} {_AS_IS}",),
+}
+TEMPLATES["MIT"] += (_GRANT,)
+# Titles of the longer licences; a version of its own has a title of its own.
+for _id, _title in (("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+                    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+                    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+                    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+                    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+                    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+                    ("MPL-2.0", "Mozilla Public License Version 2.0")):
+    TEMPLATES[_id] = (*TEMPLATES.get(_id, ()), _title)
 #: Least cosine of a block to a template.
 CLOSE = 0.75
 #: Share of a text's words in such blocks that makes it a licence file.
@@ -53,6 +92,8 @@ MOSTLY = 0.5
 LICENSE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 _BLOCK = re.compile(rb"[^\n]*?[.!?;:](?=[ \t\r\n]|$)|[^\n]+")
 
+_MARK = re.compile(rb"^[ \t]*(?://+|/\*+|\*+/?|#+|--+|;+|%+|<!--+)?|[ \t\r]*(?:\*+/|--+>)?[ \t\r]*$")
+
 FIELDS = T.StructType([T.StructField("license", T.StringType()), T.StructField("score", T.DoubleType(), False),
                        T.StructField("block", T.StringType()), T.StructField("share", T.DoubleType(), False)])
 
@@ -67,25 +108,43 @@ def blocks(line: bytes) -> list[bytes]:
     return [line, *parts] if len(parts) > 1 else [line]
 
 
+def paragraphs(data: bytes) -> Iterator[list[bytes]]:
+    """Lines in a row that hold more than a comment mark."""
+    now: list[bytes] = []
+    for line in data.split(b"\n"):
+        if _MARK.sub(b"", line).strip():
+            now.append(line)
+        elif now:
+            yield now
+            now = []
+    if now:
+        yield now
+
+
 class Matcher:
     """Templates as unit vectors under the weights of a corpus."""
 
-    def __init__(self, templates: Mapping[str, tuple[str, ...]], frequency: Mapping[str, int], total: int):
-        self.weight = {w: math.log((1 + total) / (1 + frequency.get(w, 0))) + 1 for w in vocabulary(templates)}
+    def __init__(self, templates: Mapping[str, tuple[str, ...]], frequency: Mapping[str, int], total: int,
+                 full: Mapping[str, tuple[str, ...]] = FULL):
+        self.weight = {w: math.log((1 + total) / (1 + frequency.get(w, 0))) + 1 for w in vocabulary(templates) | vocabulary(full)}
         #: Words of no template only lengthen a vector; they count as seen in one text.
         self.other = math.log((1 + total) / 2) + 1
-        self.vectors: list[tuple[str, dict[str, float]]] = []
+        self.vectors, self.full = self._units(templates), self._units(full)
+
+    def _units(self, templates: Mapping[str, tuple[str, ...]]) -> list[tuple[str, dict[str, float]]]:
+        out = []
         for name, lines in sorted(templates.items()):
             for line in lines:
                 v = {w: n * self.weight[w] for w, n in Counter(words(line.encode())).items()}
                 size = math.sqrt(sum(x * x for x in v.values()))
-                self.vectors.append((name, {w: x / size for w, x in v.items()}))
+                out.append((name, {w: x / size for w, x in v.items()}))
+        return out
 
-    def near(self, seen: set[str]) -> list[tuple[str, dict[str, float]]]:
+    def near(self, seen: set[str], among: list[tuple[str, dict[str, float]]] | None = None) -> list[tuple[str, dict[str, float]]]:
         """Templates that a text with these words could be close to: no cosine exceeds the
         length of the template's part that lies in the words."""
         hits = self.weight.keys() & seen
-        return [v for v in self.vectors if sum(v[1].get(w, 0.0) ** 2 for w in hits) >= CLOSE * CLOSE - 1e-9] if len(hits) > 1 else []
+        return [v for v in (self.vectors if among is None else among) if sum(v[1].get(w, 0.0) ** 2 for w in hits) >= CLOSE * CLOSE - 1e-9] if len(hits) > 1 else []
 
     def best(self, block: list[str], among: list[tuple[str, dict[str, float]]]) -> tuple[float, str]:
         count = Counter(block)
@@ -95,22 +154,36 @@ class Matcher:
 
     def scan(self, data: bytes) -> tuple[str | None, float, str | None, float]:
         all_words = words(data)
-        near = self.near(set(all_words))
+        seen = set(all_words)
+        if whole := self.near(seen, self.full):
+            score, name = self.best(all_words, whole)
+            if score >= CLOSE:
+                return name, round(score, 6), data.decode("utf-8", "replace").strip(), 1.0
         found: tuple[float, str, bytes] | None = None
         covered = 0
-        if near:
-            for line in data.split(b"\n"):
-                hit = 0
-                for block in blocks(line):
-                    own = words(block)
-                    close = self.near(set(own)) if own else []
-                    if close:
-                        score, name = self.best(own, close)
-                        if score >= CLOSE:
-                            hit = max(hit, len(own))
-                            if found is None or score > found[0]:
-                                found = (score, name, block)
-                covered += hit
+
+        def hit(block: bytes) -> int:
+            """Words of ``block`` if it is close to a template."""
+            nonlocal found
+            own = words(block)
+            if not (close := self.near(set(own)) if own else []):
+                return 0
+            score, name = self.best(own, close)
+            if score < CLOSE:
+                return 0
+            if found is None or score > found[0]:
+                found = (score, name, block)
+            return len(own)
+
+        for lines in paragraphs(data) if self.near(seen) else ():
+            joined = b" ".join(_MARK.sub(b"", line) for line in lines)
+            if not self.near(set(words(joined))):
+                continue
+            hits = sum(max(map(hit, blocks(line))) for line in lines)
+            if len(lines) > 1:
+                first, *parts = map(hit, blocks(joined))
+                hits = max(hits, first, sum(parts))
+            covered += hits
         if found is None:
             return None, 0.0, None, 0.0
         return found[1], round(found[0], 6), found[2].decode("utf-8", "replace").strip(), covered / len(all_words)
@@ -126,7 +199,7 @@ def document_frequency(files: DataFrame, text: str, templates: Mapping[str, tupl
     A task sends its own counts, at most a row for each word, and the driver gets their
     sums: the templates bound both.
     """
-    known = vocabulary(templates)
+    known = vocabulary(templates) | vocabulary(FULL)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = Counter(), 0
