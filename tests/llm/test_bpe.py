@@ -4,7 +4,7 @@ from hashlib import sha256
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest import ODD, by_row
+from llm_rows import ODD, by_row
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -1,4 +1,4 @@
-from conftest import by_row
+from llm_rows import by_row
 
 from check_oracle import compare, connect
 from tracewell.llm import chat

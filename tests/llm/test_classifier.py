@@ -1,7 +1,7 @@
 import zlib
 
 import numpy as np
-from conftest import ODD
+from llm_rows import ODD
 
 from tracewell.llm import classifier as C
 from tracewell.llm.queries import QUERIES

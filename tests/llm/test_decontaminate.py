@@ -1,7 +1,7 @@
 import re
 from hashlib import sha256
 
-from conftest import ODD, PROSE, by_row
+from llm_rows import ODD, PROSE, by_row
 
 from tracewell.llm import decontaminate as D
 from tracewell.llm.queries import QUERIES

@@ -3,7 +3,7 @@ from collections import Counter
 from hashlib import sha256
 
 import pytest
-from conftest import by_row
+from llm_rows import by_row
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

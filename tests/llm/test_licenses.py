@@ -2,7 +2,7 @@ import math
 import textwrap
 from collections import Counter
 
-from conftest import ODD
+from llm_rows import ODD
 
 from tracewell.llm import licenses as L
 from tracewell.llm.queries import QUERIES

@@ -2,7 +2,7 @@ import re
 from hashlib import sha256
 
 import pytest
-from conftest import ODD, by_row
+from llm_rows import ODD, by_row
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

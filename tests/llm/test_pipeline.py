@@ -1,5 +1,5 @@
 import corpus_pipeline as P
-from conftest import ODD, PROSE, by_row
+from llm_rows import ODD, PROSE, by_row
 from test_pii import brute as base_spans
 from test_quality_rules import brute as quality
 from test_simhash import brute as components
@@ -52,4 +52,4 @@ def test_odd_rows(spark, odd, none):
 
 def test_queries_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))

@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from conftest import ODD, PROSE, by_row
+from llm_rows import ODD, PROSE, by_row
 
 from tracewell.llm import quality_rules as Q
 from tracewell.llm.queries import QUERIES

@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 import xxhash
-from conftest import ODD, by_row
+from llm_rows import ODD, by_row
 
 from tracewell.llm import components as C
 from tracewell.llm import simhash as S

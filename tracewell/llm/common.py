@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -72,15 +73,23 @@ def raw(col: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in col.cast(pa.binary()).to_pylist()]
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; only a session of this one machine, as in tests, gets one where none is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the folder of ``spark.checkpoint.dir`` and read from there.
 
-    The files outlive the executors that wrote them. Only a session without that
-    setting, as in tests, gets a folder of this machine.
+    The files outlive the executors that wrote them.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -101,9 +110,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet below the checkpoint folder and read back: for wide rows, which it compresses."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import (bpe, chat, classifier, decontaminate, exact_dedup, licenses, pii, quality_rules, reputation,
-                           simhash)
+from tracewell.llm import (bpe, chat, classifier, copies, decontaminate, exact_dedup, fim, licenses, pii, quality_rules,
+                           reputation, shallot, simhash)
 from tracewell.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -79,9 +79,28 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files, keep=("doc_id",))
 
 
+def op11_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.decide(table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.summary(*shallot.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "fim.*")
+    back = fim.restore(made, keep=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored.text", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_trees, op2_pii_transducers, op3_suffix_array_dedup, op4_repetition_rules, op5_perspective_rotation,
-    op6_simhash_pivots, op7_benchmark_automaton, op8_byte_bpe, op9_host_reputation, op10_license_scan)}
+    op6_simhash_pivots, op7_benchmark_automaton, op8_byte_bpe, op9_host_reputation, op10_license_scan,
+    op11_exact_copies, op12_shallot_clusters, op13_fill_in_middle)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op5_perspective_rotation": chat.SQL, "op9_host_reputation": reputation.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_perspective_rotation": chat.SQL, "op9_host_reputation": reputation.SQL, "op11_exact_copies": copies.SQL,
+    "op12_shallot_clusters": shallot.SQL, "op13_fill_in_middle": fim.SQL}
