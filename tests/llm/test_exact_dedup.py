@@ -85,6 +85,33 @@ def test_runs_of_one_byte(spark, monkeypatch):
     assert result(X.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_many_near_copies_give_each_occurrence_one_row(spark, monkeypatch):
+    """The ranges of a block are one row, however often its anchor was cut again."""
+    r = random.Random(8)
+    text = ["".join(r.choice("abcdefgh ijk") for _ in range(1500)) for _ in range(2)]
+    rows = []
+    for i in range(400):
+        t = list(text[i % 2])
+        for _ in range(r.randrange(4)):
+            t[r.randrange(1500)] = "YZ"[i % 2]
+        rows.append((i, "".join(t)))
+    rows += [(0, rows[0][1])] * 300       # one id and text, often
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(X, "ARRAY_BYTES", 3000)
+    seen, settle = [], X._settle
+
+    def counted(pieces, level):
+        out = settle(pieces, level)
+        seen.append((out.count(), out.select("h", "c").distinct().count()))
+        assert all(a["b"] < b["a"] for row in out.collect() for a, b in zip(row.ranges, row.ranges[1:]))
+        return out
+
+    monkeypatch.setattr(X, "_settle", counted)
+    got = result(X.remove_repeats(df))
+    monkeypatch.setattr(X, "_settle", settle)
+    assert got == brute(rows) and len(seen) > 2 and all(n == blocks for n, blocks in seen)
+
+
 def test_odd_rows(odd, none):
     out = X.remove_repeats(odd)
     assert by_row(out, "doc_id") == by_row(odd, "doc_id") and X.remove_repeats(none).count() == 0

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,8 @@ LENGTH = 400
 GRAMS = (100, 250, 330, 370, 390, LENGTH)
 #: Bytes of different blocks in one suffix array, about; an anchor with more is cut again.
 ARRAY_BYTES = 256 << 10
+#: Suffix arrays that one task sorts, about, where there are more of them than shuffle partitions.
+ARRAYS_A_TASK = 16
 #: Windows of a text that are hashed at once.
 STRETCH = 1 << 20
 
@@ -39,6 +41,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _BLOCK = T.StructType([T.StructField("start", T.LongType(), False), T.StructField("n", T.LongType(), False),
                        T.StructField("h", T.LongType(), False), T.StructField("c", T.LongType(), False),
                        T.StructField("often", T.BooleanType(), False)])
+RANGES = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
 class Cutter:
@@ -119,10 +122,11 @@ def _shared(blocks: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def _settle(pieces: DataFrame, level: int) -> DataFrame:
-    """(h, c, a, b): ranges of windows, counted within the block (h, c), that occur elsewhere too.
+    """(h, c, ranges): the ranges of windows, counted within the block (h, c), that occur elsewhere too.
 
     ``pieces`` has a row (h, c, weight, data) for each different block: two blocks of
-    one anchor are in one array unless the anchor is crowded.
+    one anchor are in one array unless the anchor is crowded. A block has one row at
+    most, with disjoint ranges that do not touch, so a join gives its occurrences a row each.
     """
     sizes = pieces.groupBy("h").agg(F.sum(F.length("data")).alias("bytes"))
     total, crowded = sizes.agg(F.sum("bytes"), F.count_if(F.col("bytes") > 2 * ARRAY_BYTES)).first()
@@ -131,8 +135,10 @@ def _settle(pieces: DataFrame, level: int) -> DataFrame:
     if crowded:
         large = sizes.filter(F.col("bytes") > 2 * ARRAY_BYTES).select("h")
         fits = pieces.join(large, "h", "left_anti")
-    out = fits.withColumn("g", F.pmod(F.xxhash64("h"), F.lit(arrays))).groupBy("g").applyInArrow(
-        _ranges, "h bigint, c bigint, a bigint, b bigint")
+    # An array is few bytes and much work, so the number of partitions is fixed: adaptive execution would merge them.
+    tasks = max(min(arrays, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))), arrays // ARRAYS_A_TASK)
+    out = fits.withColumn("g", F.pmod(F.xxhash64("h"), F.lit(arrays))).repartition(tasks, "g").groupBy("g").applyInArrow(
+        _ranges, T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), T.StructField("ranges", RANGES)]))
     if not crowded:
         return out
     whole = fresh(pieces, "cut")
@@ -141,34 +147,48 @@ def _settle(pieces: DataFrame, level: int) -> DataFrame:
     inner = checkpointed(_shared(inner, "weight"))
     # Around grams as long as the window, different blocks are runs of one string and differ in length only.
     last = GRAMS[level + 1] == LENGTH
-    alike = (inner if last else inner.filter("NOT mixed")).select(
+    found = (inner if last else inner.filter("NOT mixed")).select(
         F.col("ph").alias("h"), F.col("pc").alias("c"), F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
-    if last:
-        return out.union(alike)
-    mixed = inner.filter("mixed")
-    first = mixed.groupBy("h", "c").agg(F.sum("weight").alias("weight"), F.min(F.struct("ph", "pc", "start")).alias("of"))
-    data = mixed.join(first.select("h", "c", F.col("weight").alias("all"), "of.*"), ["h", "c", "ph", "pc", "start"]).select(
-        "h", "c", F.col("all").alias("weight"), F.expr(f"substring(data, int(start + 1), int(n + {LENGTH - 1}))").alias("data"))
-    deeper = _settle(data, level + 1)
-    apart = mixed.select("h", "c", "ph", "pc", "start").join(deeper, ["h", "c"]).select(
-        F.col("ph").alias("h"), F.col("pc").alias("c"), F.expr("start + a").alias("a"), F.expr("start + b").alias("b"))
-    return out.union(alike).union(apart)
+    if not last:
+        mixed = inner.filter("mixed")
+        first = mixed.groupBy("h", "c").agg(F.sum("weight").alias("weight"), F.min(F.struct("ph", "pc", "start")).alias("of"))
+        data = mixed.join(first.select("h", "c", F.col("weight").alias("all"), "of.*"), ["h", "c", "ph", "pc", "start"]).select(
+            "h", "c", F.col("all").alias("weight"), F.expr(f"substring(data, int(start + 1), int(n + {LENGTH - 1}))").alias("data"))
+        apart = mixed.select("h", "c", "ph", "pc", "start").join(_settle(data, level + 1), ["h", "c"])
+        found = found.union(apart.select("ph", "pc", "start", F.explode("ranges").alias("r")).select(
+            "ph", "pc", F.expr("start + r.a"), F.expr("start + r.b")))
+    return out.union(_joined(found))
+
+
+def _joined(found: DataFrame) -> DataFrame:
+    """(h, c, ranges) from disjoint ranges (h, c, a, b), those that touch made one; a block's ranges are as many as its windows at most."""
+    own = Window.partitionBy("h", "c")
+    begins = F.coalesce((F.lag("b").over(own.orderBy("a")) < F.col("a")).cast("int"), F.lit(1))
+    runs = found.withColumn("begins", begins).withColumn("run", F.sum("begins").over(own.orderBy("a")))
+    runs = runs.groupBy("h", "c", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return runs.groupBy("h", "c").agg(F.collect_list(F.struct("a", "b")).cast(RANGES).alias("ranges"))
 
 
 def _ranges(table: pa.Table) -> pa.Table:
     """One suffix array over the blocks of a group."""
     pieces = table["data"].to_pylist()
     twice = repeated_starts(pieces, LENGTH)
-    rows, at = [], 0
+    rows, ranges, ends, at = [], [], [0], 0
     for h, c, weight, data in zip(table["h"].to_pylist(), table["c"].to_pylist(), table["weight"].to_pylist(), pieces, strict=True):
         mask = twice[at:at + len(data)]
         if weight > 1:
             mask = np.arange(len(data)) <= len(data) - LENGTH
-        edge = np.flatnonzero(np.diff(np.r_[0, mask.astype("i1"), 0]))
-        rows += [(h, c, a, b) for a, b in edge.reshape(-1, 2).tolist()]
         at += len(data)
-    cols = list(zip(*rows)) or [()] * 4
-    return pa.table({k: pa.array(v, pa.int64()) for k, v in zip("hcab", cols)})
+        edge = np.flatnonzero(np.diff(np.r_[0, mask.astype("i1"), 0]))
+        if len(edge):
+            rows.append((h, c))
+            ranges.append(edge.reshape(-1, 2))
+            ends.append(ends[-1] + len(edge) // 2)
+    h, c = zip(*rows) if rows else ((), ())
+    a, b = np.concatenate(ranges).T if ranges else (np.zeros(0, "i8"),) * 2
+    pairs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], ["a", "b"])
+    return pa.table({"h": pa.array(h, pa.int64()), "c": pa.array(c, pa.int64()),
+                     "ranges": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)})
 
 
 # ---- texts --------------------------------------------------------------------------
@@ -213,19 +233,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     mixed = shared.filter("mixed")
     # One place for the bytes of each different block.
     first = mixed.groupBy("h", "c").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "start")).alias("of"))
-    ship = mixed.join(first.select("h", "c", "weight", "of.*"), ["h", "c", "k1", "k2", "start"]).distinct()
-    ship = ship.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "weight", "start", "n")).alias("ship"))
+    ship = mixed.join(first.select("h", "c", "weight", "of.*"), ["h", "c", "k1", "k2", "start"])
+    ship = ship.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "c", "weight", "start", "n")).alias("ship"))
     touched = shared.select("k1", "k2").distinct().join(ship, ["k1", "k2"], "left")
     texts = checkpointed(keyed.join(touched, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "data", "ship"))
     pieces = texts.select("data", F.inline("ship")).select(
         "h", "c", "weight", F.expr(f"substring(data, int(start + 1), int(n + {LENGTH - 1}))").alias("data"))
-    apart = mixed.select("k1", "k2", "start", "h", "c").join(_settle(pieces, 0), ["h", "c"]).select(
-        "k1", "k2", F.expr("start + a").alias("a"), F.expr("start + b").alias("b"))
-    alike = shared.filter("NOT mixed").select("k1", "k2", F.col("start").alias("a"), F.expr("start + n").alias("b"))
-    ranges = alike.union(apart).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("windows"))
+    apart = mixed.select("k1", "k2", "start", "h", "c").join(_settle(pieces, 0), ["h", "c"]).select("k1", "k2", "start", "ranges")
+    alike = shared.filter("NOT mixed").select(
+        "k1", "k2", "start", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b"))).cast(RANGES).alias("ranges"))
+    # A set: rows equal in id and text have one key, and the windows of all of them are those of one.
+    ranges = alike.union(apart).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "ranges")).alias("windows"))
 
     def make():
-        return lambda data, windows: [cut_out(d, [(w["a"], w["b"]) for w in ws])
+        return lambda data, windows: [cut_out(d, [(w["start"] + r["a"], w["start"] + r["b"]) for w in ws for r in w["ranges"]])
                                       for d, ws in zip(raw(data), windows.to_pylist(), strict=True)]
 
     done = annotate(texts.select("k1", "k2", "data").join(ranges, ["k1", "k2"]), ["data", "windows"], FIELDS, make, "done", ["k1", "k2"])
