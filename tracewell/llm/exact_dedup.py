@@ -157,7 +157,8 @@ def _settle(pieces: DataFrame, level: int) -> DataFrame:
         apart = mixed.select("h", "c", "ph", "pc", "start").join(_settle(data, level + 1), ["h", "c"])
         found = found.union(apart.select("ph", "pc", "start", F.explode("ranges").alias("r")).select(
             "ph", "pc", F.expr("start + r.a"), F.expr("start + r.b")))
-    return out.union(_joined(found))
+    # Written at each level: a plan over all levels would run many stages at once.
+    return checkpointed(out.union(_joined(found)))
 
 
 def _joined(found: DataFrame) -> DataFrame:
