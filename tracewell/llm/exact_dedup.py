@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,11 +163,10 @@ def _settle(pieces: DataFrame, level: int) -> DataFrame:
 
 def _joined(found: DataFrame) -> DataFrame:
     """(h, c, ranges) from disjoint ranges (h, c, a, b), those that touch made one; a block's ranges are as many as its windows at most."""
-    own = Window.partitionBy("h", "c")
-    begins = F.coalesce((F.lag("b").over(own.orderBy("a")) < F.col("a")).cast("int"), F.lit(1))
-    runs = found.withColumn("begins", begins).withColumn("run", F.sum("begins").over(own.orderBy("a")))
-    runs = runs.groupBy("h", "c", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return runs.groupBy("h", "c").agg(F.collect_list(F.struct("a", "b")).cast(RANGES).alias("ranges"))
+    ends = found.groupBy("h", "c").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    # Where one range ends and the next begins, the run goes on.
+    first, last = F.array_sort(F.array_except("a", "b")), F.array_sort(F.array_except("b", "a"))
+    return ends.select("h", "c", F.arrays_zip(first.alias("a"), last.alias("b")).cast(RANGES).alias("ranges"))
 
 
 def _ranges(table: pa.Table) -> pa.Table:
