@@ -5,12 +5,15 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from conftest import frame
+from rows import frame
 from tracewell.operators import coordination, health, recovery, transcripts
 from tracewell.schemas import SCHEMAS
-from tracewell.sinks import panels, snapshots
+from tracewell.sinks import panels, upserts
+from tracewell.sinks.batches import BatchTable
 from tracewell.sources import incremental, jsonl, logs, tables
+from tracewell.store import COUNTERS
 from tracewell.sources.transcripts import explode_tool_use, read_transcripts
 
 
@@ -129,31 +132,78 @@ def test_increment(spark):
     assert incremental.new_rows(new, old.limit(0), "ts").count() == 3
 
 
-def test_counter_upserts(spark, tmp_path):
-    table = snapshots.SnapshotTable(spark, f"{tmp_path}/usage", SCHEMAS["tool_usage"])
-    add = lambda calls, ok: lambda old: snapshots.upsert_add(
-        old, snapshots.tool_usage_delta(spark.createDataFrame(
-            [("Read", calls, ok, 5)], "tool_name string, calls long, success int, timestamp long")),
-        ["tool_name"], ["total_calls", "success_count", "failure_count"], ["last_used"]).withColumn(
-        "avg_duration_ms", F.lit(None).cast("double"))
-    table.update(add(3, 1), source="b1")
-    table.update(add(2, 0), source="b2")
-    table.update(add(2, 0), source="b2")   # replayed batch
+def calls(spark, name, n, ok, at):
+    return spark.createDataFrame([(name, n, ok, at)], "tool_name string, calls long, success int, timestamp long")
+
+
+def usage_table(spark, root, **more):
+    return BatchTable(spark, f"{root}/usage", SCHEMAS["tool_usage"], ["tool_name"], **COUNTERS["tool_usage"], **more)
+
+
+def test_counter_batches(spark, tmp_path):
+    table = usage_table(spark, tmp_path)
+    for k, n, ok in ((1, 3, 1), (2, 2, 0), (2, 2, 0)):      # the last is a replay
+        table.write(upserts.tool_usage_delta(calls(spark, "Read", n, ok, 5)), "b", k)
+    r = table.read().first()
+    assert (r.total_calls, r.success_count, r.failure_count, r.avg_duration_ms) == (5, 3, 2, None)
+    assert table.read(below=2).first().total_calls == 3
+    table.write(spark.createDataFrame([("Read", 1.5)], "tool_name string, avg_duration_ms double"), "b", 3)
+    table.write(upserts.tool_usage_delta(calls(spark, "Read", 1, 1, 4)), "b", 4)
     r = table.read().first()
-    assert (r.total_calls, r.success_count, r.failure_count) == (5, 3, 2)
-    assert table.head()[0] == 2 and table.read_before("b2").first().total_calls == 3
+    assert (r.total_calls, r.last_used, r.avg_duration_ms) == (6, 5, 1.5)     # what a batch lacks stays
+
+
+def test_a_batch_writes_its_own_keys_only(spark, tmp_path):
+    table = BatchTable(spark, f"{tmp_path}/t", StructType.fromDDL("k long, v string"), ["k"], span=10)
+    table.write(spark.range(500).select(F.col("id").alias("k"), F.lit("a").alias("v")), "q", 0)
+    table.write(spark.createDataFrame([(7, "b")], "k long, v string"), "q", 1)
+    assert spark.read.parquet(f"{tmp_path}/t/batches/_span=0/_number=1").count() == 1
+    plan = table.read()._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert table.read().count() == 500 and table.read().filter("k = 7").first().v == "b"
+
+
+def test_fold_and_retire(spark, tmp_path):
+    table = BatchTable(spark, f"{tmp_path}/t", StructType.fromDDL("k string, v long"), ["k"], span=2)
+    row = lambda k, v: spark.createDataFrame([(k, v)], "k string, v long")
+    for n in range(5):
+        table.write(row("x" if n % 2 else None, n), "q", n)
+    rows = lambda: sorted(((r.k, r.v) for r in table.read().collect()), key=repr)
+    assert rows() == [("x", 3), (None, 4)]        # a null is a key
+    assert table.fold(4) == 4 and rows() == [("x", 3), (None, 4)] and table.fold(2) == 4
+    assert table.write(row("x", 99), "q", 1) == 1 and rows() == [("x", 3), (None, 4)]     # folded long ago
+    assert table.retire() == [0, 1] and rows() == [("x", 3), (None, 4)] and table.retire() == []
+    assert table.fold(5) == 5 and table.retire() == [] and rows() == [("x", 3), (None, 4)]
+    table.write(row("y", 6), "q", 6)
+    assert rows() == [("x", 3), ("y", 6), (None, 4)]
+    table.replace_all(row("z", 1), 8)
+    assert rows() == [("z", 1)]
+
+
+def test_sources_of_one_table(spark, tmp_path):
+    table = BatchTable(spark, f"{tmp_path}/t", StructType.fromDDL("k string, v string"), ["k"])
+    row = lambda v: spark.createDataFrame([("x", v)], "k string, v string")
+    table.write(row("a"), "one", 1)
+    table.write(row("b"), "two", 1)
+    first = table.read().collect()
+    assert len(first) == 1 and table.read().collect() == first       # equal numbers: one source wins
+    table.write(row("c"), "one", 2)
+    assert table.read().first().v == "c"
+    assert table.write(row("d")) > 2 and table.read().first().v == "d"
+    with pytest.raises(ValueError):
+        table.write(row("e"), "no/path", 3)
 
 
 def test_replace_and_max(spark):
     old = frame(spark, "sessions", [{"id": "s1", "model": "opus", "message_count": 3}, {"id": "s2", "message_count": 1}])
     new = spark.createDataFrame([("s1", 9, 1), ("s1", 10, 2), ("s3", 4, 1)], "id string, message_count long, seq int")
-    got = {r.id: (r.model, r.message_count) for r in snapshots.upsert_replace(old, new, ["id"], ["seq"]).collect()}
+    got = {r.id: (r.model, r.message_count) for r in upserts.upsert_replace(old, new, ["id"], ["seq"]).collect()}
     assert got == {"s1": (None, 10), "s2": (None, 1), "s3": (None, 4)}
-    again = snapshots.upsert_replace(snapshots.upsert_replace(old, new, ["id"], ["seq"]), new, ["id"], ["seq"])
+    again = upserts.upsert_replace(upserts.upsert_replace(old, new, ["id"], ["seq"]), new, ["id"], ["seq"])
     assert again.count() == 3
     a = spark.createDataFrame([("d", 1, 5)], "date string, hour int, n long")
     b = spark.createDataFrame([("d", 1, 3), ("d", 2, 7)], "date string, hour int, n long")
-    assert sorted(tuple(r) for r in snapshots.upsert_max(a, b, ["date", "hour"], ["n"]).collect()) == [
+    assert sorted(tuple(r) for r in upserts.upsert_max(a, b, ["date", "hour"], ["n"]).collect()) == [
         ("d", 1, 5), ("d", 2, 7)]
 
 
@@ -162,7 +212,7 @@ def test_feedback_rates_the_newest_open_row(spark):
         {"id": 1, "timestamp": 1, "query_hash": "h"}, {"id": 2, "timestamp": 2, "query_hash": "h"},
         {"id": 3, "timestamp": 3, "query_hash": "h", "success": 0}, {"id": 4, "timestamp": 9, "query_hash": "g"}])
     fb = spark.createDataFrame([("h", 1)], "query_hash string, verdict long")
-    got = {r.id: r.success for r in snapshots.rate_latest(d, fb).collect()}
+    got = {r.id: r.success for r in upserts.rate_latest(d, fb).collect()}
     assert got == {1: None, 2: 1, 3: 0, 4: None}
 
 
@@ -181,40 +231,13 @@ def test_panels_and_changes(spark, store, tmp_path):
     assert spark.read.json(f"{tmp_path}/log").count() == 6
 
 
-def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
-    schema = "k string, n long"
-    from pyspark.sql.types import StructType
-    one, two = (snapshots.SnapshotTable(spark, f"{tmp_path}/t", StructType.fromDDL(schema)) for _ in range(2))
-    row = lambda k: spark.createDataFrame([(k, 1)], schema)
-    late = []
-
-    def slow(old):
-        if not late:        # the other writer commits first
-            late.append(two.update(lambda o: o.unionByName(row("b"))))
-        return old.unionByName(row("a"))
-
-    assert one.update(slow) == 2 and late == [1]
-    assert sorted(r.k for r in one.read().collect()) == ["a", "b"]
-
-
-def test_log_is_compacted_and_old_versions_go(spark, tmp_path, monkeypatch):
-    from pyspark.sql.types import StructType
-    monkeypatch.setattr(snapshots, "COMPACT", 3)
-    table = snapshots.SnapshotTable(spark, f"{tmp_path}/t", StructType.fromDDL("n long"))
-    add = lambda old: old.unionByName(spark.range(1).select(F.col("id").alias("n")))
-    for k in range(7):
-        table.update(add, f"b{k}")
-    assert table.update(add, "b0") == 7 and table.read().count() == 7 and table.read_before("b2").count() == 2
-    assert table.retire(keep=2) == 5 and table.read().count() == 7 and table.update(add, "b1") == 7
-
-
 def test_ambiguous_batches_are_refused(spark):
     old = spark.createDataFrame([(1, "a", 0)], "id long, v string, n long")
     twice = spark.createDataFrame([(2, "x", 1), (2, "y", 2), (1, "z", 3), (1, "z", 3)], "id long, v string, seq long")
-    got = snapshots.upsert_replace(old, twice, ["id"], ["seq"]).collect()
+    got = upserts.upsert_replace(old, twice, ["id"], ["seq"]).collect()
     assert sorted((r.id, r.v, r.n) for r in got) == [(1, "z", None), (2, "y", None)]
     with pytest.raises(Exception, match="no order between them"):
-        snapshots.upsert_replace(old, twice, ["id"]).collect()
+        upserts.upsert_replace(old, twice, ["id"]).collect()
     d = spark.createDataFrame([(1, 5, "h", None)], "id long, timestamp long, query_hash string, success long")
     with pytest.raises(Exception, match="several verdicts"):
-        snapshots.rate_latest(d, spark.createDataFrame([("h", 1), ("h", 0)], "query_hash string, verdict long")).collect()
+        upserts.rate_latest(d, spark.createDataFrame([("h", 1), ("h", 0)], "query_hash string, verdict long")).collect()

@@ -2,7 +2,8 @@
 
 import pytest
 
-from conftest import epoch, frame
+from rows import epoch, frame
+from tracewell.sinks.batches import clock
 from tracewell.sinks.panels import export_panels
 from tracewell.store import TelemetryStore
 
@@ -41,8 +42,8 @@ def test_logging_twice_keeps_one_row(spark, lake):
 def test_counters(spark, lake):
     calls = spark.createDataFrame([("Read", 1, 5, 3), ("Read", 0, 9, 2)],
                                   "tool_name string, success int, timestamp long, calls long")
-    lake.update_tool_usage(calls, "b1")
-    lake.update_tool_usage(calls, "b1")
+    lake.update_tool_usage(calls, "queue", 1)
+    lake.update_tool_usage(calls, "queue", 1)
     r = lake.get_tool_stats().first()
     assert (r.total_calls, r.success_count, r.failure_count, r.last_used) == (5, 3, 2, 9)
     hour = spark.createDataFrame([("2026-02-12", 10, 3, 50)],
@@ -53,7 +54,8 @@ def test_counters(spark, lake):
 
 
 def test_feedback(spark, lake):
-    lake.record_routing_feedback(spark.createDataFrame([("h2", 1)], "query_hash string, verdict long"))
+    number = lake.record_routing_feedback(spark.createDataFrame([("h2", 1)], "query_hash string, verdict long"))
+    lake.record_routing_feedback(spark.createDataFrame([("h2", 1)], "query_hash string, verdict long"), number=number)
     assert {r.query_hash: r.success for r in lake.table("routing_decisions").collect()} == {
         "h1": None, "h2": 1, "h3": None}
 
@@ -74,6 +76,16 @@ def test_streaks_and_panels(spark, lake, tmp_path):
     assert live["totals", "total_messages"] == 361 and live["today", "messages"] == 143
 
 
+def test_fold_changes_nothing(spark, store, tmp_path):
+    lake = TelemetryStore(spark, str(tmp_path))
+    lake.log_sessions(store["sessions"])
+    lake.log_sessions(frame(spark, "sessions", [{"id": "sess-001", "model": "haiku"}]))
+    lake.update_tool_usage(spark.createDataFrame([("Read", 1, 5)], "tool_name string, success int, timestamp long"))
+    before = {n: sorted(map(repr, lake.table(n).collect())) for n in ("sessions", "tool_usage", "daily_stats")}
+    lake.fold(clock())
+    assert before == {n: sorted(map(repr, lake.table(n).collect())) for n in before} and len(before["sessions"]) == 3
+
+
 def test_events_lie_in_days(spark, tmp_path):
     lake = TelemetryStore(spark, str(tmp_path))
     day = 86400

@@ -4,12 +4,14 @@ from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracewell.operators import streaks, tools
 from tracewell.plans.bindings import Bindings
 from tracewell.schemas import SCHEMAS
-from tracewell.sinks.snapshots import SnapshotTable
-from tracewell.streaming import export, live
+from tracewell.sinks.batches import STREAM_SPAN, BatchTable
+from tracewell.store import COUNTERS
+from tracewell.streaming import expiry, export, live
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,35 +77,40 @@ def test_duplicates_are_dropped(spark, lake, tmp_path):
     assert drain(live.deduplicated(s, "id", "timestamp"), "d", "append", tmp_path).count() == lake[1].count()
 
 
+def usage(spark, root):
+    return BatchTable(spark, f"{root}/t", SCHEMAS["tool_usage"], ["tool_name"], span=STREAM_SPAN, **COUNTERS["tool_usage"])
+
+
 def test_counter_table_from_batches(spark, lake, tmp_path):
-    table = SnapshotTable(spark, f"{tmp_path}/t", SCHEMAS["tool_usage"])
+    table = usage(spark, tmp_path)
     run = live.apply_counters(table, "calls")
     w = live.live_panels(stream(spark, lake), run, f"{tmp_path}/cp", every=None)
     w.start().awaitTermination(180)
-    version = table.head()[0]
-    run(spark.read.parquet(lake[0]).limit(5), version - 1)     # the last batch again
+    files = sorted(spark.read.parquet(lake[0]).select("_metadata.file_path").distinct().collect(),
+                   key=lambda r: spark.read.parquet(r[0]).agg(F.min("timestamp")).first()[0])
+    run(spark.read.parquet(files[-1][0]), 3)     # the last batch again
     want = {r.tool_name: r.total_calls for r in tools.calls_by_tool(lake[1]).select(
         "tool_name", F.col("calls").alias("total_calls")).collect()}
-    assert {r.tool_name: r.total_calls for r in table.read().collect()} == want and table.head()[0] == version
+    assert {r.tool_name: r.total_calls for r in table.read().collect()} == want
 
 
 def test_batches_are_known_by_query_and_number(spark, tmp_path):
-    table = SnapshotTable(spark, f"{tmp_path}/t", SCHEMAS["tool_usage"])
-    old = spark.createDataFrame([("Read", 7, 5, 2, 1, 45.5)], "tool_name string, total_calls long, success_count long, "
-                                "failure_count long, last_used long, avg_duration_ms double")
-    table.update(lambda _: old)
+    table = usage(spark, tmp_path)
     call = spark.createDataFrame([("Read", 1, 9)], "tool_name string, success int, timestamp long")
     run = live.apply_counters(table, "a")
     for batch in (0, 1, 0, 1, 0):       # older batches come again too
         run(call, batch)
     live.apply_counters(table, "b")(call, 0)        # another stream starts at 0
     r = table.read().first()
-    assert (r.total_calls, r.last_used, r.avg_duration_ms) == (10, 9, 45.5) and table.head()[0] == 4
+    assert (r.total_calls, r.last_used) == (3, 9)
+    table.fold(1)
+    run(call, 0)        # part of the fold
+    run(call, 1)
+    assert table.read().first().total_calls == 3
 
 
 def test_changed_panels_only(spark, lake, tmp_path):
-    from pyspark.sql.types import StructType
-    hashes = SnapshotTable(spark, f"{tmp_path}/h", StructType.fromDDL("tool_name string, row_hash string"))
+    hashes = live.hash_table(spark, f"{tmp_path}/h", "tool_name")
     panel = lambda batch: tools.calls_by_tool(batch.sparkSession.read.parquet(lake[0]))
     run = live.publish_changes({"tools": (panel, "tool_name")}, {"tools": hashes}, f"{tmp_path}/out", "p")
     batch = spark.read.parquet(lake[0]).limit(3)
@@ -114,44 +121,50 @@ def test_changed_panels_only(spark, lake, tmp_path):
     run(batch, 1)
     assert read(1).count() == 0        # nothing changed
     run(batch, 1)                      # replay
+    run(batch, 0)                      # replay of the first: the same output again
     assert read(1).count() == 0 and read(0).count() == 5
 
 
-def test_divided_cadence(spark, lake, tmp_path):
-    from pyspark.sql.types import StructType
-    panel = lambda batch: batch.groupBy("tool_name").agg(F.count("*").alias("calls"))
-    hashes = SnapshotTable(spark, f"{tmp_path}/h", StructType.fromDDL("tool_name string, row_hash string"))
-    run = live.publish_changes({"slow": (panel, "tool_name")}, {"slow": hashes}, f"{tmp_path}/out", "p", {"slow": 5})
-    for i, tool in enumerate("ABCDEF"):
-        run(spark.createDataFrame([(tool,)], "tool_name string"), i)
-    read = lambda: sorted(r.tool_name for r in spark.read.json(f"{tmp_path}/out/slow").collect())
-    assert read() == list("ABCDEF")
-    run(spark.createDataFrame([("F",)], "tool_name string"), 5)        # replay
-    assert read() == list("ABCDEF")
+def test_divided_cadence(spark, tmp_path):
+    """Two streams of unequal trigger over one source: every row is published once by each, also over a restart."""
+    def put(k, names):
+        spark.createDataFrame([(n,) for n in names], "tool_name string").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+
+    seen = {1: [], 2: []}
 
+    def counting(n):
+        def panel(batch):
+            seen[n].append(sorted(r[0] for r in batch.collect()))
+            return batch.groupBy("tool_name").agg(F.count("*").alias("calls"))
+        return panel
 
-def test_divided_cadence_with_an_empty_due_batch(spark, tmp_path):
-    from pyspark.sql.types import StructType
-    panel = lambda batch: batch.groupBy("tool_name").agg(F.count("*").alias("calls"))
-    hashes = SnapshotTable(spark, f"{tmp_path}/h", StructType.fromDDL("tool_name string, row_hash string"))
-    run = live.publish_changes({"slow": (panel, "tool_name")}, {"slow": hashes}, f"{tmp_path}/out", "p", {"slow": 3})
-    for i, tools_ in enumerate(["", "A", "B", "", "", "", ""]):        # due: 0, 3 and 6
-        run(spark.createDataFrame([(t,) for t in tools_], "tool_name string"), i)
-    assert sorted((r.tool_name, r.batch) for r in spark.read.json(f"{tmp_path}/out/slow").collect()) == [("A", 3), ("B", 3)]
+    def drain_all():
+        source = lambda n: live.read_stream(spark, f"{tmp_path}/in/*", StructType.fromDDL("tool_name string"), max_files=n)
+        panels = {"fast": (counting(1), "tool_name", 1), "slow": (counting(2), "tool_name", 2)}
+        for w in live.divided_panels(lambda n: source(n).filter("tool_name <> '-'"), panels, f"{tmp_path}/out", "p", f"{tmp_path}/cp", seconds=None):
+            w.start().awaitTermination(180)
+
+    for k, names in enumerate(("A", "BC", "-", "-", "D", "E")):
+        put(k, names)
+    drain_all()
+    assert seen == {1: [["A"], ["B", "C"], ["D"], ["E"]], 2: [["A", "B", "C"], ["D", "E"]]}      # empty batches run no panel
+    put(6, "F")
+    drain_all()
+    for name in ("fast", "slow"):
+        assert sorted(r.tool_name for r in spark.read.json(f"{tmp_path}/out/{name}").collect()) == list("ABCDEF")
 
 
 def test_a_panel_is_evaluated_once(spark, tmp_path):
     """What is hashed is what was sent, also when the lake changes meanwhile."""
-    from pyspark.sql.types import StructType
-    lake, hashes = f"{tmp_path}/lake", SnapshotTable(spark, f"{tmp_path}/h", StructType.fromDDL("k string, row_hash string"))
+    lake, hashes = f"{tmp_path}/lake", live.hash_table(spark, f"{tmp_path}/h", "k")
     spark.createDataFrame([("x", 1)], "k string, n long").write.parquet(lake)
 
-    class Racing(SnapshotTable):
-        def update(self, *args, **kwargs):
+    class Racing(BatchTable):
+        def write(self, *args, **kwargs):
             spark.createDataFrame([("x", 2)], "k string, n long").write.mode("overwrite").parquet(lake)
-            return hashes.update(*args, **kwargs)
+            return super().write(*args, **kwargs)
 
-    racing = Racing(spark, hashes.root, hashes.schema)
+    racing = Racing(spark, hashes.root, hashes.schema, ["k"], span=STREAM_SPAN)
     panel = lambda batch: batch.sparkSession.read.parquet(lake)
     batch = spark.createDataFrame([(1,)], "i int")
     live.publish_changes({"p": (panel, "k")}, {"p": racing}, f"{tmp_path}/out", "q")(batch, 0)
@@ -159,6 +172,51 @@ def test_a_panel_is_evaluated_once(spark, tmp_path):
     assert sorted(r.n for r in spark.read.json(f"{tmp_path}/out/p").collect()) == [1, 2]
 
 
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, expiry.ROCKSDB)
+    yield
+    spark.conf.unset(name)
+
+
+def test_closed_sessions_leave_the_state(spark, tmp_path, rocksdb):
+    schema = StructType.fromDDL("session_id string, timestamp long")
+    batches = [[("a", 0), ("b", 10), ("hot", 20)] + [("hot", 20 + k) for k in range(50)], [("b", 4000), (None, 4000), ("c", None)],
+               [("d", 9000)], [("a", 9100), ("d", 9100)], [("e", 30000)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    table, sizes = expiry.gauge_table(spark, f"{tmp_path}/g"), []
+    keep = expiry.keep_changes(table, "g")
+
+    def run(batch, k):
+        keep(batch, k)
+        sizes.append(sorted((r.session_id, r.last_seen, r.open) for r in table.read().collect()))
+
+    changes = expiry.session_changes(live.read_stream(spark, f"{tmp_path}/in/*", schema, max_files=1), "session_id", "timestamp", 3000, watermark="10 minutes")
+    q = changes.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert sizes[-1] == [("a", 9100, False), ("b", 4000, False), ("d", 9100, False), ("e", 30000, True), ("hot", 69, False)]
+    a = [x for rows in sizes for x in rows if x[0] == "a"]
+    assert [x for k, x in enumerate(a) if x not in a[:k]] == [("a", 0, True), ("a", 0, False), ("a", 9100, True), ("a", 9100, False)]
+    assert q.lastProgress.stateOperators[0].numRowsTotal <= 2     # "e": its last event and its timer
+
+
+def test_streaks_from_a_stream_with_a_hot_session(spark, tmp_path):
+    """One session owns half of the events, many in one second; what closes equals the batch form."""
+    rows = [("hot", 5 * (k // 40)) for k in range(4000)] + [(f"s{k % 7}", 3 * k) for k in range(4000)]
+    df = spark.createDataFrame(rows, "session_id string, timestamp long")
+    for k in range(3):
+        df.filter(f"timestamp >= {4000 * k} AND timestamp < {4000 * (k + 1)}").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    spark.createDataFrame([(None, 900000)], df.schema).coalesce(1).write.parquet(f"{tmp_path}/in/9")
+    out = live.stream_streaks(live.read_stream(spark, f"{tmp_path}/in/*", df.schema, max_files=1), "timestamp", ["session_id"], gap_s=21)
+    got = drain(out, "streaks", "append", tmp_path)
+    want = streaks.sessionize(df, "timestamp", gap_s=21, min_s=0, keys=["session_id"])
+    assert sorted(tuple(r) for r in got.collect()) == sorted(
+        (r.session_id, r.start_ts, r.end_ts, r.duration_seconds, r.tool_count) for r in want.collect())
+    assert streaks.sessionize(df, "timestamp", gap_s=20, min_s=0, keys=["session_id"]).count() > want.count()     # the bound is inclusive
+
+
 def test_export_fan_out(spark, tmp_path):
     events = Bindings(spark, SF).sync_events
     events.repartition(3).write.parquet(f"{tmp_path}/in")

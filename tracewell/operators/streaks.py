@@ -77,13 +77,18 @@ def label_seconds(df: DataFrame, ts: str, *, gap_s: int = GAP_SECONDS, keys: Seq
         *keys, "_ts", "_n", bound("_fs", "_ls", "_s").alias("start_ts"), bound("_fe", "_le", "_e").alias("end_ts"))
 
 
+def average_gap(duration: Column) -> Column:
+    """Seconds between the ``tool_count`` events of a streak, on average."""
+    return rnd(duration / F.greatest(F.col("tool_count") - 1, F.lit(1)), 2).alias("avg_gap_seconds")
+
+
 def streaks_of(labelled: DataFrame, *, min_s: int = MIN_SECONDS, keys: Sequence[str] = ()) -> DataFrame:
     """Streak rows from labelled seconds, the short ones dropped."""
     duration = F.col("end_ts") - F.col("start_ts")
     sums = labelled.filter(duration >= min_s).groupBy(*keys, "start_ts", "end_ts").agg(F.sum("_n").alias("tool_count"))
     return sums.select(
         *keys, "start_ts", "end_ts", duration.alias("duration_seconds"), "tool_count",
-        rnd(duration / F.greatest(F.col("tool_count") - 1, F.lit(1)), 2).alias("avg_gap_seconds"))
+        average_gap(duration))
 
 
 def sessionize(df: DataFrame, ts: str, *, gap_s: int = GAP_SECONDS, min_s: int = MIN_SECONDS,

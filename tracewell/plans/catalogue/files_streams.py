@@ -4,7 +4,6 @@ Files and stream checkpoints go to a folder of their own below ``spark.checkpoin
 only a session without that setting uses a folder of this machine.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +11,20 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import coordination as co
 from tracewell.plans.bindings import Bindings
-from tracewell.plans.registry import cif, dsum, query
+from tracewell.operators import streaks as st
+from tracewell.plans.registry import cif, dsum, query, r
 from tracewell.sinks import panels as pn
-from tracewell.sinks.snapshots import SnapshotTable
+from tracewell.sinks.batches import STREAM_SPAN, BatchTable
+from tracewell.schemas import SCHEMAS
+from tracewell.session import shared_folder
 from tracewell.sources import jsonl, tables
 from tracewell.sources.transcripts import explode_tool_use, parse_turns
-from tracewell.streaming import live
+from tracewell.store import COUNTERS
+from tracewell.streaming import expiry, live
 
 
 def folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{root.rstrip('/')}/telemetry-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/telemetry-{uuid.uuid4().hex}"
 
 
 # ---- transcripts -------------------------------------------------------------
@@ -185,33 +187,139 @@ query("j05_counters_stream", lambda b: drained(b, lambda s: live.running_counter
 query("j06_hourly_windows_stream", lambda b: drained(b, lambda s: live.windowed_counts(
     s.activity_events, "timestamp", "1 hour", ["event_type"]), "complete"), """
     SELECT timestamp // 3600 * 3600 AS window_start, event_type, count(*) AS n FROM activity_events GROUP BY 1, 2""")
-query("j07_session_windows_stream", lambda b: drained(b, lambda s: live.stream_sessions(
-    s.tool_events, "timestamp", "2 hours", ["session_id"]), "complete").drop("duration_seconds"), """
-    WITH o AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER w < 7200 THEN 0 ELSE 1 END AS nw FROM tool_events
-               WINDOW w AS (PARTITION BY session_id ORDER BY timestamp, id)),
-    i AS (SELECT *, sum(nw) OVER (PARTITION BY session_id ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS g FROM o)
-    SELECT session_id, count(*) AS event_count, min(timestamp) AS start_ts, max(timestamp) AS end_ts FROM i
-    GROUP BY session_id, g""")
-query("j08_active_sessions_stream", lambda b: live.active_sessions(drained(b, lambda s: live.last_seen(
-    s.tool_events, "session_id", "timestamp"), "complete"), 24 * 60, as_of=1706659200), """
-    SELECT count(*) AS active FROM (SELECT session_id, max(timestamp) AS l FROM tool_events GROUP BY 1)
-    WHERE l > 1706659200 - 86400""")
+ISLANDS = """
+    o AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER w {join} THEN 0 ELSE 1 END AS nw FROM tool_events
+          WINDOW w AS (PARTITION BY session_id ORDER BY timestamp, id)),
+    i AS (SELECT *, sum(nw) OVER (PARTITION BY session_id ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS g FROM o),
+    s AS (SELECT session_id, count(*) AS event_count, min(timestamp) AS start_ts, max(timestamp) AS end_ts FROM i
+          GROUP BY session_id, g)"""
+#: Files that a table of events is dealt to for the streams below: a batch each.
+FILES = 6
+
+
+def arriving(b: Bindings, name: str, ts: str, *, tick: int | None = None) -> str:
+    """A folder with the rows of an event table in :data:`FILES` files, which arrive in the order of their times.
+
+    With ``tick`` a last file holds one row of no session, so many seconds later: the
+    clock of the stream moves on and what is still open closes. It is closed itself by nothing.
+    """
+    rows, root = getattr(b, name), folder(b.spark)
+    first, last = rows.agg(F.min(ts), F.max(ts)).first()
+    slice_ = F.floor((F.col(ts) - first) * FILES / (last - first + 1))
+    for k in range(FILES):
+        rows.filter(slice_ == k).write.mode("append").parquet(f"{root}/file={k}")
+    if tick is not None:
+        later = [F.lit(last + tick).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name)
+                 for f in rows.schema.fields]
+        b.spark.range(1).select(*later).write.mode("append").parquet(f"{root}/file={FILES}")
+    return root
+
+
+def stream_of(b: Bindings, name: str, root: str, files: int | None = None) -> DataFrame:
+    """A stream over what :func:`arriving` has written; a trigger takes so many files."""
+    return live.read_stream(b.spark, f"{root}/*", getattr(b, name).schema, max_files=files)
+
+
+def streamed(b: Bindings, out: DataFrame) -> DataFrame:
+    """Run a stream in append mode over all there is and read what it wrote."""
+    root = folder(b.spark)
+    out.writeStream.format("parquet").option("path", f"{root}/out").outputMode("append").option(
+        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return b.spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+DAY_S = 86400
+query("j07_session_windows_stream", lambda b: streamed(b, live.stream_sessions(stream_of(
+    b, "tool_events", arriving(b, "tool_events", "timestamp", tick=DAY_S)), "timestamp", "2 hours", ["session_id"])).drop(
+    "duration_seconds"), f"WITH {ISLANDS.format(join='< 7200')} SELECT * FROM s")
+
+
+def streaks_stream(b: Bindings) -> DataFrame:
+    """The streaks of ``f01_streaks_per_session`` from a stream, closed by the watermark; the same columns."""
+    events = stream_of(b, "tool_events", arriving(b, "tool_events", "timestamp", tick=DAY_S))
+    rows = streamed(b, live.stream_streaks(events, "timestamp", ["session_id"], gap_s=7200, min_s=3600))
+    rows = rows.withColumnRenamed("event_count", "tool_count")
+    return rows.select("session_id", "start_ts", "end_ts", "duration_seconds", "tool_count", st.average_gap(F.col("duration_seconds")))
+
+
+query("j07_f01_streaks_stream", streaks_stream, f"""
+    WITH {ISLANDS.format(join='<= 7200')} SELECT session_id, start_ts, end_ts, end_ts - start_ts AS duration_seconds,
+    event_count AS tool_count, {r('(end_ts - start_ts) / CAST(greatest(event_count - 1, 1) AS DOUBLE)', 2)} AS avg_gap_seconds
+    FROM s WHERE end_ts - start_ts >= 3600""")
+
+
+def expiring(b: Bindings) -> DataFrame:
+    """Sessions by their state: those silent for a day have left it."""
+    root, silence = folder(b.spark), DAY_S
+    table = expiry.gauge_table(b.spark, f"{root}/gauge")
+    changes = expiry.session_changes(stream_of(b, "tool_events", arriving(b, "tool_events", "timestamp"), 1), "session_id",
+                                     "timestamp", silence)
+    before = b.spark.conf.get(PROVIDER, None)
+    b.spark.conf.set(PROVIDER, expiry.ROCKSDB)
+    try:
+        changes.writeStream.foreachBatch(expiry.keep_changes(table, "gauge")).outputMode("update").option(
+            "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        b.spark.conf.set(PROVIDER, before) if before else b.spark.conf.unset(PROVIDER)
+    return table.read()
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+query("j08_active_sessions_stream", lambda b: expiring(b).groupBy("open").agg(
+    F.count(F.lit(1)).alias("sessions"), F.max("last_seen").alias("newest"), F.min("last_seen").alias("oldest")), """
+    WITH l AS (SELECT session_id, max(timestamp) AS last_seen FROM tool_events WHERE session_id IS NOT NULL GROUP BY 1),
+    c AS (SELECT max(timestamp) - 3600 AS watermark FROM tool_events WHERE session_id IS NOT NULL)
+    SELECT last_seen + 86400 > watermark AS open, count(*) AS sessions, max(last_seen) AS newest, min(last_seen) AS oldest
+    FROM l, c GROUP BY 1""")
+
+
+def counted(b: Bindings) -> DataFrame:
+    """Counters from six batches that are written as they are, folded half way, some replayed."""
+    root = folder(b.spark)
+    table = BatchTable(b.spark, f"{root}/usage", SCHEMAS["tool_usage"], ["tool_name"], span=STREAM_SPAN, **COUNTERS["tool_usage"])
+    apply = live.apply_counters(table, "calls")
+
+    def run(batch: DataFrame, k: int) -> None:
+        apply(batch, k)
+        if k == FILES // 2:
+            table.fold(k)
+        if k % 2:
+            apply(batch, k)
+
+    live.live_panels(stream_of(b, "tool_events", arriving(b, "tool_events", "timestamp"), 1), run, f"{root}/checkpoint",
+                     every=None).start().awaitTermination()
+    table.retire()
+    return table.read().drop("avg_duration_ms")
+
+
+query("b06_j05_counter_batches_stream", counted, f"""
+    SELECT tool_name, count(*) AS total_calls, {cif('success = 1')} AS success_count, {cif('success = 0')} AS failure_count,
+           max(timestamp) AS last_used FROM tool_events GROUP BY 1""")
 query("j10_deduplicated_stream", lambda b: per_type(drained(b, lambda s: live.deduplicated(
     s.activity_events.unionByName(s.activity_events), "id", "timestamp"), "append")), PER_TYPE)
 query("b13_resumed_stream", lambda b: per_type(drained(b, lambda s: s.activity_events, "append", runs=2)), PER_TYPE)
 
 
 def published(b: Bindings) -> DataFrame:
-    """Totals of the lake at each third batch, changed rows of each batch; all that was sent."""
-    from pyspark.sql.types import StructType
-    root = folder(b.spark)
-    hashes = {n: SnapshotTable(b.spark, f"{root}/hash-{n}", StructType.fromDDL("event_type string, row_hash string")) for n in ("each", "third")}
-    run = live.publish_changes({n: (per_type, "event_type") for n in hashes}, hashes, f"{root}/out", "telemetry", {"third": 3})
-    live.live_panels(Streams(b.spark, b.root).activity_events, run, f"{root}/checkpoint", every=None).start().awaitTermination()
-    read = lambda n: b.spark.read.schema("event_type string, n bigint").json(f"{root}/out/{n}")
-    return read("each").select(F.lit("each").alias("panel"), "event_type", "n").unionByName(
-        read("third").select(F.lit("third").alias("panel"), "event_type", "n"))
-
-
+    """Events by minute, changed rows sent at each trigger by one stream and at each third by another; all that was sent.
+
+    Of the six batches of the first stream one in two is empty: its filter drops every other file.
+    """
+    root, at = folder(b.spark), arriving(b, "activity_events", "timestamp")
+    first, last = b.activity_events.agg(F.min("timestamp"), F.max("timestamp")).first()
+    slice_ = F.floor((F.col("timestamp") - first) * FILES / (last - first + 1))
+    # A key of slice and type: its rows come in one batch.
+    panel = lambda batch: batch.groupBy(F.concat_ws("/", slice_, "event_type").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    source = lambda n: stream_of(b, "activity_events", at, n).filter(slice_ % 2 == 0)
+    panels = {"each": (panel, "slot", 1), "third": (panel, "slot", 3)}
+    for writer in live.divided_panels(source, panels, f"{root}/out", "telemetry", f"{root}/checkpoint", seconds=None):
+        writer.start().awaitTermination()
+    read = lambda n: b.spark.read.schema("slot string, n bigint").json(f"{root}/out/{n}")
+    return read("each").select(F.lit("each").alias("panel"), "slot", "n").unionByName(read("third").select(F.lit("third").alias("panel"), "slot", "n"))
+
+
+SLOTS = f"""SELECT CAST((timestamp - lo) * {FILES} // (hi - lo + 1) AS VARCHAR) || '/' || event_type AS slot, count(*) AS n
+    FROM activity_events, (SELECT min(timestamp) AS lo, max(timestamp) AS hi FROM activity_events)
+    WHERE (timestamp - lo) * {FILES} // (hi - lo + 1) % 2 = 0 GROUP BY 1"""
 query("j01_j02_j03_published_panels", published, f"""
-    SELECT 'each' AS panel, * FROM ({PER_TYPE}) UNION ALL SELECT 'third', * FROM ({PER_TYPE})""")
+    SELECT 'each' AS panel, * FROM ({SLOTS}) UNION ALL SELECT 'third', * FROM ({SLOTS})""")

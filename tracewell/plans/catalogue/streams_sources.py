@@ -6,7 +6,7 @@ from tracewell.functions.exprs import day_of, hour_of
 from tracewell.operators.ordering import newest_per_key
 from tracewell.plans.registry import cif, day, dsum, hour, isum, query, r
 from tracewell.sinks import panels as pn
-from tracewell.sinks import snapshots as sn
+from tracewell.sinks import upserts as up
 from tracewell.sources import incremental as inc
 from tracewell.sources.jsonl import parse_lines, split_bad
 from tracewell.sources.tables import parse_json_col
@@ -58,12 +58,12 @@ query("b01_panel_json", lambda b: pn.panel_json(b.tool_events.groupBy("tool_name
 
 def usage(b, new):
     rows = b.tool_events.filter(F.col("timestamp") > HALF if new else F.col("timestamp") <= HALF)
-    return sn.tool_usage_delta(rows)
+    return up.tool_usage_delta(rows)
 
 
 USAGE = f"""SELECT tool_name, count(*) AS total_calls, {cif('success = 1')} AS success_count,
             {cif('success = 0')} AS failure_count, max(timestamp) AS last_used FROM tool_events GROUP BY 1"""
-query("b06_j05_upsert_add", lambda b: sn.upsert_add(
+query("b06_j05_upsert_add", lambda b: up.upsert_add(
     usage(b, False), usage(b, True), ["tool_name"], ["total_calls", "success_count", "failure_count"], ["last_used"]),
       USAGE)
 query("j05_running_counters", lambda b: live.running_counters(b.tool_events, "tool_name", "success", "timestamp"), USAGE)
@@ -71,15 +71,15 @@ query("j05_running_counters", lambda b: live.running_counters(b.tool_events, "to
 
 def hourly(b, new):
     rows = b.tool_events.filter(F.col("timestamp") > HALF if new else F.col("timestamp") <= HALF)
-    return sn.hourly_delta(rows, day_of("timestamp"), hour_of("timestamp"),
+    return up.hourly_delta(rows, day_of("timestamp"), hour_of("timestamp"),
                            F.count_if(F.col("tool_name") == "Write"), F.count(F.lit(1)))
 
 
-query("b06_hourly_upsert", lambda b: sn.upsert_add(
+query("b06_hourly_upsert", lambda b: up.upsert_add(
     hourly(b, False), hourly(b, True), ["date", "hour"], ["session_count", "message_count"]), f"""
     SELECT {day('timestamp')} AS date, {hour('timestamp')} AS hour, {cif("tool_name = 'Write'")} AS session_count,
            count(*) AS message_count FROM tool_events GROUP BY 1, 2""")
-query("b07_upsert_max", lambda b: sn.upsert_max(
+query("b07_upsert_max", lambda b: up.upsert_max(
     hourly(b, False).select("hour", "message_count"), hourly(b, True).select("hour", "message_count"), ["hour"],
     ["message_count"]), f"""
     SELECT hour, max(n) AS message_count FROM (SELECT {day('timestamp')} AS d, timestamp > {HALF} AS h,
@@ -91,7 +91,7 @@ def replace(b):
     old = b.sessions.select("id", "model", "message_count", "outcome")
     new = b.session_outcome_events.filter(F.col("complexity") > 0.5).select(
         F.col("session_id").alias("id"), F.col("message_count"), F.col("outcome"), F.col("id").alias("seq"))
-    return sn.upsert_replace(old, new, ["id"], ["seq", "message_count", "outcome"])
+    return up.upsert_replace(old, new, ["id"], ["seq", "message_count", "outcome"])
 
 
 query("b05_j10_upsert_replace", replace, """
@@ -107,7 +107,7 @@ def rated(b):
     fb = b.part.select(F.col("p_partkey").cast("string").alias("query_hash"),
                        F.when(F.col("p_size") > 25, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("verdict"))
     d = newest_per_key(b.routing_decisions.select("id", "timestamp", "query_hash", "success"), ["id"], ["timestamp"])
-    return sn.rate_latest(d.withColumn("success", F.col("success").cast("bigint")), fb)
+    return up.rate_latest(d.withColumn("success", F.col("success").cast("bigint")), fb)
 
 
 query("b08_rate_latest", rated, """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,16 @@ SETTINGS: dict[str, str] = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a session of this one machine, as in tests, gets one of its own where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp()
+    return root
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once, when the session names a shared checkpoint folder.
 

@@ -1,8 +1,9 @@
 """The telemetry store: logging batches in, reading panels out.
 
-Entity and counter tables are :class:`~tracewell.sinks.snapshots.SnapshotTable`
-(keyed upserts), event tables are append-only Parquet. Every write takes a
-DataFrame, so one call logs one row or a billion alike.
+Entity and counter tables are :class:`~tracewell.sinks.batches.BatchTable` (batches
+merged when read), event tables are append-only Parquet. Every write takes a
+DataFrame, so one call logs one row or a billion alike, and costs what the batch
+costs, not what the table holds.
 """
 
 from __future__ import annotations
@@ -16,14 +17,17 @@ from tracewell.operators import daily, filters, recovery, routing, sessions, str
 from tracewell.operators.ordering import top
 from tracewell.schemas import SCHEMAS
 from tracewell.session import checkpointed
-from tracewell.sinks import snapshots
+from tracewell.sinks import upserts
+from tracewell.sinks.batches import BatchTable, clock
 from tracewell.sinks.panels import append_rows
-from tracewell.sinks.snapshots import SnapshotTable
 from tracewell.sources.tables import read_table
 
 #: Tables changed by key; all others only grow.
 KEYED = {"sessions": ["id"], "daily_stats": ["date"], "routing_decisions": ["id"], "tool_usage": ["tool_name"],
          "hourly_activity": ["date", "hour"], "autonomy_streaks": ["start_ts"]}
+#: Columns that batches add to, and columns that keep their maximum.
+COUNTERS = {"tool_usage": {"add": ["total_calls", "success_count", "failure_count"], "latest": ["last_used"]},
+            "hourly_activity": {"add": ["session_count", "message_count"]}}
 #: Partition column of event tables, and its value for rows without a time: later than any day,
 #: so a bound on the day leaves those rows to the filter on the time itself.
 DAY, NO_DAY = "event_date", "unknown"
@@ -34,7 +38,7 @@ class TelemetryStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        self._keyed = {n: SnapshotTable(spark, f"{root}/{n}", SCHEMAS[n]) for n in KEYED}
+        self._keyed = {n: BatchTable(spark, f"{root}/{n}", SCHEMAS[n], keys, **COUNTERS.get(n, {})) for n, keys in KEYED.items()}
 
     def table(self, name: str, since: int | None = None) -> DataFrame:
         """A table by name. Event tables lie in folders by day (UTC): ``since``, in epoch seconds, leaves out the days before."""
@@ -56,40 +60,47 @@ class TelemetryStore:
         day = day_of("timestamp") if "timestamp" in schema.names else F.lit(None).cast("string")
         append_rows(out.withColumn(DAY, F.coalesce(day, F.lit(NO_DAY))), f"{self.root}/{name}", partition_by=DAY)
 
-    def _replace(self, name: str, rows: DataFrame, source: str | None, order: tuple[str, ...] = ()) -> int:
-        return self._keyed[name].update(
-            lambda old: snapshots.upsert_replace(old, rows, KEYED[name], order), source)
+    def log_sessions(self, rows: DataFrame, source: str = "direct", number: int | None = None, order: tuple[str, ...] = ()) -> int:
+        """Replace sessions by id. A batch with several rows for an id needs ``order``, columns whose last value wins.
 
-    def log_sessions(self, rows: DataFrame, source: str | None = None, order: tuple[str, ...] = ()) -> int:
-        """Replace sessions by id. A batch with several rows for an id needs ``order``, columns whose last value wins."""
-        return self._replace("sessions", rows, source, order)
+        ``source`` and ``number`` name the batch, here and below: given again, it replaces itself. See
+        :meth:`~tracewell.sinks.batches.BatchTable.write`.
+        """
+        return self._keyed["sessions"].write(rows, source, number, order)
 
-    def update_daily_stats(self, rows: DataFrame, source: str | None = None, order: tuple[str, ...] = ()) -> int:
-        return self._replace("daily_stats", rows, source, order)
+    def update_daily_stats(self, rows: DataFrame, source: str = "direct", number: int | None = None, order: tuple[str, ...] = ()) -> int:
+        return self._keyed["daily_stats"].write(rows, source, number, order)
 
-    def log_routing_decisions(self, rows: DataFrame, source: str | None = None, order: tuple[str, ...] = ()) -> int:
-        return self._replace("routing_decisions", rows, source, order)
+    def log_routing_decisions(self, rows: DataFrame, source: str = "direct", number: int | None = None, order: tuple[str, ...] = ()) -> int:
+        return self._keyed["routing_decisions"].write(rows, source, number, order)
 
-    def record_routing_feedback(self, feedback: DataFrame, source: str | None = None) -> int:
-        """Rate the newest unrated decision of each query hash; ``feedback`` is (query_hash, verdict)."""
-        return self._keyed["routing_decisions"].update(lambda old: snapshots.rate_latest(old, feedback), source)
+    def record_routing_feedback(self, feedback: DataFrame, source: str = "direct", number: int | None = None) -> int:
+        """Rate the newest unrated decision of each query hash; ``feedback`` is (query_hash, verdict).
 
-    def update_tool_usage(self, calls: DataFrame, source: str | None = None) -> int:
+        Only the decisions rated are written. They are chosen from what the batches before
+        this one made, so the batch given again rates the same ones.
+        """
+        decisions = self._keyed["routing_decisions"]
+        number = clock() if number is None else number
+        return decisions.write(upserts.rated_rows(decisions.read(below=number), feedback), source, number)
+
+    def update_tool_usage(self, calls: DataFrame, source: str = "direct", number: int | None = None) -> int:
         """Add tool calls (tool_name, success, timestamp, optional calls) to the counters."""
-        delta = snapshots.tool_usage_delta(calls)
-        return self._keyed["tool_usage"].update(lambda old: snapshots.upsert_add(
-            old, delta, ["tool_name"], ["total_calls", "success_count", "failure_count"], ["last_used"]), source)
+        return self._keyed["tool_usage"].write(upserts.tool_usage_delta(calls), source, number)
 
-    def update_hourly_activity(self, delta: DataFrame, source: str | None = None) -> int:
+    def update_hourly_activity(self, delta: DataFrame, source: str = "direct", number: int | None = None) -> int:
         """Add (date, hour, session_count, message_count) to the hourly counters."""
-        return self._keyed["hourly_activity"].update(lambda old: snapshots.upsert_add(
-            old, delta, KEYED["hourly_activity"], ["session_count", "message_count"]), source)
+        return self._keyed["hourly_activity"].write(delta, source, number)
 
     def rebuild_streaks(self, *, gap_s: int = streaks.GAP_SECONDS, min_s: int = streaks.MIN_SECONDS) -> int:
         """Replace the whole derived streak table."""
-        new = streaks.autonomy_streaks(self.table("tool_events"), self.table("sessions"), gap_s=gap_s, min_s=min_s,
-                                       materialize=checkpointed)
-        return self._keyed["autonomy_streaks"].update(lambda _old: new)
+        return self._keyed["autonomy_streaks"].replace_all(streaks.autonomy_streaks(
+            self.table("tool_events"), self.table("sessions"), gap_s=gap_s, min_s=min_s, materialize=checkpointed))
+
+    def fold(self, below: int) -> None:
+        """Merge the batches of all keyed tables below a number, a clock number some time past; to be run now and then."""
+        for table in self._keyed.values():
+            table.fold(below)
 
     # ---- reads -----------------------------------------------------------
     def get_sessions(self, days: int = 30, project: str | None = None, *, as_of: int) -> DataFrame:

@@ -12,10 +12,11 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tracewell.sinks.panels import changed_rows, fan_out
-from tracewell.sinks.snapshots import SnapshotTable, tool_usage_delta, upsert_add
+from tracewell.sinks.batches import STREAM_SPAN, BatchTable
+from tracewell.sinks.upserts import tool_usage_delta
 
 WATERMARK = "1 hour"
 
@@ -56,24 +57,31 @@ def windowed_counts(stream: DataFrame, ts: str, width: str, keys: Sequence[str]
 
 def stream_sessions(stream: DataFrame, ts: str, gap: str, keys: Sequence[str], *, min_s: int = 0,
                     watermark: str = WATERMARK) -> DataFrame:
-    """Gap sessions per key; Spark needs a key here.
+    """Gap sessions per key, in two phases; Spark needs a key here.
 
-    The state of a stream is one row per open session, but the rows of a key in one
-    batch are sorted in one task. A batch frame is counted per key and second first,
-    so a key is at most 86,400 rows a day there.
+    Events are counted per key and second first, so the seconds of one key are dealt to
+    all tasks and the second phase gets at most 86,400 rows of it a day, whatever its
+    share of the events. There the state of a key is its open sessions: start, last and
+    count. Two events less than ``gap`` apart, in whole seconds, are in one session. In
+    a stream a session is given out (append mode) when the watermark has passed its end.
     """
     if not keys:
         raise ValueError("streaming sessions need at least one key")
-    timed = event_time(stream, ts, watermark=watermark).withColumn("_n", F.lit(1).cast("bigint"))
-    if not stream.isStreaming:
-        timed = timed.groupBy(F.date_trunc("second", "event_time").alias("event_time"), *keys).agg(F.count(F.lit(1)).alias("_n"))
-    s = timed.groupBy(F.session_window("event_time", gap), *keys).agg(
-        F.sum("_n").alias("event_count"), F.min("event_time").alias("_s"), F.max("event_time").alias("_e"))
-    start, end = F.unix_timestamp("_s"), F.unix_timestamp("_e")
-    return s.select(*keys, start.alias("start_ts"), end.alias("end_ts"), (end - start).alias("duration_seconds"),
+    seconds = event_time(stream, ts, watermark=watermark).groupBy(F.window("event_time", "1 second"), *keys).agg(
+        F.count(F.lit(1)).alias("_n"))
+    at = seconds.select(*keys, "_n", F.window_time("window").alias("_at"), F.unix_timestamp("window.start").alias("_s"))
+    s = at.groupBy(F.session_window("_at", gap), *keys).agg(
+        F.sum("_n").alias("event_count"), F.min("_s").alias("start_ts"), F.max("_s").alias("end_ts"))
+    return s.select(*keys, "start_ts", "end_ts", (F.col("end_ts") - F.col("start_ts")).alias("duration_seconds"),
                     "event_count").filter(F.col("duration_seconds") >= min_s)
 
 
+def stream_streaks(stream: DataFrame, ts: str, keys: Sequence[str], *, gap_s: int, min_s: int = 0,
+                   watermark: str = WATERMARK) -> DataFrame:
+    """The streaks of :func:`~tracewell.operators.streaks.sessionize` from a stream: gaps up to ``gap_s`` seconds, inclusive."""
+    return stream_sessions(stream, ts, f"{gap_s + 1} seconds", keys, min_s=min_s, watermark=watermark)
+
+
 def running_counters(stream: DataFrame, key: str, success: str, ts: str) -> DataFrame:
     """Calls, successes, failures and last use per key (update mode)."""
     return stream.groupBy(key).agg(
@@ -98,47 +106,30 @@ def deduplicated(stream: DataFrame, key: str, ts: str, *, watermark: str = WATER
 Panel = Callable[[DataFrame], DataFrame]
 
 
-def publish_changes(panels: Mapping[str, tuple[Panel, str]], published: Mapping[str, SnapshotTable],
-                    out: str, query: str, every: Mapping[str, int] | None = None) -> Callable[[DataFrame, int], None]:
+def publish_changes(panels: Mapping[str, tuple[Panel, str]], published: Mapping[str, BatchTable],
+                    out: str, query: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that recomputes panels and writes changed rows.
 
     ``panels`` maps a name to (panel function, key column), ``published`` holds the
-    hashes sent last per panel. ``query`` names the stream: batches are known by it and
-    their number, so a stream that starts over with a new checkpoint needs a new name.
-    ``every`` lets a panel run on each n-th batch only; the batches in between are kept
-    below ``out`` and given to it together, so a panel over its input misses none, also
-    if the n-th itself is empty. What is kept after the last of those stays for the next
-    one. A panel that would be given no rows does not run.
+    hashes sent last per panel, a table (key, row_hash) for one stream alone. ``query``
+    names the stream: a stream that starts over with a new checkpoint needs new tables.
 
     A panel is evaluated once: its changed rows go to a staging directory of the batch,
     and both the output and the stored hashes are read from there. They are compared
     with the hashes published before the batch, so a replay writes the same output.
+    A batch without rows changes nothing.
     """
-    every = every or {}
-
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark, source = batch.sparkSession, f"{query}/{batch_id}"
         cached = batch.persist()
         try:
+            if cached.isEmpty():
+                return
             for name, (panel, key) in panels.items():
-                n, given = every.get(name, 1), cached
-                if n > 1:
-                    kept = f"{out}/_kept/{query}/{name}"
-                    # Empty batches too: a due one may be the first, and a replay overwrites its own.
-                    cached.write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
-                    if batch_id % n:
-                        continue
-                    ids = F.col("batch").between(batch_id - n + 1, batch_id)
-                    given = spark.read.schema(batch.schema).option("basePath", kept).parquet(kept).filter(ids).select(*batch.columns)
-                if given.isEmpty():
-                    continue
                 table, staged = published[name], f"{out}/_staged/{query}/{name}/batch={batch_id}"
-                changed_rows(panel(given), table.read_before(source), key).write.mode("overwrite").parquet(staged)
-                rows = spark.read.parquet(staged)
+                changed_rows(panel(cached), table.read(below=batch_id), key).write.mode("overwrite").parquet(staged)
+                rows = batch.sparkSession.read.parquet(staged)
                 rows.drop("row_hash").write.mode("overwrite").json(f"{out}/{name}/batch={batch_id}")
-                sent = rows.select(key, "row_hash")
-                table.update(lambda old, new=sent, k=key: new.unionByName(
-                    old.join(new.select(k), k, "left_anti")), source=source)
+                table.write(rows.select(key, "row_hash"), query, batch_id)
         finally:
             cached.unpersist()
 
@@ -152,16 +143,39 @@ def live_panels(stream: DataFrame, run: Callable[[DataFrame, int], None], checkp
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
-def apply_counters(table: SnapshotTable, query: str) -> Callable[[DataFrame, int], None]:
+def divided_panels(source: Callable[[int], DataFrame], panels: Mapping[str, tuple[Panel, str, int]], out: str, query: str,
+                   checkpoint: str, *, seconds: int | None = 3) -> list[DataStreamWriter]:
+    """Writers for panels of unequal cadence: one stream for each, over the same source.
+
+    ``panels`` maps a name to (panel function, key column, n): a panel of cadence n runs
+    on every n-th trigger. Panels of one cadence share a stream with a checkpoint of its
+    own, so each reads every row once and none has to keep rows for another. ``source(n)``
+    makes the stream of cadence n; a source that bounds what a trigger reads should let
+    it read n times as much. ``seconds=None`` drains the input and stops.
+    """
+    spark, writers = None, []
+    for n in sorted({n for _, _, n in panels.values()}):
+        stream = source(n)
+        spark = stream.sparkSession
+        own = {name: (panel, key) for name, (panel, key, each) in panels.items() if each == n}
+        name = f"{query}-{n}"
+        hashes = {p: hash_table(spark, f"{out}/_hashes/{name}/{p}", key) for p, (_, key) in own.items()}
+        writers.append(live_panels(stream, publish_changes(own, hashes, out, name), f"{checkpoint}/{name}",
+                                   every=seconds and f"{n * seconds} seconds"))
+    return writers
+
+
+def hash_table(spark: SparkSession, root: str, key: str) -> BatchTable:
+    """The hashes a stream has published last, by a text key."""
+    schema = StructType([StructField(key, StringType()), StructField("row_hash", StringType())])
+    return BatchTable(spark, root, schema, [key], span=STREAM_SPAN)
+
+
+def apply_counters(table: BatchTable, query: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that adds a batch of tool calls to the counter table.
 
     A batch counts once for each ``query`` name and number, however often it is replayed."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        delta = tool_usage_delta(batch)
-        table.update(lambda old: upsert_add(
-            old, delta, ["tool_name"], ["total_calls", "success_count", "failure_count"], ["last_used"]),
-            source=f"{query}/{batch_id}")
-    return run
+    return lambda batch, batch_id: table.write(tool_usage_delta(batch), query, batch_id)
 
 
 def export_batches(routes: Mapping[str, tuple[Panel, str]]) -> Callable[[DataFrame, int], None]:
