@@ -182,7 +182,7 @@ def rocksdb(spark):
 
 def test_closed_sessions_leave_the_state(spark, tmp_path, rocksdb):
     schema = StructType.fromDDL("session_id string, timestamp long")
-    batches = [[("a", 0), ("b", 10), ("hot", 20)] + [("hot", 20 + k) for k in range(50)], [("b", 4000), (None, 4000), ("c", None)],
+    batches = [[("a", 1), ("b", 10), ("hot", 20)] + [("hot", 20 + k) for k in range(50)], [("b", 4000), (None, 4000), ("c", None)],
                [("d", 9000)], [("a", 9100), ("d", 9100)], [("e", 30000)]]
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
@@ -198,7 +198,7 @@ def test_closed_sessions_leave_the_state(spark, tmp_path, rocksdb):
     q.awaitTermination(180)
     assert sizes[-1] == [("a", 9100, False), ("b", 4000, False), ("d", 9100, False), ("e", 30000, True), ("hot", 69, False)]
     a = [x for rows in sizes for x in rows if x[0] == "a"]
-    assert [x for k, x in enumerate(a) if x not in a[:k]] == [("a", 0, True), ("a", 0, False), ("a", 9100, True), ("a", 9100, False)]
+    assert [x for k, x in enumerate(a) if x not in a[:k]] == [("a", 1, True), ("a", 1, False), ("a", 9100, True), ("a", 9100, False)]
     assert q.lastProgress.stateOperators[0].numRowsTotal <= 2     # "e": its last event and its timer
 
 
