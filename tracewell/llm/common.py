@@ -94,12 +94,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def per_worker(key: tuple, make: Callable[[], object]) -> object:
-    """The value of ``make()``, shared by the tasks of a Python worker, which keeps the last four."""
+    """The value of ``make()``, shared by the tasks of a Python worker, which keeps one for each first part of a key."""
     home = sys.modules.setdefault("_tracewell_kept", types.ModuleType("_tracewell_kept"))
     kept = home.__dict__.setdefault("kept", {})
     if key not in kept:
-        while len(kept) >= 4:
-            del kept[next(iter(kept))]
+        for old in [k for k in kept if k[0] == key[0]]:
+            del kept[old]
         kept[key] = make()
     return kept[key]
 

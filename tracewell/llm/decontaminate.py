@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import annotate, fresh, per_worker, raw
+from tracewell.llm.common import annotate, fresh, per_worker, raw, stored
 
 WINDOW = 10
-#: Normalised item bytes put into one automaton; a larger set takes more passes, one
-#: after the other in the same task.
-PART_BYTES = 16 << 20
+#: Item bytes put into one automaton; a larger set takes more passes, one after the other
+#: over the whole table. A megabyte makes some eight million nodes, which were measured at 443 MB
+#: of a worker's memory: every word begins a pattern of ten.
+PART_BYTES = 1 << 20
 
 #: Letters to lower case, every other ASCII character but digits to a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -101,8 +102,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str
 
     A span gives its first and last word (counted from 0) and its character range in
     the original text; spans are disjoint and maximal, ids are distinct and sorted as
-    strings. The item texts are read in parts of at most about ``part_bytes``, so no
-    automaton outgrows a worker; a single larger item still goes whole. Documents
+    strings. The item texts are read in parts of at most about ``part_bytes``, about half
+    a gigabyte of a worker's memory each; what one pass has found is written before the next, or
+    all their automata would be in memory at once. A single larger item still goes whole. Documents
     are not shuffled.
 
     Null and empty texts have no words and no spans, an item without words matches
@@ -112,7 +114,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str
     items = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).cast("binary").alias("data"))
     total = items.agg(F.sum(F.length("data"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
-    out, columns = docs, list(docs.columns if keep is None else keep)
+    columns = list(docs.columns if keep is None else keep)
+    out = docs.select(*dict.fromkeys([*columns, text]))
     state = None
     for k in range(parts):
         own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("id", "data"), F.lit(parts)) == k)
@@ -122,6 +125,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str
         out = _pass(out, text, state, shared, made, columns if last else [*out.columns] if state is None else
                     [c for c in out.columns if c != state])
         state = made
+        if not last:
+            out = stored(out)
     return out
 
 

@@ -13,13 +13,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import annotate, fresh, texts
+from tracewell.llm.common import annotate, fresh, per_worker, texts
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -110,11 +109,18 @@ NUMERALS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "fiv
 MIN_SPELLED = 4
 
 
-@lru_cache(1)
 def homoglyphs() -> dict[str, str]:
-    """Characters to ASCII text: the look-alikes, digits of any script, and whatever has an ASCII compatibility form."""
+    """Characters to ASCII text: the look-alikes, digits of any script, and whatever has an ASCII compatibility form.
+
+    Made once in a Python worker; a cache of the function itself would tie it to this module, which executors may lack.
+    """
+    return per_worker(("homoglyphs",), _homoglyphs)
+
+
+def _homoglyphs() -> dict[str, str]:
     out = dict(LOOKALIKES) | dict.fromkeys(INVISIBLE, "")
-    for c in (chr(i) for i in range(0x80, 0x20000) if not 0xD800 <= i < 0xE000 and not 0x3400 <= i < 0xFB00):
+    # Ideographs and Hangul have no such form, and no digits but for the scripts that lie between the two.
+    for c in (chr(i) for i in range(0x80, 0x20000) if not 0xD800 <= i < 0xE000 and not 0x3400 <= i < 0xA000 and not 0xAC00 <= i < 0xD800):
         if unicodedata.category(c) == "Nd":
             out[c] = str(unicodedata.digit(c))
         elif c not in out and len(n := unicodedata.normalize("NFKC", c)) == 1 and n.isascii() and n.isprintable():
@@ -201,7 +207,7 @@ def normalise(text: str, apart: bool = False) -> Traced:
     if _BRACKET_CUE.search(low):
         for pattern, new in BRACKETED:
             out.rewrite([(*m.span(), new) for m in pattern.finditer(out.text)])
-    if " dot" in low and _SPOKEN_CUE.search(low):
+    if _SPOKEN_CUE.search(low):
         out.rewrite([(*p.span(), "@" if p[1].lower() == "at" else ".") for m in SPOKEN.finditer(out.text)
                      for p in SPOKEN_PART.finditer(out.text, *m.span())])
     if sum(map(low.count, NUMERALS)) >= MIN_SPELLED and _SPELLED_CUE.search(low):

@@ -30,7 +30,8 @@ def op2_pii_transducers(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = lambda kind: F.array_remove(F.transform(base, lambda s: s.kind), kind)
     counts = [(F.size(base) - F.size(other(k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, hex_digest(named(base), ",").alias("base_sha256"),
-                        F.array_join(named(F.col("pii.spans")), ",").alias("spans"))
+                        F.array_join(named(F.col("pii.spans")), ",").alias("spans"),
+                        F.size("pii.spans").cast("bigint").alias("n_spans"))
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
