@@ -96,3 +96,21 @@ def test_events_lie_in_days(spark, tmp_path):
     assert lake.table("tool_events").count() == 6 and "event_date" not in lake.table("tool_events").columns
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
+def test_metrics_of_ones_own(spark, store, tmp_path):
+    lake = TelemetryStore(spark, f"{tmp_path}/lake")
+    lake.log_sessions(store["sessions"])
+    lake.register_metric("by_project", lambda s, *, as_of, day: s.table("sessions").filter(f"started_at <= {as_of}").groupBy(
+        "project_path").count(), "project_path")
+    panels = lake.panels(as_of=NOW, day="2026-02-13")
+    assert export_panels(panels, f"{tmp_path}/out", ["by_project"]) == ["by_project"]
+    assert {r.project_path: r["count"] for r in spark.read.json(f"{tmp_path}/out/by_project").collect()} == {"project-a": 2, "project-b": 1}
+    for name in ("by_project", "no/name"):
+        with pytest.raises(ValueError):
+            lake.register_metric(name, lambda s, *, as_of, day: s.table("sessions"), "id")
+    lake.register_metric("routing_daily", lambda s, *, as_of, day: s.table("sessions"), "id")
+    with pytest.raises(ValueError, match="routing_daily"):
+        lake.panels(as_of=NOW, day="2026-02-13")
+    live = lake.live_metrics(lambda: (NOW, "2026-02-13"))
+    assert live["by_project"][1] == "project_path" and live["by_project"][0](None).count() == 2

@@ -11,7 +11,8 @@ from tracewell.plans.bindings import Bindings
 from tracewell.schemas import SCHEMAS
 from tracewell.sinks.batches import STREAM_SPAN, BatchTable
 from tracewell.store import COUNTERS
-from tracewell.streaming import expiry, export, live
+from tracewell.streaming import expiry, export, live, run_log
+from tracewell.streaming.joins import stream_interval_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -238,3 +239,37 @@ def test_checkpoint_dir():
     assert live.checkpoint_dir(session(), "q", "/mine") == "/mine/q"
     with pytest.raises(ValueError):
         live.checkpoint_dir(session(), "q")
+
+
+def test_intervals_of_two_streams(spark, tmp_path):
+    points = spark.createDataFrame([(k, t) for k, t in enumerate([5, 100, 150, 151, 400, 777, None])], "p long, at long")
+    spans = spark.createDataFrame([(1, 0, 100), (2, 100, 150), (3, 90, None), (4, 151, 150), (5, None, 9), (6, 399, 800), (7, 777, 777)],
+                                  "s long, a long, b long")
+    points.coalesce(1).write.parquet(f"{tmp_path}/p/0")
+    for k in range(3):
+        spans.filter(f"s % 3 = {k}").coalesce(1).write.parquet(f"{tmp_path}/s/{k}")
+    read = lambda n, df, most: live.read_stream(spark, f"{tmp_path}/{n}/*", df.schema, max_files=most)
+    pairs = stream_interval_join(read("p", points, None), read("s", spans, 1), at="at", start="a", end="b", longest_s=401)
+    got = sorted((r.p, r.s) for r in drain(pairs, "pairs", "append", tmp_path).collect())
+    rows = [(r.p, r.at) for r in points.collect() if r.at is not None], [tuple(r) for r in spans.collect() if r.a is not None]
+    assert got == sorted((p, s) for p, at in rows[0] for s, a, b in rows[1] if a <= at <= (a + 401 if b is None else b))
+    with pytest.raises(Exception, match="longer than longest_s"):
+        stream_interval_join(points, spans, at="at", start="a", end="b", longest_s=300).collect()
+
+
+def test_run_log(spark, lake, tmp_path):
+    log = run_log.RunLog(spark, f"{tmp_path}/log", every=3)
+    spark.streams.addListener(log)
+    try:
+        s = run_log.observed(stream(spark, lake).filter("tool_name = 'Read'"), "timestamp")
+        q = (s.writeStream.queryName("reads").format("parquet").option("path", f"{tmp_path}/out")
+             .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start())
+        q.awaitTermination(180)
+        assert log.wait(q.id)
+    finally:
+        spark.streams.removeListener(log)
+    rows = run_log.read_log(spark, f"{tmp_path}/log").orderBy("batch_id").collect()
+    assert [r.batch_id for r in rows] == [0, 1, 2, 3] and sum(r.rows for r in rows) == lake[1].filter("tool_name = 'Read'").count()
+    assert all(r.duration_ms > 0 and r.lag_seconds > 0 for r in rows)
+    assert run_log.health(run_log.read_log(spark, f"{tmp_path}/log"), late_s=0).first().late == 4
+    assert run_log.read_log(spark, f"{tmp_path}/none").count() == 0

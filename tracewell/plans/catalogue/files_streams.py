@@ -10,17 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators import coordination as co
+from tracewell.operators import text_index, vector_index
 from tracewell.plans.bindings import Bindings
 from tracewell.operators import streaks as st
-from tracewell.plans.registry import cif, dsum, query, r
+from tracewell.plans.registry import EVENTS_DAY, EVENTS_NOW, cif, dsum, query, r
 from tracewell.sinks import panels as pn
 from tracewell.sinks.batches import STREAM_SPAN, BatchTable
 from tracewell.schemas import SCHEMAS
 from tracewell.session import shared_folder
 from tracewell.sources import jsonl, tables
 from tracewell.sources.transcripts import explode_tool_use, parse_turns
-from tracewell.store import COUNTERS
+from tracewell.store import COUNTERS, TelemetryStore
 from tracewell.streaming import expiry, live
+from tracewell.streaming.joins import stream_interval_join
+from tracewell.streaming.run_log import RunLog, observed, read_log
 
 
 def folder(spark: SparkSession) -> str:
@@ -197,27 +200,27 @@ ISLANDS = """
 FILES = 6
 
 
-def arriving(b: Bindings, name: str, ts: str, *, tick: int | None = None) -> str:
-    """A folder with the rows of an event table in :data:`FILES` files, which arrive in the order of their times.
+def arriving(b: Bindings, rows: DataFrame, ts: str, *, tick: int | None = None) -> DataFrame:
+    """Rows in :data:`FILES` files, which arrive in the order of their times; the files, read back.
 
     With ``tick`` a last file holds one row of no session, so many seconds later: the
-    clock of the stream moves on and what is still open closes. It is closed itself by nothing.
+    clock of the stream moves on and what is still open closes.
     """
-    rows, root = getattr(b, name), folder(b.spark)
+    root = folder(b.spark)
     first, last = rows.agg(F.min(ts), F.max(ts)).first()
     slice_ = F.floor((F.col(ts) - first) * FILES / (last - first + 1))
     for k in range(FILES):
         rows.filter(slice_ == k).write.mode("append").parquet(f"{root}/file={k}")
     if tick is not None:
-        later = [F.lit(last + tick).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name)
-                 for f in rows.schema.fields]
+        later = [F.lit(last + tick if f.name == ts else None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
         b.spark.range(1).select(*later).write.mode("append").parquet(f"{root}/file={FILES}")
-    return root
+    return b.spark.read.schema(rows.schema).parquet(f"{root}/*")
 
 
-def stream_of(b: Bindings, name: str, root: str, files: int | None = None) -> DataFrame:
+def stream_of(b: Bindings, files: DataFrame, most: int | None = None) -> DataFrame:
     """A stream over what :func:`arriving` has written; a trigger takes so many files."""
-    return live.read_stream(b.spark, f"{root}/*", getattr(b, name).schema, max_files=files)
+    root = files.inputFiles()[0].rsplit("/", 2)[0]
+    return live.read_stream(b.spark, f"{root}/*", files.schema, max_files=most)
 
 
 def streamed(b: Bindings, out: DataFrame) -> DataFrame:
@@ -230,13 +233,13 @@ def streamed(b: Bindings, out: DataFrame) -> DataFrame:
 
 DAY_S = 86400
 query("j07_session_windows_stream", lambda b: streamed(b, live.stream_sessions(stream_of(
-    b, "tool_events", arriving(b, "tool_events", "timestamp", tick=DAY_S)), "timestamp", "2 hours", ["session_id"])).drop(
+    b, arriving(b, b.tool_events, "timestamp", tick=DAY_S)), "timestamp", "2 hours", ["session_id"])).drop(
     "duration_seconds"), f"WITH {ISLANDS.format(join='< 7200')} SELECT * FROM s")
 
 
 def streaks_stream(b: Bindings) -> DataFrame:
     """The streaks of ``f01_streaks_per_session`` from a stream, closed by the watermark; the same columns."""
-    events = stream_of(b, "tool_events", arriving(b, "tool_events", "timestamp", tick=DAY_S))
+    events = stream_of(b, arriving(b, b.tool_events, "timestamp", tick=DAY_S))
     rows = streamed(b, live.stream_streaks(events, "timestamp", ["session_id"], gap_s=7200, min_s=3600))
     rows = rows.withColumnRenamed("event_count", "tool_count")
     return rows.select("session_id", "start_ts", "end_ts", "duration_seconds", "tool_count", st.average_gap(F.col("duration_seconds")))
@@ -252,7 +255,7 @@ def expiring(b: Bindings) -> DataFrame:
     """Sessions by their state: those silent for a day have left it."""
     root, silence = folder(b.spark), DAY_S
     table = expiry.gauge_table(b.spark, f"{root}/gauge")
-    changes = expiry.session_changes(stream_of(b, "tool_events", arriving(b, "tool_events", "timestamp"), 1), "session_id",
+    changes = expiry.session_changes(stream_of(b, arriving(b, b.tool_events, "timestamp"), 1), "session_id",
                                      "timestamp", silence)
     before = b.spark.conf.get(PROVIDER, None)
     b.spark.conf.set(PROVIDER, expiry.ROCKSDB)
@@ -286,7 +289,7 @@ def counted(b: Bindings) -> DataFrame:
         if k % 2:
             apply(batch, k)
 
-    live.live_panels(stream_of(b, "tool_events", arriving(b, "tool_events", "timestamp"), 1), run, f"{root}/checkpoint",
+    live.live_panels(stream_of(b, arriving(b, b.tool_events, "timestamp"), 1), run, f"{root}/checkpoint",
                      every=None).start().awaitTermination()
     table.retire()
     return table.read().drop("avg_duration_ms")
@@ -305,12 +308,12 @@ def published(b: Bindings) -> DataFrame:
 
     Of the six batches of the first stream one in two is empty: its filter drops every other file.
     """
-    root, at = folder(b.spark), arriving(b, "activity_events", "timestamp")
+    root, at = folder(b.spark), arriving(b, b.activity_events, "timestamp")
     first, last = b.activity_events.agg(F.min("timestamp"), F.max("timestamp")).first()
     slice_ = F.floor((F.col("timestamp") - first) * FILES / (last - first + 1))
     # A key of slice and type: its rows come in one batch.
     panel = lambda batch: batch.groupBy(F.concat_ws("/", slice_, "event_type").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    source = lambda n: stream_of(b, "activity_events", at, n).filter(slice_ % 2 == 0)
+    source = lambda n: stream_of(b, at, n).filter(slice_ % 2 == 0)
     panels = {"each": (panel, "slot", 1), "third": (panel, "slot", 3)}
     for writer in live.divided_panels(source, panels, f"{root}/out", "telemetry", f"{root}/checkpoint", seconds=None):
         writer.start().awaitTermination()
@@ -323,3 +326,101 @@ SLOTS = f"""SELECT CAST((timestamp - lo) * {FILES} // (hi - lo + 1) AS VARCHAR)
     WHERE (timestamp - lo) * {FILES} // (hi - lo + 1) % 2 = 0 GROUP BY 1"""
 query("j01_j02_j03_published_panels", published, f"""
     SELECT 'each' AS panel, * FROM ({SLOTS}) UNION ALL SELECT 'third', * FROM ({SLOTS})""")
+
+
+def interval_stream(b: Bindings) -> DataFrame:
+    """Events and the sessions of tool calls around them, both from streams."""
+    sessions = st.sessionize(b.tool_events, "timestamp", gap_s=7200, min_s=0, keys=["session_id"])
+    longest = sessions.agg(F.max("duration_seconds")).first()[0]
+    spans = stream_of(b, arriving(b, sessions.select("session_id", "start_ts", "end_ts"), "start_ts"), 1)
+    points = stream_of(b, arriving(b, b.activity_events.select(F.col("id").alias("event_id"), F.col("timestamp").alias("at_ts")), "at_ts"), 1)
+    pairs = stream_interval_join(points, spans, at="at_ts", start="start_ts", end="end_ts", longest_s=max(4, longest or 4), watermark="1 day")
+    return streamed(b, pairs).select("event_id", "session_id", "start_ts")
+
+
+query("d05_interval_join_stream", interval_stream, f"""
+    WITH {ISLANDS.format(join='<= 7200')} SELECT a.id AS event_id, s.session_id, start_ts FROM activity_events a
+    JOIN s ON start_ts <= a.timestamp AND end_ts >= a.timestamp""")
+
+
+def run_log(b: Bindings) -> DataFrame:
+    """What the log of the runs says of a stream of six batches."""
+    root = folder(b.spark)
+    log = RunLog(b.spark, f"{root}/log", every=4)
+    b.spark.streams.addListener(log)
+    try:
+        events = observed(stream_of(b, arriving(b, b.tool_events, "timestamp"), 1), "timestamp")
+        q = events.writeStream.queryName(f"tools_{uuid.uuid4().hex}").format("parquet").option("path", f"{root}/out").option(
+            "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        if not log.wait(q.id):
+            raise RuntimeError("the stream's end was not reported")
+    finally:
+        b.spark.streams.removeListener(log)
+    return read_log(b.spark, f"{root}/log").select("batch_id", "rows", "newest")
+
+
+query("m01_run_log", run_log, f"""
+    SELECT CAST((timestamp - lo) * {FILES} // (hi - lo + 1) AS BIGINT) AS batch_id, count(*) AS rows, max(timestamp) AS newest
+    FROM tool_events, (SELECT min(timestamp) AS lo, max(timestamp) AS hi FROM tool_events) GROUP BY 1""")
+
+
+def registered(b: Bindings) -> DataFrame:
+    """A metric from outside, exported with the panels and published by a stream."""
+    root = folder(b.spark)
+    lake = TelemetryStore(b.spark, f"{root}/lake")
+    lake.append("tool_events", b.tool_events)
+    lake.register_metric("failed_calls", lambda store, *, as_of, day: store.table("tool_events").filter(
+        f"timestamp <= {as_of} AND success = 0").groupBy("tool_name").agg(F.count(F.lit(1)).alias("calls")), "tool_name")
+    pn.export_panels(lake.panels(as_of=EVENTS_NOW, day=EVENTS_DAY), f"{root}/panels", ["failed_calls"])
+    live_ = lake.live_metrics(lambda: (EVENTS_NOW, EVENTS_DAY))
+    hashes = {n: live.hash_table(b.spark, f"{root}/hashes/{n}", key) for n, (_, key) in live_.items()}
+    live.live_panels(stream_of(b, arriving(b, b.tool_events, "timestamp"), 3), live.publish_changes(
+        live_, hashes, f"{root}/live", "metrics"), f"{root}/checkpoint", every=None).start().awaitTermination()
+    read = lambda at: b.spark.read.schema("tool_name string, calls bigint").json(at).select("tool_name", "calls")
+    return read(f"{root}/panels/failed_calls").withColumn("sent", F.lit("export")).unionByName(
+        read(f"{root}/live/failed_calls").withColumn("sent", F.lit("stream")))
+
+
+query("k01_registered_metric", registered, """
+    SELECT tool_name, count(*) AS calls, sent FROM tool_events, (VALUES ('export'), ('stream')) v(sent)
+    WHERE timestamp <= 1706659200 AND success = 0 GROUP BY 1, 3""")
+
+
+# ---- indexes ------------------------------------------------------------------
+
+BM25 = r"""
+    WITH w AS (SELECT doc_id, source, lang AS category, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws
+               FROM documents),
+    st AS (SELECT count(*) AS n, sum(len(ws)) / CAST(count(*) AS DOUBLE) AS mean FROM w),
+    q AS (SELECT unnest([%s]) AS term),
+    tf AS (SELECT doc_id, source, category, len(ws) AS dl, term, len(list_filter(ws, lambda x: x = term)) AS tf FROM w, q),
+    df AS (SELECT term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY 1)
+    SELECT doc_id, source, category, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / mean)))), 6)
+           AS score FROM tf JOIN df USING (term), st WHERE tf > 0%s GROUP BY 1, 2, 3 ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+def searched(b: Bindings, words: str, **filters: str) -> DataFrame:
+    index = text_index.build(b.documents, folder(b.spark), id_col="doc_id", text="text", category="lang")
+    hits = index.search(words, limit=20, **filters)
+    return hits.select("doc_id", "source", F.col("lang").alias("category"), F.round("score", 6).alias("score"))
+
+
+query("l26_index_search", lambda b: searched(b, "river the garden"), BM25 % ("'garden', 'river', 'the'", ""))
+query("l26_index_search_filtered", lambda b: searched(b, "and with stone", source="src1", category="en"),
+      BM25 % ("'and', 'stone', 'with'", " AND source = 'src1' AND category = 'en'"))
+ASKED = "vec_id % 50 = 0"
+
+
+def vectors(b: Bindings, probes: int | None) -> DataFrame:
+    index = vector_index.build(b.embeddings, folder(b.spark), id_col="vec_id", vec="embedding")
+    return index.search(b.embeddings.filter(ASKED), query_id="vec_id", vec="embedding", probes=probes)
+
+
+query("l26_vector_index_exact", lambda b: vectors(b, 0).select("query_id", "rank", "vec_id"), f"""
+    SELECT query_id, rank, vec_id FROM (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY
+    list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, v.vec_id) AS rank
+    FROM embeddings v, (SELECT * FROM embeddings WHERE {ASKED}) q) WHERE rank <= 10""")
+query("l26_vector_index_recall", lambda b: vector_index.recall(vectors(b, None), vectors(b, 0), "vec_id").select(
+    "queries", (F.col("recall") >= 0.9).alias("recalled")), f"""
+    SELECT count(*) AS queries, true AS recalled FROM embeddings WHERE {ASKED}""")

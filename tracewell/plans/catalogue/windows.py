@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tracewell.functions.exprs import day_of, exact_sum, rnd
+from tracewell.operators import sketches
 from tracewell.operators import streaks as st
 from tracewell.operators import tools as t
 from tracewell.operators import windows as w
@@ -218,3 +219,25 @@ query("f18_first_text", lambda b: w.first_value(
 query("f19_days_touched", lambda b: w.days_touched(b.self_heal_events, day_of("timestamp")), f"""
     SELECT count(*) AS n, count(DISTINCT {day('timestamp')}) AS days,
            CAST(count(*) AS DOUBLE) / count(DISTINCT {day('timestamp')}) AS per_day FROM self_heal_events""")
+
+
+# ---- sketches in rollups ----------------------------------------------------------
+
+def sketched_p95(b):
+    """Sketch of each tool and day, merged over all days, against the exact rank of the value it gives."""
+    rollup = sketches.quantile_rollup(b.tool_events, "tool_name", day_of("timestamp"), "duration_ms")
+    found = sketches.quantiles(rollup, "tool_name", [0.95]).select("tool_name", "n", F.col("q")[0].alias("q"))
+    ranks = b.tool_events.filter("duration_ms IS NOT NULL").join(found, "tool_name").groupBy("tool_name", "n").agg(
+        (F.count_if(F.col("duration_ms") < F.col("q")) / F.col("n")).alias("below"),
+        (F.count_if(F.col("duration_ms") <= F.col("q")) / F.col("n")).alias("up_to"))
+    e = sketches.RANK_ERROR
+    return ranks.select("tool_name", "n", ((F.col("below") <= 0.95 + e) & (F.col("up_to") >= 0.95 - e)).alias("within"))
+
+
+query("f06_p95_rollup", sketched_p95, """
+    SELECT tool_name, count(*) AS n, true AS within FROM tool_events WHERE duration_ms IS NOT NULL GROUP BY 1""")
+query("e36_trailing_distinct", lambda b: sketches.trailing_distinct(
+    sketches.distinct_rollup(b.tool_events, day_of("timestamp"), "session_id"), 7), f"""
+    WITH d AS (SELECT DISTINCT CAST({day('timestamp')} AS DATE) AS d, session_id FROM tool_events)
+    SELECT CAST(o.d AS VARCHAR) AS day, count(DISTINCT session_id) AS n FROM (SELECT DISTINCT d FROM d) o
+    JOIN d ON d.d BETWEEN o.d - 6 AND o.d GROUP BY 1""")

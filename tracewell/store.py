@@ -8,6 +8,9 @@ costs, not what the table holds.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,12 +35,15 @@ COUNTERS = {"tool_usage": {"add": ["total_calls", "success_count", "failure_coun
 #: so a bound on the day leaves those rows to the filter on the time itself.
 DAY, NO_DAY = "event_date", "unknown"
 
+Metric = Callable[..., DataFrame]
+
 
 class TelemetryStore:
     """Tables under one root directory."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self._metrics: dict[str, tuple[Metric, str]] = {}
         self._keyed = {n: BatchTable(spark, f"{root}/{n}", SCHEMAS[n], keys, **COUNTERS.get(n, {})) for n, keys in KEYED.items()}
 
     def table(self, name: str, since: int | None = None) -> DataFrame:
@@ -102,6 +108,28 @@ class TelemetryStore:
         for table in self._keyed.values():
             table.fold(below)
 
+    # ---- metrics of one's own --------------------------------------------
+    def register_metric(self, name: str, metric: Metric, key: str) -> None:
+        """Add a panel: ``metric(store, as_of=.., day=..)`` gives its frame, with one row for each value of ``key``.
+
+        It is part of :meth:`panels`, and so of every export, and of :meth:`live_metrics`.
+        """
+        if not re.fullmatch(r"\w+", name):
+            raise ValueError(f"letters, digits and underscores only: {name!r}")
+        if name in self._metrics:
+            raise ValueError(f"there is a metric {name!r}")
+        self._metrics[name] = (metric, key)
+
+    def live_metrics(self, when: Callable[[], tuple[int, str]]) -> dict[str, tuple[Callable[[DataFrame], DataFrame], str]]:
+        """The registered metrics as panels of :func:`~tracewell.streaming.live.publish_changes`; ``when`` gives
+        (as_of, day) for each batch."""
+        def panel(metric: Metric) -> Callable[[DataFrame], DataFrame]:
+            def run(_batch: DataFrame) -> DataFrame:
+                as_of, day = when()
+                return metric(self, as_of=as_of, day=day)
+            return run
+        return {name: (panel(metric), key) for name, (metric, key) in self._metrics.items()}
+
     # ---- reads -----------------------------------------------------------
     def get_sessions(self, days: int = 30, project: str | None = None, *, as_of: int) -> DataFrame:
         return filters.sessions_since(self.table("sessions"), days, as_of=as_of, project=project)
@@ -142,12 +170,15 @@ class TelemetryStore:
                 "routing_share": routing.model_share(r), "routing_accuracy": routing.pooled_accuracy(o, r),
                 "routing_components": routing.dq_components(r), "routing_complexity": routing.complexity_by_model(r)}
         out |= {"recovery_stats": recovery.stats(heal, rec), "recovery_categories": recovery.by_category(heal, rec),
-                "recovery_timeline": recovery.timeline(heal, as_of=as_of),
+                # Ages of up to seven whole days: eight folders at most are opened.
+                "recovery_timeline": recovery.timeline(self.table("self_heal_events", since=as_of - 8 * 86400), as_of=as_of),
                 "recovery_recent": recovery.recent_actions(heal, rec)}
         out |= {"autonomy_top": streaks.top_streaks(st), "autonomy_stats": streaks.streak_stats(st),
                 "autonomy_daily": streaks.streak_daily(st, as_of=as_of),
                 "autonomy_histogram": streaks.streak_histogram(st)}
-        return out
+        if clash := set(out) & set(self._metrics):
+            raise ValueError(f"there are panels {sorted(clash)}: register the metrics by other names")
+        return out | {name: metric(self, as_of=as_of, day=day) for name, (metric, _) in self._metrics.items()}
 
     def live_snapshot(self, *, as_of: int, day: str) -> DataFrame:
         return live_snapshot(self.table("daily_stats"), self.table("sessions"), self.table("activity_events"),
