@@ -1,4 +1,5 @@
 from llm_rows import by_row
+from pyspark.sql import functions as F
 
 from check_oracle import compare, connect
 from tracewell.llm import reputation as R
@@ -44,6 +45,32 @@ def test_reputation_shrinks(spark):
     assert (got["spam.site.org"].n_labelled, got["spam.site.org"].n_good) == (60, 0)
 
 
+def test_levels(spark):
+    want = {"b.a.co.uk:80": ("a.co.uk", "co.uk"), "a.co.uk": ("a.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.org:80": ("x.org", "org"),
+            "me@w.x.org": ("x.org", "org"), "org": ("org", "org"), "notco.uk": ("notco.uk", "uk"), "1.2.3.4:8080": ("1.2.3.4", ""),
+            "[::1]:80": ("[::1]", ""), "": ("", ""), "a.b.com.br": ("b.com.br", "com.br"), "1.2.3.4.org": ("4.org", "org")}
+    rows = spark.createDataFrame([(h,) for h in want], "host string")
+    domain, suffix = R.levels(F.col("host"))
+    assert {r.host: (r.d, r.s) for r in rows.select("host", domain.alias("d"), suffix.alias("s")).collect()} == want
+
+
+def test_sites_below_a_shared_suffix_stand_apart(spark):
+    """Bad pages of one site under co.uk do not make its neighbour one site with it; ports do not part a site."""
+    urls, labels, k = [], [], 0
+    for host, good, bad in (("a.bad.co.uk", 0, 40), ("b.bad.co.uk:8080", 0, 3), ("a.fine.co.uk", 40, 0), ("b.fine.co.uk", 0, 1), ("x.org", 30, 30)):
+        for y in [1] * good + [0] * bad:
+            k += 1
+            urls.append((k, f"http://{host}/{k}"))
+            labels.append((k, y))
+    pages, marks = spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.host: r.verdict for r in R.judge(pages, marks).collect()}
+    assert got == {"a.bad.co.uk": "block", "b.bad.co.uk:8080": "block", "a.fine.co.uk": "allow", "b.fine.co.uk": "allow", "x.org": "allow"}
+    counts = pages.withColumn("host", F.regexp_extract("url", "//([^/]*)", 1)).join(marks, F.col("page_id") == F.col("doc_id"))
+    outcomes = counts.groupBy("host").agg(F.count("*").alias("n"), F.sum("quality").alias("good"))
+    mean = {r.host: r["mean"] for r in R.reputations(outcomes).collect()}
+    assert mean["b.fine.co.uk"] > 0.5 > mean["b.bad.co.uk:8080"]
+
+
 def test_odd_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.org/1", "x"), (1, "http://a.org/1", "x"), (None, None, None)],
                                   "page_id long, url string, host string")

@@ -28,6 +28,15 @@ CORRELATION = (0.001, 0.5)
 #: Used where the data do not show a correlation, as with one child only.
 UNKNOWN_CORRELATION = 0.1
 
+#: Public suffixes of two labels that many sites register below. A host of any other has its last label as suffix.
+SUFFIXES = ("ac.jp", "ac.uk", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br",
+            "com.cn", "com.hk", "com.mx", "com.my", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "edu.au", "edu.cn",
+            "gov.au", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.uk")
+_SHARED = "|".join(x.replace(".", "[.]") for x in SUFFIXES)
+#: User and port are no part of a site's name; an address has no domain above it.
+_USER, _PORT, _ADDRESS = "^.*@", ":[0-9]*$", r"^([0-9]+([.][0-9]+){3}|\[.*)$"
+_SUFFIX, _DOMAIN = f"(?:^|[.])({_SHARED}|[^.]*)$", f"(?:^|[.])((?:[^.]+[.])?(?:{_SHARED})|[^.]*[.]?[^.]*)$"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,6 +58,15 @@ def rule_of(rules: Sequence[tuple[str, str, str]], host: Column, path: Column) -
     return text, verdict
 
 
+def levels(host: Column) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host: ``b.a.co.uk:80`` is of ``a.co.uk`` and ``co.uk``. An address is its own
+    domain and has the empty suffix, as has the empty host."""
+    name = F.regexp_replace(F.regexp_replace(host, _USER, ""), _PORT, "")
+    address = name.rlike(_ADDRESS)
+    return (F.when(address, name).otherwise(F.regexp_extract(name, _DOMAIN, 1)),
+            F.when(address, "").otherwise(F.regexp_extract(name, _SUFFIX, 1)))
+
+
 def _correlation(children: DataFrame, n: str, k: str, up_n: str, up_k: str) -> float:
     """Correlation of outcomes within a child, pooled over all children with outcomes.
 
@@ -67,8 +85,8 @@ def reputations(outcomes: DataFrame) -> DataFrame:
 
     Hosts without outcomes take over their domain's, suffix's or overall rate.
     """
-    hosts = outcomes.withColumns({"domain": F.regexp_extract("host", r"[^.]*\.?[^.]*$", 0),
-                                  "suffix": F.regexp_extract("host", "[^.]*$", 0)})
+    domain, suffix = levels(F.col("host"))
+    hosts = outcomes.withColumns({"domain": domain, "suffix": suffix})
     total = lambda by, n, k: hosts.groupBy(*by).agg(F.sum("n").alias(n), F.sum("good").alias(k))
     suffixes, domains = total(["suffix"], "ns", "ks"), total(["suffix", "domain"], "nd", "kd")
     n0, k0 = (x or 0 for x in outcomes.agg(F.sum("n"), F.sum("good")).first())
@@ -133,9 +151,11 @@ WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, i
 seen AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 known AS (SELECT doc_id, max(quality) AS y FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-hosts AS (SELECT host, regexp_extract(host, '[^.]*\\.?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
-  CAST(count(y) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE y > 0) AS BIGINT) AS good
+counted AS (SELECT host, CAST(count(y) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE y > 0) AS BIGINT) AS good
   FROM seen LEFT JOIN known ON known.doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(\\.html|/)?$', 1) AS BIGINT) GROUP BY host),
+named AS (SELECT *, regexp_replace(regexp_replace(host, '{_USER}', ''), '{_PORT}', '') AS name FROM counted),
+hosts AS (SELECT host, n, good, CASE WHEN regexp_matches(name, '{_ADDRESS}') THEN name ELSE regexp_extract(name, '{_DOMAIN}', 1) END AS domain,
+  CASE WHEN regexp_matches(name, '{_ADDRESS}') THEN '' ELSE regexp_extract(name, '{_SUFFIX}', 1) END AS suffix FROM named),
 domains AS (SELECT suffix, domain, sum(n) AS nd, sum(good) AS kd FROM hosts GROUP BY suffix, domain),
 suffixes AS (SELECT suffix, sum(n) AS ns, sum(good) AS ks FROM hosts GROUP BY suffix),
 whole AS (SELECT sum(n) AS n0, sum(good) AS k0 FROM hosts),
