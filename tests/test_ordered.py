@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewell.operators import joins, streaks, windows
-from tracewell.operators.ordering import newest_per_key
+from tracewell.operators.ordering import newest_per_key, packed, rows_at
+from tracewell.sinks.upserts import last_rows
 
 EVENTS = "id long, timestamp long, session_id string, tool_name string, context string"
 
@@ -179,6 +180,39 @@ def test_newest_per_key(spark):
 def test_section_falls_back_to_the_tail(spark):
     lines = [(i, x) for i, x in enumerate(["a", "SESSION 2024-01-01", "b", "SESSION 2024-01-02", "c", " ", "d"])]
     df = spark.createDataFrame(lines, "n long, t string")
-    run = lambda day: sorted(r.t for r in windows.section_lines(df, "n", "t", "SESSION", day).collect())
-    assert run("2024-01-02") == ["c", "d"] and run("2024-01-01") == ["b"]
+    run = lambda day, **kw: sorted(r.t for r in windows.section_lines(df, "n", "t", "SESSION", day, **kw).collect())
+    assert run("2024-01-02", most=1) == ["d"] and run("2024-09-09", fallback=2) == ["c", "d"]
+    assert run("2024-01-02", fallback=1) == ["c", "d"] and run("2024-01-01") == ["b"]
     assert run("2024-09-09") == ["SESSION 2024-01-01", "SESSION 2024-01-02", "a", "b", "c", "d"]
+
+
+def test_winning_rows_with_ties_and_null_keys(spark):
+    df = spark.createDataFrame([("a", 1, 5, "x"), ("a", 2, 1, "y"), ("a", 2, 1, "z"), ("a", 2, None, "w"), (None, 1, 1, "n"), (None, 1, -3, "m"),
+                                ("b", None, 7, "q"), ("b", None, 9, "r")], "k string, hi bigint, lo bigint, t string")
+    assert {r.k: r.t for r in newest_per_key(df, ["k"], ["hi", "lo"]).collect()} == {"a": "z", None: "n", "b": "r"}
+    assert {r.k: r.t for r in newest_per_key(df.union(df), ["k"], ["hi", "lo"]).collect()} == {"a": "z", None: "n", "b": "r"}
+    assert {(r.k, r.t) for r in rows_at(df, ["k"], "hi", F.min).collect()} == {("a", "x"), (None, "n"), (None, "m"), ("b", "q"), ("b", "r")}
+    firsts = windows.first_value(df, "k", "t", ["hi", "lo"], min_length=1, cuts={"v": 5})
+    assert {r.k: r.v for r in firsts.collect()} == {"a": "x", None: "m", "b": "q"}
+    best = windows.arg_max(df, "hi", ["t"], ["t"], ["k"])
+    assert {r.k: r.t for r in best.collect()} == {"a": "w", None: "m"}
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(-4 * 10**18, 4 * 10**18) | st.integers(-2, 2), st.integers(-1 << 63, (1 << 63) - 1) | st.integers(-2, 2)),
+                min_size=2, max_size=30))
+def test_packed_pairs_order_like_pairs(spark, pairs):
+    df = spark.createDataFrame(pairs, "a bigint, b bigint").select("a", "b", packed("a", "b").alias("p"))
+    got = sorted(df.collect(), key=lambda r: r.p)
+    assert [(r.a, r.b) for r in got] == sorted(pairs)
+
+
+def test_last_rows(spark):
+    """Equal rows of a key are one, maps included; different ones need an order that tells them apart."""
+    rows = [("a", 1, {"x": 1}), ("a", 2, {"x": 2}), ("a", 2, {"x": 2}), (None, 3, None), (None, 3, None), ("b", None, None)]
+    df = spark.createDataFrame(rows, "k string, v bigint, m map<string,int>")
+    assert {r.k: (r.v, r.m) for r in last_rows(df, ["k"], ["v"]).collect()} == {"a": (2, {"x": 2}), None: (3, None), "b": (None, None)}
+    assert last_rows(df.filter("v = 2 OR k IS NULL"), ["k"]).count() == 2
+    assert last_rows(df.limit(0), ["k"]).count() == 0
+    with pytest.raises(Exception, match="several new rows"):
+        last_rows(df, ["k"]).collect()

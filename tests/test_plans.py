@@ -39,6 +39,24 @@ def test_columns_are_pruned(spark):
     assert "text" not in re.search(r"ReadSchema: struct<([^>]*)>", plan(spark, "e68_memory_by_source"))[1]
 
 
+@pytest.mark.parametrize("name", ["b05_j10_upsert_replace", "b08_rate_latest", "e08_l04_l05_l06_transcript_sessions",
+                                  "f14_latest_session_per_project", "f18_first_text", "h05_newest_per_key"])
+def test_sorting_aggregates_see_winners_only(spark, name):
+    """A hash aggregate finds the winning row of a key; what sorts by key lies behind the join that fetches it."""
+    p = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan()
+    found = [n.getClass().getSimpleName() for n in nodes(p)]
+    assert "HashAggregateExec" in found
+    for n in nodes(p):
+        if n.getClass().getSimpleName() == "SortAggregateExec":
+            assert any(k.getClass().getSimpleName().endswith("JoinExec") for k in nodes(n)), name
+
+
+def test_section_is_one_bounded_scan(spark):
+    p = plan(spark, "f16_section_lines")
+    assert p.count("FileScan") == 1
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(", p) and re.search(r"PushedFilters: \[[^\]]*LessThan\(", p)
+
+
 def nodes(p):
     """All physical nodes below ``p``, through adaptive stages."""
     yield p

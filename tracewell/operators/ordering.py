@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -68,11 +68,6 @@ def union_events(sources: Sequence[tuple[DataFrame, Mapping[str, Column | str]]]
     return reduce(DataFrame.unionByName, parts)
 
 
-def head_of_each(parts: Sequence[DataFrame], ts: str, n: int, tie: str = "id") -> DataFrame:
-    """Newest ``n`` of every source, concatenated."""
-    return reduce(DataFrame.unionByName, [latest(p, ts, n, tie) for p in parts])
-
-
 def distinct_values(df: DataFrame, **cols: str | Column) -> DataFrame:
     """Distinct values of several columns in one scan, one row per (field, value)."""
     cells = F.explode(F.array(*[
@@ -81,14 +76,40 @@ def distinct_values(df: DataFrame, **cols: str | Column) -> DataFrame:
     return df.select(cells.alias("c")).select("c.*").filter(F.col("value").isNotNull()).distinct()
 
 
+def packed(high: str | Column, low: str | Column) -> Column:
+    """Two whole numbers as one decimal that orders like the pair; a null is the smallest number.
+
+    A pair as a struct makes an aggregate sort its input, a decimal is a state of fixed
+    width. ``high`` may have 18 digits and a little more: beyond 5e18 either way is an error.
+    """
+    high, low = (F.col(c) if isinstance(c, str) else c for c in (high, low))
+    wide = F.coalesce(high.cast("decimal(19,0)"), F.lit("-5000000000000000000").cast("decimal(19,0)"))
+    return (wide * F.lit(str(1 << 64)).cast("decimal(20,0)")
+            + F.coalesce(low.cast("decimal(20,0)"), F.lit(str(-1 << 63)).cast("decimal(20,0)"))).cast("decimal(38,0)")
+
+
+def rows_at(df: DataFrame, keys: Sequence[str], at: str, best: Callable[[str], Column]) -> DataFrame:
+    """Rows of ``df`` whose ``at`` is the ``best`` (an aggregate, as ``F.max``) of their key; ties all stay.
+
+    ``at`` has fixed width, so a hash aggregate finds it, combined in the tasks, and wide
+    columns stay out of it: a join fetches the rows. A null is a key like any other.
+    """
+    found = df.groupBy(*keys).agg(best(at).alias("_best")).withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return df.join(found, reduce(Column.__and__, [*same, F.col(at).eqNullSafe(F.col("_best"))])).select(*df.columns)
+
+
 def newest_per_key(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
-    """One row per key, the one with the highest version.
+    """One row per key, the one with the highest version: one or two whole numbers.
 
-    ``max_by`` combines on the map side, so many versions of one hot key collapse
-    before the shuffle.
+    Of rows equal in it the one with the largest JSON stays; only rows with the highest
+    version pass through a sorting aggregate.
     """
     rest = [c for c in df.columns if c not in keys]
-    out = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*version)).alias("_r"))
+    at = F.col(version[0]) if len(version) == 1 else packed(*version)
+    top = rows_at(df.withColumn("_at", at), keys, "_at", F.max)
+    row = F.struct(*rest)
+    out = top.groupBy(*keys).agg(F.max_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("_r"))
     return out.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 

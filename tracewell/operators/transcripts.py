@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import scoring
 from tracewell.functions.exprs import MODEL_TIERS, day_of, hour_of, rnd, tier_of
 from tracewell.operators.joins import prefer_nonzero, preserve_existing
-from tracewell.operators.ordering import counter
+from tracewell.operators.ordering import counter, rows_at
 
 # Assumed defaults; the per-message price list is a job parameter. Tokens one message saves are a fixed value.
 COST_PER_MESSAGE = {"opus": 0.12, "sonnet": 0.05, "haiku": 0.01}
@@ -18,29 +18,30 @@ TOKENS_SAVED_PER_MESSAGE = 1500
 def fold_sessions(turns: DataFrame) -> DataFrame:
     """One row per session from its turns.
 
-    A single aggregate in which every output has a bounded partial state (counts,
-    a 24-bit mask of hours, one text of 100 characters), so even a session that
-    holds a large part of all turns is combined on the map side. Texts are cut to
-    the title length before the aggregate, which keeps its rows narrow.
+    A single hash aggregate in which every output has a state of fixed width (counts,
+    a 24-bit mask of hours, the turn of the first text), so even a session that
+    holds a large part of all turns is combined on the map side. A join fetches the
+    first texts, cut to the title length; of several of one turn the smallest counts.
     """
     assistant, user = F.col("type") == "assistant", F.col("type") == "user"
     tier = tier_of("model", default=None)
     head = F.when(user & (F.length("text") > 3), F.substring("text", 1, 100))
     rows = turns.select("session_id", "turn", "timestamp", "type", "model", "tools", "stop_reason", head.alias("_head"))
-    first_text = F.min_by("_head", F.when(F.col("_head").isNotNull(), F.struct("turn")))
     dated = F.col("timestamp").isNotNull()
     hour_bit = F.call_function("shiftleft", F.lit(1), hour_of("timestamp").cast("int"))
     folded = rows.groupBy("session_id").agg(
-        F.min_by(F.when(dated, day_of("timestamp")), F.when(dated, F.col("turn"))).alias("date"),
+        F.min_by("timestamp", F.when(dated, F.col("turn"))).alias("_at"),
         F.count_if(user | assistant).alias("messages"),
         F.coalesce(F.sum(F.when(assistant, F.col("tools"))), F.lit(0)).alias("tools"),
         F.coalesce(F.bit_or(hour_bit), F.lit(0)).alias("_mask"),
         *[F.count_if(assistant & (tier == m)).alias(m) for m in MODEL_TIERS],
-        first_text.alias("_first"), F.coalesce(F.bool_or(assistant & (F.col("stop_reason") == "error")), F.lit(False))
-        .alias("has_error"))
+        F.coalesce(F.bool_or(assistant & (F.col("stop_reason") == "error")), F.lit(False)).alias("has_error"))
+    texts = rows_at(rows.filter(F.col("_head").isNotNull()).select("session_id", "turn", "_head"), ["session_id"], "turn", F.min)
+    firsts = texts.groupBy(F.col("session_id").alias("_id")).agg(F.min("_head").alias("_first"))
+    folded = folded.filter(F.col("_at").isNotNull()).join(firsts, F.col("session_id").eqNullSafe(F.col("_id")), "left")
     hours = F.filter(F.sequence(F.lit(0), F.lit(23)), lambda h: F.getbit("_mask", h) == 1).cast("array<bigint>")
-    return folded.filter(F.col("date").isNotNull()).select(
-        "session_id", "date", "messages", "tools", hours.alias("hours"), *MODEL_TIERS,
+    return folded.select(
+        "session_id", day_of("_at").alias("date"), "messages", "tools", hours.alias("hours"), *MODEL_TIERS,
         F.substring("_first", 1, 50).alias("title"), F.substring("_first", 1, 80).alias("intent"), "has_error")
 
 

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.ordering import packed, rows_at
+
 SLICE_SECONDS = 3600
 
 
@@ -70,13 +72,14 @@ def rank_top(df: DataFrame, by: str, n: int, ties: Sequence[str], alias: str = "
 def arg_max(df: DataFrame, by: str, take: Sequence[str], ties: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """The row with the largest ``by`` (per group); ties go to the smallest ``ties``.
 
-    One struct per group, combined on the map side before the shuffle. Where text is
-    taken along the aggregate sorts its input within each task; the shuffle carries a
-    row per group and task all the same.
+    With groups a hash aggregate finds the largest value of each and a join fetches
+    its rows. Without, one aggregate takes one struct along, a row from each task; it has
+    no key and so sorts nothing.
     """
     row = F.struct((-F.col(by)).alias("_o"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(ties)],
                    *[F.col(c).alias(f"_v{i}") for i, c in enumerate(take)])
-    best = df.filter(F.col(by).isNotNull()).groupBy(*group).agg(F.min(row).alias("_b"))
+    known = df.filter(F.col(by).isNotNull())
+    best = (rows_at(known, group, by, F.max) if group else known).groupBy(*group).agg(F.min(row).alias("_b"))
     best = best.filter(F.col("_b").isNotNull())
     return best.select(*group, *[F.col(f"_b._v{i}").alias(c) for i, c in enumerate(take)])
 
@@ -209,29 +212,32 @@ def rank_percentile(df: DataFrame, col: str, q: float) -> DataFrame:
         F.col("_v").alias("value"))
 
 
-def section_lines(lines: DataFrame, order: str, text: str, marker: str, today: str, fallback: int = 200) -> DataFrame:
-    """Lines of the newest section headed by ``marker`` for ``today``.
+def section_lines(lines: DataFrame, order: str, text: str, marker: str, today: str, *, most: int | None = None,
+                  fallback: int = 200) -> DataFrame:
+    """Lines of the newest section headed by ``marker`` for ``today``, of these the last ``most``.
 
     A marker line opens a section; one that names ``today`` restarts the output
     and any other closes it. Only the position of today's last marker and of the
-    next other marker are needed, and both are plain aggregates, so the log is
-    never put in global order. Without a section the last ``fallback`` lines
-    are returned.
+    next other marker are needed. Both are plain aggregates, found when this is called,
+    so the log is never put in global order and the scan of the section has them as
+    bounds that skip files and row groups. Without lines in a section the last
+    ``fallback`` lines are returned.
     """
     t = F.trim(text)
     body = lines.filter(t != "").select(F.col(order).alias("_o"), t.alias("_t"))
     is_marker, names_today = F.col("_t").contains(marker), F.col("_t").contains(today)
-    opened = body.agg(F.max(F.when(is_marker & names_today, F.col("_o"))).alias("v")).scalar()
-    after = body.filter(F.col("_o") > opened)
-    # After today's last marker, lines count until the first foreign marker.
-    closed = after.agg(F.min(F.when(is_marker, F.col("_o"))).alias("v")).scalar()
-    section = after.filter(closed.isNull() | (F.col("_o") < closed))
-    section = section.select("_o", "_t").orderBy(F.col("_o").desc()).limit(fallback)
-    tail = body.orderBy(F.col("_o").desc()).limit(fallback).select("_o", "_t")
-    both = section.withColumn("_s", F.lit(1)).unionByName(tail.withColumn("_s", F.lit(0)))
-    best = F.max("_s").over(Window.partitionBy())  # at most 2 * fallback rows
-    return both.withColumn("_m", best).filter(F.col("_s") == F.col("_m")).select(
+    newest = lambda rows, n: (rows if n is None else rows.orderBy(F.col("_o").desc()).limit(n)).select(
         F.col("_o").alias(order), F.col("_t").alias(text))
+    opened = body.filter(is_marker & names_today).agg(F.max("_o")).first()[0]
+    if opened is not None:
+        section = body.filter(F.col("_o") > opened)
+        # After today's last marker, lines count until the first foreign marker.
+        closed = section.filter(is_marker).agg(F.min("_o")).first()[0]
+        if closed is not None:
+            section = section.filter(F.col("_o") < closed)
+        if not section.isEmpty():
+            return newest(section, most)
+    return newest(body, fallback)
 
 
 def spread(daily: DataFrame, day: str, total: str, hours: DataFrame, hour: str, weight: str) -> DataFrame:
@@ -244,10 +250,13 @@ def spread(daily: DataFrame, day: str, total: str, hours: DataFrame, hour: str,
 
 def first_value(df: DataFrame, key: str, text: str, order: Sequence[str], *, min_length: int = 4,
                 cuts: Mapping[str, int]) -> DataFrame:
-    """First text longer than ``min_length - 1`` per key, cut to several lengths."""
+    """First text longer than ``min_length - 1`` per key, cut to several lengths.
+
+    ``order`` is two whole numbers; of texts equal in both the smallest counts.
+    """
     longest = max(cuts.values())   # no output is longer, so the aggregate carries no more
-    usable = df.filter(F.length(text) >= min_length).select(key, *order, F.substring(text, 1, longest).alias("_h"))
-    firsts = usable.groupBy(key).agg(F.min_by("_h", F.struct(*order)).alias("_t"))
+    usable = df.filter(F.length(text) >= min_length).select(key, packed(*order).alias("_at"), F.substring(text, 1, longest).alias("_h"))
+    firsts = rows_at(usable, [key], "_at", F.min).groupBy(key).agg(F.min("_h").alias("_t"))
     return firsts.select(key, *[F.substring("_t", 1, n).alias(a) for a, n in cuts.items()])
 
 

@@ -198,7 +198,7 @@ query("f14_latest_session_per_project", lambda b: w.arg_max(
     SELECT project_path, id, started_at FROM (SELECT *, row_number() OVER (PARTITION BY project_path
     ORDER BY started_at DESC, id) AS rn FROM sessions) WHERE rn = 1""")
 SEC_DAY = "2024-01-28"
-query("f16_section_lines", lambda b: w.section_lines(b.log_lines, "id", "line", "SESSION", SEC_DAY), f"""
+query("f16_section_lines", lambda b: w.section_lines(b.log_lines, "id", "line", "SESSION", SEC_DAY, most=200), f"""
     WITH bo AS (SELECT id, trim(line) AS line FROM log_lines WHERE trim(line) <> ''),
     op AS (SELECT max(id) AS o FROM bo WHERE line LIKE '%SESSION%' AND line LIKE '%{SEC_DAY}%'),
     cl AS (SELECT min(id) AS c FROM bo, op WHERE id > o AND line LIKE '%SESSION%'),

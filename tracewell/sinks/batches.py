@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.operators.ordering import packed, rows_at
 from tracewell.sinks.upserts import last_rows
 from tracewell.sources.tables import read_table
 
@@ -147,22 +148,9 @@ class BatchTable:
                 *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in self.add], *[F.max(c).alias(c) for c in self.latest],
                 *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in rest],
                 F.max(NUMBER).alias(NUMBER), F.lit("fold").alias(SOURCE)).select(*self._marked.names)
-        aged = rows.withColumn("_at", at)
-        newest = aged.groupBy(*self.keys).agg(F.max("_at").alias("_newest"))
-        # Fetched by a join on the key and not carried through the aggregate: a row may be wide. A null is a key too.
-        newest = newest.withColumnsRenamed({k: f"_key_{k}" for k in self.keys})
-        won = aged.join(newest, _all([F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in self.keys] + [F.col("_at") == F.col("_newest")]))
-        return won.select(*self._marked.names)
-
-
-def _all(conditions: Sequence[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+        return rows_at(rows.withColumn("_at", at), self.keys, "_at", F.max).select(*self._marked.names)
 
 
 def _age(number: Column, source: Column) -> Column:
     """Batch number, then a hash of the source, as one number of fixed width."""
-    high = number.cast("decimal(18,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)")
-    return (high + F.xxhash64(source).cast("decimal(20,0)")).cast("decimal(38,0)")
+    return packed(number, F.xxhash64(source))

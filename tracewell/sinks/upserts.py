@@ -6,10 +6,13 @@ The tables that take such changes batch by batch are in :mod:`tracewell.sinks.ba
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.ordering import rows_at
+
 
 def _single(n: Column, value: Column, what: str) -> Column:
     """``value``, or an error where a key has ``n`` > 1 rows."""
@@ -19,15 +22,18 @@ def _single(n: Column, value: Column, what: str) -> Column:
 def last_rows(new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """One row for each key of ``new``: the last by ``order``. Several different rows of a
     key without an order, or if that is equal too, are an error."""
-    row = F.struct(*new.columns)
-    last = F.struct(*order) if order else F.struct(F.lit(0))
-    mark = F.xxhash64(F.to_json(row, {"ignoreNullFields": "false"}))
+    mark = F.xxhash64(F.to_json(F.struct(*new.columns), {"ignoreNullFields": "false"}))
+    last = new
+    for c in order:
+        last = rows_at(last, keys, c, F.max)
+    marked = last.withColumn("_mark", mark)
     # The largest and the smallest hash among the last rows of a key: different if these are.
-    both = new.select(*keys, row.alias("_r"), F.struct(last.alias("v"), mark.alias("h")).alias("_a"),
-                      F.struct(last.alias("v"), F.bitwise_not(mark).alias("h")).alias("_b"))
-    top = both.groupBy(*keys).agg(F.max_by("_r", "_a").alias("_r"), F.max("_a").alias("_a"), F.max("_b").alias("_b"))
-    differ = F.when(F.col("_a.h") == F.bitwise_not(F.col("_b.h")), F.lit(1)).otherwise(F.lit(2))
-    return top.select(_single(differ, F.col("_r"), "several new rows for one key and no order between them").alias("_r")).select("_r.*")
+    ends = marked.groupBy(*keys).agg(F.max("_mark").alias("_most"), F.min("_mark").alias("_least")).select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        _single(F.when(F.col("_most") == F.col("_least"), F.lit(1)).otherwise(F.lit(2)), F.col("_most"),
+                "several new rows for one key and no order between them").alias("_only"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return marked.join(ends, reduce(Column.__and__, [*same, F.col("_mark") == F.col("_only")])).select(*new.columns).dropDuplicates(list(keys))
 
 
 def upsert_replace(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
