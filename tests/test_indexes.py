@@ -110,3 +110,11 @@ def test_distinct_over_trailing_days(spark):
             d = int(day[-2:])
             want = len({s for x, s in rows if s is not None and s < keep and d - 2 <= int(x[-2:]) <= d})
             assert n == want if exact else abs(n - want) <= 4 * want / math.sqrt(2**sketches.THETA_LG)
+
+
+def test_build_keeps_no_second_copy_of_the_counts(spark, docs, tmp_path):
+    rows, df = docs
+    text_index.build(df, str(tmp_path), id_col="id", text="body", category="lang")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["postings", "stats", "terms"]
+    words = [set(w for w in re.split(r"[^\w]|_", (r[1] or "").lower()) if w) for r in rows]
+    assert {r.term: r.df for r in spark.read.parquet(f"{tmp_path}/terms").collect()} == Counter(w for ws in words for w in ws)

@@ -56,10 +56,13 @@ class TextIndex:
 
     def _postings(self) -> DataFrame:
         """With its schema, as a table split by a column has no file where there are no rows."""
-        kind = self._read("counted").schema["id"].dataType.simpleString()
+        kind = self._read("stats").schema["newest"].dataType.simpleString()
         return self.spark.read.schema(
             f"term string, zone bigint, source string, category string, most double, n bigint, "
-            f"postings array<struct<id: {kind}, weight: double>>, df bigint, bucket int").parquet(f"{self.root}/postings")
+            f"postings array<struct<id: {kind}, weight: double>>, bucket int").parquet(f"{self.root}/postings")
+
+    def _terms(self) -> DataFrame:
+        return self.spark.read.schema("term string, df bigint, bucket int").parquet(f"{self.root}/terms")
 
     def search(self, query: str, *, source: str | None = None, category: str | None = None, limit: int = 10) -> DataFrame:
         """(id, source, category, score): the ``limit`` documents of the largest BM25 score, ties by id.
@@ -70,10 +73,13 @@ class TextIndex:
         words = sorted({w for w in re.split(r"[^\w]|_", query.lower()) if w})
         if not words:
             raise ValueError("empty query")
-        rows = self._postings().filter(F.col("term").isin(words) & F.col("bucket").isin(*[_bucket(F.lit(w)) for w in words]))
+        own = F.col("term").isin(words) & F.col("bucket").isin(*[_bucket(F.lit(w)) for w in words])
+        rows = self._postings().filter(own)
         for name, value in (("source", source), ("category", category)):
             if value is not None:
                 rows = rows.filter(F.col(name) == value)
+        # One row for each word of the query.
+        rows = rows.join(F.broadcast(self._terms().filter(own).select("term", "df")), "term")
         total = self._read("stats").select("documents").scalar()
         idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
         bounds = rows.groupBy("zone", "source", "category").agg(F.sum(idf * F.col("most")).alias("bound"))
@@ -99,27 +105,33 @@ class TextIndex:
 def build(docs: DataFrame, root: str, *, id_col: str, text: str, source: str = "source", category: str = "category") -> TextIndex:
     """Write the index of ``docs`` to ``root``.
 
-    Terms are counted per document, then weighted by length. A row of the index is the
+    The texts are dealt to their zones once; there terms are counted per document, weighted
+    by length and put into lists, and nothing larger than the texts is shuffled. How many documents
+    a term is in comes from the lists, as a table of its own. A row of the index is the
     part of a term's list in one zone, source and category; its length is bounded by the zone, so
     a term in every document is spread over all tasks. Null texts are empty; ids are taken
     as unique.
     """
     spark = docs.sparkSession
-    words = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.col(category).alias("category"),
-                        tokens(F.coalesce(text, F.lit(""))).alias("words"))
-    sized = words.withColumn("length", F.size("words"))
-    sized.agg(F.count(F.lit(1)).alias("documents"), (F.sum("length") / F.count(F.lit(1))).alias("mean")).write.mode("overwrite").parquet(f"{root}/stats")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.col(category).alias("category"),
+                       F.coalesce(text, F.lit("")).alias("text"))
+    length = F.size(tokens(F.col("text")))
+    # The newest id gives the type of ids.
+    rows.agg(F.count(F.lit(1)).alias("documents"), (F.sum(length) / F.count(F.lit(1))).alias("mean"), F.max("id").alias("newest")).write.mode(
+        "overwrite").parquet(f"{root}/stats")
     stats = spark.read.parquet(f"{root}/stats")
     zones = F.greatest(F.lit(1), F.ceil(stats.select("documents").scalar() / ZONE))
-    counted = sized.select("id", "source", "category", "length", F.explode("words").alias("term")).groupBy(
-        "id", "source", "category", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted.withColumn("zone", F.pmod(F.xxhash64("id"), zones)).write.mode("overwrite").parquet(f"{root}/counted")
-    counted = spark.read.parquet(f"{root}/counted")
+    dealt = rows.withColumn("zone", F.pmod(F.xxhash64("id"), zones)).repartition("zone").withColumn("words", tokens(F.col("text")))
+    # Both groupings are within a zone, so neither shuffles.
+    counted = dealt.select("zone", "id", "source", "category", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy(
+        "zone", "id", "source", "category", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     weight = _weight(F.col("tf"), F.col("length"), stats.select("mean").scalar())
     posting = F.struct("id", weight.alias("weight"))
     lists = counted.groupBy("term", "zone", "source", "category").agg(
         F.max(weight).alias("most"), F.count(F.lit(1)).alias("n"), F.collect_list(posting).alias("postings"))
-    df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    out = lists.join(df, "term").withColumn("bucket", _bucket(F.col("term")))
-    out.repartition("bucket", "zone").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
-    return TextIndex(spark, root, id_col, source, category)
+    lists.withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy(
+        "bucket").parquet(f"{root}/postings")
+    index = TextIndex(spark, root, id_col, source, category)
+    df = index._postings().groupBy("bucket", "term").agg(F.sum("n").alias("df"))
+    df.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/terms")
+    return index
