@@ -129,6 +129,8 @@ def interval_join(points: DataFrame, intervals: DataFrame, *, at: str, start: st
 
     cut = intervals.withColumns({"_a": within(F.col(start)), "_b": F.coalesce(within(F.col(end)), far - 1) + 1}).filter(
         F.col("_a") < F.col("_b"))
+    # Intervals with the same bounds contain the same points: the first of them are all that can win, before blocks multiply them.
+    cut = _first_k(cut, ["_a", "_b"], order, max_matches).drop("match_rank")
     # Block sizes that fit the length, and one more since log2 is inexact.
     length = F.col("_b").cast("double") - F.col("_a").cast("double")
     fitting = F.sequence(F.lit(0), F.least(F.lit(61), F.floor(F.log2(length)).cast("int") + 1))
