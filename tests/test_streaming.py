@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from tracewell.operators import streaks, tools
 from tracewell.plans.bindings import Bindings
+from tracewell.plans.catalogue import files_streams
 from tracewell.schemas import SCHEMAS
 from tracewell.sinks.batches import STREAM_SPAN, BatchTable
 from tracewell.store import COUNTERS
@@ -273,3 +274,16 @@ def test_run_log(spark, lake, tmp_path):
     assert all(r.duration_ms > 0 and r.lag_seconds > 0 for r in rows)
     assert run_log.health(run_log.read_log(spark, f"{tmp_path}/log"), late_s=0).first().late == 4
     assert run_log.read_log(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_slices_of_several_files_are_one_batch_each(spark, tmp_path, monkeypatch):
+    """A slice of many rows is several files in the order of their times, and a trigger takes all of them."""
+    monkeypatch.setattr(files_streams, "FILE_ROWS", 10)
+    rows = spark.range(150).selectExpr("id", "id * 7 AS at").repartition(5)
+    b = SimpleNamespace(spark=spark)
+    files = files_streams.arriving(b, rows, "at")
+    assert len(files.inputFiles()) == 3 * files_streams.FILES and files.count() == 150
+    sizes = []
+    files_streams.stream_of(b, files, 1).writeStream.foreachBatch(lambda df, k: sizes.append(df.count())).option(
+        "checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    assert sizes == [25] * files_streams.FILES

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from tracewell.streaming.live import WATERMARK, event_time
 
 
+#: Blocks of the longest interval. A point is compared with the intervals of its block, matching or not, so blocks are
+#: short against the intervals; an interval is a row of state for each of its blocks.
+BLOCKS = 64
+
+
 def stream_interval_join(points: DataFrame, intervals: DataFrame, *, at: str, start: str, end: str, longest_s: int,
                          watermark: str = WATERMARK) -> DataFrame:
     """Pairs of a point and an interval ``[start, end]`` that contains it, both from streams; append mode.
 
-    Times are epoch seconds. Intervals are cut into blocks of a quarter of ``longest_s``,
-    five at most, and a point lies in one block of each interval around it: the block is
+    Times are epoch seconds. Intervals are cut into blocks of ``longest_s`` / :data:`BLOCKS`
+    seconds, and a point lies in one block of each interval around it: the block is
     the join key, so state and work are spread over the tasks. Both watermarks bound the
     state: a point waits for intervals that may still begin before it, an interval for
     points up to ``longest_s`` after its start. An interval longer than that is an
@@ -22,7 +27,7 @@ def stream_interval_join(points: DataFrame, intervals: DataFrame, *, at: str, st
     """
     if longest_s < 4:
         raise ValueError("longest_s is at least 4 seconds")
-    width = F.lit(longest_s // 4)
+    width = F.lit(max(1, longest_s // BLOCKS))
     p = event_time(points.filter(F.col(at).isNotNull()), at, watermark=watermark, alias="_at").withColumn(
         "_block", F.floor(F.col(at) / width))
     last = F.col(start) + longest_s
