@@ -1,7 +1,7 @@
 """Open sessions as state that expires.
 
 The gauge of active sessions needs no row of a session that has ended: each session
-is one number, its last event, and a timer that fires when it has been silent for so
+is one number, its last event, and a time-out that fires when it has been silent for so
 long that it counts as ended. What the stream gives out are the changes, a row when a
 session opens, goes on or ends; the newest row of each session is the gauge's table.
 """
@@ -11,52 +11,50 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell.sinks.batches import STREAM_SPAN, BatchTable
 from tracewell.streaming.live import WATERMARK, event_time
 
-# The processor and the function in front of it travel by value, so workers need no copy of the library.
+# The function on the state and the one in front of it travel by value, so workers need no copy of the library.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHANGE = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("last_seen", T.LongType()),
                        T.StructField("open", T.BooleanType())])
+LAST = T.StructType([T.StructField("at", T.LongType())])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class LastSeen(StatefulProcessor):
-    """Last event of a session, in seconds, and one timer that ends it ``silence_s`` later."""
+def _follow(silence_s: int) -> Callable:
+    """Last event of a session, in seconds, and the one time-out that ends it ``silence_s`` later."""
+    def changes(session: str, seen: int, opened: list[bool]) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": [session] * len(opened), "last_seen": [seen] * len(opened), "open": opened})
 
-    def __init__(self, silence_s: int):
-        self.silence_ms = 1000 * silence_s
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", T.StructType([T.StructField("at", T.LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = self.last.get()[0] if self.last.exists() else None
-        newest = max((r["last_seen"] for r in rows), default=before)
-        if before is not None and newest <= before:
+    def follow(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield changes(key[0], before, [False])
             return
-        if before is not None:
-            self.handle.deleteTimer(1000 * before + self.silence_ms)
-        self.last.update((newest,))
-        self.handle.registerTimer(1000 * newest + self.silence_ms)
-        yield Row(session_id=key[0], last_seen=newest, open=True)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        seen = self.last.get()[0]
-        self.last.clear()
-        yield Row(session_id=key[0], last_seen=seen, open=False)
+        newest = max([int(r["last_seen"].max()) for r in rows] + [before] * (before is not None))
+        # A time-out fires when the watermark has passed it, and a session ends when it has got there.
+        ends = 1000 * (newest + silence_s) - 1
+        over = ends < state.getCurrentWatermarkMs()
+        if over:
+            state.remove()
+        else:
+            state.update((newest,))
+            state.setTimeoutTimestamp(ends)
+        if over or newest != before:
+            yield changes(key[0], newest, [True] * (newest != before) + [False] * over)
 
-    def close(self) -> None:
-        pass
+    return follow
 
 
 def session_changes(stream: DataFrame, session: str, ts: str, silence_s: int, *, watermark: str = WATERMARK) -> DataFrame:
@@ -66,14 +64,15 @@ def session_changes(stream: DataFrame, session: str, ts: str, silence_s: int, *,
     event, and its state goes; a later event opens it again. Before they meet the state,
     the events of each Arrow batch become one row for a session, so one that owns a
     third of all events is some rows in its task. Rows without a session or a time are
-    left out. The state store has to be RocksDB (:data:`ROCKSDB`).
+    left out. The state of a task's sessions goes to Python and back in Arrow batches. With
+    RocksDB (:data:`ROCKSDB`) as the state store it need not fit the memory.
     """
     kind = dict(stream.dtypes)[ts]
     seconds = F.col(ts) if kind in ("bigint", "int") else F.unix_timestamp(F.col(ts).cast("timestamp"))
     rows = stream.select(F.col(session).cast("string").alias("session_id"), seconds.cast("bigint").alias("last_seen"))
     newest = rows.filter("session_id IS NOT NULL AND last_seen IS NOT NULL").mapInArrow(_newest, rows.schema)
-    return event_time(newest, "last_seen", watermark=watermark).groupBy("session_id").transformWithState(
-        LastSeen(silence_s), outputStructType=CHANGE, outputMode="Update", timeMode="EventTime")
+    return event_time(newest, "last_seen", watermark=watermark).groupBy("session_id").applyInPandasWithState(
+        _follow(silence_s), CHANGE, LAST, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,5 +88,12 @@ def gauge_table(spark, root: str) -> BatchTable:
 
 def keep_changes(table: BatchTable, query: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that writes the changes of a batch. Of those of one session the last counts, and of
-    an end and an opening at one time the end."""
-    return lambda batch, batch_id: table.write(batch.withColumn("ended", ~F.col("open")), query, batch_id, order=("last_seen", "ended"))
+    an end and an opening at one time the end. The table reads a batch several times, the state is followed once."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        cached = batch.withColumn("ended", ~F.col("open")).persist()
+        try:
+            table.write(cached, query, batch_id, order=("last_seen", "ended"))
+        finally:
+            cached.unpersist()
+
+    return run
