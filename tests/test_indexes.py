@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell.operators import sketches, text_index, vector_index
@@ -84,6 +86,40 @@ def test_vectors(spark, tmp_path):
     assert vector_index.recall(index.search(asked, query_id="id", vec="v", limit=5), exact, "id").first().recall >= share.recall
 
 
+def test_blocks_of_vectors(spark, tmp_path, monkeypatch):
+    """Pairs are compared in blocks of bounded size; all ties, copies, repeated and null ids rank as among all pairs."""
+    r = random.Random(5)
+    vecs = [(i, [r.gauss(0, 1) for _ in range(5)]) for i in range(300)] + [(1000 - i, [0.3, 0.1, -2.0, 0.7, 0.2]) for i in range(200)]
+    vecs += vecs[:40] + [(None, vecs[k][1]) for k in range(0, 60, 7)] + [(7, vecs[8][1]), (2000, None), (2001, [0.0] * 5)]
+    vecs += [(3000 + i, [-x * 3 for x in v]) for i, (_, v) in enumerate(vecs[:30])]
+    df = spark.createDataFrame(vecs, "id long, v array<double>")
+    asked = df.filter("id % 9 = 0 OR id IS NULL OR id > 1990").union(spark.createDataFrame([(5000, [1.0, 2.0]), (5001, [])], df.schema))
+    index = vector_index.build(df, str(tmp_path), id_col="id", vec="v", cells=4)
+    unit = lambda x: vector_index.unit(F.col(x))
+    pairs = df.select("id", unit("v").alias("v")).filter("v IS NOT NULL").crossJoin(
+        asked.select(F.col("id").alias("query_id"), unit("v").alias("q")).filter("q IS NOT NULL")).withColumn(
+        "similarity", vector_index._dot(F.col("v"), F.col("q")))
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
+    want = pairs.withColumn("rank", F.row_number().over(w))
+    key = lambda x: (x[0] is None, x[0], x[1])
+    for limit, block, tile in ((10, 1 << 20, 1 << 22), (3, 100, 70), (1000, 150, 900)):
+        monkeypatch.setattr(vector_index, "BLOCK", block)
+        monkeypatch.setattr(vector_index, "TILE", tile)
+        found = index.search(asked, query_id="id", vec="v", limit=limit, probes=0)
+        got = sorted(map(tuple, found.select("query_id", "rank", "id", "similarity").collect()), key=key)
+        assert got == sorted(map(tuple, want.filter(F.col("rank") <= limit).select("query_id", "rank", "id", "similarity").collect()), key=key)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()      # no row for each pair
+    assert index.search(asked, query_id="id", vec="v", limit=0).count() == 0
+
+
+def test_best_of_a_block():
+    v = np.array([[1.0, 0], [0, 1], [np.nan, 0], [1, 0], [1, 0], [0.6, 0.8], [1, 0]])
+    assert vector_index._first_copies(v, 2).tolist() == [0, 1, 2, 3, 5]
+    i, j, near = vector_index._best(v[[0, 2]], v, 3)
+    assert i.tolist() == [0] * 3 + [1] * 3 and j.tolist() == [2, 0, 3, 0, 1, 2]
+    assert np.isnan(near).tolist() == [True, False, False, True, True, True] and near[1:3].tolist() == [1, 1]
+
+
 def test_quantiles_of_days(spark):
     r = random.Random(5)
     rows = [(f"2024-01-{1 + i % 9:02d}", "ab"[i % 2], r.expovariate(1 / 50) * (1 + i % 9)) for i in range(30000)] + [("2024-01-01", "a", None)]
