@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import tracewell.plans.catalogue  # noqa: F401
 from tracewell.operators import sketches, text_index, vector_index
+from tracewell.plans.registry import QUERIES
 
 WORDS = ["the"] * 30 + ["river"] * 6 + ["stone"] * 3 + [f"w{i}" for i in range(60)]
 
@@ -120,6 +122,14 @@ def test_best_of_a_block():
     assert np.isnan(near).tolist() == [True, False, False, True, True, True] and near[1:3].tolist() == [1, 1]
 
 
+def test_recall_builds_one_index(spark, monkeypatch):
+    built, build = [], vector_index.build
+    monkeypatch.setattr(vector_index, "build", lambda *args, **kwargs: built.append(args) or build(*args, **kwargs))
+    asked = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").filter("vec_id % 50 = 0").count()
+    assert [tuple(r) for r in QUERIES["l26_vector_index_recall"](spark, "/root/testdata/sf0.01").collect()] == [(asked, True)]
+    assert len(built) == 1
+
+
 def test_quantiles_of_days(spark):
     r = random.Random(5)
     rows = [(f"2024-01-{1 + i % 9:02d}", "ab"[i % 2], r.expovariate(1 / 50) * (1 + i % 9)) for i in range(30000)] + [("2024-01-01", "a", None)]
