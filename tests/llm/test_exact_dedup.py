@@ -112,6 +112,38 @@ def test_many_near_copies_give_each_occurrence_one_row(spark, monkeypatch):
     assert got == brute(rows) and len(seen) > 2 and all(n == blocks for n, blocks in seen)
 
 
+def test_suffixes_at_anchors():
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.one_of(st.text("ab", max_size=60), st.text("a\x00", max_size=60)).map(str.encode), min_size=1, max_size=12), st.integers(1, 8), st.integers(1, 8))
+    def check(texts, gram, more):
+        length, around = gram + more, {}
+        cutter = X.Cutter(gram, length)
+        for start, n, h, _, often, _, d in [(*b, d) for d in texts for b in cutter.blocks(d)]:
+            piece = d[start:start + n + length - 1]
+            assert (len(cutter.places(piece, h)) > 1) == often
+            around.setdefault(h, []).append(piece)
+        for h, pieces in around.items():
+            starts = [sum(map(len, pieces[:k])) + cutter.places(p, h) for k, p in enumerate(pieces)]
+            assert A.anchored_starts(pieces, X.np.concatenate(starts), gram, length).tolist() == A.repeated_starts(pieces, length).tolist()
+    check()
+
+
+def test_passage_common_to_many_texts(spark, monkeypatch):
+    """Its anchors are settled as they are: each further cut would give rows to every text again."""
+    r = random.Random(9)
+    own = lambda n: "".join(r.choice("abcdefgh ijk") for _ in range(n))
+    passage, twice = own(440), own(120)
+    rows = [(i, own(r.randrange(60)) + passage + own(r.randrange(60))) for i in range(600)]
+    rows += [(1000 + i, own(i % 7) + twice + own(150) + twice + own(60)) for i in range(600)] + [(2000, passage[:405]), (2001, passage[30:429])]
+    cuts, cut = [], X._cut
+    rows += [(3000 + i, own(20) + "Is onhe. " * r.randrange(60, 300) + own(20)) for i in range(80)]       # periodic
+    monkeypatch.setattr(X, "ARRAY_BYTES", 40_000)
+    monkeypatch.setattr(X, "ANCHORED_BYTES", 80_000, raising=False)
+    monkeypatch.setattr(X, "_cut", lambda *a: cuts.append(a[2]) or cut(*a))
+    assert result(X.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert cuts == [0]
+
+
 def test_odd_rows(odd, none):
     out = X.remove_repeats(odd)
     assert by_row(out, "doc_id") == by_row(odd, "doc_id") and X.remove_repeats(none).count() == 0

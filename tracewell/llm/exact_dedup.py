@@ -7,9 +7,11 @@ share theirs, so a text falls into blocks of windows with one anchor, about one
 numbers move at first. An anchor met in one block only, once, cannot hold a repeat.
 Blocks equal throughout repeat as a whole. What is left, different blocks around one
 anchor, is settled by suffix arrays over one copy of each block, small anchors packed
-together into one array. An anchor with too many different blocks for one task is cut
-again around longer grams, in the end as long as the window itself: all windows of such
-an anchor are one string, so they are settled by their number.
+together into one array. A crowded anchor, as of a passage common to many texts, is settled
+by the suffixes that start at it and, read backwards, end at it: two for a block, or few for a periodic one. One with
+too many blocks for one task even so is cut again around longer grams, in the end as long as
+the window itself: all windows of such an anchor are one string, so they are settled by their
+number.
 """
 
 from __future__ import annotations
@@ -23,13 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm.common import annotate, checkpointed, fresh, raw
-from tracewell.llm.suffix_array import repeated_starts
+from tracewell.llm.suffix_array import anchored_starts, repeated_starts
 
 LENGTH = 400
 #: Gram lengths of the anchors: the first for all texts, the next ones for crowded anchors.
 GRAMS = (100, 250, 330, 370, 390, LENGTH)
-#: Bytes of different blocks in one suffix array, about; an anchor with more is cut again.
+#: Bytes of different blocks in one suffix array, about; an anchor with more than twice as many is crowded.
 ARRAY_BYTES = 256 << 10
+#: Bytes of blocks from which a crowded anchor is settled by the suffixes at it (fewer are crowded only with small arrays), and
+#: the most memory that may take in one task, about. Other crowded anchors are cut again.
+ANCHORED_BYTES, ANCHORED_MEMORY = 2 * ARRAY_BYTES, 48 << 20
 #: Suffix arrays that one task sorts, about, where there are more of them than shuffle partitions.
 ARRAYS_A_TASK = 16
 #: Windows of a text that are hashed at once.
@@ -40,7 +45,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 _BLOCK = T.StructType([T.StructField("start", T.LongType(), False), T.StructField("n", T.LongType(), False),
                        T.StructField("h", T.LongType(), False), T.StructField("c", T.LongType(), False),
-                       T.StructField("often", T.BooleanType(), False)])
+                       T.StructField("often", T.BooleanType(), False), T.StructField("memory", T.LongType(), False)])
 RANGES = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
@@ -70,8 +75,15 @@ class Cutter:
         backward = np.minimum.accumulate(strips[:, ::-1], axis=1)[:, ::-1].ravel()
         return np.minimum(backward[:n - w + 1], forward[w - 1:n])
 
-    def blocks(self, data: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
-        """(first window, windows, anchor, hash of the bytes, whether the anchor is in them more than once)."""
+    def places(self, data: bytes, anchor: int) -> np.ndarray:
+        """Starts of all grams with the hash ``anchor``."""
+        b, found = np.frombuffer(data, "u1"), [np.zeros(0, "i8")]
+        for at in range(0, len(b) - self.gram + 1, STRETCH):
+            found.append(at + np.flatnonzero(self._grams(b[at:at + STRETCH + self.gram - 1]).view("i8") == anchor))
+        return np.concatenate(found)
+
+    def blocks(self, data: bytes) -> Iterator[tuple[int, int, int, int, bool, int]]:
+        """(first window, windows, anchor, hash of the bytes, whether the anchor is in them more than once, bytes to sort the suffixes at it)."""
         import xxhash
         b = np.frombuffer(data, "u1")
         for at in range(0, len(b) - self.length + 1, STRETCH):
@@ -81,16 +93,19 @@ class Cutter:
             anchors = low[cut[:-1]]
             signed = anchors.view("i8").tolist()
             for k, (x, y) in enumerate(zip(cut, cut[1:])):
-                often = np.count_nonzero(g[x:y + self.across - 1] == anchors[k]) > 1
-                c = xxhash.xxh3_64_intdigest(data[at + x:at + y + self.length - 1])
-                yield at + x, y - x, signed[k], c - (1 << 64) if c >> 63 else c, often
+                places = np.flatnonzero(g[x:y + self.across - 1] == anchors[k]).tolist()
+                own = data[at + x:at + y + self.length - 1]
+                # Each different string after and before the anchor is held once; in a periodic text these are few.
+                kinds = len(places) if len(places) < 3 else len({own[p:p + self.length] for p in places})
+                c = xxhash.xxh3_64_intdigest(own)
+                yield at + x, y - x, signed[k], c - (1 << 64) if c >> 63 else c, len(places) > 1, 2 * self.length * kinds + 64 * len(places)
 
 
 def _cut(df: DataFrame, column: str, level: int, keep: list[str], name: str) -> DataFrame:
     """``keep`` and the fields of a block, a row for each block of the bytes or text in ``column``."""
     gram = GRAMS[level]
     fields = T.StructType([T.StructField("blocks", T.ArrayType(_BLOCK, False), False)])
-    kinds = {"start": "i8", "n": "i8", "h": "i8", "c": "i8", "often": "?"}
+    kinds = {"start": "i8", "n": "i8", "h": "i8", "c": "i8", "often": "?", "memory": "i8"}
 
     def make():
         cutter = Cutter(gram)
@@ -124,23 +139,30 @@ def _shared(blocks: DataFrame, weight: str | None = None) -> DataFrame:
 def _settle(pieces: DataFrame, level: int) -> DataFrame:
     """(h, c, ranges): the ranges of windows, counted within the block (h, c), that occur elsewhere too.
 
-    ``pieces`` has a row (h, c, weight, data) for each different block: two blocks of
-    one anchor are in one array unless the anchor is crowded. A block has one row at
-    most, with disjoint ranges that do not touch, so a join gives its occurrences a row each.
+    ``pieces`` has a row (h, c, weight, memory, data) for each different block: two blocks of
+    one anchor meet in one task unless it has too many even for a crowded one. A block has one
+    row at most, with disjoint ranges that do not touch, so a join gives its occurrences a row each.
     """
-    sizes = pieces.groupBy("h").agg(F.sum(F.length("data")).alias("bytes"))
-    total, crowded = sizes.agg(F.sum("bytes"), F.count_if(F.col("bytes") > 2 * ARRAY_BYTES)).first()
+    sizes = pieces.groupBy("h").agg(F.sum(F.length("data")).alias("bytes"), F.sum("memory").alias("memory"))
+    crowd, few = F.col("bytes") > 2 * ARRAY_BYTES, (F.col("bytes") > ANCHORED_BYTES) & (F.col("memory") <= ANCHORED_MEMORY)
+    total, crowded, over = sizes.agg(F.sum("bytes"), F.count_if(crowd & few), F.count_if(crowd & ~few)).first()
     arrays = max(1, (total or 0) // ARRAY_BYTES)
     fits = pieces
-    if crowded:
-        large = sizes.filter(F.col("bytes") > 2 * ARRAY_BYTES).select("h")
-        fits = pieces.join(large, "h", "left_anti")
+    if crowded or over:
+        fits = pieces.join(sizes.filter(crowd).select("h"), "h", "left_anti")
     # An array is few bytes and much work, so the number of partitions is fixed: adaptive execution would merge them.
-    tasks = max(min(arrays, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))), arrays // ARRAYS_A_TASK)
-    out = fits.withColumn("g", F.pmod(F.xxhash64("h"), F.lit(arrays))).repartition(tasks, "g").groupBy("g").applyInArrow(
-        _ranges, T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), T.StructField("ranges", RANGES)]))
-    if not crowded:
+    parallel = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(min(arrays, parallel), arrays // ARRAYS_A_TASK)
+    settled = T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), T.StructField("ranges", RANGES)])
+    out = fits.withColumn("g", F.pmod(F.xxhash64("h"), F.lit(arrays))).repartition(tasks, "g").groupBy("g").applyInArrow(_ranges, settled)
+    if crowded:
+        gram, length = GRAMS[level], LENGTH
+        around = pieces.join(sizes.filter(crowd & few).select("h"), "h", "left_semi")
+        out = out.union(around.repartition(min(crowded, parallel), "h").groupBy("h").applyInArrow(
+            lambda table: _anchored(table, gram, length), settled))
+    if not over:
         return out
+    large = sizes.filter(crowd & ~few).select("h")
     whole = fresh(pieces, "cut")
     inner = _cut(pieces.join(large, "h", "left_semi").withColumnsRenamed({"h": "ph", "c": "pc"}), "data", level + 1,
                  ["ph", "pc", "weight", "data"], whole)
@@ -153,7 +175,7 @@ def _settle(pieces: DataFrame, level: int) -> DataFrame:
         mixed = inner.filter("mixed")
         first = mixed.groupBy("h", "c").agg(F.sum("weight").alias("weight"), F.min(F.struct("ph", "pc", "start")).alias("of"))
         data = mixed.join(first.select("h", "c", F.col("weight").alias("all"), "of.*"), ["h", "c", "ph", "pc", "start"]).select(
-            "h", "c", F.col("all").alias("weight"), F.expr(f"substring(data, int(start + 1), int(n + {LENGTH - 1}))").alias("data"))
+            "h", "c", F.col("all").alias("weight"), "memory", F.expr(f"substring(data, int(start + 1), int(n + {LENGTH - 1}))").alias("data"))
         apart = mixed.select("h", "c", "ph", "pc", "start").join(_settle(data, level + 1), ["h", "c"])
         found = found.union(apart.select("ph", "pc", "start", F.explode("ranges").alias("r")).select(
             "ph", "pc", F.expr("start + r.a"), F.expr("start + r.b")))
@@ -171,7 +193,20 @@ def _joined(found: DataFrame) -> DataFrame:
 def _ranges(table: pa.Table) -> pa.Table:
     """One suffix array over the blocks of a group."""
     pieces = table["data"].to_pylist()
-    twice = repeated_starts(pieces, LENGTH)
+    return _marked(table, pieces, repeated_starts(pieces, LENGTH))
+
+
+def _anchored(table: pa.Table, gram: int, length: int) -> pa.Table:
+    """The blocks of one crowded anchor, by the suffixes at it."""
+    pieces, anchor = table["data"].to_pylist(), table["h"][0].as_py()
+    at = Cutter(gram, length).places(b"".join(pieces), anchor)
+    ends = np.cumsum([len(p) for p in pieces])
+    at = at[at + gram <= ends[np.searchsorted(ends, at, "right")]]        # not across two pieces
+    return _marked(table, pieces, anchored_starts(pieces, at, gram, length))
+
+
+def _marked(table: pa.Table, pieces: list[bytes], twice: np.ndarray) -> pa.Table:
+    """(h, c, ranges) of the windows marked in the concatenated ``pieces``, all of a block that occurs twice."""
     rows, ranges, ends, at = [], [], [0], 0
     for h, c, weight, data in zip(table["h"].to_pylist(), table["c"].to_pylist(), table["weight"].to_pylist(), pieces, strict=True):
         mask = twice[at:at + len(data)]
@@ -233,11 +268,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # One place for the bytes of each different block.
     first = mixed.groupBy("h", "c").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "start")).alias("of"))
     ship = mixed.join(first.select("h", "c", "weight", "of.*"), ["h", "c", "k1", "k2", "start"])
-    ship = ship.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "c", "weight", "start", "n")).alias("ship"))
+    ship = ship.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "c", "weight", "memory", "start", "n")).alias("ship"))
     touched = shared.select("k1", "k2").distinct().join(ship, ["k1", "k2"], "left")
     texts = checkpointed(keyed.join(touched, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "data", "ship"))
     pieces = texts.select("data", F.inline("ship")).select(
-        "h", "c", "weight", F.expr(f"substring(data, int(start + 1), int(n + {LENGTH - 1}))").alias("data"))
+        "h", "c", "weight", "memory", F.expr(f"substring(data, int(start + 1), int(n + {LENGTH - 1}))").alias("data"))
     apart = mixed.select("k1", "k2", "start", "h", "c").join(_settle(pieces, 0), ["h", "c"]).select("k1", "k2", "start", "ranges")
     alike = shared.filter("NOT mixed").select(
         "k1", "k2", "start", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b"))).cast(RANGES).alias("ranges"))

@@ -98,3 +98,45 @@ def repeated_starts(pieces: list[bytes], length: int) -> np.ndarray:
         same = common_prefixes(data, order[:-1], order[1:], length) >= length
         twice[order[:-1][same]] = twice[order[1:][same]] = True
     return twice
+
+
+def _sorted(text: bytes, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of the ``width`` bytes at each start among all different ones, and the common prefix of each two neighbours by rank."""
+    numbers: dict[bytes, int] = {}
+    of = np.array([numbers.setdefault(text[i:i + width], len(numbers)) for i in starts.tolist()])
+    strings = np.frombuffer(b"".join(numbers), "u1").reshape(-1, width)
+    order = np.argsort(strings.view(f"S{width}").ravel(), kind="stable")
+    differ = strings[order[1:]] != strings[order[:-1]]
+    rank = np.empty(len(order), "i8")
+    rank[order] = np.arange(len(order))
+    return rank[of], differ.argmax(axis=1)
+
+
+def anchored_starts(pieces: list[bytes], at: np.ndarray, gram: int, length: int) -> np.ndarray:
+    """The mask of :func:`repeated_starts` for pieces whose windows of ``length`` bytes all
+    hold one of the grams of ``gram`` bytes that start ``at`` places of the concatenation.
+
+    Equal windows have their first gram at one offset. So of all suffixes those that
+    start at a gram suffice, with the bytes before it as suffixes of the text read
+    backwards: windows with ``k`` bytes before their gram are equal where both sorted
+    orders have a common prefix of ``k`` and of ``length - k`` bytes.
+    """
+    data, sizes = b"".join(pieces), np.array([len(p) for p in pieces], "i8")
+    ends, most, n = np.cumsum(sizes), length - gram, len(at)
+    piece = np.searchsorted(ends, at, "right")
+    end = ends[piece]
+    # The windows, by their starts, whose first gram this is.
+    first = np.maximum(np.maximum(end - sizes[piece], at - most), np.r_[-1, at[:-1]] + 1)
+    last = np.minimum(at, end - length)
+    text = b"\0" * most + data + b"\0" * length
+    after, after_common = _sorted(text, at + most, length)
+    before, before_common = _sorted(text[::-1], len(text) - most - at, most)
+    twice = np.zeros(len(data), bool)
+    for k in range(most + 1):
+        own = np.flatnonzero((first <= at - k) & (at - k <= last))
+        if len(own) > 1:
+            a = np.r_[0, np.cumsum(after_common < length - k)][after[own]]
+            b = np.r_[0, np.cumsum(before_common < k)][before[own]]
+            _, kind, count = np.unique(a * n + b, return_inverse=True, return_counts=True)
+            twice[at[own[count[kind] > 1]] - k] = True
+    return twice
