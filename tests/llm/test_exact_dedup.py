@@ -144,6 +144,45 @@ def test_passage_common_to_many_texts(spark, monkeypatch):
     assert cuts == [0]
 
 
+def shared_words(rows):
+    """Words in passages of over 50 words that a document of another id or text has too."""
+    rows = [((k, t or ""), (t or "").encode().split()) for k, t in rows]
+    where, out = {}, []
+    for key, w in rows:
+        for i in range(len(w) - 50):
+            where.setdefault(tuple(w[i:i + 51]), set()).add(key)
+    for key, w in rows:
+        hit = {j for i in range(len(w) - 50) if where[tuple(w[i:i + 51])] != {key} for j in range(i, i + 51)}
+        out.append((key[0], len(hit)))
+    return sorted(out, key=repr)
+
+
+def test_passages_of_over_50_words(spark, monkeypatch):
+    """They are found below the window of 400 bytes too, which removes nothing of them."""
+    r = random.Random(10)
+    own = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7))) for _ in range(n))
+    short, edge, long, twice, hot = own(58), own(50), own(260), own(55), own(70)
+    assert len(short) < 400
+    rows = [(1, f"{own(90)} {short} {own(40)}"), (2, f"{own(7)} {short}\n"), (3, short.replace(" ", " \n\t")), (4, f"{own(9)} {short[:-9]}"),
+            (5, f"{own(30)} {edge} {own(30)}"), (6, edge), (7, f"{own(3)} {long}"), (8, f"{long} {own(80)}"), (9, f"{own(20)} {twice} {own(5)} {twice}"),
+            (10, own(300)), (11, "on the " * 200), (12, "on the " * 90 + own(20)), (None, None), (None, ""), (None, own(60)), (13, "é " * 51), (14, "é\f" * 60)]
+    rows += [rows[9], rows[9]]                  # one id and text
+    rows += [(100 + i, f"{own(i % 9)} {hot} {own(i % 5)}") for i in range(60)]
+    for i in range(40):                         # near copies
+        t = long.split()
+        for _ in range(r.randrange(4)):
+            t[r.randrange(260)] = "Z"
+        rows.append((200 + i, " ".join(t[r.randrange(100):])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_row(X.remove_repeats(df), "doc_id", "n_shared_words", "n_removed")
+    assert sorted([g[:2] for g in got], key=repr) == shared_words(rows)
+    found = {g[0]: g[1:] for g in got}
+    assert [found[k] for k in (1, 2, 3, 6, 9)] == [(58, 0), (58, 0), (58, 0), (0, 0), (0, 0)] and found[10] == (0, len(rows[9][1]))
+    assert result(X.remove_repeats(df)) == brute(rows)
+    monkeypatch.setattr(X, "STRETCH", 100)      # of bytes, then of words
+    assert by_row(X.remove_repeats(df), "doc_id", "n_shared_words") == shared_words(rows)
+
+
 def test_odd_rows(odd, none):
     out = X.remove_repeats(odd)
     assert by_row(out, "doc_id") == by_row(odd, "doc_id") and X.remove_repeats(none).count() == 0
