@@ -12,7 +12,7 @@ from tracewell.plans.catalogue import files_streams
 from tracewell.schemas import SCHEMAS
 from tracewell.sinks.batches import STREAM_SPAN, BatchTable
 from tracewell.store import COUNTERS
-from tracewell.streaming import expiry, export, live, run_log
+from tracewell.streaming import expiry, export, joins, live, run_log
 from tracewell.streaming.joins import stream_interval_join
 
 SF = "/root/testdata/sf0.001"
@@ -258,6 +258,55 @@ def test_intervals_of_two_streams(spark, tmp_path):
         stream_interval_join(points, spans, at="at", start="a", end="b", longest_s=300).collect()
 
 
+def test_a_crowded_block_is_a_few_lists(spark, tmp_path, monkeypatch):
+    """Points and intervals of one time are kept as lists, cut when long; equal rows count each, and times before 1970 too."""
+    points = spark.createDataFrame([(k, -50 + k % 90) for k in range(200)] + [(1, -49)], "p long, at long")
+    spans = spark.createDataFrame([(k, -60 + k % 80, -20 + k % 80) for k in range(150)] + [(3, -57, -17)], "s long, a long, b long")
+    for k in range(2):
+        points.filter(f"p % 2 = {k}").coalesce(1).write.parquet(f"{tmp_path}/p/{k}")
+        spans.filter(f"s % 2 = {k}").coalesce(1).write.parquet(f"{tmp_path}/s/{k}")
+    read = lambda n, df: live.read_stream(spark, f"{tmp_path}/{n}/*", df.schema, max_files=1)
+    want = sorted((p, s) for p, at in points.collect() for s, a, b in spans.collect() if a <= at <= b)
+    for most in (joins.MOST, 3):
+        monkeypatch.setattr(joins, "MOST", most)
+        pairs = stream_interval_join(read("p", points), read("s", spans), at="at", start="a", end="b", longest_s=256)
+        q = (pairs.select("p", "s").writeStream.format("memory").queryName(f"crowded{most}").option("checkpointLocation", f"{tmp_path}/{most}")
+             .trigger(availableNow=True).start())
+        q.awaitTermination(180)
+        assert sorted(map(tuple, spark.table(f"crowded{most}").collect())) == want and len(want) > 10000
+        rows = max(r.stateOperators[0].numRowsTotal for r in q.recentProgress if r.stateOperators)
+        assert most == 3 or rows < 700        # a row of state for each row and block: over 1,800
+
+
+def test_times_between_seconds(spark):
+    """Parts of a second lie in the block of the second, and only in the intervals that contain them."""
+    points = spark.createDataFrame([(k, -3 + k * 0.25) for k in range(60)] + [(99, None)], "p long, at double")
+    spans = spark.createDataFrame([(1, -2.5, 4.25), (2, 0.5, 0.5), (3, 3.75, None), (4, None, 3.0), (5, 8.0, 7.5)], "s long, a double, b double")
+    got = stream_interval_join(points, spans, at="at", start="a", end="b", longest_s=7).collect()
+    assert sorted((r.p, r.s) for r in got) == sorted(
+        (p.p, s.s) for p in points.collect() if p.at is not None for s in spans.collect()
+        if s.a is not None and s.a <= p.at <= (s.a + 7 if s.b is None else s.b))
+
+
+def test_pairs_of_crowded_sessions_are_made_when_read(spark, monkeypatch):
+    """What the stream of d05_interval_join_stream writes grows with the events, not with the pairs."""
+    calls = [(u * 10 + k, str(u), 5000 + (u * 37) % 900 + 60 * k) for u in range(150) for k in range(8)]
+    b = SimpleNamespace(spark=spark, tool_events=spark.createDataFrame(calls, "id long, session_id string, timestamp long"),
+                        activity_events=spark.createDataFrame([(i, t) for i, _, t in calls], "id long, timestamp long"))
+    written, streamed = [], files_streams.streamed
+
+    def counting(b, out):
+        lists = streamed(b, out)
+        written.append(lists.count())
+        return lists
+
+    monkeypatch.setattr(files_streams, "streamed", counting)
+    got = sorted(map(tuple, files_streams.interval_stream(b).collect()))
+    starts = {u: 5000 + (int(u) * 37) % 900 for u in {u for _, u, _ in calls}}
+    assert got == sorted((i, u, a) for i, _, t in calls for u, a in starts.items() if a <= t <= a + 420)
+    assert written[0] * 5 < len(got)
+
+
 def test_run_log(spark, lake, tmp_path):
     log = run_log.RunLog(spark, f"{tmp_path}/log", every=3)
     spark.streams.addListener(log)
